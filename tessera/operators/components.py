@@ -30,9 +30,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     component's diameter. Self-loops make a node a component of its own; null
     ends and repeated edges don't matter.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null")
+    edges = materialise(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "cc")
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    state = materialise(edges.where("src != dst").distinct(), "cc")
+    state = edges.where("src != dst")
     seen = None
     for _ in range(max_rounds):
         mark = state.agg(F.count("*"), F.expr("bit_xor(xxhash64(src, dst))")).first()
@@ -44,4 +44,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = state.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     found = state.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
-    return found.unionByName(loops.distinct().join(found, "node", "left_anti"))
+    return found.unionByName(loops.join(found, "node", "left_anti"))
