@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, kneser_ney, licenses, packing, quality_gbt, quality_rules, simhash
+from . import decontamination, kneser_ney, licenses, packing, quality_gbt, quality_rules, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.fit_and_score(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["rank"] < 3)
+    of = lambda k: F.size(F.filter("secrets", lambda s: s["rank"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
+    return found.select("doc_id", of(0), of(1), of(2), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"), of(3))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"]
