@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, kneser_ney, licenses, packing, quality_gbt, quality_rules, secrets, simhash
+from ..storage import materialise
+from . import decontamination, kneser_ney, licenses, merkle, packing, preference, quality_gbt, quality_rules, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,21 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.score(docs, quality_gbt.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica whose manifest has planted faults: some digests differ, some records are gone."""
+    primary = materialise(merkle.archive(table(spark, sf_dir, "pages")), "manifest")
+    bad = F.pmod("page_id", F.lit(97)) == 13
+    gone = F.coalesce(F.pmod("page_id", F.lit(389)) == 7, F.lit(False))
+    replica = primary.where(~gone).select("offset", "length", F.when(bad, F.reverse("digest")).otherwise(F.col("digest")).alias("digest"))
+    return merkle.report(primary, replica)
+
+
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.sampled_pairs(table(spark, sf_dir, "conversations"))
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    return preference.formatted(pairs).select("conv_id", "segment", "n_prefix", "prompt", "chosen", shown("chosen_spans"), "rejected", shown("rejected_spans"))
+
+
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.fit_and_score(table(spark, sf_dir, "documents"))
 
@@ -65,5 +81,80 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP4_SQL = """
+WITH recs AS (
+  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
+  FROM pages
+), folded AS (
+  SELECT page_id, sha256(rec) AS digest, strlen(rec) AS length, count(*) AS copies FROM recs GROUP BY ALL
+), placed AS (
+  SELECT *, coalesce(sum(length * copies) OVER (ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM folded
+)
+SELECT page_id, copies::BIGINT AS copies, "offset", length::BIGINT AS length, digest,
+  CASE WHEN page_id % 389 = 7 THEN NULL WHEN page_id % 97 = 13 THEN reverse(digest) ELSE digest END AS replica_digest,
+  CASE WHEN page_id % 389 = 7 THEN 'missing' WHEN page_id % 97 = 13 AND digest <> reverse(digest) THEN 'corrupt' ELSE 'ok' END AS status
+FROM placed
+"""
+
+OP9_SQL = """
+WITH told AS (
+  SELECT conv_id, turn // 4096 AS segment, turn, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), c AS (
+  SELECT conv_id, segment, r, x, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn) AS i,
+    count(*) OVER (PARTITION BY conv_id, segment) AS n
+  FROM told WHERE k = 1
+), j AS (
+  SELECT conv_id, segment, i, r, x FROM c WHERE i < n
+  UNION ALL
+  SELECT a.conv_id, a.segment, a.n, b.r, b.x FROM c a JOIN c b ON b.conv_id = xor(a.conv_id, 1) AND a.segment = b.segment AND b.i = b.n WHERE a.i = a.n
+), d AS (
+  SELECT coalesce(c.conv_id, j.conv_id) AS conv_id, coalesce(c.segment, j.segment) AS segment,
+    coalesce(min(coalesce(c.i, j.i)) FILTER (c.i IS NULL OR j.i IS NULL OR c.r <> j.r OR c.x <> j.x) - 1, max(c.i)) AS p
+  FROM c FULL OUTER JOIN j ON c.conv_id = j.conv_id AND c.segment = j.segment AND c.i = j.i GROUP BY 1, 2
+), sides AS (
+  SELECT 'c' AS side, conv_id, segment, i, r, x FROM c UNION ALL SELECT 'j', conv_id, segment, i, r, x FROM j
+), shown AS (
+  SELECT side, s.conv_id, s.segment, i, r, i <= p AS shared, '<|' || r || '|>' || chr(10) || x || '<|end|>' || chr(10) AS t,
+    length(r) + 5 AS head
+  FROM sides s JOIN d USING (conv_id, segment)
+), placed AS (
+  SELECT *, sum(length(t)) OVER (PARTITION BY side, conv_id, segment, shared ORDER BY i) AS e FROM shown
+), text AS (
+  SELECT side, conv_id, segment, coalesce(string_agg(t, '' ORDER BY i) FILTER (shared), '') AS prompt,
+    coalesce(string_agg(t, '' ORDER BY i) FILTER (NOT shared), '') AS body,
+    coalesce(string_agg((e - length(t) + head)::BIGINT || ':' || e::BIGINT, ',' ORDER BY i) FILTER (NOT shared AND r = 'assistant'), '') AS spans
+  FROM placed GROUP BY ALL
+)
+SELECT d.conv_id, d.segment, d.p AS n_prefix, coalesce(a.prompt, '') AS prompt, a.body AS chosen, a.spans AS chosen_spans,
+  coalesce(b.body, '') AS rejected, coalesce(b.spans, '') AS rejected_spans
+FROM d JOIN text a ON a.side = 'c' AND a.conv_id = d.conv_id AND a.segment = d.segment
+LEFT JOIN text b ON b.side = 'j' AND b.conv_id = d.conv_id AND b.segment = d.segment
+"""
+
+#: lower-cases A-Z and lists words of the kind that op1 and op2 take
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".replace("\\\\", "\\")
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, text, {_WORDS} AS w, row_number() OVER () AS row_id FROM documents),
+i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, w[k : k + 12] AS t FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+sized AS (SELECT DISTINCT len(t) AS n FROM win),
+pos AS (SELECT row_id, w, unnest(range(1, len(w) + 1)) AS at FROM d),
+firsts AS (SELECT DISTINCT t[1] AS f FROM win),
+cand AS (SELECT row_id, at, n, w[at : at + n - 1] AS t FROM pos JOIN firsts ON w[at] = f CROSS JOIN sized),
+hits AS (SELECT DISTINCT row_id, at, n, item_id FROM cand JOIN win USING (t) WHERE len(t) = n),
+cover AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(at, at + n)) AS p FROM hits) GROUP BY 1),
+ids AS (SELECT row_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT row_id, item_id FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN cover USING (row_id) LEFT JOIN ids USING (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL, "op4_merkle_audit": OP4_SQL, "op9_preference": OP9_SQL}
