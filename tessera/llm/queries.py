@@ -136,19 +136,19 @@ FROM d JOIN text a ON a.side = 'c' AND a.conv_id = d.conv_id AND a.segment = d.s
 LEFT JOIN text b ON b.side = 'j' AND b.conv_id = d.conv_id AND b.segment = d.segment
 """
 
-#: lower-cases A-Z and lists words of the kind that op1 and op2 take
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".replace("\\\\", "\\")
+#: Lower-cased (A-Z) words of the kind that op1 and op2 take.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, text, {_WORDS} AS w, row_number() OVER () AS row_id FROM documents),
 i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (SELECT DISTINCT item_id, w[k : k + 12] AS t FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
 sized AS (SELECT DISTINCT len(t) AS n FROM win),
-pos AS (SELECT row_id, w, unnest(range(1, len(w) + 1)) AS at FROM d),
+pos AS (SELECT row_id, w, unnest(range(1, len(w) + 1)) AS at0 FROM d),
 firsts AS (SELECT DISTINCT t[1] AS f FROM win),
-cand AS (SELECT row_id, at, n, w[at : at + n - 1] AS t FROM pos JOIN firsts ON w[at] = f CROSS JOIN sized),
-hits AS (SELECT DISTINCT row_id, at, n, item_id FROM cand JOIN win USING (t) WHERE len(t) = n),
-cover AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(at, at + n)) AS p FROM hits) GROUP BY 1),
+cand AS (SELECT row_id, at0, n, w[at0 : at0 + n - 1] AS t FROM pos JOIN firsts ON w[at0] = f CROSS JOIN sized),
+hits AS (SELECT DISTINCT row_id, at0, n, item_id FROM cand JOIN win USING (t) WHERE len(t) = n),
+cover AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(at0, at0 + n)) AS p FROM hits) GROUP BY 1),
 ids AS (SELECT row_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT row_id, item_id FROM hits) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
