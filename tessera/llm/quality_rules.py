@@ -50,12 +50,21 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(w: Column) -> Column:
     """Words inside 3-word windows that occur twice or more."""
     n = F.size(w)
-    grams = F.transform(F.arrays_zip(F.slice(w, 1, n - 2).alias("a"), F.slice(w, 2, n - 2).alias("b"), F.slice(w, 3, n - 2).alias("c")), lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
-    placed = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    near = F.filter(F.arrays_zip(F.slice(placed, 1, n - 3).alias("a"), F.slice(placed, 2, n - 3).alias("b")), lambda x: x["a"]["h"] == x["b"]["h"])
-    at = F.array_union(F.transform(near, lambda x: x["a"]["i"]), F.transform(near, lambda x: x["b"]["i"]))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
-    return F.when(n < 4, 0).when(F.size(F.array_distinct(grams)) == n - 2, 0).otherwise(covered)
+    two = F.zip_with(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), lambda a, b: F.xxhash64(a, b))
+    grams = F.zip_with(two, F.slice(w, 3, n - 2), lambda h, c: F.xxhash64(h, c))
+
+    def of(g: Column) -> Column:
+        placed = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        near = lambda p: F.filter(F.zip_with(F.slice(p, 1, n - 3), F.slice(p, 2, n - 3), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))), lambda x: x.isNotNull())
+        covered = lambda at: F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(at)), lambda i: F.array(i, i + 1, i + 2)))))
+        return F.when(F.size(F.array_distinct(g)) == n - 2, 0).otherwise(covered(_let(placed, near)))
+
+    return F.when(n < 4, 0).otherwise(_let(grams, of))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _bucket(*c: Column) -> Column:
@@ -96,11 +105,9 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_
     found = log_ratios(docs, trusted, id_col, text_col).first()["ratios"]  # BUCKETS integers or null
     ratios = F.split(F.lit(",".join(map(str, found or [0] * BUCKETS))), ",").cast("array<bigint>")  # folds to one literal
     w, n, text = F.col("_words"), F.size("_words"), F.col(text_col)
-    total = F.aggregate(
-        _grams(w),
-        F.lit(0).cast("long"),
-        lambda acc, x: acc + ratios[_bucket(x["a"]).cast("int")] + F.when(x["b"].isNull(), F.lit(0).cast("long")).otherwise(ratios[_bucket(x["a"], x["b"]).cast("int")]),
-    )
+    at = lambda *c: F.get(ratios, _bucket(*c).cast("int"))
+    scores = F.zip_with(w, F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: at(a) + F.when(b.isNull(), F.lit(0).cast("long")).otherwise(at(a, b)))
+    total = F.aggregate(scores, F.lit(0).cast("long"), lambda acc, x: acc + x)
     out = {
         "n_words": n.cast("long"),
         "word_chars": F.length(F.concat_ws("", w)).cast("long"),
