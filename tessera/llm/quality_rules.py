@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 #: Bound on the labelled rows that form the trusted target.
 MAX_TRUSTED = 50_000
+#: Counts added to every bucket, with raw counts scaled to the trusted total: where little is known, the ratio stays near zero.
+PRIOR = 16
 #: Mean log ratio from which a document is kept.
-THRESHOLD = -0.09
+THRESHOLD = -0.065
 _WS = " \t\n\x0b\f\r"
 
 
@@ -93,7 +95,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     full = spark.range(BUCKETS).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "good"])
     one = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("x"), F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))
-    ratio = lambda x: F.round(1e6 * F.ln((x["good"] + 1) / (F.col("n_good") + BUCKETS) / ((x["raw"] + 1) / (F.col("n_raw") + BUCKETS)))).cast("long")
+    ratio = lambda x: F.round(1e6 * F.ln((x["good"] + PRIOR) / (x["raw"] * (F.col("n_good") / F.col("n_raw")) + PRIOR))).cast("long")
     return one.select(F.when(F.col("n_good") > 0, F.transform("x", ratio)).alias("ratios"))
 
 
