@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.textual import jaccard, ratio
+from ..storage import materialise
 from .components import connected_components
 
 TOKEN = r"\"[^\"\n]*\"|'[^'\n]*'|[\p{L}_][\p{L}\p{N}\p{M}_]*|[0-9]+|[^\s\p{L}\p{N}_]"
@@ -37,15 +38,16 @@ def _winnowed(h: Column) -> Column:
     return F.slice(F.array_distinct(least), 1, MOST)
 
 
-def units(chunks: DataFrame, least: int = 40, most: int = 800) -> DataFrame:
+def units(chunks: DataFrame, least: int = 40, most: int = 800, fingerprints: bool = True) -> DataFrame:
     """Chunks of ``least`` to ``most`` tokens with raw_hash, normalized_hash, token_count, token_set, signatures.
 
     Every array is bound by a one-element explode, so none is computed twice.
+    Without ``fingerprints`` the shingles aren't hashed and signatures are empty.
     """
     once = lambda c, name: F.explode(F.array(c)).alias(name)
     rows = chunks.select("id", "file", "language", "ordinal", "text", once(tokens(F.col("text")), "toks"))
     rows = rows.where(F.size("toks").between(least, most))
-    rows = rows.select("*", once(_shingles(F.col("toks")), "shingles"))
+    rows = rows.select("*", once(_shingles(F.col("toks")), "shingles")) if fingerprints else rows.withColumn("shingles", F.array().cast("array<string>"))
     return rows.select(
         "id",
         "file",
@@ -78,7 +80,7 @@ def hash_pairs(rows: DataFrame, column: str, most: int = 200) -> DataFrame:
 
 def fingerprint_pairs(rows: DataFrame, most: int = 200) -> DataFrame:
     """(id_a, id_b, shared) of units that share max(2, a quarter of the smaller eligible count) fingerprints."""
-    flat = _buckets(rows.select("id", "language", F.explode("signatures").alias("sig")), ["language", "sig"], most)
+    flat = materialise(_buckets(materialise(rows.select("id", "language", F.explode("signatures").alias("sig")), "signatures"), ["language", "sig"], most), "signatures")
     eligible = flat.groupBy("id").agg(F.count("*").alias("n"))
     a, b = flat.withColumnRenamed("id", "id_a"), flat.withColumnRenamed("id", "id_b")
     shared = a.join(b, ["language", "sig"]).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))

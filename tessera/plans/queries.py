@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import textual
 from ..functions.languages import parse_symbol_query
-from ..operators import canned, duplicates, graphs, reports, search
+from ..operators import canned, chunking, duplicates, graphs, reports, search
 from ..operators.components import connected_components
 from ..sources import adapters as ad
+from ..sources import export, extract
+from ..storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -312,7 +314,7 @@ def winnow(spark, d):
 
 @query("dup_exact", f"{_C}{_UNITS}, b AS (SELECT language, raw_hash FROM units GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200) SELECT x.id AS id_a, y.id AS id_b FROM b JOIN units x USING (language, raw_hash) JOIN units y USING (language, raw_hash) WHERE x.id < y.id")
 def dup_exact(spark, d):
-    return duplicates.hash_pairs(duplicates.units(ad.chunks(spark, d)), "raw_hash")
+    return duplicates.hash_pairs(duplicates.units(ad.chunks(spark, d), fingerprints=False).select("id", "language", "raw_hash"), "raw_hash")
 
 
 _FP = """, ex AS (SELECT id, language, unnest(signatures) AS sig FROM units), ok AS (SELECT language, sig FROM ex GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200), el AS (SELECT ex.* FROM ex JOIN ok USING (language, sig)),
@@ -327,8 +329,6 @@ def dup_fingerprint(spark, d):
 
 @query("dup_score")
 def dup_score(spark, d):
-    from ..storage import materialise
-
     return duplicates.scored_pairs(materialise(duplicates.units(ad.chunks(spark, d)), "units"))
 
 
@@ -485,3 +485,70 @@ def event_windows(spark, d):
     from ..streaming.windows import tumbling
 
     return tumbling(ad.table(spark, d, "events"), "1 hour").withColumn("total", F.round("total", 6))
+
+
+# --- extraction and export --------------------------------------------------------------------
+
+
+@query("resolve_imports", f"{_FE}, i AS (SELECT from_path AS path, raw AS specifier, seq FROM file_edges) SELECT i.path, seq, specifier, coalesce(f.path, specifier) AS to_path, CASE WHEN f.path IS NULL THEN 'external' ELSE 'file' END AS to_type FROM i LEFT JOIN files f ON f.path = 'src/' || substr(specifier, 3) || '.ts' AND length(specifier) < 6")
+def resolve_imports(spark, d):
+    imports = ad.file_edges(spark, d).select(F.col("from_path").alias("path"), F.col("raw").alias("specifier"), "seq")
+    known = ad.files(spark, d).where(F.length("path") < 11)
+    return extract.resolve_imports(imports, known).select("path", "seq", "specifier", "to_path", "to_type")
+
+
+@query("external_classes", f"{_E} SELECT from_path, seq, to_path AS specifier, CASE WHEN to_path IN ('Brand#1', 'Brand#2') THEN 'package' ELSE 'unresolved' END AS class FROM file_edges WHERE to_type = 'external'")
+def external_classes(spark, d):
+    imports = ad.file_edges(spark, d).where("to_type = 'external'").select("from_path", "seq", F.col("to_path").alias("specifier"))
+    return extract.classify_external(imports, spark.createDataFrame([("Brand#1",), ("Brand#2",)], "name string"))
+
+
+def _sql_files(spark, d):
+    n = ad.table(spark, d, "nation")
+    key, parent = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    text = F.concat(F.lit("-- from nowhere;\nCREATE TABLE t"), key, F.lit(" (x int REFERENCES r"), parent, F.lit(");\nSELECT 'from z;' FROM t"), key, F.lit(" JOIN Sales.R"), parent, F.lit(" USING (x);\n"))
+    return n.select(F.concat(F.lit("db/f"), key, F.lit(".sql")).alias("path"), text.alias("text"))
+
+
+@query("sql_facts", """WITH n AS (SELECT 'db/f' || n_nationkey || '.sql' AS path, 't' || n_nationkey AS t, 'r' || n_regionkey AS r FROM nation)
+SELECT path, 2 AS start_line, 2 AS end_line, 'defines_table' AS kind, t AS object_name, NULL AS related_object_name FROM n UNION ALL SELECT path, 2, 2, 'references', r, t FROM n
+UNION ALL SELECT path, 3, 3, 'reads', t, NULL FROM n UNION ALL SELECT path, 3, 3, 'joins', 'sales.' || r, NULL FROM n""")
+def sql_facts(spark, d):
+    return extract.sql_facts(_sql_files(spark, d))
+
+
+@query("sql_lineage", """WITH n AS (SELECT 'db/f' || n_nationkey || '.sql' AS path, 't' || n_nationkey AS t, 'r' || n_regionkey AS r FROM nation)
+SELECT t AS object_name, path, path AS defined_in FROM n UNION ALL SELECT r, path, NULL FROM n UNION ALL SELECT 'sales.' || r, path, NULL FROM n""")
+def sql_lineage(spark, d):
+    return extract.sql_lineage(extract.sql_facts(_sql_files(spark, d)))
+
+
+@query("sql_role", "SELECT 'db/f' || n_nationkey || '.sql' AS path, CASE WHEN n_nationkey = -1 THEN 'dump' ELSE 'query' END AS role FROM nation")
+def sql_role(spark, d):
+    return _sql_files(spark, d).select("path", textual.sql_role(F.col("path"), F.regexp_replace("text", "CREATE TABLE", "SELECT")).alias("role"))
+
+
+@query("chunk_pack")
+def chunk_pack(spark, d):
+    return chunking.chunk_texts(ad.chunks(spark, d).select("file", "text"), 120)
+
+
+@query("gap_fill", """WITH s AS (SELECT DISTINCT 'src/s' || l_suppkey || '.ts' AS file, (l_partkey % 40) * 10 + 2 AS start, (l_partkey % 40) * 10 + 6 AS "end" FROM lineitem WHERE l_quantity > 45),
+p AS (SELECT *, coalesce(max("end") OVER (PARTITION BY file ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s)
+SELECT file, start, "end", 'block' AS kind FROM s UNION ALL SELECT file, b + 1, start - 1, 'misc' FROM p WHERE b + 1 < start UNION ALL SELECT file, max("end") + 1, 500, 'misc' FROM s GROUP BY 1""")
+def gap_fill(spark, d):
+    li = ad.table(spark, d, "lineitem").where("l_quantity > 45")
+    start = (F.col("l_partkey") % 40) * 10 + 2
+    blocks = li.select(F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("file"), start.alias("start"), (start + 4).alias("end"), F.lit("block").alias("kind")).distinct()
+    return chunking.filled_gaps(blocks, blocks.select("file", F.lit(500).cast("long").alias("end")).distinct())
+
+
+@query("dot_export", f"{_E} SELECT 0 AS section, 'digraph {{' AS line UNION ALL SELECT 2, '}}' UNION ALL SELECT DISTINCT 1, '  \"' || from_path || '\" -> \"' || to_path || '\";' FROM file_edges")
+def dot_export(spark, d):
+    return export.dot_lines(ad.file_edges(spark, d))
+
+
+@query("mermaid_export", f"""{_E}, n AS (SELECT from_path AS p FROM file_edges UNION SELECT to_path FROM file_edges) SELECT 0 AS section, 'flowchart LR' AS line UNION ALL SELECT 1, '  n' || substr(sha256(p), 1, 12) || '["' || p || '"]' FROM n
+UNION ALL SELECT DISTINCT 2, '  n' || substr(sha256(from_path), 1, 12) || ' --> n' || substr(sha256(to_path), 1, 12) FROM file_edges""")
+def mermaid_export(spark, d):
+    return export.mermaid_lines(ad.file_edges(spark, d))
