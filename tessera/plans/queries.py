@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import textual
+from ..functions import bloom, textual
 from ..functions.languages import parse_symbol_query
-from ..operators import canned, chunking, duplicates, graphs, reports, search
+from ..operators import canned, chunking, duplicates, graphs, reports, review, search
 from ..operators.components import connected_components
 from ..sources import adapters as ad
 from ..sources import export, extract
@@ -552,3 +552,106 @@ def dot_export(spark, d):
 UNION ALL SELECT DISTINCT 2, '  n' || substr(sha256(from_path), 1, 12) || ' --> n' || substr(sha256(to_path), 1, 12) FROM file_edges""")
 def mermaid_export(spark, d):
     return export.mermaid_lines(ad.file_edges(spark, d))
+
+
+# --- review -----------------------------------------------------------------------------------
+
+
+@query("drift_type_changed", f"""{_E}{_SIDES}, a AS (SELECT from_path, to_path, to_type, type_only, count(*) AS a FROM base GROUP BY ALL), b AS (SELECT from_path, to_path, to_type, type_only, count(*) AS b FROM head GROUP BY ALL),
+f AS (SELECT from_path, to_path, to_type, type_only, coalesce(a, 0) - coalesce(b, 0) AS n FROM a FULL OUTER JOIN b USING (from_path, to_path, to_type, type_only))
+SELECT from_path, to_path, was, now FROM (SELECT x.from_path, x.to_path, x.type_only AS was, y.type_only AS now, unnest(range(least(x.n, -y.n))) FROM f x JOIN f y USING (from_path, to_path, to_type) WHERE x.n > 0 AND y.n < 0 AND x.type_only <> y.type_only)""")
+def drift_type_changed(spark, d):
+    return review.type_flips(*_sides(spark, d))
+
+
+def _changed(spark):
+    return spark.createDataFrame([(START,), (END,)], "file string")
+
+
+_TESTS = r"s[0-9]*[05]\.ts$"
+
+
+@query("candidate_tests", f"""{_E}, l AS (SELECT DISTINCT from_path, to_path FROM file_edges WHERE to_type = 'file'), c AS (SELECT unnest(['{START}', '{END}']) AS file), one AS (SELECT from_path AS t FROM l WHERE to_path IN (SELECT file FROM c)),
+r AS (SELECT file AS t, 0 AS r FROM c UNION ALL SELECT t, 0 FROM one UNION ALL SELECT from_path, 1 FROM l WHERE to_path IN (SELECT t FROM one))
+SELECT t AS test, CASE min(r) WHEN 0 THEN 'high' ELSE 'medium' END AS confidence FROM r WHERE regexp_matches(t, '{_TESTS}') GROUP BY t ORDER BY min(r), t LIMIT 100""")
+def candidate_tests(spark, d):
+    return review.candidate_tests(ad.file_edges(spark, d), _changed(spark), lambda p: textual.is_test_file(p, [_TESTS]))
+
+
+@query("path_enumeration", f"""{_E}, {_SPARSE}, l AS (SELECT DISTINCT from_path AS u, to_path AS v FROM sparse WHERE to_type = 'file'), p1 AS (SELECT [u, v] AS p FROM l WHERE u IN ('src/s1.ts', 'src/s2.ts', 'src/s3.ts', 'src/s4.ts', 'src/s5.ts') AND u <> v),
+p2 AS (SELECT list_append(p, v) AS p FROM p1 JOIN l ON p[-1] = u WHERE NOT list_contains(p, v)), p3 AS (SELECT list_append(p, v) AS p FROM p2 JOIN l ON p[-1] = u WHERE NOT list_contains(p, v))
+SELECT array_to_string(p, '>') AS path FROM (SELECT p FROM p1 UNION ALL SELECT p FROM p2 UNION ALL SELECT p FROM p3)""")
+def path_enumeration(spark, d):
+    starts = spark.createDataFrame([(f"src/s{k}.ts",) for k in range(1, 6)], "file string")
+    return review.simple_paths(ad.file_edges(spark, d).where("seq % 23 = 0"), starts).select(F.array_join("path", ">").alias("path"))
+
+
+@query("call_compat", "SELECT o_orderkey, CASE WHEN o_custkey % 10 < o_orderkey % 4 THEN 'too_few' WHEN o_custkey % 10 > o_orderkey % 4 + 5 THEN 'too_many' ELSE 'compatible' END AS compatibility FROM orders")
+def call_compat(spark, d):
+    low = F.col("o_orderkey") % 4
+    return ad.table(spark, d, "orders").select("o_orderkey", review.call_compatibility(F.col("o_custkey") % 10, low, low + 5).alias("compatibility"))
+
+
+@query("resolve_target", f"{_S}, m AS (SELECT id FROM symbols WHERE name = 'red plate') SELECT id, CASE WHEN (SELECT count(*) FROM m) > 1 THEN 'ambiguous' ELSE 'found' END AS status FROM m")
+def resolve_target(spark, d):
+    return review.resolve_target(ad.symbols(spark, d), "red plate")
+
+
+@query("surface_hash", f"{_S}, u AS (SELECT DISTINCT file, kind || ':' || name AS x FROM symbols WHERE exported) SELECT file, substr(sha1(string_agg(x, chr(10) ORDER BY x)), 1, 16) AS hash FROM u GROUP BY 1")
+def surface_hash(spark, d):
+    return review.surface_hash(ad.symbols(spark, d))
+
+
+@query("surface_area", f"""{_FE}, h AS ({HOT.format(e='file_edges')}), l AS (SELECT DISTINCT from_path, to_path FROM file_edges WHERE to_type = 'file'), c AS (SELECT unnest(['{START}', '{END}']) AS f), one AS (SELECT from_path AS f FROM l WHERE to_path IN (SELECT f FROM c) AND from_path NOT IN (SELECT f FROM c))
+SELECT file, fan_in, fan_out, file IN (SELECT f FROM c) AS changed, file IN (SELECT f FROM one) AS impacted FROM h""")
+def surface_area(spark, d):
+    return review.surface_area(ad.files(spark, d), ad.file_edges(spark, d), _changed(spark), 1)
+
+
+@query("bloom_prune", """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{6,}')) AS x FROM documents),
+h AS (SELECT doc_id, sha256(x) AS s FROM w), p AS (SELECT doc_id, s, unnest([0, 1, 2]) AS r FROM h),
+b AS (SELECT DISTINCT doc_id, ('0x' || substr(s, 8 * r + 7, 2) || substr(s, 8 * r + 5, 2) || substr(s, 8 * r + 3, 2) || substr(s, 8 * r + 1, 2))::UBIGINT % 20000 AS bit FROM p),
+q AS (SELECT DISTINCT ('0x' || substr(s, 8 * r + 7, 2) || substr(s, 8 * r + 5, 2) || substr(s, 8 * r + 3, 2) || substr(s, 8 * r + 1, 2))::UBIGINT % 20000 AS bit FROM (SELECT sha256('licensed') AS s, unnest([0, 1, 2]) AS r))
+SELECT doc_id FROM b JOIN q USING (bit) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM q)""")
+def bloom_prune(spark, d):
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{6,}"), F.lit(0))
+    items = ad.table(spark, d, "documents").select("doc_id", F.explode(words).alias("x")).distinct()
+    return bloom.filters(items, "doc_id", "x", 20_000, 3).where(bloom.might_contain(F.col("bits"), F.lit("licensed"), 20_000, 3)).select("doc_id")
+
+
+@query("lines_saved", f"""WITH s AS (SELECT (l_partkey % 7)::VARCHAR AS "group", 'src/s' || l_suppkey || '.ts' AS file, l_partkey % 500 AS start, l_partkey % 500 + l_quantity::INT AS "end" FROM lineitem WHERE l_quantity > 46),
+f AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY "group", file ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM s),
+g AS (SELECT *, sum(n) OVER (PARTITION BY "group", file ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM f), m AS (SELECT "group", max("end") - min(start) + 1 AS n FROM g GROUP BY "group", file, g)
+SELECT "group", (sum(n) - max(n))::BIGINT AS saved FROM m GROUP BY 1""")
+def lines_saved(spark, d):
+    return review.lines_saved(_grouped_spans(spark, d))
+
+
+def _grouped_spans(spark, d):
+    li = ad.table(spark, d, "lineitem").where("l_quantity > 46")
+    start = F.col("l_partkey") % 500
+    return li.select((F.col("l_partkey") % 7).cast("string").alias("group"), F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("file"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"))
+
+
+@query("impact_clusters", ad.with_ctes("file_edges", recursive=True) + f""", {_SPARSE}, t AS (SELECT DISTINCT from_path AS f FROM sparse WHERE seq % 2 = 0), l AS (SELECT from_path AS u, to_path AS v FROM sparse WHERE to_type = 'file' AND from_path IN (SELECT f FROM t) AND to_path IN (SELECT f FROM t)),
+w AS (SELECT u, v FROM l UNION SELECT v, u FROM l UNION SELECT f, f FROM t), reach(u, v) AS (SELECT u, v FROM w UNION SELECT r.u, w.v FROM reach r JOIN w ON w.u = r.v), c AS (SELECT u, min(v) AS component FROM reach GROUP BY 1)
+SELECT component, count(*) AS members FROM c GROUP BY 1""")
+def impact_clusters(spark, d):
+    e = ad.file_edges(spark, d).where("seq % 23 = 0")
+    return review.impact_clusters(e, e.where("seq % 2 = 0").select(F.col("from_path").alias("file")))
+
+
+@query("dup_context")
+def dup_context(spark, d):
+    units = materialise(duplicates.units(ad.chunks(spark, d)), "units")
+    return review.targeted_pairs(units, units.where("file like 'src0/%'").select("id"))
+
+
+@query("orient")
+def orient(spark, d):
+    return review.orient(ad.files(spark, d), ad.file_edges(spark, d).where("seq % 23 = 0"))
+
+
+@query("review_report")
+def review_report(spark, d):
+    return review.review(ad.files(spark, d), ad.file_edges(spark, d), ad.symbols(spark, d), _changed(spark), lambda p: textual.is_test_file(p, [_TESTS]))

@@ -162,10 +162,15 @@ def sql_lineage(facts: DataFrame) -> DataFrame:
 _HUNK = re.compile(r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@")
 
 
-def diff_rows(text: str) -> Iterator[tuple[str, str | None, str, int, str, int, int]]:
-    """(path, old path, change, hunk, sign, old line, new line) of a unified diff's lines."""
+def diff_rows(text: str) -> Iterator[tuple[str, str | None, str, int, str, int, int, int | None]]:
+    """(path, old path, change, hunk, sign, old line, new line, changed line) of a unified diff's lines.
+
+    The changed line is where an edit shows in the new file: an added line
+    itself; a removed one the next new line, plus its place in the run of
+    removals; the old line if the file has no new lines.
+    """
     path = old = None
-    kind, hunk, a, b = "modified", 0, 0, 0
+    kind, hunk, a, b, streak = "modified", 0, 0, 0, 0
     for line in text.split("\n"):
         if line.startswith("diff --git "):
             m = re.match(r"diff --git a/(.*) b/(.*)$", line)
@@ -177,15 +182,18 @@ def diff_rows(text: str) -> Iterator[tuple[str, str | None, str, int, str, int,
         elif line.startswith("rename from "):
             kind, old = "renamed", line[12:]
         elif line.startswith("Binary files ") and path:
-            yield path, old, "binary", 0, " ", 0, 0
+            yield path, old, "binary", 0, " ", 0, 0, None
         elif line.startswith(("--- ", "+++ ")) and not a:
             name = line[4:].split("\t")[0]
             if name != "/dev/null":
                 path = re.sub("^[ab]/", "", name)
         elif m := _HUNK.match(line):
-            hunk, a, b = hunk + 1, int(m[1]), int(m[2])
+            hunk, a, b, streak = hunk + 1, int(m[1]), int(m[2]), 0
         elif path and hunk and line[:1] in "+- " and line:
-            yield path, old, kind, hunk, line[0], a if line[0] != "+" else 0, b if line[0] != "-" else 0
+            sign = line[0]
+            changed = None if sign == " " else b if sign == "+" else b + streak if b else a
+            yield path, old, kind, hunk, sign, a if sign != "+" else 0, b if sign != "-" else 0, changed
+            streak = streak + 1 if sign == "-" else 0
             a += line[0] != "+"
             b += line[0] != "-"
             continue
@@ -194,9 +202,9 @@ def diff_rows(text: str) -> Iterator[tuple[str, str | None, str, int, str, int,
 
 
 def parse_diff(diffs: DataFrame) -> DataFrame:
-    """(id, path, old_path, change, hunk, sign, old_line, new_line) of ``diffs`` (id, text)."""
-    names = ["id", "path", "old_path", "change", "hunk", "sign", "old_line", "new_line"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+    """(id, path, old_path, change, hunk, sign, old_line, new_line, changed_line) of ``diffs`` (id, text)."""
+    names = ["id", "path", "old_path", "change", "hunk", "sign", "old_line", "new_line", "changed_line"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,4 +212,4 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return diffs.select(F.col("id").cast("string"), "text").mapInArrow(run, "id string, path string, old_path string, change string, hunk int, sign string, old_line int, new_line int")
+    return diffs.select(F.col("id").cast("string"), "text").mapInArrow(run, "id string, path string, old_path string, change string, hunk int, sign string, old_line int, new_line int, changed_line int")

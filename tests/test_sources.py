@@ -84,7 +84,9 @@ Binary files a/b.bin and b/b.bin differ
 
 
 def test_diff(spark):
-    got = [tuple(r)[1:] for r in extract.parse_diff(spark.createDataFrame([(1, DIFF), (2, None)], "id int, text string")).collect()]
+    rows = [tuple(r)[1:] for r in extract.parse_diff(spark.createDataFrame([(1, DIFF), (2, None)], "id int, text string")).collect()]
+    assert [r[7] for r in rows] == [None, 2, 2, None, 10, None, 1, None]
+    got = [r[:7] for r in rows]
     assert got == [
         ("x.py", None, "modified", 1, " ", 1, 1), ("x.py", None, "modified", 1, "-", 2, 0), ("x.py", None, "modified", 1, "+", 0, 2), ("x.py", None, "modified", 1, " ", 3, 3),
         ("x.py", None, "modified", 2, "-", 10, 0), ("x.py", None, "modified", 2, " ", 11, 10), ("n.py", None, "added", 1, "+", 0, 1), ("b.bin", None, "binary", 0, " ", 0, 0),
