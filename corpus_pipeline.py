@@ -5,8 +5,9 @@ kept. ``run`` writes every stage's result to the shared folder and reads it
 back, so that a lost executor never costs more than the stage at hand.
 
 * quality rules: rejected documents go;
-* near duplicates: of each group the document with the least id stays (rows
-  that repeat an id count once, rows without an id stay as they are);
+* near duplicates: fingerprints within three bits, or five-word shingle sets of a
+  verified similarity of 0.8 or more; of each group the document with the least
+  id stays (rows that repeat an id count once, rows without an id stay);
 * decontamination: contaminated documents go;
 * secrets: every found span is replaced by a mark, documents stay;
 * packing: the pieces of fixed windows, as op10 returns them.
@@ -36,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.where("doc_id is not null")
-    first = simhash.near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
+    first = simhash.similar_groups(named).where("doc_id = component_id").select("doc_id").distinct()
     kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 

@@ -83,3 +83,51 @@ def test_parts_of_a_hot_bucket_lose_no_link(spark, monkeypatch):
     want = brute_components({p: p for p in prints})
     assert len({find(p) for p in prints}) == len(set(want.values()))
     assert all((find(p) == find(q)) == (want[p] == want[q]) for p in prints for q in prints)
+
+
+def brute_similar(a: str, b: str, shingle: int = 5) -> float:
+    def cut(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def edited(rng, text: str, n: int) -> str:
+    w = text.split()
+    for k in rng.choice(len(w), n, replace=False):
+        w[k] = f"new{rng.integers(10**6)}"
+    return " ".join(w)
+
+
+def test_similar_groups_catch_near_copies_and_spare_others(spark):
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 4000, n))
+    rows, pairs = [(1, None), (2, "")], []
+    for k in range(60):
+        text = say(250)
+        rows += [(10 * k + 10, text), (10 * k + 11, edited(rng, text, 1 + k % 6)), (10 * k + 12, edited(rng, text, 40))]
+        pairs += [(10 * k + 10, 10 * k + 11), (10 * k + 10, 10 * k + 12), (10 * k + 11, 10 * k + 12)]
+    texts = dict(rows)
+    origin = say(200)
+    hot = [(5000 + k, edited(rng, origin, 2)) for k in range(150)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows + hot + [(10, rows[2][1])]], "doc_id long, text string, component_id string")
+    found = simhash.similar_groups(docs)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert found.count() == docs.count() and got[1] == got[2] == 1
+    true = {p for p in pairs if brute_similar(texts[p[0]], texts[p[1]]) >= 0.8}
+    assert len(true) >= 50 and sum(got[a] == got[b] for a, b in true) >= 0.95 * len(true)
+    assert not any(got[a] == got[b] for a, b in pairs if (a, b) not in true)
+    assert len({got[i] for i, _ in hot}) <= 3
+    assert simhash.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_shingle_sets_equal_sets_of_words():
+    import pyarrow as pa
+
+    texts = ["a b c d e f", "A b C d e F", "b c d e f", "a b", "ab", "", None, "é x " * 9, "x " * 9]
+    sets = [set(x.tolist()) for x in simhash.shingle_sets_of(pa.array(texts))]
+    for a, x in zip(texts, sets, strict=True):
+        for b, y in zip(texts, sets, strict=True):
+            assert (len(x & y) / len(x | y) if x | y else 1.0) == brute_similar(a, b)
