@@ -92,10 +92,11 @@ def workspace_symbols(symbols: DataFrame, query: str, limit: int = 50) -> DataFr
 
 
 def trigrams(chunks: DataFrame) -> DataFrame:
-    """(tri, id): postings of the normalised text without blanks."""
+    """(tri, id): postings of the normalised text without blanks, one for each text and trigram."""
     close = F.explode(F.array(compact(normalized(F.col("text"))))).alias("t")
-    rows = chunks.select("id", close).where(F.length("t") >= 3)
-    return rows.select("id", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 2)).alias("i")).select(F.substring("t", F.col("i"), F.lit(3)).alias("tri"), "id").distinct()
+    # a look-ahead steps through the text once; substrings by index would start over each time
+    tris = F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(...))"), F.lit(1)))
+    return chunks.select("id", close).select(F.explode(tris).alias("tri"), "id")
 
 
 def trigram_lookup(postings: DataFrame, term: str) -> DataFrame:

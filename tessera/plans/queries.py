@@ -111,22 +111,21 @@ def shortest_path(spark, d):
     return graphs.shortest_path(ad.file_edges(spark, d), START, END)
 
 
-_SPARSE = "sparse AS (SELECT * FROM file_edges WHERE seq % 23 = 0)"
-_SCC = """, link AS (SELECT DISTINCT from_path AS u, to_path AS v FROM sparse WHERE to_type = 'file'), reach(u, v) AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON l.u = r.v),
+_SCC = """, link AS (SELECT DISTINCT from_path AS u, to_path AS v FROM file_edges WHERE to_type = 'file'), reach(u, v) AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON l.u = r.v),
 scc AS (SELECT a.u AS node, max(greatest(a.u, a.v)) AS component FROM reach a JOIN reach b ON a.u = b.v AND a.v = b.u GROUP BY 1)"""
 
 
-@query("cycles", ad.with_ctes("file_edges", recursive=True) + f", {_SPARSE}{_SCC}" + """, seen AS (SELECT e.from_path, b.component AS cb, a.component AS ca FROM sparse e JOIN scc b ON b.node = e.to_path LEFT JOIN scc a ON a.node = e.from_path WHERE to_type = 'file'),
+@query("cycles", ad.with_ctes("file_edges", recursive=True) + _SCC + """, seen AS (SELECT e.from_path, b.component AS cb, a.component AS ca FROM file_edges e JOIN scc b ON b.node = e.to_path LEFT JOIN scc a ON a.node = e.from_path WHERE to_type = 'file'),
 counts AS (SELECT cb, count(*) FILTER (ca = cb) AS internal_edges, count(*) FILTER (ca IS DISTINCT FROM cb) AS entry_edges, count(DISTINCT from_path) FILTER (ca IS DISTINCT FROM cb) AS fan_in FROM seen GROUP BY 1)
 SELECT string_agg(node, ',' ORDER BY node) AS files, count(*) AS size, internal_edges, entry_edges, fan_in, 3 * count(*) + 2 * fan_in + internal_edges AS priority FROM scc JOIN counts ON cb = component GROUP BY component, internal_edges, entry_edges, fan_in""")
 def cycles(spark, d):
-    return graphs.cycles(ad.file_edges(spark, d).where("seq % 23 = 0"))
+    return graphs.cycles(ad.file_edges(spark, d))
 
 
-@query("components", ad.with_ctes("file_edges", recursive=True) + f""", {_SPARSE}, both_ways AS (SELECT from_path AS u, to_path AS v FROM sparse WHERE seq % 3 = 0 UNION SELECT to_path, from_path FROM sparse WHERE seq % 3 = 0),
+@query("components", ad.with_ctes("file_edges", recursive=True) + f""", both_ways AS (SELECT from_path AS u, to_path AS v FROM file_edges WHERE to_type = 'file' UNION SELECT to_path, from_path FROM file_edges WHERE to_type = 'file'),
 reach(u, v) AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON b.u = r.v) SELECT u AS node, least(u, min(v)) AS component FROM reach GROUP BY 1""")
 def components(spark, d):
-    e = ad.file_edges(spark, d).where("seq % 23 = 0 and seq % 3 = 0")
+    e = ad.file_edges(spark, d).where("to_type = 'file'")
     return connected_components(e.select(F.col("from_path").alias("src"), F.col("to_path").alias("dst")))
 
 
@@ -165,11 +164,11 @@ def subtypes(spark, d):
     return graphs.bfs(e, graphs.seeds_of(e, ["p5"]), 4, "in", src="from_id", dst="to_id").where("depth > 0").select(F.col("node").alias("id"), "depth")
 
 
-@query("nhop", ad.with_ctes("file_edges", recursive=True) + f""", {_SPARSE}, link AS (SELECT from_path AS u, to_path AS v FROM sparse WHERE to_type = 'file' UNION SELECT to_path, from_path FROM sparse WHERE to_type = 'file'),
+@query("nhop", ad.with_ctes("file_edges", recursive=True) + f""", link AS (SELECT from_path AS u, to_path AS v FROM file_edges WHERE to_type = 'file' UNION SELECT to_path, from_path FROM file_edges WHERE to_type = 'file'),
 walk(node, depth) AS (SELECT '{START}', 0 UNION SELECT v, depth + 1 FROM walk JOIN link ON u = node WHERE depth < 2)
-SELECT from_path, to_path, bool_and(type_only) AS type_only, count(*) AS edges FROM sparse WHERE to_type = 'file' AND from_path IN (SELECT node FROM walk) AND to_path IN (SELECT node FROM walk) GROUP BY 1, 2""")
+SELECT from_path, to_path, bool_and(type_only) AS type_only, count(*) AS edges FROM file_edges WHERE to_type = 'file' AND from_path IN (SELECT node FROM walk) AND to_path IN (SELECT node FROM walk) GROUP BY 1, 2""")
 def nhop(spark, d):
-    return graphs.n_hop(ad.file_edges(spark, d).where("seq % 23 = 0"), [START], 2)
+    return graphs.n_hop(ad.file_edges(spark, d), [START], 2)
 
 
 @query("dependency_chain", ad.with_ctes("file_edges", "symbols", recursive=True) + """, link AS (SELECT DISTINCT from_path AS u, to_path AS v FROM file_edges WHERE to_type = 'file'),
@@ -337,43 +336,43 @@ def dup_groups(spark, d):
     return duplicates.groups(dup_score(spark, d))
 
 
-@query("jaccard", """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[^ \\n\\t]+')[1:200]) AS w FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[^ \\n\\t]+')) AS w FROM benchmark WHERE item_id = 1)
+_PROBE = "this text is licensed under the mit license"
+
+
+@query("jaccard", f"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[^ \\n\\t]+')) AS w FROM documents), b AS (SELECT string_split('{_PROBE}', ' ') AS w)
 SELECT doc_id, round(len(list_intersect(d.w, b.w)) / len(list_distinct(d.w || b.w)), 9) AS similarity FROM d, b""")
 def jaccard(spark, d):
-    item = ad.table(spark, d, "benchmark").where("item_id = 1").first()["text"]
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[^ \n\t]+"), F.lit(0))
-    a, b = F.slice(words(F.coalesce("text", F.lit(""))), 1, 200), words(F.lit(item))
-    return ad.table(spark, d, "documents").select("doc_id", F.round(textual.jaccard(a, b), 9).alias("similarity"))
+    a = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[^ \n\t]+"), F.lit(0))
+    return ad.table(spark, d, "documents").select("doc_id", F.round(textual.jaccard(a, F.split(F.lit(_PROBE), " ")), 9).alias("similarity"))
 
 
-_SPANS = "SELECT 'src/s' || l_suppkey || '.ts' AS file, l_partkey % 500 AS start, l_partkey % 500 + l_quantity::INT AS \"end\" FROM lineitem WHERE l_quantity > {q}"
+_SPANS = "SELECT 'src/s' || l_suppkey || '.ts' AS file, l_partkey * 40 AS start, l_partkey * 40 + l_quantity::INT AS \"end\" FROM lineitem"
 
 
-def _spans(spark, d, q):
-    li = ad.table(spark, d, "lineitem").where(F.col("l_quantity") > q)
-    start = F.col("l_partkey") % 500
+def _spans(spark, d):
+    li = ad.table(spark, d, "lineitem")
+    start = F.col("l_partkey") * 40
     return li.select(F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("file"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"))
 
 
-@query("interval_merge", f"""WITH s AS ({_SPANS.format(q=45)}), f AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY file ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM s),
+@query("interval_merge", f"""WITH s AS ({_SPANS}), f AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY file ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM s),
 g AS (SELECT *, sum(n) OVER (PARTITION BY file ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM f) SELECT file, min(start) AS start, max("end") AS "end" FROM g GROUP BY file, g""")
 def interval_merge(spark, d):
-    return duplicates.merged_spans(_spans(spark, d, 45))
+    return duplicates.merged_spans(_spans(spark, d))
 
 
-@query("range_overlap", f"""WITH a AS ({_SPANS.format(q=49)}), b AS ({_SPANS.format(q=48)}) SELECT a.file, a.start AS a_start, a."end" AS a_end, b.start AS b_start, b."end" AS b_end FROM a JOIN b ON a.file = b.file AND a.start <= b."end" AND b.start <= a."end" """)
+@query("range_overlap", f"""WITH a AS ({_SPANS}), b AS ({_SPANS}) SELECT a.file, a.start AS a_start, a."end" AS a_end, b.start AS b_start, b."end" AS b_end FROM a JOIN b ON a.file = b.file AND a.start <= b."end" AND b.start <= a."end" """)
 def range_overlap(spark, d):
-    return duplicates.overlapping(_spans(spark, d, 49), _spans(spark, d, 48))
+    return duplicates.overlapping(_spans(spark, d), _spans(spark, d))
 
 
 # --- drift, impact, reports -------------------------------------------------------------------
 
-_SIDES = ", base AS (SELECT * FROM file_edges WHERE seq % 5 <> 0), head AS (SELECT * FROM file_edges WHERE seq % 7 <> 0)"
+_SIDES = f", {ad.CTES['moved_edges']}, base AS (SELECT * FROM file_edges), head AS (SELECT * FROM moved_edges)"
 
 
 def _sides(spark, d):
-    e = ad.file_edges(spark, d)
-    return e.where("seq % 5 <> 0"), e.where("seq % 7 <> 0")
+    return ad.file_edges(spark, d), ad.moved_edges(spark, d)
 
 
 @query("drift_edges", f"""{_E}{_SIDES}, a AS (SELECT from_path, to_path, to_type, bool_and(type_only) AS t FROM base GROUP BY ALL), b AS (SELECT from_path, to_path, to_type, bool_and(type_only) AS u FROM head GROUP BY ALL)
@@ -397,15 +396,15 @@ def drift_hotspots(spark, d):
 @query("drift")
 def drift(spark, d):
     s = ad.symbols(spark, d)
-    base, head = (e.where("seq % 23 = 0") for e in _sides(spark, d))
-    return reports.drift(ad.files(spark, d), s.where("line_span % 5 <> 0"), s.where("line_span % 9 <> 0"), base, head)
+    later = s.withColumn("name", F.when(F.col("line_span") % 9 == 0, F.concat("name", F.lit("2"))).otherwise(F.col("name")))
+    return reports.drift(ad.files(spark, d), s, later, *_sides(spark, d))
 
 
-@query("symbol_hash_diff", f"{_S}, a AS (SELECT id, md5(name) AS old FROM symbols WHERE line_span % 5 <> 0), b AS (SELECT id, md5(CASE WHEN line_span % 4 = 0 THEN docstring ELSE name END) AS new FROM symbols WHERE line_span % 9 <> 0) SELECT id, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' WHEN old <> new THEN 'modified' ELSE 'unchanged' END AS status FROM a FULL OUTER JOIN b USING (id)")
+@query("symbol_hash_diff", f"{_S}, a AS (SELECT id, md5(name) AS old FROM symbols), b AS (SELECT CASE WHEN line_span % 9 = 0 THEN 'new-' || id ELSE id END AS id, md5(CASE WHEN line_span % 4 = 0 THEN docstring ELSE name END) AS new FROM symbols) SELECT id, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' WHEN old <> new THEN 'modified' ELSE 'unchanged' END AS status FROM a FULL OUTER JOIN b USING (id)")
 def symbol_hash_diff(spark, d):
     s = ad.symbols(spark, d)
-    base = s.where("line_span % 5 <> 0").select("id", F.md5("name").alias("hash"))
-    head = s.where("line_span % 9 <> 0").select("id", F.md5(F.when(F.col("line_span") % 4 == 0, F.col("docstring")).otherwise(F.col("name"))).alias("hash"))
+    base = s.select("id", F.md5("name").alias("hash"))
+    head = s.select(F.when(F.col("line_span") % 9 == 0, F.concat(F.lit("new-"), "id")).otherwise(F.col("id")).alias("id"), F.md5(F.when(F.col("line_span") % 4 == 0, F.col("docstring")).otherwise(F.col("name"))).alias("hash"))
     return reports.hash_diff(base, head)
 
 
@@ -490,11 +489,11 @@ def event_windows(spark, d):
 # --- extraction and export --------------------------------------------------------------------
 
 
-@query("resolve_imports", f"{_FE}, i AS (SELECT from_path AS path, raw AS specifier, seq FROM file_edges) SELECT i.path, seq, specifier, coalesce(f.path, specifier) AS to_path, CASE WHEN f.path IS NULL THEN 'external' ELSE 'file' END AS to_type FROM i LEFT JOIN files f ON f.path = 'src/' || substr(specifier, 3) || '.ts' AND length(specifier) < 6")
+@query("resolve_imports", f"{_FE}, i AS (SELECT from_path AS path, CASE WHEN to_type = 'external' THEN to_path ELSE raw END AS specifier, seq FROM file_edges) SELECT i.path, seq, specifier, coalesce(f.path, specifier) AS to_path, CASE WHEN f.path IS NULL THEN 'external' ELSE 'file' END AS to_type FROM i LEFT JOIN files f ON f.path = 'src/' || substr(specifier, 3) || '.ts'")
 def resolve_imports(spark, d):
-    imports = ad.file_edges(spark, d).select(F.col("from_path").alias("path"), F.col("raw").alias("specifier"), "seq")
-    known = ad.files(spark, d).where(F.length("path") < 11)
-    return extract.resolve_imports(imports, known).select("path", "seq", "specifier", "to_path", "to_type")
+    specifier = F.when(F.col("to_type") == "external", F.col("to_path")).otherwise(F.col("raw"))
+    imports = ad.file_edges(spark, d).select(F.col("from_path").alias("path"), specifier.alias("specifier"), "seq")
+    return extract.resolve_imports(imports, ad.files(spark, d)).select("path", "seq", "specifier", "to_path", "to_type")
 
 
 @query("external_classes", f"{_E} SELECT from_path, seq, to_path AS specifier, CASE WHEN to_path IN ('Brand#1', 'Brand#2') THEN 'package' ELSE 'unresolved' END AS class FROM file_edges WHERE to_type = 'external'")
@@ -533,14 +532,14 @@ def chunk_pack(spark, d):
     return chunking.chunk_texts(ad.chunks(spark, d).select("file", "text"), 120)
 
 
-@query("gap_fill", """WITH s AS (SELECT DISTINCT 'src/s' || l_suppkey || '.ts' AS file, (l_partkey % 40) * 10 + 2 AS start, (l_partkey % 40) * 10 + 6 AS "end" FROM lineitem WHERE l_quantity > 45),
+@query("gap_fill", """WITH s AS (SELECT DISTINCT 'src/s' || l_suppkey || '.ts' AS file, l_partkey * 10 + 2 AS start, l_partkey * 10 + 6 AS "end" FROM lineitem),
 p AS (SELECT *, coalesce(max("end") OVER (PARTITION BY file ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s)
-SELECT file, start, "end", 'block' AS kind FROM s UNION ALL SELECT file, b + 1, start - 1, 'misc' FROM p WHERE b + 1 < start UNION ALL SELECT file, max("end") + 1, 500, 'misc' FROM s GROUP BY 1""")
+SELECT file, start, "end", 'block' AS kind FROM s UNION ALL SELECT file, b + 1, start - 1, 'misc' FROM p WHERE b + 1 < start UNION ALL SELECT file, max("end") + 1, 10000000, 'misc' FROM s GROUP BY 1""")
 def gap_fill(spark, d):
-    li = ad.table(spark, d, "lineitem").where("l_quantity > 45")
-    start = (F.col("l_partkey") % 40) * 10 + 2
+    li = ad.table(spark, d, "lineitem")
+    start = F.col("l_partkey") * 10 + 2
     blocks = li.select(F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("file"), start.alias("start"), (start + 4).alias("end"), F.lit("block").alias("kind")).distinct()
-    return chunking.filled_gaps(blocks, blocks.select("file", F.lit(500).cast("long").alias("end")).distinct())
+    return chunking.filled_gaps(blocks, blocks.select("file", F.lit(10_000_000).cast("long").alias("end")).distinct())
 
 
 @query("dot_export", f"{_E} SELECT 0 AS section, 'digraph {{' AS line UNION ALL SELECT 2, '}}' UNION ALL SELECT DISTINCT 1, '  \"' || from_path || '\" -> \"' || to_path || '\";' FROM file_edges")
@@ -578,12 +577,10 @@ def candidate_tests(spark, d):
     return review.candidate_tests(ad.file_edges(spark, d), _changed(spark), lambda p: textual.is_test_file(p, [_TESTS]))
 
 
-@query("path_enumeration", f"""{_E}, {_SPARSE}, l AS (SELECT DISTINCT from_path AS u, to_path AS v FROM sparse WHERE to_type = 'file'), p1 AS (SELECT [u, v] AS p FROM l WHERE u IN ('src/s1.ts', 'src/s2.ts', 'src/s3.ts', 'src/s4.ts', 'src/s5.ts') AND u <> v),
-p2 AS (SELECT list_append(p, v) AS p FROM p1 JOIN l ON p[-1] = u WHERE NOT list_contains(p, v)), p3 AS (SELECT list_append(p, v) AS p FROM p2 JOIN l ON p[-1] = u WHERE NOT list_contains(p, v))
-SELECT array_to_string(p, '>') AS path FROM (SELECT p FROM p1 UNION ALL SELECT p FROM p2 UNION ALL SELECT p FROM p3)""")
+@query("path_enumeration", f"""{_E}, l AS (SELECT DISTINCT from_path AS u, to_path AS v FROM file_edges WHERE to_type = 'file'), p1 AS (SELECT [u, v] AS p FROM l WHERE u IN ('{START}', '{END}') AND u <> v),
+p2 AS (SELECT list_append(p, v) AS p FROM p1 JOIN l ON p[-1] = u WHERE NOT list_contains(p, v)) SELECT array_to_string(p, '>') AS path FROM (SELECT p FROM p1 UNION ALL SELECT p FROM p2)""")
 def path_enumeration(spark, d):
-    starts = spark.createDataFrame([(f"src/s{k}.ts",) for k in range(1, 6)], "file string")
-    return review.simple_paths(ad.file_edges(spark, d).where("seq % 23 = 0"), starts).select(F.array_join("path", ">").alias("path"))
+    return review.simple_paths(ad.file_edges(spark, d), _changed(spark), 2).select(F.array_join("path", ">").alias("path"))
 
 
 @query("call_compat", "SELECT o_orderkey, CASE WHEN o_custkey % 10 < o_orderkey % 4 THEN 'too_few' WHEN o_custkey % 10 > o_orderkey % 4 + 5 THEN 'too_many' ELSE 'compatible' END AS compatibility FROM orders")
@@ -619,7 +616,7 @@ def bloom_prune(spark, d):
     return bloom.filters(items, "doc_id", "x", 20_000, 3).where(bloom.might_contain(F.col("bits"), F.lit("licensed"), 20_000, 3)).select("doc_id")
 
 
-@query("lines_saved", f"""WITH s AS (SELECT (l_partkey % 7)::VARCHAR AS "group", 'src/s' || l_suppkey || '.ts' AS file, l_partkey % 500 AS start, l_partkey % 500 + l_quantity::INT AS "end" FROM lineitem WHERE l_quantity > 46),
+@query("lines_saved", f"""WITH s AS (SELECT (l_partkey % 7)::VARCHAR AS "group", 'src/s' || l_suppkey || '.ts' AS file, l_partkey * 40 AS start, l_partkey * 40 + l_quantity::INT AS "end" FROM lineitem),
 f AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY "group", file ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM s),
 g AS (SELECT *, sum(n) OVER (PARTITION BY "group", file ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM f), m AS (SELECT "group", max("end") - min(start) + 1 AS n FROM g GROUP BY "group", file, g)
 SELECT "group", (sum(n) - max(n))::BIGINT AS saved FROM m GROUP BY 1""")
@@ -628,17 +625,17 @@ def lines_saved(spark, d):
 
 
 def _grouped_spans(spark, d):
-    li = ad.table(spark, d, "lineitem").where("l_quantity > 46")
-    start = F.col("l_partkey") % 500
+    li = ad.table(spark, d, "lineitem")
+    start = F.col("l_partkey") * 40
     return li.select((F.col("l_partkey") % 7).cast("string").alias("group"), F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("file"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"))
 
 
-@query("impact_clusters", ad.with_ctes("file_edges", recursive=True) + f""", {_SPARSE}, t AS (SELECT DISTINCT from_path AS f FROM sparse WHERE seq % 2 = 0), l AS (SELECT from_path AS u, to_path AS v FROM sparse WHERE to_type = 'file' AND from_path IN (SELECT f FROM t) AND to_path IN (SELECT f FROM t)),
+@query("impact_clusters", ad.with_ctes("file_edges", recursive=True) + f""", t AS (SELECT DISTINCT from_path AS f FROM file_edges WHERE resolved = 'precise'), l AS (SELECT from_path AS u, to_path AS v FROM file_edges WHERE to_type = 'file' AND from_path IN (SELECT f FROM t) AND to_path IN (SELECT f FROM t)),
 w AS (SELECT u, v FROM l UNION SELECT v, u FROM l UNION SELECT f, f FROM t), reach(u, v) AS (SELECT u, v FROM w UNION SELECT r.u, w.v FROM reach r JOIN w ON w.u = r.v), c AS (SELECT u, min(v) AS component FROM reach GROUP BY 1)
 SELECT component, count(*) AS members FROM c GROUP BY 1""")
 def impact_clusters(spark, d):
-    e = ad.file_edges(spark, d).where("seq % 23 = 0")
-    return review.impact_clusters(e, e.where("seq % 2 = 0").select(F.col("from_path").alias("file")))
+    e = ad.file_edges(spark, d)
+    return review.impact_clusters(e, e.where("resolved = 'precise'").select(F.col("from_path").alias("file")))
 
 
 @query("dup_context")
@@ -649,7 +646,7 @@ def dup_context(spark, d):
 
 @query("orient")
 def orient(spark, d):
-    return review.orient(ad.files(spark, d), ad.file_edges(spark, d).where("seq % 23 = 0"))
+    return review.orient(ad.files(spark, d), ad.file_edges(spark, d))
 
 
 @query("review_report")

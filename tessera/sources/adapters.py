@@ -24,9 +24,9 @@ def _path(key: str):
     return F.concat(F.lit("src/s"), F.col(key).cast("string"), F.lit(".ts"))
 
 
-def file_edges(spark: SparkSession, sf_dir: str, quantity: int = 48) -> DataFrame:
-    """Dependency edges between suppliers' files; rows flagged N lead outside."""
-    s = _steps(spark, sf_dir).where((F.col("l_quantity") >= quantity) & F.col("next_supp").isNotNull())
+def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependency edges between suppliers' files, one for each step from a line item to the next; rows flagged N lead outside."""
+    s = _steps(spark, sf_dir).where(F.col("next_supp").isNotNull())
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     out = F.col("l_returnflag") == "N"
     return s.join(part, s.l_partkey == part.p_partkey, "left").select(
@@ -62,13 +62,19 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def symbol_edges(spark: SparkSession, sf_dir: str, quantity: int = 40) -> DataFrame:
-    s = _steps(spark, sf_dir).where((F.col("l_quantity") >= quantity) & F.col("next_part").isNotNull())
+def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _steps(spark, sf_dir).where(F.col("next_part").isNotNull())
     label = F.when(F.col("l_linestatus") == "F", "calls").when(F.col("l_returnflag") == "N", "implements").when(F.col("l_returnflag") == "A", "extends")
     node = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
     return s.select(node("l_partkey").alias("from_id"), node("next_part").alias("to_id"), label.alias("label"), (F.col("l_orderkey") * 1000 + F.col("rn")).alias("seq"))
 
 
+def moved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edges in a later snapshot: files s1 to s9 have become s11 to s19, outside names have changed, low confidence is type-only."""
+    to = F.when(F.col("to_type") == "external", F.regexp_replace("to_path", "Brand#1", "Mark#1")).otherwise(F.regexp_replace("to_path", r"^src/s([0-9])\.ts$", r"src/s1$1.ts"))
+    return file_edges(spark, sf_dir).withColumn("to_path", to).withColumn("type_only", F.col("type_only") | (F.col("confidence") < 0.02))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.col("lang").alias("language"), F.col("doc_id").alias("ordinal"), F.coalesce("text", F.lit("")).alias("text"))
@@ -82,7 +88,9 @@ CTES = {
       CASE WHEN l_returnflag = 'N' THEN p_brand ELSE 'src/s' || next_supp || '.ts' END AS to_path,
       CASE WHEN l_returnflag = 'N' THEN 'external' ELSE 'file' END AS to_type, './s' || next_supp AS raw, l_linestatus = 'F' AS type_only,
       CASE l_returnflag WHEN 'A' THEN 'precise' WHEN 'R' THEN 'heuristic' END AS resolved, l_discount AS confidence, l_orderkey * 1000 + rn AS seq
-      FROM steps LEFT JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 48 AND next_supp IS NOT NULL)""",
+      FROM steps LEFT JOIN part ON p_partkey = l_partkey WHERE next_supp IS NOT NULL)""",
+    "moved_edges": r"""moved_edges AS (SELECT * REPLACE (CASE WHEN to_type = 'external' THEN replace(to_path, 'Brand#1', 'Mark#1')
+      ELSE regexp_replace(to_path, '^src/s([0-9])\.ts$', 'src/s1\1.ts') END AS to_path, type_only OR confidence < 0.02 AS type_only) FROM file_edges)""",
     "files": """files AS (SELECT 'src/s' || s_suppkey || '.ts' AS path, CASE s_nationkey % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'py' ELSE 'sql' END AS language FROM supplier)""",
     "symbols": """symbols AS (SELECT 'p' || p_partkey AS id, 'src/s' || (p_partkey % 10 + 1) || '.ts' AS file, p_name AS name,
       CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN 'function' WHEN p_type IN ('MEDIUM', 'PROMO') THEN 'class' ELSE 'interface' END AS kind,
@@ -90,7 +98,7 @@ CTES = {
       p_size % 2 = 0 AS exported FROM part)""",
     "symbol_edges": """symbol_edges AS (SELECT 'p' || l_partkey AS from_id, 'p' || next_part AS to_id,
       CASE WHEN l_linestatus = 'F' THEN 'calls' WHEN l_returnflag = 'N' THEN 'implements' WHEN l_returnflag = 'A' THEN 'extends' END AS label,
-      l_orderkey * 1000 + rn AS seq FROM steps WHERE l_quantity >= 40 AND next_part IS NOT NULL)""",
+      l_orderkey * 1000 + rn AS seq FROM steps WHERE next_part IS NOT NULL)""",
     "chunks": """chunks AS (SELECT 'c' || doc_id AS id, source || '/' || doc_id || '.md' AS file, lang AS language, doc_id AS ordinal, coalesce(text, '') AS text FROM documents)""",
 }
 
