@@ -197,3 +197,20 @@ def triples(edges: DataFrame, symbols: DataFrame, symbol_edges: DataFrame) -> Da
     kept = symbol_edges.join(known, F.col("from_id") == F.col("id"), "left_semi").join(known, F.col("to_id") == F.col("id"), "left_semi")
     second = kept.select(F.col("from_id").alias("subject"), F.coalesce("label", F.lit("uses")).alias("predicate"), F.col("to_id").alias("object"))
     return first.unionByName(second)
+
+
+_CYCLE_ORDER = {"priority": ["priority", "size", "fan_in"], "size": ["size", "priority", "fan_in"], "fanin": ["fan_in", "priority", "size"]}
+
+
+def cycles_sorted(edges: DataFrame, mode: str = "priority", limit: int | None = None) -> DataFrame:
+    """:func:`cycles` in descending order of ``mode`` (priority, size or fanin), then by files."""
+    found = cycles(edges).orderBy(*[F.desc(c) for c in _CYCLE_ORDER[mode]], "files")
+    return found if limit is None else found.limit(limit)
+
+
+def implementations(edges: DataFrame, symbols: DataFrame, target: str, depth: int = 10) -> DataFrame:
+    """(id, name, file, depth, status) of the types that implement ``target``, directly or through subtypes; ends without a symbol are unresolved."""
+    types = edges.where("label in ('extends', 'implements')")
+    found = bfs(types, seeds_of(edges, [target]), depth, "in", src="from_id", dst="to_id").where("depth > 0").select("node", "depth")
+    rows = found.join(symbols, F.col("node") == F.col("id"), "left")
+    return rows.select(F.col("node").alias("id"), "name", "file", "depth", F.when(F.col("name").isNull(), "unresolved").otherwise("resolved").alias("status"))

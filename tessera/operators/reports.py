@@ -162,3 +162,23 @@ def chunk_ids(chunks: DataFrame) -> DataFrame:
 def retained(snapshots: DataFrame, most: int = 100, time_col: str = "created_at", id_col: str = "id") -> DataFrame:
     """The latest snapshots."""
     return snapshots.orderBy(F.desc(time_col), F.desc(id_col)).limit(most)
+
+
+def resolution_coverage(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(language, precise, heuristic, none, external) edges of each language's files."""
+    count = lambda c, name: F.count_if(c).alias(name)
+    inner = F.col("to_type") == "file"
+    kind = F.coalesce("resolved", F.lit(""))
+    rows = edges.join(files.select(F.col("path").alias("from_path"), "language"), "from_path")
+    return rows.groupBy("language").agg(count(inner & (kind == "precise"), "precise"), count(inner & (kind == "heuristic"), "heuristic"), count(inner & (kind == ""), "none"), count(~inner, "external"))
+
+
+_REF = r"""(?i)<(a|area|link|script|img|iframe|form|source|embed)\b[^>]*?\s(href|src|action)\s*=\s*"([^"]*)\""""
+
+
+def html_references(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, tag, attribute, target) of every quoted reference in a tag."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    part = lambda k: F.regexp_extract_all(html, F.lit(_REF), F.lit(k))
+    rows = pages.select(id_col, F.inline(F.arrays_zip(part(1).alias("tag"), part(2).alias("attribute"), part(3).alias("target"))))
+    return rows.select(id_col, F.lower("tag").alias("tag"), F.lower("attribute").alias("attribute"), "target")

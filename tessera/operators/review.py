@@ -123,3 +123,18 @@ def recent_first(rows: DataFrame, keys: list[str], order: list[str], keep: int =
     """The first ``keep`` rows of each group by ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
+
+
+def export_summary(symbols: DataFrame, changed: DataFrame) -> DataFrame:
+    """(file, exports): exported names of the changed files (file), sorted, each once."""
+    rows = symbols.where("exported").join(changed.select("file").distinct(), "file", "left_semi")
+    return rows.groupBy("file").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("exports"))
+
+
+def rename_preview(symbols: DataFrame, edges: DataFrame, target: str, name: str) -> DataFrame:
+    """(kind, id, file): the definition and the symbols that refer to it, and symbols of the definition's file that already have ``name``."""
+    own = symbols.where(F.col("id") == target)
+    users = edges.where((F.col("to_id") == target) & (F.col("from_id") != target)).select(F.col("from_id").alias("id")).distinct()
+    part = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), "id", "file")
+    clash = symbols.where((F.col("name") == name) & (F.col("id") != target)).join(own.select("file"), "file", "left_semi")
+    return part("definition", own).unionByName(part("reference", symbols.join(users, "id", "left_semi"))).unionByName(part("conflict", clash))

@@ -652,3 +652,79 @@ def orient(spark, d):
 @query("review_report")
 def review_report(spark, d):
     return review.review(ad.files(spark, d), ad.file_edges(spark, d), ad.symbols(spark, d), _changed(spark), lambda p: textual.is_test_file(p, [_TESTS]))
+
+
+# --- orders, filters, renames -----------------------------------------------------------------
+
+
+@query("cycles_sorted", ORACLE["cycles"] + " ORDER BY size DESC, priority DESC, fan_in DESC, files")
+def cycles_sorted(spark, d):
+    return graphs.cycles_sorted(ad.file_edges(spark, d), "size")
+
+
+@query("implementations", _walk(("symbols", "symbol_edges"), "to_id", "from_id", "symbol_edges", _TYPES, "p5", 2) + " SELECT node AS id, name, file, depth, CASE WHEN name IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM near LEFT JOIN symbols ON id = node WHERE depth > 0")
+def implementations(spark, d):
+    return graphs.implementations(ad.symbol_edges(spark, d), ad.symbols(spark, d), "p5", 2)
+
+
+@query("test_file_filter", f"WITH {_URLS} SELECT page_id FROM urls WHERE regexp_matches(path, '(?i)(^|/)tests?/|(^|/)__tests__/|\\.(test|spec)\\.[^/]+$|(^|/)test_[^/]+\\.py$|_test\\.[^/]+$|[0-9]+7(/|\\.html)?$')")
+def test_file_filter(spark, d):
+    return _urls(spark, d).where(textual.is_test_file(F.col("path"), [r"[0-9]+7(/|\.html)?$"])).select("page_id")
+
+
+@query("dup_tokens", rf"""{_C}, t AS (SELECT id, regexp_extract_all(text, '"[^"\n]*"|''[^''\n]*''|[\p{{L}}_][\p{{L}}\p{{N}}\p{{M}}_]*|[0-9]+|[^\s\p{{L}}\p{{N}}_]') AS t FROM chunks)
+SELECT id, len(t)::INT AS n_tokens, md5(array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^["''0-9]') THEN '<literal>' WHEN lower(x) IN ({", ".join(f"'{k}'" for k in duplicates.KEYWORDS)}) THEN lower(x) WHEN regexp_matches(x, '^[\p{{L}}_]') THEN '<identifier>' ELSE x END), ' ')) AS normalized FROM t""")
+def dup_tokens(spark, d):
+    rows = ad.chunks(spark, d).select("id", F.explode(F.array(duplicates.tokens(F.col("text")))).alias("t"))
+    return rows.select("id", F.size("t").alias("n_tokens"), F.md5(F.array_join(duplicates.normalized_tokens(F.col("t")), " ")).alias("normalized"))
+
+
+@query("diff_lines", """WITH o AS (SELECT o_orderkey::VARCHAR AS id, 'src/o' || o_orderkey || '.ts' AS path, (o_custkey % 50 + 1)::INT AS a FROM orders)
+SELECT id, path, NULL AS old_path, 'modified' AS change, 1 AS hunk, s[1] AS sign, s[2]::INT AS old_line, s[3]::INT AS new_line, s[4]::INT AS changed_line
+FROM (SELECT id, path, unnest([[' ', a::VARCHAR, (a + 1)::VARCHAR, NULL], ['-', (a + 1)::VARCHAR, '0', (a + 2)::VARCHAR], ['-', (a + 2)::VARCHAR, '0', (a + 3)::VARCHAR], ['+', '0', (a + 2)::VARCHAR, (a + 2)::VARCHAR]]) AS s FROM o)""")
+def diff_lines(spark, d):
+    a, path = F.col("o_custkey") % 50 + 1, F.concat(F.lit("src/o"), F.col("o_orderkey").cast("string"), F.lit(".ts"))
+    text = F.format_string("diff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -%d,3 +%d,2 @@\n same\n-old\n-older\n+new\n", path, path, path, path, a, a + 1)
+    return extract.parse_diff(ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")))
+
+
+@query("changed_symbols", """WITH s AS (SELECT 'src/s' || (p_partkey % 10 + 1) || '.ts' AS file, 'p' || p_partkey AS id, p_partkey * 10 AS a, p_partkey * 10 + p_size * 8 AS b FROM part),
+l AS (SELECT DISTINCT 'src/s' || (l_partkey % 10 + 1) || '.ts' AS file, l_partkey * 10 + l_linenumber * 3 AS line FROM lineitem)
+SELECT file, line, id FROM l JOIN s USING (file) WHERE line BETWEEN a AND b QUALIFY row_number() OVER (PARTITION BY file, line ORDER BY b - a, id) = 1""")
+def changed_symbols(spark, d):
+    place = lambda c: F.concat(F.lit("src/s"), (F.col(c) % 10 + 1).cast("string"), F.lit(".ts")).alias("file")
+    start = F.col("p_partkey") * 10
+    symbols = ad.table(spark, d, "part").select(place("p_partkey"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), start.alias("start"), (start + F.col("p_size") * 8).alias("end"))
+    lines = ad.table(spark, d, "lineitem").select(place("l_partkey"), (F.col("l_partkey") * 10 + F.col("l_linenumber") * 3).alias("line")).distinct()
+    return reports.changed_symbols(lines, symbols)
+
+
+@query("sql_graph", """WITH n AS (SELECT 'db/f' || n_nationkey || '.sql' AS path, 't' || n_nationkey AS t, 'r' || n_regionkey AS r FROM nation), e AS (SELECT path, 2 AS l, 'defines' AS kind, t AS o FROM n
+UNION ALL SELECT path, 2, 'references', r FROM n UNION ALL SELECT path, 3, 'reads', t FROM n UNION ALL SELECT path, 3, 'joins', 'sales.' || r FROM n)
+SELECT DISTINCT 'file:' || path AS source, 'statement:' || path || '#' || l AS target, 'contains' AS kind FROM e UNION ALL SELECT 'statement:' || path || '#' || l, 'object:' || o, kind FROM e""")
+def sql_graph(spark, d):
+    return extract.sql_graph(extract.sql_facts(_sql_files(spark, d)))
+
+
+@query("resolution_coverage", f"{_FE} SELECT language, count(*) FILTER (to_type = 'file' AND resolved = 'precise') AS precise, count(*) FILTER (to_type = 'file' AND resolved = 'heuristic') AS heuristic, count(*) FILTER (to_type = 'file' AND resolved IS NULL) AS none, count(*) FILTER (to_type = 'external') AS external FROM file_edges JOIN files ON path = from_path GROUP BY 1")
+def resolution_coverage(spark, d):
+    return reports.resolution_coverage(ad.files(spark, d), ad.file_edges(spark, d))
+
+
+_TAGS = r"""(?i)<(a|area|link|script|img|iframe|form|source|embed)\b[^>]*?\s(href|src|action)\s*=\s*"([^"]*)\""""
+
+
+@query("html_references", f"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '{_TAGS}')) AS m FROM pages)
+SELECT page_id, lower(regexp_extract(m, '{_TAGS}', 1)) AS tag, lower(regexp_extract(m, '{_TAGS}', 2)) AS attribute, regexp_extract(m, '{_TAGS}', 3) AS target FROM m""")
+def html_references(spark, d):
+    return reports.html_references(ad.table(spark, d, "pages"))
+
+
+@query("export_summary", f"{_S} SELECT file, string_agg(name, ',' ORDER BY name) AS exports FROM (SELECT DISTINCT file, name FROM symbols WHERE exported AND file IN ('{START}', '{END}')) GROUP BY 1")
+def export_summary(spark, d):
+    return review.export_summary(ad.symbols(spark, d), _changed(spark))
+
+
+@query("rename_preview", f"{_SSE}, o AS (SELECT * FROM symbols WHERE id = 'p5') SELECT 'definition' AS kind, id, file FROM o UNION ALL SELECT 'reference', id, file FROM symbols WHERE id IN (SELECT from_id FROM symbol_edges WHERE to_id = 'p5' AND from_id <> 'p5') UNION ALL SELECT 'conflict', id, file FROM symbols WHERE name = 'red plate' AND id <> 'p5' AND file IN (SELECT file FROM o)")
+def rename_preview(spark, d):
+    return review.rename_preview(ad.symbols(spark, d), ad.symbol_edges(spark, d), "p5", "red plate")

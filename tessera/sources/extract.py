@@ -213,3 +213,23 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return diffs.select(F.col("id").cast("string"), "text").mapInArrow(run, "id string, path string, old_path string, change string, hunk int, sign string, old_line int, new_line int, changed_line int")
+
+
+def sql_graph(facts: DataFrame) -> DataFrame:
+    """(source, target, kind): files contain statements, which define, read, join, ... objects."""
+    stmt = F.concat(F.lit("statement:"), "path", F.lit("#"), F.col("start_line").cast("string"))
+    inside = facts.select(F.concat(F.lit("file:"), "path").alias("source"), stmt.alias("target"), F.lit("contains").alias("kind"))
+    uses = facts.select(stmt.alias("source"), F.concat(F.lit("object:"), "object_name").alias("target"), F.regexp_replace("kind", "_.*", "").alias("kind"))
+    return inside.unionByName(uses).distinct()
+
+
+# --- coverage ---------------------------------------------------------------------------------
+
+
+def lcov_lines(reports: DataFrame) -> DataFrame:
+    """(path, line, hits) of LCOV ``text``: the sum over records of one line; malformed records give no rows."""
+    record = reports.select(F.explode(F.split("text", "end_of_record")).alias("r"))
+    path = F.trim(F.regexp_extract("r", r"(?m)^SF:(.*)$", 1))
+    part = lambda k: F.regexp_extract_all("r", F.lit(r"(?m)^DA:(\d+),(\d+)"), F.lit(k))
+    rows = record.select(path.alias("path"), F.inline(F.arrays_zip(part(1).alias("line"), part(2).alias("hits")))).where("path != ''")
+    return rows.groupBy("path", F.col("line").cast("int").alias("line")).agg(F.sum(F.col("hits").cast("long")).alias("hits"))
