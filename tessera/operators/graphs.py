@@ -119,7 +119,7 @@ def strong_components(edges: DataFrame, src: str = "from_path", dst: str = "to_p
 
 def cycles(edges: DataFrame) -> DataFrame:
     """(files, size, internal_edges, entry_edges, fan_in, priority) of every cycle of files, self-loops included."""
-    inner = edges.where("to_type = 'file'").select("from_path", "to_path")
+    inner = materialise(edges.where("to_type = 'file'").select("from_path", "to_path"), "cycle-edges")
     labels = strong_components(inner)
     loops = inner.where("from_path = to_path").select(F.col("from_path").alias("node")).distinct().join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
     labels = materialise(labels.unionByName(loops), "cycles")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialise
 from . import graphs
 
 # --- drift ------------------------------------------------------------------------------------
@@ -40,6 +41,7 @@ SEVERITY = {"cycle_added": "high", "hotspot_jump": "high", "api_removed": "high"
 
 def drift(files: DataFrame, symbols_base: DataFrame, symbols_head: DataFrame, base: DataFrame, head: DataFrame, jump: int = 20, limit: int = 100) -> DataFrame:
     """(kind, severity, key): the gravest findings between two snapshots."""
+    base, head = materialise(base, "drift-base"), materialise(head, "drift-head")  # each is read by six findings
     edge = edge_drift(base, head).select("kind", F.concat_ws("\u0000", *_KEY).alias("key"))
     hot = hotspot_drift(files, base, head, jump).select(F.lit("hotspot_jump").alias("kind"), F.col("file").alias("key"))
     loops = set_drift(graphs.cycles(base).select(F.col("files").alias("key")), graphs.cycles(head).select(F.col("files").alias("key")), "cycle_added", "cycle_removed")
