@@ -132,3 +132,9 @@ def ratio(a: Column, b: Column) -> Column:
     """Smaller over greater; 1 for two zeros."""
     high = F.greatest(a, b)
     return F.when(high == 0, 1.0).otherwise(F.least(a, b) / high)
+
+
+def is_sensitive(path: Column) -> Column:
+    """Files that a viewer must not show: environment files, keys, certificates, credential stores."""
+    base = F.lower(F.substring_index(path, "/", -1))
+    return base.rlike(r"^\.env(\..+)?$|\.(pem|key|p12|pfx|jks|keystore)$|^id_(rsa|dsa|ecdsa|ed25519)$|^(\.netrc|\.npmrc|\.pypirc|credentials|\.htpasswd)$")

@@ -59,3 +59,23 @@ def filled_gaps(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     rows = marks.withColumn("from", seen + 1)
     gaps = rows.where(F.col("from") < F.col("start")).select("file", F.col("from").alias("start"), (F.col("start") - 1).alias("end"), F.lit("misc").alias("kind"))
     return blocks.select("file", "start", "end", "kind").unionByName(gaps)
+
+
+def merged_small(chunks: DataFrame, least: int, most: int) -> DataFrame:
+    """(file, start, end, kind, name, tokens): neighbours joined while the earlier has under ``least`` tokens.
+
+    Two chunks join if the second begins on the line after the first ends and
+    both have at most ``most`` tokens together; kinds are joined by ``+``, the
+    first name stays. A fold over one file's chunks in the order of their lines.
+    """
+    piece = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", "name", F.col("tokens").cast("long").alias("tokens"))
+    listed = chunks.groupBy("file").agg(F.sort_array(F.collect_list(piece)).alias("c"))
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        fits = (F.size(acc) > 0) & (last["tokens"] < least) & (x["start"] == last["end"] + 1) & (last["tokens"] + x["tokens"] <= most)
+        both = F.struct(last["start"].alias("start"), x["end"].alias("end"), F.concat_ws("+", last["kind"], x["kind"]).alias("kind"), F.coalesce(last["name"], x["name"]).alias("name"), (last["tokens"] + x["tokens"]).alias("tokens"))
+        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(x)))
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,name:string,tokens:bigint>>")
+    return listed.select("file", F.inline(F.aggregate("c", none, step)))

@@ -138,3 +138,35 @@ def rename_preview(symbols: DataFrame, edges: DataFrame, target: str, name: str)
     part = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), "id", "file")
     clash = symbols.where((F.col("name") == name) & (F.col("id") != target)).join(own.select("file"), "file", "left_semi")
     return part("definition", own).unionByName(part("reference", symbols.join(users, "id", "left_semi"))).unionByName(part("conflict", clash))
+
+
+def deleted_importers(edges: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(file, importer, raw): surviving files that import a deleted one (file), with the specifier they use."""
+    gone = deleted.select("file").distinct()
+    rows = edges.where("to_type = 'file'").join(gone, F.col("to_path") == F.col("file"), "left_semi").join(gone, F.col("from_path") == F.col("file"), "left_anti")
+    return rows.select(F.col("to_path").alias("file"), F.col("from_path").alias("importer"), "raw").distinct()
+
+
+def untested_changes(edges: DataFrame, changed: DataFrame, is_test, depth: int = 2) -> DataFrame:
+    """(file) of the changed files that no test reaches within ``depth`` imports and that aren't tests themselves."""
+    seeds = changed.select(F.col("file").alias("origin"), F.col("file").alias("node")).distinct()
+    tested = graphs.bfs(edges.where("to_type = 'file'"), seeds, depth, "in").where(is_test(F.col("node"))).select(F.col("origin").alias("file")).distinct()
+    return changed.select("file").distinct().join(tested, "file", "left_anti")
+
+
+def breaking_changes(base: DataFrame, head: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, change, users): exported symbols that are gone, no longer exported or of another kind, with the symbols that used them."""
+    new = head.select("id", F.col("exported").alias("_e"), F.col("kind").alias("_k"))
+    old = base.where("exported").select("id", "kind").join(new, "id", "left")
+    change = F.when(F.col("_e").isNull(), "removed").when(~F.col("_e"), "hidden").when(F.col("kind") != F.col("_k"), "kind")
+    found = old.select("id", change.alias("change")).where("change is not null")
+    users = edges.where("from_id != to_id").select(F.col("to_id").alias("id"), "from_id").distinct().groupBy("id").agg(F.count("*").alias("users"))
+    return found.join(users, "id", "left").select("id", "change", F.coalesce("users", F.lit(0)).alias("users"))
+
+
+def sql_context(facts: DataFrame, changed: DataFrame) -> DataFrame:
+    """``facts`` of changed SQL files (path), and facts elsewhere about objects that those files name."""
+    near = changed.select("path").distinct()
+    names = facts.join(near, "path", "left_semi").select("object_name").distinct()
+    inside = facts.join(near, "path", "left_semi").withColumn("reason", F.lit("changed"))
+    return inside.unionByName(facts.join(near, "path", "left_anti").join(names, "object_name", "left_semi").select(*facts.columns).withColumn("reason", F.lit("mentioned")))

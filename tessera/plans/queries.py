@@ -728,3 +728,34 @@ def export_summary(spark, d):
 @query("rename_preview", f"{_SSE}, o AS (SELECT * FROM symbols WHERE id = 'p5') SELECT 'definition' AS kind, id, file FROM o UNION ALL SELECT 'reference', id, file FROM symbols WHERE id IN (SELECT from_id FROM symbol_edges WHERE to_id = 'p5' AND from_id <> 'p5') UNION ALL SELECT 'conflict', id, file FROM symbols WHERE name = 'red plate' AND id <> 'p5' AND file IN (SELECT file FROM o)")
 def rename_preview(spark, d):
     return review.rename_preview(ad.symbols(spark, d), ad.symbol_edges(spark, d), "p5", "red plate")
+
+
+_LATER = "later AS (SELECT * REPLACE (CASE WHEN line_span % 9 = 0 THEN 'interface' ELSE kind END AS kind, exported AND line_span % 10 > 0 AS exported) FROM symbols)"
+
+
+@query("breaking_changes", f"""{_SSE}, {_LATER}, c AS (SELECT s.id, CASE WHEN NOT l.exported THEN 'hidden' WHEN s.kind <> l.kind THEN 'kind' END AS change FROM symbols s JOIN later l USING (id) WHERE s.exported),
+u AS (SELECT to_id, count(DISTINCT from_id) AS n FROM symbol_edges WHERE from_id <> to_id GROUP BY 1) SELECT id, change, coalesce(n, 0) AS users FROM c LEFT JOIN u ON to_id = id WHERE change IS NOT NULL""")
+def breaking_changes(spark, d):
+    s = ad.symbols(spark, d)
+    later = s.withColumn("kind", F.when(F.col("line_span") % 9 == 0, "interface").otherwise(F.col("kind"))).withColumn("exported", F.col("exported") & (F.col("line_span") % 10 > 0))
+    return review.breaking_changes(s, later, ad.symbol_edges(spark, d))
+
+
+@query("deleted_importers", f"{_E} SELECT DISTINCT to_path AS file, from_path AS importer, raw FROM file_edges WHERE to_type = 'file' AND to_path IN ('{START}', '{END}') AND from_path NOT IN ('{START}', '{END}')")
+def deleted_importers(spark, d):
+    return review.deleted_importers(ad.file_edges(spark, d), _changed(spark))
+
+
+@query("untested_changes", f"""{_E}, l AS (SELECT DISTINCT from_path AS u, to_path AS v FROM file_edges WHERE to_type = 'file') SELECT path AS file FROM (SELECT 'src/s' || s_suppkey || '.ts' AS path FROM supplier)
+WHERE NOT regexp_matches(path, 's[0-9]*77\\.ts$') AND path NOT IN (SELECT v FROM l WHERE regexp_matches(u, 's[0-9]*77\\.ts$'))""")
+def untested_changes(spark, d):
+    files = ad.files(spark, d).select(F.col("path").alias("file"))
+    return review.untested_changes(ad.file_edges(spark, d), files, lambda p: textual.is_test_file(p, [r"s[0-9]*77\.ts$"]), 1)
+
+
+@query("sql_context", """WITH n AS (SELECT 'db/f' || n_nationkey || '.sql' AS path, 't' || n_nationkey AS t, 'r' || n_regionkey AS r FROM nation), f AS (SELECT path, 2 AS l, 'defines_table' AS kind, t AS o FROM n
+UNION ALL SELECT path, 2, 'references', r FROM n UNION ALL SELECT path, 3, 'reads', t FROM n UNION ALL SELECT path, 3, 'joins', 'sales.' || r FROM n)
+SELECT path, l AS start_line, kind, o AS object_name, CASE WHEN path = 'db/f3.sql' THEN 'changed' ELSE 'mentioned' END AS reason FROM f WHERE path = 'db/f3.sql' OR o IN (SELECT o FROM f WHERE path = 'db/f3.sql')""")
+def sql_context(spark, d):
+    changed = spark.createDataFrame([("db/f3.sql",)], "path string")
+    return review.sql_context(extract.sql_facts(_sql_files(spark, d)), changed).select("path", "start_line", "kind", "object_name", "reason")
