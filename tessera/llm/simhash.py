@@ -11,10 +11,10 @@ There the bits stand as vertical planes, distances grow by a carry-save
 counter over many pairs at once, and a pivot row is abandoned as soon as all
 of its lanes exceed the radius. Tasks emit a spanning set of links only.
 
-:func:`similar_groups` joins documents beyond the radius: candidates agree on one
-of many sampled bit subsets, are compared with the same bit-sliced counters up
-to ``WIDE`` bits, and are verified by the exact Jaccard similarity of their
-five-word shingle sets.
+:func:`similar_groups` joins documents beyond the radius by the exact Jaccard
+similarity of their five-word shingle sets. Candidates come from a prefix filter,
+which loses no pair at the similarity asked for; a pair is left out only where
+both sides already stand in one verified component.
 
 Defined cases: null or word-less text has fingerprint zero and links like any
 other; equal texts share a class; an empty table gives an empty result; extra
@@ -192,13 +192,13 @@ def links_in(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def small_links(fps: np.ndarray, radius: int, nearest: int = 0) -> list[tuple[int, int]]:
-    """All links inside one block of a few hundred rows, reduced to a forest of the shortest and each row's ``nearest`` ones."""
+def small_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """All links inside one block of a few hundred rows, reduced to a forest of the shortest."""
     i, j = within(fps, planes(fps), len(fps), radius)
     keep = i < j
     i, j = i[keep], j[keep]
     order = np.argsort(np.bitwise_count(fps[i] ^ fps[j]), kind="stable")
-    root, given = {}, [0] * len(fps)
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
         while root.setdefault(x, x) != x:
@@ -209,11 +209,7 @@ def small_links(fps: np.ndarray, radius: int, nearest: int = 0) -> list[tuple[in
     for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
         if (p := find(x)) != (q := find(y)):
             root[q] = p
-        elif min(given[x], given[y]) >= nearest:
-            continue
-        given[x] += 1
-        given[y] += 1
-        out.append((int(fps[x]), int(fps[y])))
+            out.append((int(fps[x]), int(fps[y])))
     return out
 
 
@@ -271,9 +267,8 @@ def _groups(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(np.concatenate(([True], ~same))), cols[4].view(np.uint64)
 
 
-def _compare(*radii: int):
-    """Links within the greatest radius; if several are given, with a spanning set for each, or in small buckets the nearest links of each row."""
-    radius, nearest = max(radii), NEAREST * (len(radii) > 1)
+def _compare(radius: int):
+    """A spanning set of the links within ``radius``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, fps in _grouped(batches):
@@ -284,15 +279,14 @@ def _compare(*radii: int):
             held = 0
             for g in small.tolist():
                 if held + sizes[g] > BLOCK and held:
-                    links += small_links(np.unique(np.concatenate(block)), radius, nearest)
+                    links += small_links(np.unique(np.concatenate(block)), radius)
                     block, held = [], 0
                 block.append(fps[starts[g] : starts[g] + sizes[g]])
                 held += sizes[g]
             if block:
-                links += small_links(np.unique(np.concatenate(block)), radius, nearest)
+                links += small_links(np.unique(np.concatenate(block)), radius)
             for g in np.flatnonzero(sizes > BLOCK).tolist():
-                for r in radii:
-                    links += links_in(np.unique(fps[starts[g] : starts[g] + sizes[g]]), r)
+                links += links_in(np.unique(fps[starts[g] : starts[g] + sizes[g]]), radius)
             if links:
                 pair = np.array(links, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["src", "dst"])
@@ -311,20 +305,20 @@ def fingerprint_links(fps: DataFrame, n: int, radius: int = 3) -> DataFrame:
     return _bucket_links(keyed, radius)
 
 
-def _bucket_links(keyed: DataFrame, *radii: int) -> DataFrame:
+def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
     """(src, dst) from rows (fp, t, key)."""
     sizes = keyed.groupBy("t", "key").count().where(F.col("count") > 1)
     parts = F.ceil(F.col("count") / PART).cast("int")
-    return _dealt_links(keyed.join(sizes.select("t", "key", parts.alias("parts")), ["t", "key"]), *radii)
+    return _dealt_links(keyed.join(sizes.select("t", "key", parts.alias("parts")), ["t", "key"]), radius)
 
 
-def _dealt_links(rows: DataFrame, *radii: int) -> DataFrame:
+def _dealt_links(rows: DataFrame, radius: int) -> DataFrame:
     """(src, dst) from rows (fp, t, key, parts)."""
     own = F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int")
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("own")))
     dealt = rows.withColumn("own", own).select("t", "key", "fp", "own", F.explode(others).alias("other")).select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     order = ["t", "key", "a", "b"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(*radii), "src long, dst long").distinct()
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(radius), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,40 +335,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
 
 # --- verified similarity ----------------------------------------------------------------------
 
-#: Fingerprint bits by which candidates for a verified similarity of 0.8 may differ.
-WIDE = 12
-#: Chance at which a pair that differs in ``WIDE`` bits shares none of the sampled keys.
-MISS = 0.03
-#: Links of a row to its nearest ones in a small bucket, besides those of the forest.
-NEAREST = 3
 #: Ids that a broadcast may hold (16 MB); more are joined by a shuffle.
 MOST_IDS = 1_000_000
-
-
-def subsets(n: int, radius: int = WIDE, miss: float = MISS) -> np.ndarray:
-    """Tables x bits: sampled bit positions, so many that a pair at ``radius`` agrees on one of the keys but for ``miss``.
-
-    Keys grow with the logarithm of ``n``, so a key holds some 64 unrelated fingerprints at any scale.
-    """
-    k = min(40, max(6, int(np.ceil(np.log2(max(n, 2)))) - 6))
-    agree = np.prod([(64 - radius - i) / (64 - i) for i in range(k)])
-    tables = int(np.ceil(np.log(miss) / np.log1p(-agree)))
-    order = np.argsort(mix64(np.arange(1, tables * 64 + 1, dtype=np.uint64)).reshape(tables, 64), axis=1)
-    return np.sort(order[:, :k], axis=1)
-
-
-def _sampled(bits: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                fp = b.column(0).slice(s, 2000).to_numpy(zero_copy_only=False).view(np.uint64)
-                key = np.zeros((len(bits), len(fp)), np.uint64)
-                for c in range(bits.shape[1]):
-                    key |= (fp[None, :] >> bits[:, c, None].astype(np.uint64) & np.uint64(1)) << np.uint64(c)
-                t = np.repeat(np.arange(len(bits), dtype=np.int32), len(fp))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(fp.view(np.int64), len(bits))), pa.array(t), pa.array(key.ravel().view(np.int64))], names=["fp", "t", "key"])
-
-    return run
+#: Shingles known to be frequent (they come last in the common order), and documents that are counted for them at most.
+FREQUENT, COUNTED = 200_000, 1_000_000
+#: Rounds in which each bucket is compared with one hub before what is still apart is compared pair by pair.
+HUBS = 2
 
 
 def shingle_sets_of(texts: pa.Array, shingle: int = 5) -> Iterator[np.ndarray]:
@@ -420,36 +386,78 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float = 0.8, shingle
     return both.where(common + 1e-9 >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+def frequent(docs: DataFrame, n: int, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of the most frequent shingles of a sample; any list gives right results, a good one short buckets."""
+    every = max(1, min(16, n // 20_000), n // COUNTED)
+    some = docs.select(id_col, text_col).where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
+    sets = some.mapInArrow(_shingle_sets(shingle), f"id {docs.schema[id_col].dataType.simpleString()}, s array<long>")
+    counts = sets.select(F.explode("s").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT)
+    top = counts.toArrow().sort_by("h")
+    return top["h"].to_numpy(), top["count"].to_numpy()
+
+
+def _prefixes(shingle: int, similarity: float, hot: np.ndarray, counts: np.ndarray):
+    """id, key (of the whole set), n, p: the first shingles in the common order (rare first), one of which any similar set shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sizes, cut = [], [], []
+            for x in shingle_sets_of(b.column(1), shingle):
+                h = x.view(np.int64)
+                weight = np.zeros(len(h), np.int64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    weight = np.where(hot[at] == h, counts[at], 0)
+                keys.append(xxhash.xxh3_128_hexdigest(x.tobytes()))
+                sizes.append(len(h))
+                cut.append(h[np.lexsort((h, weight))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1] if len(h) else h)
+            flat = np.concatenate(cut) if cut else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, cut)], dtype=np.int32), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int32()), lists], names=["id", "key", "n", "p"])
+
+    return run
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): one row for each row of ``docs``; groups joined by fingerprints within ``radius``, or by verified similarity.
 
-    Of the candidate links, the nearest and the least partner of each class of
-    equal fingerprints are verified first; of the others only those between
-    groups that are still apart. Of pairs at a similarity of just 0.8, over nine
-    in ten are found; more similar ones are found more surely.
+    Equal shingle sets are one class. The least members of the classes meet in the
+    buckets of their prefix shingles. Each bucket is first compared with a hub,
+    ``HUBS`` times over; then all its pairs that are in different components and
+    haven't been compared are verified, so every similar pair ends in one component.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
     near = materialise(near_duplicates(docs, 3, radius, id_col, text_col), "similar-near")
-    classes = materialise(near.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("rep"), F.min("component_id").alias("head")), "similar-classes")
-    keyed = classes.select("fp").mapInArrow(_sampled(subsets(classes.count())), "fp long, t int, key long")
-    hot = keyed.groupBy("t", "key").count().where(F.col("count") > PART)
-    hot = materialise(hot.select("t", "key", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "similar-hot")
-    rows = keyed.join(F.broadcast(hot) if hot.count() <= MOST_IDS else hot, ["t", "key"], "left").na.fill(1, ["parts"])
-    links = _dealt_links(rows, WIDE // 3, WIDE * 2 // 3, WIDE)
-    a, b = (classes.select(F.col("fp").alias(x), F.col("rep").alias(y)) for x, y in (("src", "a"), ("dst", "b")))
-    far = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))).alias("d")
-    pairs = materialise(links.join(a, "src").join(b, "dst").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), far).distinct(), "similar-pairs")
-    ends = pairs.select("d", F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o")), F.struct(F.col("b").alias("n"), F.col("a").alias("o")))).alias("e")).select("e.n", "e.o", "d")
-    best = ends.groupBy("n").agg(F.min(F.struct("d", "o"))["o"].alias("x"), F.min("o").alias("y"))
-    picked = best.select("n", F.explode(F.array("x", "y")).alias("o")).select(F.least("n", "o").alias("a"), F.greatest("n", "o").alias("b")).distinct()
-    picked = materialise(picked, "similar-picked")
-    ab = lambda t: t.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    sure = classes.where("rep != head").select(F.col("rep").alias("src"), F.col("head").alias("dst"))
-    first = materialise(sure.unionByName(ab(verified(docs, picked, similarity, shingle, id_col, text_col))), "similar-first")
-    group = materialise(connected_components(first), "similar-group")
-    side = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    rest = pairs.select("a", "b").join(picked, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = materialise(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "similar-rest")
-    second = ab(verified(docs, rest, similarity, shingle, id_col, text_col))
-    joined = connected_components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
-    named = classes.join(joined, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return near.select(id_col, "fp").join(named, "fp", "left").select(id_col, "component_id")
+    named = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
+    hot, counts = frequent(named, near.count(), shingle, id_col, text_col)
+    sets = materialise(named.mapInArrow(_prefixes(shingle, similarity, hot, counts), f"id {kind}, key string, n int, p array<long>").where("n > 0"), "similar-prefixes")
+    reps = materialise(sets.groupBy("key").agg(F.min("id").alias("rep")), "similar-reps")
+    least = near.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("src"), F.col("component_id").alias("dst"))
+    equal = sets.join(reps, "key").where("id != rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
+    links = materialise(least.unionByName(equal).distinct(), "similar-links")
+    rows = sets.join(reps, [sets.key == reps.key, sets.id == reps.rep], "left_semi").select("id", "n", "p")
+    rows = materialise(rows, "similar-rows").select("id", "n", F.posexplode("p").alias("i", "h"))
+    shared = rows.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
+    met = materialise(rows.join(shared, "h"), "similar-met")
+    tried = None
+    for k in range(HUBS + 1):
+        group = materialise(connected_components(links), "similar-group")
+        at = met.join(group.select(F.col("node").alias("id"), F.col("component").alias("c")), "id")
+        side = lambda t, x: t.select("h", *[F.col(y).alias(y + x) for y in ("id", "n", "i", "c")])  # noqa: E731, B023
+        apart = at.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h")
+        at = materialise((at if k < HUBS else at.where("members > 2")).join(apart, "h", "left_semi"), "similar-apart")
+        if k < HUBS:
+            first = at.groupBy("h").agg(F.min_by(F.struct("id", "n", "i", "c"), F.xxhash64("id", F.lit(k))).alias("x")).select("h", "x.*")
+        else:
+            first = at
+        both = side(first, "a").join(side(at, "b"), "h").where("ca != cb" if k < HUBS else "ca != cb and ida < idb")
+        # the positions of the first shingle that two sets share bound how many they share
+        bound = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+        both = both.where(bound + 1e-9 >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")))
+        pairs = both.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = verified(docs, pairs, similarity, shingle, id_col, text_col).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        links = materialise(group.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found), "similar-links")
+    joined = connected_components(links).select(F.col("node").alias("component_id"), "component")
+    return near.select(id_col, "component_id").join(joined, "component_id", "left").select(id_col, F.coalesce("component", "component_id").alias("component_id"))

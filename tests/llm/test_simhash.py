@@ -123,6 +123,33 @@ def test_similar_groups_catch_near_copies_and_spare_others(spark):
     assert simhash.similar_groups(docs.limit(0)).count() == 0
 
 
+def test_similar_groups_are_all_components_of_verified_pairs(spark):
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 4000, n))
+    hub, texts = say(60), {}
+    texts |= {1000 + k: edited(rng, hub, 1) for k in range(300)} | {2000: hub}  # copies are similar to the hub only
+    for k in range(60):
+        short = say(30)
+        texts |= {3000 + 2 * k: short, 3001 + 2 * k: short + " end"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    cut = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    prints = {i: brute_print(t) for i, t in texts.items()}
+    for i in texts:
+        for j in texts:
+            if i < j and (len(cut[i] & cut[j]) >= 0.8 * len(cut[i] | cut[j]) or (prints[i] ^ prints[j]).bit_count() <= 3):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {i: find(i) for i in texts} and len({got[i] for i in texts if i <= 2000}) == 1
+
+
 def test_shingle_sets_equal_sets_of_words():
     import pyarrow as pa
 
