@@ -6,8 +6,10 @@ that train: the texts and end marks of assistant turns; all else is masked.
 
 Defined cases: null roles and texts are empty; of several rows for one turn the
 least (role, text) counts; rows without conversation or turn number are left
-out; conversations of over ``SEGMENT`` turns are cut into segments that pair by
-number, so a group is bounded; equal conversations give two empty completions;
+out; :func:`sampled_segments` finds the prefix of whole conversations and cuts
+only its output into segments of ``SEGMENT`` turns, so a group is bounded (spans
+count from the start of their own row's text), while :func:`sampled_pairs` pairs
+each segment by itself; equal conversations give two empty completions;
 a missing side is a conversation without turns; empty tables give empty results.
 """
 
@@ -15,6 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..storage import materialise
 
 SEGMENT = 4096
 END = "<|end|>\n"
@@ -54,14 +59,17 @@ def _spans(turns: Column) -> Column:
     return F.aggregate(turns, zero, step, lambda acc: acc["out"])
 
 
-def formatted(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """``pairs`` with n_prefix and prompt; the two conversations become completions, with <name>_spans beside them."""
+def formatted(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected", shared: str | None = None) -> DataFrame:
+    """``pairs`` with n_prefix and prompt; the two conversations become completions, with <name>_spans beside them.
+
+    ``shared``: column of the number of leading turns that are prompt; by default those that agree.
+    """
     none = F.array().cast(TURNS)
     a, b = F.coalesce(chosen, none), F.coalesce(rejected, none)
     rest = [c for c in pairs.columns if c not in (chosen, rejected, "n_prefix", "prompt", f"{chosen}_spans", f"{rejected}_spans")]
     text = lambda t: F.array_join(F.transform(t, rendered), "")
     tail = lambda t: F.slice(t, (F.col("n_prefix") + 1).cast("int"), F.size(t))
-    cut = pairs.select(*rest, a.alias("a"), b.alias("b"), F.explode(F.array(_prefix(a, b))).alias("n_prefix"))
+    cut = pairs.select(*rest, a.alias("a"), b.alias("b"), F.explode(F.array(F.col(shared) if shared else _prefix(a, b))).alias("n_prefix"))
     return cut.select(
         *rest,
         "n_prefix",
@@ -80,3 +88,35 @@ def sampled_pairs(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     both = conv.join(last, [id_col, "segment"], "left")
     own = F.slice("turns", 1, F.size("turns") - 1)
     return both.select(id_col, "segment", F.col("turns").alias("chosen"), F.concat(own, F.coalesce("last", F.array().cast(TURNS))).alias("rejected"))
+
+
+def sampled_segments(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id, segment, chosen, rejected, whole, shared): each conversation against itself with its very last turn replaced by its neighbour's.
+
+    Turns are numbered by rank. ``whole`` is the common prefix of the two whole
+    conversations, ``shared`` the part of it that lies in the segment.
+    """
+    conv = materialise(conversations(turns, id_col), "conversations")
+    w = Window.partitionBy(id_col)
+    sizes = conv.select(id_col, "segment", F.size("turns").cast("long").alias("n"))
+    before = F.coalesce(F.sum("n").over(w.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = sizes.select(id_col, "segment", before.alias("before"), F.sum("n").over(w).alias("total"))
+    rows = conv.join(at, [id_col, "segment"]).select(id_col, "total", "before", F.posexplode("turns").alias("pos", "t"))
+    rows = rows.select(id_col, "total", (F.col("before") + F.col("pos")).alias("rank"), "t")
+    ends = materialise(rows.where("rank = total - 1"), "last-turns")
+    other = ends.select(F.col(id_col).bitwiseXOR(F.lit(1)).alias(id_col), F.col("t").alias("rejected"))
+    ends = ends.join(other, id_col, "left").select(id_col, "total", "rank", F.col("t").alias("chosen"), "rejected")
+    both = rows.where("rank < total - 1").select(id_col, "total", "rank", F.col("t").alias("chosen"), F.col("t").alias("rejected")).unionByName(ends)
+    first = both.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy(id_col).agg(F.min("rank").alias("first"))
+    listed = F.sort_array(F.collect_list(F.struct("rank", "chosen", "rejected"))).alias("r")
+    cut = both.groupBy(id_col, F.floor(F.col("rank") / SEGMENT).cast("long").alias("segment")).agg(listed, F.max("total").alias("total"))
+    cut = cut.join(first, id_col, "left").withColumn("whole", F.coalesce("first", "total"))
+    inside = F.least(F.col("whole") - F.col("segment") * SEGMENT, F.size("r").cast("long"))
+    return cut.select(
+        id_col,
+        "segment",
+        F.transform("r", lambda x: x["chosen"]).alias("chosen"),
+        F.filter(F.transform("r", lambda x: x["rejected"]), lambda x: x.isNotNull()).alias("rejected"),
+        "whole",
+        F.greatest(inside, F.lit(0).cast("long")).alias("shared"),
+    )

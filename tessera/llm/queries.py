@@ -46,9 +46,9 @@ def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference.sampled_pairs(table(spark, sf_dir, "conversations"))
+    pairs = preference.sampled_segments(table(spark, sf_dir, "conversations"))
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
-    return preference.formatted(pairs).select("conv_id", "segment", "n_prefix", "prompt", "chosen", shown("chosen_spans"), "rejected", shown("rejected_spans"))
+    return preference.formatted(pairs, shared="shared").select("conv_id", "segment", F.col("whole").alias("n_prefix"), "prompt", "chosen", shown("chosen_spans"), "rejected", shown("rejected_spans"))
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

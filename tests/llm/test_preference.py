@@ -41,3 +41,23 @@ def test_conversations_and_pairs(spark, monkeypatch):
     pairs = {(r.conv_id, r.segment): [tuple(t) for t in r.rejected] for r in p.sampled_pairs(df).collect()}
     assert pairs == {(1, 0): [("a", "w"), ("z", "last")], (1, 1): [], (0, 0): [("b", "y")]}
     assert p.formatted(p.sampled_pairs(df.where("false"))).count() == 0
+
+
+def test_long_conversations_pair_as_a_whole(spark, monkeypatch):
+    from tessera.llm import queries
+
+    monkeypatch.setattr(p, "SEGMENT", 2)
+    a = [("user" if k % 2 else "assistant", f"a{k}") for k in range(5)]
+    b = [("user", "b0"), ("assistant", "b1")]
+    same = [("user", "s"), ("assistant", "t"), ("user", "end")]
+    whole = {0: a, 1: b, 4: same, 5: same[1:], 7: a[:1]}
+    rows = [(i, 10_000 * k + i, r, t) for i, c in whole.items() for k, (r, t) in enumerate(c)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    got = {(r.conv_id, r.segment): r for r in queries.op9_preference(spark, "").collect()}
+    for i, c in whole.items():
+        n, prompt, chosen, _, rejected, _ = brute(c, c[:-1] + whole.get(i ^ 1, [])[-1:])
+        parts = [got[i, k] for k in range((len(c) + 1) // 2)]
+        assert [r.n_prefix for r in parts] == [n] * len(parts)
+        assert ["".join(getattr(r, x) for r in parts) for x in ("prompt", "chosen", "rejected")] == [prompt, chosen, rejected]
+    assert len(got) == sum((len(c) + 1) // 2 for c in whole.values())
