@@ -38,6 +38,33 @@ def _winnowed(h: Column) -> Column:
     return F.slice(F.array_distinct(least), 1, MOST)
 
 
+def bounded(chunks: DataFrame, most: int = 800) -> DataFrame:
+    """``chunks`` with every text of over ``most`` tokens cut: whole lines up to ``most`` tokens, a longer line between tokens.
+
+    Pieces are numbered after a ``#`` in the id; other rows stay as they are.
+    """
+    # each token with what stands before it; digits other than 0-9 begin no token
+    led = lambda x: F.regexp_extract_all(x, F.lit(rf"[\s\p{{N}}&&[^0-9]]*(?:{TOKEN})"), F.lit(0))
+    runs = lambda x: F.flatten(F.transform(F.array(led(x)), lambda t: F.transform(F.sequence(F.lit(1), F.size(t), F.lit(most)), lambda i: F.array_join(F.slice(t, i, most), ""))))
+    kept = ["id", "file", "language", "ordinal"]
+    sized = chunks.select(*kept, "text", F.explode(F.array(F.size(tokens(F.col("text"))))).alias("n"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("x"), F.size(tokens(x)).alias("n")))
+    none = F.array().cast("array<string>")
+    zero = F.struct(none.alias("out"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
+    closed = lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
+
+    def step(acc: Column, line: Column) -> Column:
+        row = lambda out, held, n: F.struct(out.alias("out"), held.alias("held"), n.alias("n"))
+        long = row(F.concat(closed(acc), runs(line["x"])), F.lit(None).cast("string"), F.lit(0))
+        more = row(acc["out"], F.concat_ws("\n", acc["held"], line["x"]), acc["n"] + line["n"])
+        return F.when(line["n"] > most, long).when(acc["n"] + line["n"] <= most, more).otherwise(row(closed(acc), line["x"], line["n"]))
+
+    cut = sized.where(F.col("n") > most).select(*kept, F.explode(F.array(lines)).alias("lines"))
+    cut = cut.select(*kept, F.posexplode(F.aggregate("lines", zero, step, closed)).alias("k", "text"))
+    cut = cut.withColumn("id", F.concat("id", F.lit("#"), F.col("k").cast("string"))).drop("k")
+    return sized.where(F.col("n") <= most).drop("n").unionByName(cut)
+
+
 def units(chunks: DataFrame, least: int = 40, most: int = 800, fingerprints: bool = True) -> DataFrame:
     """Chunks of ``least`` to ``most`` tokens with raw_hash, normalized_hash, token_count, token_set, signatures.
 

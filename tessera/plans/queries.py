@@ -328,7 +328,7 @@ def dup_fingerprint(spark, d):
 
 @query("dup_score")
 def dup_score(spark, d):
-    return duplicates.scored_pairs(materialise(duplicates.units(ad.chunks(spark, d)), "units"))
+    return duplicates.scored_pairs(materialise(duplicates.units(duplicates.bounded(ad.chunks(spark, d))), "units"))
 
 
 @query("dup_groups")
@@ -640,7 +640,7 @@ def impact_clusters(spark, d):
 
 @query("dup_context")
 def dup_context(spark, d):
-    units = materialise(duplicates.units(ad.chunks(spark, d)), "units")
+    units = materialise(duplicates.units(duplicates.bounded(ad.chunks(spark, d))), "units")
     return review.targeted_pairs(units, units.where("file like 'src0/%'").select("id"))
 
 
