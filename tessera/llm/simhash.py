@@ -418,7 +418,7 @@ def _prefixes(shingle: int, similarity: float, hot: np.ndarray, counts: np.ndarr
     return run
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _similar_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): one row for each row of ``docs``; groups joined by fingerprints within ``radius``, or by verified similarity.
 
     Equal shingle sets are one class. The least members of the classes meet in the
@@ -461,3 +461,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
         links = materialise(group.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found), "similar-links")
     joined = connected_components(links).select(F.col("node").alias("component_id"), "component")
     return near.select(id_col, "component_id").join(joined, "component_id", "left").select(id_col, F.coalesce("component", "component_id").alias("component_id"))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) as :func:`_similar_rows` finds them; rows that share an id but not a text are rows of their own."""
+    row = F.concat(F.col(id_col).cast("string"), F.lit("#"), F.hex(F.xxhash64(text_col))).alias("_row")
+    found = materialise(_similar_rows(docs.select(row, text_col), similarity, shingle, radius, "_row", text_col), "similar-rows-found")
+    found = found.select(F.regexp_replace("_row", "#[^#]*$", "").cast(docs.schema[id_col].dataType).alias(id_col), F.col("component_id").alias("_group"))
+    least = found.groupBy("_group").agg(F.min(id_col).alias("component_id"))
+    return found.join(least, "_group", "left").select(id_col, "component_id")
