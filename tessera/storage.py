@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files go as soon as the query that made them has been written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
@@ -28,16 +33,40 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Works like ``checkpoint()`` (lineage ends, lost executors lose nothing) but
     keeps the columnar format, so later scans prune columns and push filters.
+    The shuffle files behind the table go at once.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _cleaned(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what :func:`materialise` wrote, once nothing reads it any more."""
+    for t in tables:
+        if path := getattr(t, "_tessera_path", None):
+            drop(t.sparkSession, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
