@@ -13,13 +13,17 @@ over all it states, and ``NO_NOTICE`` if it states nothing.
 
 Defined cases: null text is empty; repeated notices count at each place;
 malformed expressions contribute the identifiers that they hold and score as
-their AND; empty tables give empty results; other columns are ignored.
+their AND; expressions and texts may be of any length, in linear time; repeated
+rows are rows of their own; empty tables give empty results; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,8 +60,6 @@ UNKNOWN, NO_NOTICE = 0.5, 0.5
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LEXEME = re.compile(r"[ \t]*(\(|\)|[a-z0-9][a-z0-9.+-]*)")
 _BINARY = {"or": 1, "and": 2, "with": 3}
-#: Lexemes of an expression; what follows is read as text.
-LONGEST = 200
 
 
 def allowance(label: str) -> float:
@@ -69,7 +71,7 @@ def lexemes(text: str, at: int = 0) -> list[str]:
     """Operands and operators from ``at`` while they can form an expression on one line."""
     found: list[str] = []
     depth, operand = 0, True  # operand: one may stand here
-    while len(found) < LONGEST and (m := _LEXEME.match(text, at)):
+    while m := _LEXEME.match(text, at):
         x = m[1]
         if operand:
             if x == ")" or x in _BINARY:
@@ -173,10 +175,10 @@ class Scanner:
         words = _WORDS.findall(low)
         joined = f" {' '.join(words)} "
         starts, base, labels, values, spans = [], set(), set(), [], []
-        at = seen = 0
+        blanks: list[int] = []  # the blank before each word, as soon as one is asked for
         for end, (p, label) in self.phrases.iter(joined):
-            begin = end - len(p) - 1  # the blank before its first word
-            seen, at = (seen + joined.count(" ", at, begin), begin) if begin >= at else (joined.count(" ", 0, begin), begin)
+            blanks = blanks or list(accumulate((len(w) + 1 for w in words), initial=0))
+            seen = bisect_left(blanks, end - len(p) - 1)
             labels.add(label)
             values.append(allowance(label))
             spans.append((seen, seen + p.count(" ") + 1, label))

@@ -47,6 +47,20 @@ def test_expressions(text, labels, score):
     assert (got, value) == (labels, score)
 
 
+def test_long_expressions():
+    many = [f"x{k}" for k in range(300)]
+    _, _, _, _, _, labels, score, _ = L.Scanner()("SPDX-License-Identifier: " + " AND ".join(["MIT"] * 300 + ["GPL-3.0"]))
+    assert (labels, score) == ("gpl-3,mit", 0.2)
+    _, _, _, _, _, labels, score, _ = L.Scanner()("SPDX-License-Identifier: (" + " or ".join([*many, "mit"]) + ")")
+    assert (set(labels.split(",")), score) == ({*many, "mit"}, 1.0)
+
+
+def test_overlapping_phrases_in_a_long_text():
+    text = "licensed under the MIT license " * 50_000
+    n, base, first, last, *_ = L.Scanner()(text)
+    assert (n, base, first, last) == (250_000, 50_000, 1, 249_996)
+
+
 def test_precedence():
     assert L.postfix(["a", "or", "b", "and", "c", "with", "d"]) == ["a", "b", "c", "d", "with", "and", "or"]
     assert L.postfix(["(", "a", "or", "b", ")", "and", "c"]) == ["a", "b", "or", "c", "and"]
