@@ -1,26 +1,38 @@
 """Lexical retrieval packing of token ids into fixed windows.
 
-Every task packs its own rows: it gathers shards of about ``shard_tokens``
-ids, builds a BM25 inverted index over each shard's pieces and lets every seed
-document call its best unused neighbours, which fill the seed's window
-greedily. The last neighbour of a window is cut to fit and its rest stays in
-the shard. What is left when a shard runs dry is cut into sequences whose
-lengths are powers of two, so no sequence holds padding.
+Three passes. The first turns texts into ids, written to the shared folder, and
+counts the documents of each id. The second gives each document a lexical
+sketch: the ids that win two exponential races at the speed of their inverse
+document frequency, so two documents share a winner with a chance equal to
+their weighted Jaccard similarity. A range exchange by sketch then brings
+documents with rare ids in common together, wherever they stood; rows with the
+same sketch are told apart by a salt, so a hot one spreads over ranges.
 
-Shards follow the scan's partitions: no shuffle, memory bounded by
-``shard_tokens`` and the longest text, and a lost task repeats only itself.
+Every task of the third pass packs its range: it gathers shards of about
+``shard_tokens`` ids, builds a BM25 inverted index over each shard's documents
+and lets every seed document call its best unused neighbours by all ids it
+shares with others; they fill the seed's window greedily. The last neighbour of
+a window is cut to fit and its rest stays in the shard. What is left when a
+shard runs dry is cut into sequences whose lengths are powers of two, so no
+sequence holds padding. Memory is bounded by ``shard_tokens`` and the longest
+text; the driver sees one count for each id of the vocabulary.
 
-Ids: byte-level BPE from a ``tokenizers`` JSON file, then ``end_id``. The same
-vocabulary runs on tiktoken's merger, which gives equal ids several times as
-fast (tests hold the two together); texts it refuses go to ``tokenizers``.
+Ids: byte-level BPE from a ``tokenizers`` JSON file, then ``end_id``. The file is
+read once on the driver and sent along. Its merges run on tiktoken's merger,
+which gives equal ids several times as fast (tests hold the two together);
+texts that spell out an added token, texts that the merger refuses and files of
+another make go to ``tokenizers``.
 
 Defined cases: null text is empty and yields just ``end_id``; equal texts are
-documents of their own; ties in score go to the earlier row; empty tables give
-empty results; special tokens spelled out in a text are ordinary text.
+documents of their own; very long texts are cut into whole windows and a tail;
+ties in score go to the earlier row of the range; empty tables give empty
+results; added tokens spelled out in a text become their ids, as in the
+library; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -29,55 +41,74 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import discard, materialise
+from .text import mix64, run_starts
+
 K1, B = 1.2, 0.75
-#: Rarest terms of a seed that form its query.
-QUERY_TERMS = 24
 
 
 class ByteBpe:
-    """Ids of texts under a byte-level BPE ``tokenizers`` file."""
+    """Ids of texts under a byte-level BPE ``tokenizers`` file, given as its JSON text."""
+
+    def __init__(self, spec: str):
+        self.spec, self._slow = spec, None
+        told = json.loads(spec)
+        vocab, self.added = told["model"]["vocab"], {t["content"]: t["id"] for t in told.get("added_tokens", [])}
+        self.size = max([*vocab.values(), *self.added.values()]) + 1
+        before, plain = told.get("pre_tokenizer") or {}, ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self._fast = self._merger(told["model"]) if usual and told.get("normalizer") is None and not any(told["model"].get(k) for k in plain) else None
 
-    def __init__(self, path: str):
+    def _merger(self, model: dict):
+        """The merges as tiktoken ranks, and the ids of the ranks."""
         import tiktoken
 
-        self.path, self._slow = path, None
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        special = {t["content"] for t in model.get("added_tokens", [])}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable}
         byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
+        joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        order = [*byte_of, *joined]
+        if len(set(order)) < len(order) or any(t not in model["vocab"] for t in order):
+            return None  # ranks couldn't tell the merges apart
+        # how the library's byte-level step splits a text
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self._fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.size = max(ranks.values()) + len(special) + 1
+        self._id = np.array([model["vocab"][t] for t in order], np.uint32)
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks={bytes(byte_of[c] for c in t): k for k, t in enumerate(order)}, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
+        if self._fast is None or any(t in text for t in self.added):
+            return self.reference(text)
         try:
-            return self._fast.encode_to_numpy(text, disallowed_special=())
-        except Exception:  # the merger's pattern engine gives up on some huge runs
+            return self._id[self._fast.encode_to_numpy(text, disallowed_special=())]
+        except ValueError:  # its pattern engine gives up on some huge runs
             return self.reference(text)
 
     def reference(self, text: str) -> np.ndarray:
         if self._slow is None:
             from tokenizers import Tokenizer
 
-            self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
+            self._slow = Tokenizer.from_str(self.spec)
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(packed: bytes) -> ByteBpe:
+    """The tokenizer of a compressed file, once a worker."""
+    return ByteBpe(zlib.decompress(packed).decode())
+
+
 class Shard:
-    """A BM25 inverted index over pieces; a piece leaves when it is used."""
+    """A BM25 inverted index over documents; a document leaves when it is used."""
 
-    def __init__(self, pieces: list[np.ndarray], vocab: int):
-        n = len(pieces)
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        term = np.concatenate(pieces).astype(np.int64)
+    def __init__(self, docs: list[np.ndarray], vocab: int):
+        n = len(docs)
+        sizes = np.array([len(p) for p in docs], np.int64)
+        term = np.concatenate(docs).astype(np.int64)
         key = np.sort(term * n + np.repeat(np.arange(n), sizes))
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        at = run_starts(key)
         tf = np.diff(np.append(at, len(key)))
         term, self.docs = np.divmod(key[at], n)
         self.ptr = np.searchsorted(term, np.arange(vocab + 1))
@@ -85,31 +116,31 @@ class Shard:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / sizes.mean())
         self.impact = idf[term] * tf * (K1 + 1) / (tf + norm[self.docs])
-        # each document's rarest terms that another one has too
+        # each document's terms that another one has too
         shared = np.flatnonzero(df[term] > 1)
-        order = shared[np.lexsort((term[shared], df[term[shared]], self.docs[shared]))]
+        order = shared[np.argsort(self.docs[shared], kind="stable")]
         self.query_terms, owner = term[order], self.docs[order]
         self.query_ptr = np.searchsorted(owner, np.arange(n + 1))
         self.n = n
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused pieces that share a query term with the seed, best first."""
-        lo, hi = self.query_ptr[seed], self.query_ptr[seed + 1]
-        score = np.zeros(self.n)
-        for t in self.query_terms[lo : min(hi, lo + QUERY_TERMS)].tolist():
-            a, b = self.ptr[t], self.ptr[t + 1]
-            score[self.docs[a:b]] += self.impact[a:b]
+        """Unused documents that share a term with the seed, best first."""
+        terms = self.query_terms[self.query_ptr[seed] : self.query_ptr[seed + 1]]
+        first, sizes = self.ptr[terms], self.ptr[terms + 1] - self.ptr[terms]
+        ends = np.cumsum(sizes)
+        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        score = np.bincount(self.docs[at], self.impact[at], self.n)
         score[used] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(sizes: list[int], pieces: list[np.ndarray], window: int, vocab: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Yield (row, start in its piece, length, sequence, offset) for pieces shorter than a window."""
-    if not pieces:
+def pack_shard(sizes: list[int], docs: list[np.ndarray], window: int, vocab: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Yield (row, start in its piece, length, sequence, offset) for pieces shorter than a window, ``docs`` being what they are looked up by."""
+    if not docs:
         return
-    index = Shard(pieces, vocab)
-    n, start = len(pieces), [0] * len(pieces)
+    index = Shard(docs, vocab)
+    n, start = len(docs), [0] * len(docs)
     left = list(sizes)
     used = np.zeros(n, bool)
     sequence = seed = 0
@@ -158,10 +189,61 @@ def cut(taken: list[tuple[int, int, int]], total: int, window: int) -> Iterator[
                 q, offset = q + 1, 0
 
 
-def _packer(path: str, window: int, end_id: int, shard_tokens: int, with_ids: bool, names: list[str], id_type: pa.DataType):
+def _ids_type(size: int) -> np.dtype:
+    """How ids are stored between the passes."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def _tokeniser(spec: bytes, end_id: int, names: list[str]):
+    """(id, ids, no df) for each row, and at a task's end one row of the documents that hold each id, the last being all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, key_type = loaded(spec), None
+        kind, df = _ids_type(max(bpe.size, end_id + 1)), np.zeros(max(bpe.size, end_id + 1) + 1, np.int64)
+        for b in batches:
+            key_type = b.column(0).type
+            for s in range(0, b.num_rows, 1000):
+                part = b.slice(s, 1000)
+                rows = [np.append(bpe(t.as_py() or ""), np.uint32(end_id)) for t in part.column(1)]
+                for r in rows:
+                    df[np.unique(r)] += 1
+                df[-1] += len(rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype(kind).tobytes() for r in rows], pa.binary()), pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
+        if key_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.binary()), pa.array([df], pa.list_(pa.int64()))], names=names)
+
+    return run
+
+
+def races(df: np.ndarray) -> np.ndarray:
+    """Two rows of arrival times of each id, exponential with its inverse document frequency as rate; the first to arrive names a document."""
+    n = max(1, int(df[-1]))
+    rate = np.log1p((n - df[:-1] + 0.5) / (df[:-1] + 0.5))
+    draw = mix64(np.arange(2 * len(rate), dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return -np.log((draw.reshape(2, -1).astype(np.float64) + 1) / 2.0**64 * (1 - 1e-12)) / rate
+
+
+def _sketcher(times: np.ndarray, kind: np.dtype, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = TaskContext.get().partitionId() << 40
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = [np.frombuffer(x.as_buffer(), kind) for x in b.column(1)]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            flat, at = np.concatenate(ids), np.cumsum(sizes) - sizes
+            first = [pa.array(np.minimum.reduceat(t[flat], at)) for t in times]
+            salts = mix64(np.arange(salt, salt + len(ids), dtype=np.uint64)).view(np.int64)
+            salt += len(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *first, pa.array(salts)], names=names)
+
+    return run
+
+
+def _packer(kind: np.dtype, vocab: int, window: int, shard_tokens: int, with_ids: bool, names: list[str], id_type: pa.DataType):
     def flush(base: int, keys: list, texts: list[np.ndarray]) -> tuple[pa.RecordBatch, int]:
         out: list[tuple[int, int, int, int, int]] = []
-        rows, pieces, shift = [], [], []
+        rows, shift = [], []
         sequence = 0
         for r, ids in enumerate(texts):
             full = len(ids) // window
@@ -171,9 +253,8 @@ def _packer(path: str, window: int, end_id: int, shard_tokens: int, with_ids: bo
             if len(ids) % window:
                 rows.append(r)
                 shift.append(full * window)
-                pieces.append(ids[full * window :])
         most = sequence
-        for p, s, k, q, o in pack_shard([len(p) for p in pieces], pieces, window, vocab=max((int(p.max()) for p in pieces), default=0) + 1):
+        for p, s, k, q, o in pack_shard([len(texts[r]) % window for r in rows], [texts[r] for r in rows], window, vocab):
             out.append((rows[p], shift[p] + s, k, sequence + q, o))
             most = max(most, sequence + q + 1)
         col = list(zip(*out, strict=True))
@@ -193,16 +274,13 @@ def _packer(path: str, window: int, end_id: int, shard_tokens: int, with_ids: bo
         return pa.RecordBatch.from_arrays(data, names=names), base + most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = None, np.array([end_id], np.uint32)
         base = TaskContext.get().partitionId() << 40
         keys: list = []
         texts: list[np.ndarray] = []
         held = 0
         for b in batches:
-            bpe = bpe or ByteBpe(path)
-            ids = b.column(0).to_pylist()
-            for key, text in zip(ids, b.column(1), strict=True):
-                texts.append(np.append(bpe(text.as_py() or ""), end))
+            for key, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                texts.append(np.frombuffer(ids.as_py(), kind))
                 keys.append(key)
                 held += len(texts[-1])
                 if held >= shard_tokens:
@@ -215,10 +293,31 @@ def _packer(path: str, window: int, end_id: int, shard_tokens: int, with_ids: bo
     return run
 
 
+def routed(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(id, ids in bytes) in ranges of their sketches, and the size of the vocabulary."""
+    with open(tokenizer, "rb") as f:
+        spec = zlib.compress(f.read())
+    vocab = max(loaded(spec).size, end_id + 1)
+    key = T.StructField("key", docs.schema[id_col].dataType)
+    ids = T.StructField("ids", T.BinaryType())
+    told = T.StructType([key, ids, T.StructField("df", T.ArrayType(T.LongType()))])
+    tokens = materialise(docs.select(id_col, text_col).mapInArrow(_tokeniser(spec, end_id, told.names), told), "pack-ids")
+    df = np.zeros(vocab + 1, np.int64)
+    for r in tokens.where("df is not null").select(F.posexplode("df").alias("t", "n")).where("n > 0").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        df[r.t] = r.n
+    kind = _ids_type(vocab)
+    drawn = T.StructType([key, ids, T.StructField("k1", T.DoubleType()), T.StructField("k2", T.DoubleType()), T.StructField("salt", T.LongType())])
+    rows = tokens.where("ids is not null").select("key", "ids").mapInArrow(_sketcher(races(df), kind, drawn.names), drawn)
+    placed = materialise(rows, "pack-sketches")
+    discard(tokens)
+    order = ["k1", "k2", "salt"]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "ids"), vocab
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard_tokens: int = 1 << 20, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    ``sequence_id`` is unique over the table: the scan partition and a counter.
+    ``sequence_id`` is unique over the table: the range and a counter.
     ``window`` must be a power of two.
     """
     if window & (window - 1):
@@ -230,5 +329,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     from pyspark.sql.pandas.types import to_arrow_type
 
-    run = _packer(tokenizer, window, end_id, shard_tokens, with_ids, [f.name for f in fields], to_arrow_type(kind))
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    rows, vocab = routed(docs, tokenizer, end_id, id_col, text_col)
+    run = _packer(_ids_type(vocab), vocab, window, shard_tokens, with_ids, [f.name for f in fields], to_arrow_type(kind))
+    return rows.mapInArrow(run, T.StructType(fields))
