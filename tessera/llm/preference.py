@@ -4,13 +4,21 @@ The longest common prefix of turns (role and text equal) becomes the prompt.
 What follows on either side becomes a completion with spans of code points
 that train: the texts and end marks of assistant turns; all else is masked.
 
+Two forms. :func:`formatted` works on a row that holds both conversations.
+:func:`compared` works on turns: the two sides meet turn by turn, by rank, and
+the least rank that differs ends the prefix of the whole conversation, however
+long. Only its output is paged into rows of ``SEGMENT`` turns, so no group is
+unbounded; prefix, prompt and completions don't depend on the pages, whose texts
+joined in order are those of the whole conversation (spans count from the start
+of their own row's text).
+
 Defined cases: null roles and texts are empty; of several rows for one turn the
 least (role, text) counts; rows without conversation or turn number are left
-out; :func:`sampled_segments` finds the prefix of whole conversations and cuts
-only its output into segments of ``SEGMENT`` turns, so a group is bounded (spans
-count from the start of their own row's text), while :func:`sampled_pairs` pairs
-each segment by itself; equal conversations give two empty completions;
-a missing side is a conversation without turns; empty tables give empty results.
+out; equal conversations give two empty completions; a missing side is a
+conversation without turns; very long turns and conversations of any length are
+whole; columns that bear the name of a new one give way to it, others stay in
+:func:`formatted` and are left out of :func:`compared`; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -21,17 +29,27 @@ from pyspark.sql.window import Window
 
 from ..storage import materialise
 
+#: Turns of one row of the output.
 SEGMENT = 4096
 END = "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
 
-def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, segment, turns): the turns in order."""
+def ranked(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(id, rank, t, total): one row a turn, numbered from 0 in the order of the turn numbers.
+
+    Pages of ``SEGMENT`` consecutive turn numbers are numbered by themselves and
+    shifted by the turns before them, so no window spans a whole conversation.
+    """
     told = F.struct(F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    one = turns.where(F.col(id_col).isNotNull() & F.col(turn_col).isNotNull()).groupBy(id_col, turn_col).agg(F.min(told).alias("x"))
-    rows = one.groupBy(id_col, F.floor(F.col(turn_col) / SEGMENT).cast("long").alias("segment")).agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("n"), "x"))).alias("rows"))
-    return rows.select(id_col, "segment", F.transform("rows", lambda r: r["x"]).alias("turns"))
+    one = turns.where(F.col(id_col).isNotNull() & F.col(turn_col).isNotNull()).groupBy(id_col, F.col(turn_col).alias("_n")).agg(F.min(told).alias("t"))
+    one = materialise(one.select(id_col, "_n", F.floor(F.col("_n") / SEGMENT).cast("long").alias("_p"), "t"), "turns")
+    w = Window.partitionBy(id_col)
+    sizes = one.groupBy(id_col, "_p").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = sizes.select(id_col, "_p", before.alias("before"), F.sum("n").over(w).alias("total"))
+    inside = F.row_number().over(Window.partitionBy(id_col, "_p").orderBy("_n")) - 1
+    return one.withColumn("i", inside).join(at, [id_col, "_p"]).select(id_col, (F.col("before") + F.col("i")).alias("rank"), "t", "total")
 
 
 def rendered(turn: Column) -> Column:
@@ -81,42 +99,25 @@ def formatted(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejecte
     )
 
 
-def sampled_pairs(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(id, segment, chosen, rejected): each conversation against itself with the last turn of its neighbour (id xor 1)."""
-    conv = conversations(turns, id_col)
-    last = conv.select(F.col(id_col).bitwiseXOR(F.lit(1)).alias(id_col), "segment", F.slice("turns", -1, 1).alias("last"))
-    both = conv.join(last, [id_col, "segment"], "left")
-    own = F.slice("turns", 1, F.size("turns") - 1)
-    return both.select(id_col, "segment", F.col("turns").alias("chosen"), F.concat(own, F.coalesce("last", F.array().cast(TURNS))).alias("rejected"))
-
-
-def sampled_segments(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(id, segment, chosen, rejected, whole, shared): each conversation against itself with its very last turn replaced by its neighbour's.
+def compared(both: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id, segment, chosen, rejected, whole, shared) from (id, rank, chosen, rejected): turns of either side by rank, null where a side has ended.
 
-    Turns are numbered by rank. ``whole`` is the common prefix of the two whole
-    conversations, ``shared`` the part of it that lies in the segment.
+    ``whole`` is the length of the common prefix of the conversation, ``shared``
+    the part of it in the row's page.
     """
-    conv = materialise(conversations(turns, id_col), "conversations")
-    w = Window.partitionBy(id_col)
-    sizes = conv.select(id_col, "segment", F.size("turns").cast("long").alias("n"))
-    before = F.coalesce(F.sum("n").over(w.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = sizes.select(id_col, "segment", before.alias("before"), F.sum("n").over(w).alias("total"))
-    rows = conv.join(at, [id_col, "segment"]).select(id_col, "total", "before", F.posexplode("turns").alias("pos", "t"))
-    rows = rows.select(id_col, "total", (F.col("before") + F.col("pos")).alias("rank"), "t")
-    ends = materialise(rows.where("rank = total - 1"), "last-turns")
-    other = ends.select(F.col(id_col).bitwiseXOR(F.lit(1)).alias(id_col), F.col("t").alias("rejected"))
-    ends = ends.join(other, id_col, "left").select(id_col, "total", "rank", F.col("t").alias("chosen"), "rejected")
-    both = rows.where("rank < total - 1").select(id_col, "total", "rank", F.col("t").alias("chosen"), F.col("t").alias("rejected")).unionByName(ends)
-    first = both.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy(id_col).agg(F.min("rank").alias("first"))
+    told = both.groupBy(id_col).agg(F.min(F.when(~F.col("chosen").eqNullSafe(F.col("rejected")), F.col("rank"))).alias("first"), (F.max("rank") + 1).alias("total"))
     listed = F.sort_array(F.collect_list(F.struct("rank", "chosen", "rejected"))).alias("r")
-    cut = both.groupBy(id_col, F.floor(F.col("rank") / SEGMENT).cast("long").alias("segment")).agg(listed, F.max("total").alias("total"))
-    cut = cut.join(first, id_col, "left").withColumn("whole", F.coalesce("first", "total"))
+    cut = both.groupBy(id_col, F.floor(F.col("rank") / SEGMENT).cast("long").alias("segment")).agg(listed)
+    cut = cut.join(told.select(id_col, F.coalesce("first", "total").alias("whole")), id_col)
+    side = lambda name: F.filter(F.transform("r", lambda x: x[name]), lambda x: x.isNotNull()).alias(name)
     inside = F.least(F.col("whole") - F.col("segment") * SEGMENT, F.size("r").cast("long"))
-    return cut.select(
-        id_col,
-        "segment",
-        F.transform("r", lambda x: x["chosen"]).alias("chosen"),
-        F.filter(F.transform("r", lambda x: x["rejected"]), lambda x: x.isNotNull()).alias("rejected"),
-        "whole",
-        F.greatest(inside, F.lit(0).cast("long")).alias("shared"),
-    )
+    return cut.select(id_col, "segment", side("chosen"), side("rejected"), "whole", F.greatest(inside, F.lit(0).cast("long")).alias("shared"))
+
+
+def sampled(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id, rank, chosen, rejected): each conversation against itself with its very last turn replaced by that of its neighbour (id xor 1)."""
+    rows = materialise(ranked(turns, id_col), "ranked")
+    last = materialise(rows.where("rank = total - 1"), "last-turns")
+    other = last.select(F.col(id_col).bitwiseXOR(F.lit(1)).alias(id_col), F.col("t").alias("rejected"))
+    ends = last.join(other, id_col, "left").select(id_col, "rank", F.col("t").alias("chosen"), "rejected")
+    return rows.where("rank < total - 1").select(id_col, "rank", F.col("t").alias("chosen"), F.col("t").alias("rejected")).unionByName(ends)

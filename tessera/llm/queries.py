@@ -46,7 +46,7 @@ def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference.sampled_segments(table(spark, sf_dir, "conversations"))
+    pairs = preference.compared(preference.sampled(table(spark, sf_dir, "conversations")))
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
     return preference.formatted(pairs, shared="shared").select("conv_id", "segment", F.col("whole").alias("n_prefix"), "prompt", "chosen", shown("chosen_spans"), "rejected", shown("rejected_spans"))
 
@@ -99,29 +99,28 @@ SELECT page_id, copies::BIGINT AS copies, "offset", length::BIGINT AS length, di
 FROM placed
 """
 
-OP9_SQL = """
+#: The prefix is that of the whole conversation; only what is shown is paged.
+OP9_SQL = f"""
 WITH told AS (
-  SELECT conv_id, turn // 4096 AS segment, turn, coalesce(role, '') AS r, coalesce(text, '') AS x,
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x,
     row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, ''), coalesce(text, '')) AS k
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
 ), c AS (
-  SELECT conv_id, segment, r, x, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn) AS i,
-    count(*) OVER (PARTITION BY conv_id, segment) AS n
+  SELECT conv_id, r, x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) - 1 AS n
   FROM told WHERE k = 1
 ), j AS (
-  SELECT conv_id, segment, i, r, x FROM c WHERE i < n
+  SELECT conv_id, i, r, x FROM c WHERE i < n
   UNION ALL
-  SELECT a.conv_id, a.segment, a.n, b.r, b.x FROM c a JOIN c b ON b.conv_id = xor(a.conv_id, 1) AND a.segment = b.segment AND b.i = b.n WHERE a.i = a.n
+  SELECT a.conv_id, a.n, b.r, b.x FROM c a JOIN c b ON b.conv_id = xor(a.conv_id, 1) AND b.i = b.n WHERE a.i = a.n
 ), d AS (
-  SELECT coalesce(c.conv_id, j.conv_id) AS conv_id, coalesce(c.segment, j.segment) AS segment,
-    coalesce(min(coalesce(c.i, j.i)) FILTER (c.i IS NULL OR j.i IS NULL OR c.r <> j.r OR c.x <> j.x) - 1, max(c.i)) AS p
-  FROM c FULL OUTER JOIN j ON c.conv_id = j.conv_id AND c.segment = j.segment AND c.i = j.i GROUP BY 1, 2
+  SELECT conv_id, coalesce(min(c.i) FILTER (j.r IS NULL OR c.r <> j.r OR c.x <> j.x), max(c.i) + 1) AS p
+  FROM c LEFT JOIN j USING (conv_id, i) GROUP BY 1
 ), sides AS (
-  SELECT 'c' AS side, conv_id, segment, i, r, x FROM c UNION ALL SELECT 'j', conv_id, segment, i, r, x FROM j
+  SELECT 'c' AS side, conv_id, i, r, x FROM c UNION ALL SELECT 'j', conv_id, i, r, x FROM j
 ), shown AS (
-  SELECT side, s.conv_id, s.segment, i, r, i <= p AS shared, '<|' || r || '|>' || chr(10) || x || '<|end|>' || chr(10) AS t,
+  SELECT side, conv_id, i // {preference.SEGMENT} AS segment, i, r, i < p AS shared, '<|' || r || '|>' || chr(10) || x || '<|end|>' || chr(10) AS t,
     length(r) + 5 AS head
-  FROM sides s JOIN d USING (conv_id, segment)
+  FROM sides JOIN d USING (conv_id)
 ), placed AS (
   SELECT *, sum(length(t)) OVER (PARTITION BY side, conv_id, segment, shared ORDER BY i) AS e FROM shown
 ), text AS (
@@ -130,10 +129,10 @@ WITH told AS (
     coalesce(string_agg((e - length(t) + head)::BIGINT || ':' || e::BIGINT, ',' ORDER BY i) FILTER (NOT shared AND r = 'assistant'), '') AS spans
   FROM placed GROUP BY ALL
 )
-SELECT d.conv_id, d.segment, d.p AS n_prefix, coalesce(a.prompt, '') AS prompt, a.body AS chosen, a.spans AS chosen_spans,
+SELECT conv_id, a.segment, p AS n_prefix, a.prompt, a.body AS chosen, a.spans AS chosen_spans,
   coalesce(b.body, '') AS rejected, coalesce(b.spans, '') AS rejected_spans
-FROM d JOIN text a ON a.side = 'c' AND a.conv_id = d.conv_id AND a.segment = d.segment
-LEFT JOIN text b ON b.side = 'j' AND b.conv_id = d.conv_id AND b.segment = d.segment
+FROM d JOIN text a USING (conv_id) LEFT JOIN text b ON b.side = 'j' AND b.conv_id = a.conv_id AND b.segment = a.segment
+WHERE a.side = 'c'
 """
 
 #: Lower-cased (A-Z) words of the kind that op1 and op2 take.

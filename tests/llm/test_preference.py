@@ -32,15 +32,27 @@ def test_against_brute_force(spark):
         assert got == brute(a or [], b or [])
 
 
-def test_conversations_and_pairs(spark, monkeypatch):
+def test_ranks(spark, monkeypatch):
     monkeypatch.setattr(p, "SEGMENT", 2)
-    rows = [(1, 1, "b", "y"), (1, 0, "a", "x"), (1, 0, "a", "x"), (1, 0, "a", "w"), (1, 2, None, None), (None, 1, "q", "q"), (2, None, "q", "q"), (0, 0, "z", "last")]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, segment int").repartition(3)
-    got = {(r.conv_id, r.segment): [tuple(t) for t in r.turns] for r in p.conversations(df).collect()}
-    assert got == {(1, 0): [("a", "w"), ("b", "y")], (1, 1): [("", "")], (0, 0): [("z", "last")]}
-    pairs = {(r.conv_id, r.segment): [tuple(t) for t in r.rejected] for r in p.sampled_pairs(df).collect()}
-    assert pairs == {(1, 0): [("a", "w"), ("z", "last")], (1, 1): [], (0, 0): [("b", "y")]}
-    assert p.formatted(p.sampled_pairs(df.where("false"))).count() == 0
+    rows = [(1, 1, "b", "y"), (1, 0, "a", "x"), (1, 0, "a", "x"), (1, 0, "a", "w"), (1, 2, None, None), (None, 1, "q", "q"), (2, None, "q", "q"), (0, -5, "z", "last")]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "conv_id long, turn long, role string, text string, segment int, rank int").repartition(3)
+    got = {(r.conv_id, r.rank): (*r.t, r.total) for r in p.ranked(df).collect()}
+    assert got == {(1, 0): ("a", "w", 3), (1, 1): ("b", "y", 3), (1, 2): ("", "", 3), (0, 0): ("z", "last", 1)}
+    pairs = {(r.conv_id, r.rank): r.rejected and tuple(r.rejected) for r in p.sampled(df).collect()}
+    assert pairs == {(1, 0): ("a", "w"), (1, 1): ("b", "y"), (1, 2): ("z", "last"), (0, 0): ("", "")}
+    assert p.formatted(p.compared(p.sampled(df.where("false")))).count() == 0
+
+
+def test_more_turns_than_a_page(spark):
+    """4,097 turns and more: one prefix for the conversation, whatever the turn numbers."""
+    n = p.SEGMENT + 10
+    rows = [(6, k, "user", f"t{k}") for k in range(n)] + [(7, 4090 + k, "assistant", f"t{k}") for k in range(11)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r.conv_id, r.segment): r for r in p.formatted(p.compared(p.sampled(df)), shared="shared").collect()}
+    assert set(got) == {(6, 0), (6, 1), (7, 0)}
+    assert [got[6, s].whole for s in (0, 1)] == [n - 1, n - 1] and got[7, 0].whole == 10
+    assert got[6, 0].prompt + got[6, 1].prompt == show([("user", f"t{k}") for k in range(n - 1)])
+    assert (got[6, 0].chosen, got[6, 1].chosen, got[6, 1].rejected) == ("", show([("user", f"t{n - 1}")]), show([("assistant", "t10")]))
 
 
 def test_long_conversations_pair_as_a_whole(spark, monkeypatch):
