@@ -10,11 +10,14 @@ differing leaves only.
 Groups are bounded by construction: a leaf by the records that fit in a range, a
 node by the fan-out. Levels grow with the logarithm of the archive.
 
-Defined cases: equal manifests differ nowhere; a record without counterpart at
+Defined cases: null addresses and bodies are empty, null ids come first; equal
+manifests differ nowhere; a record without counterpart at
 its offset is ``missing`` (from the replica) or ``extra``; several rows at one
 offset count as one record that joins their distinct digests; null digests
 compare as empty; empty manifests have no root, and everything in the other is
-missing or extra. Extra columns are ignored.
+missing or extra. Extra columns are ignored by :func:`archive` and :func:`audit`;
+:func:`report` keeps those of the primary, but replica_digest and status give
+way to the new ones. Records of any length count whole.
 """
 
 from __future__ import annotations
@@ -25,36 +28,48 @@ from pyspark.sql.window import Window
 
 from ..storage import materialise
 
+#: The capture date of records that carry none.
+DATE = "2024-01-01T00:00:00Z"
 RANGE = 1 << 16
 FANOUT = 16
 
 
-def record(url: Column, body: Column) -> Column:
-    """A WARC response record as text."""
+def record(name: Column, url: Column, body: Column, date: str = DATE) -> Column:
+    """A WARC/1.0 response record as text; its record id is a UUID made of the page's name and address."""
     body, url = F.coalesce(body, F.lit("")), F.coalesce(url, F.lit(""))
-    return F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
+    h = F.md5(F.concat(F.coalesce(name.cast("string"), F.lit("")), F.lit("\n"), url))
+    part = lambda a, n: F.substring(h, a, n)
+    uuid = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12))
+    return F.concat(
+        F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
+    )
 
 
-def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", copy: Column | None = None) -> DataFrame:
     """(id, copies, offset, length, digest): the archive's layout, records by id, then digest.
 
-    Equal records of one id are folded into one row first, so that no key can
-    fill a task; ranges of the sort are numbered by themselves and shifted by the
-    bytes before them, of which the driver sees one number a range.
+    With ``copy``, the body as a replica holds it at the same place, the hash of
+    that record comes along as copy_digest. Equal records of one id are folded
+    into one row first, so that no key can fill a task; ranges of the sort are
+    numbered by themselves and shifted by the bytes before them, of which the
+    driver sees one number a range.
     """
-    text = record(F.col(url_col), F.col(body_col))
-    rows = pages.select(id_col, F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("length"))
-    folded = rows.groupBy(id_col, "digest", "length").agg(F.count("*").alias("copies"))
-    placed = materialise(folded.repartitionByRange(id_col, "digest").withColumn("part", F.spark_partition_id()), "archive")
+    text = record(F.col(id_col), F.col(url_col), F.col(body_col))
+    more = [] if copy is None else [F.sha2(record(F.col(id_col), F.col(url_col), copy), 256).alias("copy_digest")]
+    rows = pages.select(id_col, F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("length"), *more)
+    told = ["copy_digest"] * len(more)
+    folded = rows.groupBy(id_col, "digest", "length", *told).agg(F.count("*").alias("copies"))
+    placed = materialise(folded.repartitionByRange(id_col, "digest", *told).withColumn("part", F.spark_partition_id()), "archive")
     size = F.col("length") * F.col("copies")
     before, starts = 0, []
     for r in sorted(placed.groupBy("part").agg(F.sum(size).alias("n")).collect(), key=lambda r: r.part):
         starts.append((r.part, before))
         before += r.n
     base = pages.sparkSession.createDataFrame(starts, "part int, base long")
-    w = Window.partitionBy("part").orderBy(F.col(id_col).asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("part").orderBy(F.col(id_col).asc_nulls_first(), "digest", *told).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return placed.withColumn("inside", inside).join(F.broadcast(base), "part").select(id_col, "copies", (F.col("base") + F.col("inside")).alias("offset"), "length", "digest")
+    return placed.withColumn("inside", inside).join(F.broadcast(base), "part").select(id_col, "copies", (F.col("base") + F.col("inside")).alias("offset"), "length", "digest", *told)
 
 
 def levels(manifest: DataFrame) -> list[DataFrame]:

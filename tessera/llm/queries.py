@@ -37,12 +37,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages against a replica whose manifest has planted faults: some digests differ, some records are gone."""
-    primary = materialise(merkle.archive(table(spark, sf_dir, "pages")), "manifest")
+    """The archive of all pages against a replica with planted faults: some bodies have flipped letters, some records are gone."""
     bad = F.pmod("page_id", F.lit(97)) == 13
     gone = F.coalesce(F.pmod("page_id", F.lit(389)) == 7, F.lit(False))
-    replica = primary.where(~gone).select("offset", "length", F.when(bad, F.reverse("digest")).otherwise(F.col("digest")).alias("digest"))
-    return merkle.report(primary, replica)
+    held = materialise(merkle.archive(table(spark, sf_dir, "pages"), copy=F.when(bad, F.replace("html", F.lit("e"), F.lit("E"))).otherwise(F.col("html"))), "manifest")
+    replica = held.where(~gone).select("offset", "length", F.col("copy_digest").alias("digest"))
+    return merkle.report(held.drop("copy_digest"), replica)
 
 
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,21 +81,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-OP4_SQL = """
-WITH recs AS (
-  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-    || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
-    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
+_RECORD = """'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
+    || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21, 12) || '>' || chr(13) || chr(10)
+    || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen({body}) || chr(13) || chr(10) || chr(13) || chr(10) || {body} || chr(13) || chr(10) || chr(13) || chr(10)"""
+
+OP4_SQL = f"""
+WITH told AS (
+  SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS b, md5(coalesce(page_id::VARCHAR, '') || chr(10) || coalesce(url, '')) AS h,
+    CASE WHEN page_id % 97 = 13 THEN replace(coalesce(html, ''), 'e', 'E') ELSE coalesce(html, '') END AS held
   FROM pages
+), recs AS (
+  SELECT page_id, {_RECORD.format(body="b")} AS rec, {_RECORD.format(body="held")} AS copy FROM told
 ), folded AS (
-  SELECT page_id, sha256(rec) AS digest, strlen(rec) AS length, count(*) AS copies FROM recs GROUP BY ALL
+  SELECT page_id, sha256(rec) AS digest, strlen(rec) AS length, sha256(copy) AS copy_digest, count(*) AS copies FROM recs GROUP BY ALL
 ), placed AS (
-  SELECT *, coalesce(sum(length * copies) OVER (ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  SELECT *, coalesce(sum(length * copies) OVER (ORDER BY page_id NULLS FIRST, digest, copy_digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
   FROM folded
 )
 SELECT page_id, copies::BIGINT AS copies, "offset", length::BIGINT AS length, digest,
-  CASE WHEN page_id % 389 = 7 THEN NULL WHEN page_id % 97 = 13 THEN reverse(digest) ELSE digest END AS replica_digest,
-  CASE WHEN page_id % 389 = 7 THEN 'missing' WHEN page_id % 97 = 13 AND digest <> reverse(digest) THEN 'corrupt' ELSE 'ok' END AS status
+  CASE WHEN page_id % 389 = 7 THEN NULL ELSE copy_digest END AS replica_digest,
+  CASE WHEN page_id % 389 = 7 THEN 'missing' WHEN digest <> copy_digest THEN 'corrupt' ELSE 'ok' END AS status
 FROM placed
 """
 

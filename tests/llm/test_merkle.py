@@ -1,13 +1,17 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import merkle as m
 
 
-def rec(url, body):
+def rec(name, url, body):
     body, url = body or "", url or ""
-    return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n".encode()
+    h = hashlib.md5(f"{'' if name is None else name}\n{url}".encode()).hexdigest()
+    uuid = f"{h[:8]}-{h[8:12]}-3{h[13:16]}-8{h[17:20]}-{h[20:]}"
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{uuid}>\r\nWARC-Date: {m.DATE}\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(body.encode())}"
+    return f"{head}\r\n\r\n{body}\r\n\r\n".encode()
 
 
 def test_layout(spark):
@@ -16,7 +20,7 @@ def test_layout(spark):
     got = [tuple(r) for r in m.archive(pages).orderBy("offset").collect()]
     folded = {}
     for i, u, b in rows:
-        x = rec(u, b)
+        x = rec(i, u, b)
         key = (i is not None, i or 0, hashlib.sha256(x).hexdigest(), len(x), i)
         folded[key] = folded.get(key, 0) + 1
     want, at = [], 0
@@ -26,6 +30,14 @@ def test_layout(spark):
     assert got == want
 
 
+def test_damaged_replica_is_found_by_its_own_hashes(spark):
+    pages = spark.createDataFrame([(k, f"u{k}", f"body {k} " * 50) for k in range(200)] + [(3, "u3", "body 3 " * 50)], "page_id long, url string, html string").repartition(3)
+    held = m.archive(pages, copy=F.when(F.col("page_id") == 120, F.replace("html", F.lit("o"), F.lit("0"))).otherwise(F.col("html")))
+    told = {r.page_id: r for r in m.report(held, held.select("offset", F.col("copy_digest").alias("digest"))).collect()}
+    assert [i for i, r in told.items() if r.status != "ok"] == [120]
+    assert told[120].replica_digest == hashlib.sha256(rec(120, "u120", "b0dy 120 " * 50)).hexdigest() and told[3].copies == 2
+
+
 @pytest.mark.parametrize("wide", [1, 500_000])
 def test_audit_finds_exactly_the_differences(spark, wide):
     a = {k * 1000 * wide: f"d{k}" for k in range(300)}
