@@ -9,5 +9,13 @@ def test_components(spark):
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)} | {500: 500, 601: 601, 602: 601}
 
 
+def test_hubs(spark):
+    """Stars far over the share of a hub, joined by a chain, with leaves below and above their hubs."""
+    rows = [(5000, k) for k in range(1, 900)] + [(6000, 7000 + k) for k in range(900)] + [(899, 8001), (8001, 6000), (9000, 9001)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    nodes = {x for e in rows for x in e}
+    assert got == {n: 9000 if n >= 9000 else 1 for n in nodes}
+
+
 def test_empty(spark):
     assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
