@@ -1,27 +1,39 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped by the workers.
 
 Fitting takes two passes over the training texts. The first counts words by
 64-bit hash; a word's id is its rank among the sorted hashes. The second counts
-bigrams under the exact 64-bit key ``context id << 32 | word id``. Tasks combine
-counts before the shuffle and send, for every key range, one row of packed
-arrays; each range is merged by one task and stored as sorted arrays. Ranges
-follow the number of input partitions, so their size is bounded at any scale.
-Continuation counts N1+(.w) come from the merged ranges by a third, small
-shuffle. The driver sees a row of totals for each range, never a count.
+n-grams of the full order by their exact ids, and each further level those of
+one word less: an n-gram counts the words that stand before it, so a level's
+types, with their first word cut off, are the next one's rows. Tasks combine
+counts before every shuffle and send, for each shard, one row of packed columns;
+a shard is merged by one task and stored as sorted hash arrays.
+
+An n-gram's shard follows its context, so that the context's totals are at hand
+where its n-grams are. Contexts made of hot words only (each more than half a
+shard's share of all words, and the begin mark) would fill a shard: their
+n-grams are dealt out by the whole n-gram, and their totals are merged by a small
+exchange of their own. Shards follow the number of input partitions, so their
+size doesn't grow with the input. The driver sees totals and the hot words, of
+which there are at most two a shard.
 
 The arrays lie in ``spark.checkpoint.dir``, which must be a mounted (POSIX)
-folder of all machines: workers map the files and page in what they look up.
+folder of all machines: workers map the files and page in what they look up. Keys
+keep 40 bits of a hash within their shard: an n-gram that never occurred is taken
+for one that did with a chance of the shard's size over 2**40, about one in a
+million, at any size of the corpus. Counting itself goes by ids and is exact.
 
-    P(w|v) = max(c(vw) - D(c(vw)), 0) / c(v.) + g(v) * P1(w)
-    P1(w)  = max(N1+(.w) - D'(..), 0) / N1+(..) + g' / (V + 1)
+    P_k(w|v) = max(c(vw) - D_k(c(vw)), 0) / c(v.) + g_k(v) * P_k-1(w|v')
+    P_1(w)   = max(N1+(.w) - D_1(..), 0) / N1+(..) + g_1 / (V + 1)
 
-with the three discounts of Chen and Goodman from counts of counts at either
-order. Unknown words have the uniform share only, after an unknown word the
-bigram term is left out.
+with the three discounts of Chen and Goodman from counts of counts at each level;
+v' is v without its first word. A text is preceded by begin marks. Unknown words
+have the uniform share only; a level whose context never occurred is left out.
 
 Defined cases: null text is empty, and an empty text is its end token; with no
 training rows every probability is 1; a null id is a training row; empty
-tables give empty results; repeated rows count each time.
+tables give empty results; repeated rows count each time; texts and vocabularies
+may be of any size; columns other than id and text (and those asked to be kept)
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,13 +48,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import materialise, shared_path
-from .text import chunks, lower_ascii, run_starts, sorted_counts, span_hash, tokens
+from ..storage import discard, materialise, shared_path
+from .text import chunks, lower_ascii, mix64, run_starts, sorted_counts, span_hash, tokens
 
+#: Words of the longest n-grams.
+ORDER = 3
 #: The end token's hash.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Tokens that a task gathers before it combines them.
 GATHER = 2_000_000
+#: Bits of a key within its shard.
+KEY = np.uint64(40)
+#: The count, or code, that stands for an entry of the overflow arrays.
+MORE = 255
 
 
 def token_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -81,7 +99,7 @@ def save(path: str, **arrays: np.ndarray) -> None:
     """Write arrays so that a repeated task leaves whole files."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
     for name, x in arrays.items():
-        if name != "keys" and len(x):
+        if name not in ("keys", "k32", "k8") and len(x):
             x = x.astype(np.min_scalar_type(int(x.max())))
         part = f"{path}.{name}.{os.getpid()}.{os.urandom(4).hex()}"
         with open(part, "wb") as f:
@@ -89,18 +107,87 @@ def save(path: str, **arrays: np.ndarray) -> None:
         os.replace(part, f"{path}.{name}.npy")
 
 
+# --- columns of ids ---------------------------------------------------------------------------
+
+
+def before(ids: np.ndarray, per_row: np.ndarray, d: int, begin: int) -> np.ndarray:
+    """The token ``d`` places earlier in its row, or ``begin``."""
+    out = np.full_like(ids, begin)
+    out[d:] = ids[: len(ids) - d]
+    out[np.arange(len(ids)) - np.repeat(np.cumsum(per_row) - per_row, per_row) < d] = begin
+    return out
+
+
+def grams(ids: np.ndarray, per_row: np.ndarray, order: int, begin: int) -> list[np.ndarray]:
+    """Columns of the n-gram that ends at each token."""
+    return [before(ids, per_row, d, begin) if d else ids for d in range(order - 1, -1, -1)]
+
+
+def gram_hash(cols: list[np.ndarray]) -> np.ndarray:
+    h = np.full(len(cols[0]), len(cols), np.uint64)
+    for c in cols:
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1))
+    return h
+
+
+def key_of(cols: list[np.ndarray]) -> np.ndarray:
+    """The 40 bits that name an n-gram within a shard."""
+    return mix64(gram_hash(cols) ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> (np.uint64(64) - KEY)
+
+
+def grouped(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in order, with their summed counts."""
+    if not len(counts):
+        return cols, counts
+    wide = [c.astype(np.uint64) for c in cols]
+    if cols[0].dtype == np.uint32:  # two ids a sort key
+        wide = [wide[k] << np.uint64(32) | wide[k + 1] if k + 1 < len(wide) else wide[k] for k in range(0, len(wide), 2)]
+    order = np.lexsort(wide[::-1]) if len(wide) > 1 else np.argsort(wide[0], kind="stable")
+    new = np.zeros(len(counts) - 1, bool)
+    for w in wide:
+        w = w[order]
+        new |= w[1:] != w[:-1]
+    at = np.concatenate(([0], np.flatnonzero(new) + 1))
+    return [c[order[at]] for c in cols], np.add.reduceat(counts[order].astype(np.int64), at)
+
+
+def pack(cols: list[np.ndarray]) -> bytes:
+    """Columns of unsigned integers as byte planes: equal and neighbouring values compress well."""
+    out = [len(cols).to_bytes(1, "little"), len(cols[0]).to_bytes(8, "little")]
+    for c in cols:
+        width = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
+        planes = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        out += [width.to_bytes(1, "little"), np.ascontiguousarray(planes.T).tobytes()]
+    return b"".join(out)
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    n_cols, n, at, out = body[0], int.from_bytes(body[1:9], "little"), 9, []
+    for _ in range(n_cols):
+        width = body[at]
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(body, np.uint8, n * width, at + 1).reshape(width, n).T
+        out.append(wide.view("<u8")[:, 0])
+        at += 1 + n * width
+    return out
+
+
+# --- the model --------------------------------------------------------------------------------
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the totals; small, and sent with every task."""
 
     path: str
     shards: int
+    order: int = ORDER
     starts: list[int] = field(default_factory=list)  # first id of each vocabulary range
     vocab: int = 0
     tokens: int = 0
-    pairs: int = 0  # distinct bigrams
-    discount: list[float] = field(default_factory=list)
-    discount1: list[float] = field(default_factory=list)
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # ids ascending
+    types: int = 0  # distinct bigrams
+    discounts: dict[int, list[float]] = field(default_factory=dict)  # by level
     gamma1: float = 1.0
 
     def __post_init__(self):
@@ -109,6 +196,10 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
+    @property
+    def id_type(self) -> type:
+        return np.uint32 if self.vocab < (1 << 32) - 2 else np.uint64
+
     def array(self, kind: str, shard: int, name: str) -> np.ndarray:
         key = f"{kind}-{shard}.{name}.npy"
         if key not in self._open:
@@ -120,11 +211,27 @@ class Model:
         return (h >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)
 
     def id_shard(self, ids: np.ndarray) -> np.ndarray:
-        return ids.astype(np.uint64) * np.uint64(self.shards) // np.uint64(self.vocab + 1)
+        return (ids.astype(np.float64) * self.shards / (self.vocab + 1)).astype(np.int64)
+
+    def bounds(self, shard: int) -> tuple[int, int]:
+        """The ids of an id range."""
+        ids = np.arange(max(0, shard * (self.vocab + 1) // self.shards - 2), min(self.vocab + 1, (shard + 1) * (self.vocab + 1) // self.shards + 3))
+        own = ids[self.id_shard(ids) == shard]
+        return (int(own[0]), int(own[-1]) + 1) if len(own) else (0, 0)
+
+    def is_hot(self, ids: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hot, ids), max(0, len(self.hot) - 1))
+        return self.hot[at] == ids if len(self.hot) else np.zeros(len(ids), bool)
 
-    def lower(self, shard: int) -> int:
-        """The first id of an id range."""
-        return -(-shard * (self.vocab + 1) // self.shards)
+    def hot_context(self, cols: list[np.ndarray]) -> np.ndarray:
+        """Whether all words of an n-gram's context are hot."""
+        out = np.ones(len(cols[0]), bool)
+        for c in cols[:-1]:
+            out &= self.is_hot(c)
+        return out
+
+    def gram_shard(self, cols: list[np.ndarray]) -> np.ndarray:
+        return self.word_shard(np.where(self.hot_context(cols), gram_hash(cols), gram_hash(cols[:-1])))
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of hashes."""
@@ -137,31 +244,74 @@ class Model:
             counts[a:b][ok] = self.array("word", shard, "counts")[at[ok]]
         return ids[back], counts[back]
 
-    def log_probs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 P(word|context); -1 is unknown."""
-        out = np.full(len(word), self.gamma1 / (self.vocab + 1))
-        order = np.argsort(word, kind="stable")
-        order = order[np.searchsorted(word[order], 0) :]
-        for shard, a, b in slices(self.id_shard(word[order])):
+    def found(self, kind: str, cols: list[np.ndarray], shard: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, rows, places): where the rows' n-grams stand in the arrays of ``kind``."""
+        key = key_of(cols)
+        order = np.argsort(shard.astype(np.uint64) << KEY | key) if self.shards < 1 << 24 else np.lexsort((key, shard))
+        for s, a, b in slices(shard[order]):
+            rows = order[a:b]
+            k32, k8 = self.array(kind, s, "k32"), self.array(kind, s, "k8")
+            q32, q8 = (key[rows] >> np.uint64(8)).astype(np.uint32), (key[rows] & np.uint64(255)).astype(np.uint8)
+            at = np.searchsorted(k32, q32)
+            place, left = np.full(len(rows), -1, np.int64), np.arange(len(rows))
+            while len(left):  # equal upper parts stand side by side
+                left = left[at[left] < len(k32)]
+                left = left[k32[at[left]] == q32[left]]
+                hit = k8[at[left]] == q8[left]
+                place[left[hit]] = at[left[hit]]
+                left = left[~hit]
+                at[left] += 1
+            ok = place >= 0
+            yield s, rows[ok], place[ok]
+
+    def counts(self, cols: list[np.ndarray]) -> np.ndarray:
+        kind, out = f"gram{len(cols)}", np.zeros(len(cols[0]), np.int64)
+        for s, rows, at in self.found(kind, cols, self.gram_shard(cols)):
+            c = self.array(kind, s, "counts")[at].astype(np.int64)
+            big = np.flatnonzero(c == MORE)
+            c[big] = self.array(kind, s, "more")[np.searchsorted(self.array(kind, s, "more_at"), at[big])]
+            out[rows] = c
+        return out
+
+    def contexts(self, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the contexts, 0 where one never occurred, and what they leave to the level below."""
+        level = len(cols) + 1
+        total, rest = np.zeros(len(cols[0])), np.ones(len(cols[0]))
+        hot = self.hot_context([*cols, cols[0]])
+        for kind, take in ((f"context{level}", ~hot), (f"hot{level}", hot)):
+            pick = np.flatnonzero(take)
+            some = [c[pick] for c in cols]
+            if not len(pick):
+                continue
+            for s, rows, at in self.found(kind, some, self.word_shard(gram_hash(some))):
+                table = self.array(kind, s, "table").astype(np.float64)
+                code = self.array(kind, s, "codes")[at].astype(np.int64)
+                big = np.flatnonzero(code == MORE)
+                code[big] = MORE + np.searchsorted(self.array(kind, s, "more_at"), at[big])
+                told = table[code]
+                total[pick[rows]] = told[:, 0]
+                rest[pick[rows]] = told[:, 1:] @ np.array(self.discounts[level]) / told[:, 0]
+        return total, rest
+
+    def log_probs(self, ids: np.ndarray, per_row: np.ndarray) -> np.ndarray:
+        """log10 P of each token after those before it; -1 is unknown."""
+        out = np.full(len(ids), self.gamma1 / (self.vocab + 1))
+        order = np.argsort(ids, kind="stable")
+        order = order[np.searchsorted(ids[order], 0) :]
+        for shard, a, b in slices(self.id_shard(ids[order])):
             rows = order[a:b]
-            c = self.array("cont", shard, "counts")[word[rows] - self.lower(shard)].astype(np.int64)
-            out[rows] += np.maximum(c - self.cut(c, self.discount1), 0) / max(1, self.pairs)
-        known = np.flatnonzero(context >= 0)
-        key = context[known].astype(np.uint64) << np.uint64(32) | np.where(word[known] < 0, 0xFFFFFFFF, word[known]).astype(np.uint64)
-        u, back = np.unique(key, return_inverse=True)
-        first, rest = np.zeros(len(u)), np.ones(len(u))
-        v = (u >> np.uint64(32)).astype(np.int64)
-        for shard, a, b in slices(self.id_shard(v)):
-            at, ok = search(self.array("pair", shard, "keys"), u[a:b])
-            c = np.zeros(b - a, np.int64)
-            c[ok] = self.array("pair", shard, "counts")[at[ok]]
-            row = v[a:b] - self.lower(shard)
-            total, *kinds = (self.array("context", shard, n)[row].astype(np.float64) for n in ("total", "n1", "n2", "n3"))
-            seen = total > 0
-            total[~seen] = 1
-            first[a:b] = np.where(seen, np.maximum(c - self.cut(c, self.discount), 0) / total, 0)
-            rest[a:b] = np.where(seen, sum(d * n for d, n in zip(self.discount, kinds, strict=True)) / total, 1)
-        out[known] = first[back] + rest[back] * out[known]
+            c = self.array("cont", shard, "counts")[ids[rows] - self.bounds(shard)[0]].astype(np.int64)
+            out[rows] += np.maximum(c - self.cut(c, self.discounts[1]), 0) / max(1, self.types)
+        for level in range(2, self.order + 1):
+            cols = grams(ids, per_row, level, self.vocab)
+            known = np.flatnonzero(np.logical_and.reduce([c >= 0 for c in cols[:-1]])) if self.vocab else np.zeros(0, np.int64)
+            cols = [c[known] for c in cols]
+            total, rest = self.contexts(cols[:-1])
+            c = np.zeros(len(known), np.int64)
+            seen = np.flatnonzero((total > 0) & (cols[-1] >= 0))
+            c[seen] = self.counts([x[seen] for x in cols])
+            first = np.maximum(c - self.cut(c, self.discounts[level]), 0) / np.maximum(total, 1)
+            out[known] = first + rest * out[known]
         return np.log10(out)
 
     @staticmethod
@@ -194,139 +344,196 @@ def discounts(n: list[int]) -> list[float]:
     return [d if 0 < d < k else plain[k - 1] for k, d in zip((1, 2, 3), out, strict=True)]
 
 
-PACKED = "shard int, keys binary, counts binary"
+# --- counting ---------------------------------------------------------------------------------
 
+#: kind 0: rows of the next level; 1: totals of hot contexts; 2: sums of the shard.
+PACKED = "kind int, shard long, data binary, stats array<long>"
 
-def packed(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
-    """A row of arrays for each run of shards."""
-    cut = list(slices(shard))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([s for s, _, _ in cut], pa.int32()),
-            pa.array([keys[a:b].tobytes() for _, a, b in cut], pa.binary()),
-            pa.array([counts[a:b].astype(np.uint32).tobytes() for _, a, b in cut], pa.binary()),
-        ],
-        names=["shard", "keys", "counts"],
-    )
 
+def packed(kind: int, cols: list[np.ndarray], shard: np.ndarray, stats: list[int] | None = None) -> pa.RecordBatch:
+    """A row of packed columns for each shard; ``stats`` come as a row of their own."""
+    order = np.argsort(shard, kind="stable")
+    cut = list(slices(shard[order]))
+    rows = [(kind, s, pack([c[order[a:b]] for c in cols]), None) for s, a, b in cut]
+    if stats is not None:
+        rows.append((2, 0, None, stats))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["kind", "shard", "data", "stats"]) if rows else pa.RecordBatch.from_pylist([], pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("data", pa.binary()), ("stats", pa.list_(pa.int64()))]))
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, keys, counts) from packed rows sorted by shard."""
-    shard, keys, counts = None, [], []
-
-    def whole() -> tuple[int, np.ndarray, np.ndarray]:
-        k, c = sorted_counts(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
-        return shard, k, c
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(shard, columns) from packed rows sorted by shard."""
+    shard, parts = None, []
+    whole = lambda: [np.concatenate(c) for c in zip(*parts, strict=True)]
     for b in batches:
-        for s, k, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-            if s != shard and keys:
-                yield whole()
-                keys, counts = [], []
+        for s, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            if s != shard and parts:
+                yield shard, whole()
+                parts = []
             shard = s
-            keys.append(np.frombuffer(k.as_buffer(), np.uint64))
-            counts.append(np.frombuffer(c.as_buffer(), np.uint32))
-    if keys:
-        yield whole()
+            parts.append(unpack(data.as_py()))
+    if parts:
+        yield shard, whole()
 
 
-def _combine(of: Callable[[np.ndarray, np.ndarray], np.ndarray], shard_of: Callable[[np.ndarray], np.ndarray]):
-    """A task that turns texts into keys and emits combined counts."""
+def _counted(columns: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], shard_of: Callable[[list[np.ndarray]], np.ndarray]):
+    """A task that turns texts into columns and emits combined counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[list[np.ndarray], np.ndarray]] = []
         size = 0
+
+        def flush() -> pa.RecordBatch:
+            cols, counts = grouped([np.concatenate(c) for c in zip(*[c for c, _ in held], strict=True)], np.concatenate([n for _, n in held]))
+            return packed(0, [*cols, counts], shard_of(cols))
+
         for b in batches:
             for _, h, per_row in gathered(b.column(0)):
-                held.append(sorted_counts(of(h, per_row)))
-                size += len(held[-1][0])
+                cols = columns(h, per_row)
+                held.append(grouped(cols, np.ones(len(cols[0]), np.int64)))
+                size += len(held[-1][1])
                 if size >= 2 * GATHER:
-                    keys, counts = sorted_counts(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    yield packed(keys, counts, shard_of(keys))
+                    yield flush()
                     held, size = [], 0
         if held:
-            keys, counts = sorted_counts(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield packed(keys, counts, shard_of(keys))
+            yield flush()
 
     return run
 
 
 def _by_shard(rows: DataFrame, shards: int) -> DataFrame:
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard")
+    return rows.select("kind", "shard", "data").repartition(shards, "shard").sortWithinPartitions("shard")
+
+
+def save_keyed(path: str, cols: list[np.ndarray], values: np.ndarray) -> None:
+    """Arrays in the order of their keys: counts, or with several columns codes into a table of the frequent rows, the others behind it."""
+    key = key_of(cols)
+    order = np.argsort(key)
+    key, values = key[order], values[order]
+    keys = {"k32": (key >> np.uint64(8)).astype(np.uint32), "k8": (key & np.uint64(255)).astype(np.uint8)}
+    if values.ndim == 1:
+        big = np.flatnonzero(values >= MORE)
+        save(path, **keys, counts=np.minimum(values, MORE), more_at=big, more=values[big])
+        return
+    told, code, often = np.unique(values, axis=0, return_inverse=True, return_counts=True)
+    rank = np.argsort(-often, kind="stable")
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    code = place[code.reshape(-1)]
+    big = np.flatnonzero(code >= MORE)
+    table = np.zeros((MORE + len(big), values.shape[1]), np.int64)
+    table[: min(MORE, len(told))] = told[rank[:MORE]]
+    table[MORE:] = values[big]
+    save(path, **keys, codes=np.minimum(code, MORE), more_at=big, table=table)
+
+
+def _totals(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Contexts of sorted n-grams with (sum, how many count 1, 2, 3 or more)."""
+    new = np.zeros(len(counts) - 1, bool)
+    for c in cols[:-1]:
+        new |= c[1:] != c[:-1]
+    at = np.concatenate(([0], np.flatnonzero(new) + 1))
+    sums = [np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)]
+    return [c[at] for c in cols[:-1]], np.stack(sums, axis=1)
+
+
+def _levelled(model: Model, level: int):
+    """Merge a level's shards: store n-grams and contexts, emit the next level's rows, hot contexts and sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in merged(batches):
+            cols, counts = grouped([c.astype(model.id_type) for c in parts[:-1]], parts[-1])
+            save_keyed(f"{model.path}/gram{level}-{shard}", cols, counts)
+            context, sums = _totals(cols, counts)
+            hot = model.hot_context([*context, context[0]])
+            cold = np.flatnonzero(~hot)
+            save_keyed(f"{model.path}/context{level}-{shard}", [c[cold] for c in context], sums[cold])
+            if hot.any():
+                pick = [c[hot] for c in context]
+                yield packed(1, [*pick, *sums[hot].T], model.word_shard(gram_hash(pick)))
+            rest, n = grouped(cols[1:], np.ones(len(counts), np.int64))
+            stats = [len(counts), *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
+            yield packed(0, [*rest, n], model.gram_shard(rest) if level > 2 else model.id_shard(rest[0]), stats)
 
+    return run
 
-def bigram_keys(ids: np.ndarray, per_row: np.ndarray, begin: int) -> np.ndarray:
-    return contexts(ids, per_row, begin).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
 
+def _hot_totals(model: Model, level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in merged(batches):
+            cols = [c.astype(model.id_type) for c in parts[:-4]]
+            order = np.lexsort(cols[::-1])
+            cols, sums = [c[order] for c in cols], np.stack(parts[-4:], axis=1).astype(np.int64)[order]
+            new = np.zeros(len(order) - 1, bool)
+            for c in cols:
+                new |= c[1:] != c[:-1]
+            at = np.concatenate(([0], np.flatnonzero(new) + 1))
+            save_keyed(f"{model.path}/hot{level}-{shard}", [c[at] for c in cols], np.add.reduceat(sums, at))
+            yield pa.RecordBatch.from_pylist([{"n": len(at)}])
 
-def contexts(ids: np.ndarray, per_row: np.ndarray, begin: int) -> np.ndarray:
-    """The token before each; ``begin`` at the first of a row."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(per_row) - per_row] = begin
-    return before
+    return run
 
 
-def fit(train: DataFrame, text_col: str = "text", shards: int | None = None) -> Model:
+def fit(train: DataFrame, text_col: str = "text", shards: int | None = None, order: int = ORDER) -> Model:
     """Count ``train`` and store the model; ``shards`` defaults to the number of scan partitions."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = train.sparkSession
     texts = train.select(text_col)
     shards = shards or max(8, texts.rdd.getNumPartitions())
-    model = Model(local(shared_path(spark, "kneser-ney")), shards)
+    model = Model(local(shared_path(spark, "kneser-ney")), shards, order)
 
-    rows = _by_shard(texts.mapInArrow(_combine(lambda h, _: h, model.word_shard), PACKED), shards)
+    rows = _by_shard(texts.mapInArrow(_counted(lambda h, _: [h], lambda c: model.word_shard(c[0])), PACKED), shards)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in merged(batches):
+        for shard, (h, n) in merged(batches):
+            keys, counts = sorted_counts(h, n.astype(np.int64))
             save(f"{model.path}/word-{shard}", keys=keys, counts=counts)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "types": len(keys), "tokens": int(counts.sum())}])
 
-    sizes = {r.shard: r for r in rows.mapInArrow(words, "shard long, types long, tokens long").collect()}
+    told = materialise(rows.mapInArrow(words, "shard long, types long, tokens long"), "kneser-ney-words")
+    sizes = {r.shard: r for r in told.collect()}
+    discard(told)
     for s in range(shards):
         model.starts.append(model.vocab)
         if s in sizes:
             model.vocab += sizes[s].types
             model.tokens += sizes[s].tokens
-    if model.vocab >= (1 << 32) - 1:
-        raise ValueError("over 2**32 different words")
-
-    rows = _by_shard(texts.mapInArrow(_combine(lambda h, n: bigram_keys(model.words(h)[0], n, model.vocab), lambda k: model.id_shard(k >> np.uint64(32))), PACKED), shards)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in merged(batches):
-            save(f"{model.path}/pair-{shard}", keys=keys, counts=counts)
-            low, high = model.lower(shard), model.lower(shard + 1)
-            row = (keys >> np.uint64(32)).astype(np.int64) - low
-            at = run_starts(row)
-            total = np.zeros(high - low, np.int64)
-            total[row[at]] = np.add.reduceat(counts, at)
-            kinds = {f"n{k}": np.bincount(row[np.minimum(counts, 3) == k], minlength=high - low) for k in (1, 2, 3)}
-            save(f"{model.path}/context-{shard}", total=total, **kinds)
-            of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-            w, n = sorted_counts(keys & np.uint64(0xFFFFFFFF))
-            out = packed(w, n, model.id_shard(w))
-            stats = pa.array([[len(keys), *of]] + [None] * (out.num_rows - 1), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, stats], names=["shard", "keys", "counts", "stats"])
-
-    found = materialise(rows.mapInArrow(pairs, PACKED + ", stats array<long>"), "kneser-ney-continuations")
-    sums = found.where("stats is not null").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)) for k in range(5)]).first()
-    model.pairs, model.discount = sums[0], discounts(sums[1:])
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                ids = model.starts[s] + np.flatnonzero(model.array("word", s, "counts") > model.tokens / (2 * shards))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["id"])
+
+    model.hot = np.array(sorted([model.vocab, *(r.id for r in spark.range(0, shards, 1, min(shards, 64)).mapInArrow(common, "id long").collect())]), np.int64)
+
+    columns = lambda h, n: [c.astype(model.id_type) for c in grams(model.words(h)[0], n, order, model.vocab)]
+    below = texts.mapInArrow(_counted(columns, model.gram_shard), PACKED)
+    held = None
+    for level in range(order, 1, -1):
+        found = materialise(_by_shard(below, shards).mapInArrow(_levelled(model, level), PACKED), "kneser-ney-level")
+        discard(held)
+        sums = found.where("kind = 2").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)) for k in range(5)]).first()
+        model.types, model.discounts[level] = sums[0], discounts(sums[1:])
+        _by_shard(found.where("kind = 1"), shards).mapInArrow(_hot_totals(model, level), "n long").agg(F.sum("n")).first()
+        below, held = found.where("kind = 0"), found
 
     def continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in merged(batches):
-            low, high = model.lower(shard), model.lower(shard + 1)
+        for shard, (w, n) in merged(batches):
+            low, high = model.bounds(shard)
+            ids, counts = sorted_counts(w.astype(np.int64), n.astype(np.int64))
             dense = np.zeros(high - low, np.int64)
-            dense[keys.astype(np.int64) - low] = counts
+            dense[ids - low] = counts
             save(f"{model.path}/cont-{shard}", counts=dense)
             of = np.bincount(np.minimum(counts, 5), minlength=6)
             yield pa.RecordBatch.from_pylist([{"n": of[1:5].tolist(), "more": int(of[5])}])
 
-    rows = _by_shard(found.select("shard", "keys", "counts"), shards).mapInArrow(continuations, "n array<long>, more long")
+    rows = _by_shard(below, shards).mapInArrow(continuations, "n array<long>, more long")
     sums = rows.agg(*[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)) for k in range(4)], F.coalesce(F.sum("more"), F.lit(0))).first()
-    model.discount1 = discounts(sums[:4])
-    if model.pairs:
-        d = model.discount1
-        model.gamma1 = (d[0] * sums[0] + d[1] * sums[1] + d[2] * (sums[2] + sums[3] + sums[4])) / model.pairs
+    discard(held)
+    model.discounts[1] = d = discounts(sums[:4])
+    if model.types:
+        model.gamma1 = (d[0] * sums[0] + d[1] * sums[1] + d[2] * (sums[2] + sums[3] + sums[4])) / model.types
     return model
 
 
@@ -343,7 +550,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 at = np.cumsum(per_row) - per_row
                 base = np.add.reduceat(np.log10((counts + 1) / (model.tokens + model.vocab + 1)), at)
                 known = np.add.reduceat((counts > 0).astype(np.int64), at)
-                total = np.add.reduceat(model.log_probs(contexts(ids, per_row, model.vocab if model.vocab else -1), ids), at)
+                total = np.add.reduceat(model.log_probs(ids, per_row), at)
                 n = len(per_row)
                 part = b.slice(first, n)
                 data = [per_row, known, np.full(n, model.tokens), base, total, 10 ** np.minimum(300, -total / per_row)]
@@ -357,8 +564,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Learn from the rows outside the held-out fold and score every row."""
     docs = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
-    model = fit(docs.where("not held_out"), text_col)
+    model = fit(docs.where("not held_out"), text_col, order=order)
     return score(docs, model, id_col, text_col, "held_out")
