@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import materialise
+from ..storage import discard, materialise
 
 NO_LIMIT = 1 << 30
 
@@ -26,31 +26,73 @@ def _links(edges: DataFrame, src: str, dst: str, direction: str) -> DataFrame:
     return both.groupBy("u", "v").agg(F.min("seq").alias("seq"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int = NO_LIMIT, direction: str = "out", limit: int | None = None, src: str = "from_path", dst: str = "to_path") -> DataFrame:
-    """(origin, node, depth, via, path) of every node reached from ``seeds`` (origin, node), the seeds at depth 0.
-
-    ``via`` is the list of edge numbers along the first-discovered path, ``path``
-    its nodes. Lists of one length compare as a breadth-first search meets
-    nodes, so ties fall as in a queue that takes edges in the order of ``seq``.
-    ``limit`` bounds the nodes found for each origin, seeds not counted.
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:
+    """``rows`` with a running number from 0 by ``order``: ranges are numbered by themselves and shifted by the rows before them, of which the driver sees one number a range."""
+    placed = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before, starts = 0, []
+    for r in sorted(placed.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
+        starts.append((r["_part"], before))
+        before += r["count"]
+    base = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _base long"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn("_in", inside).join(base, "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
+
+
+def found_enough(levels: list[DataFrame], limit: int) -> bool:
+    """Whether every origin has ``limit`` nodes or no way on."""
+    seen = levels[0]
+    for x in levels[1:]:
+        seen = seen.unionByName(x)
+    open_ = levels[-1].select("origin").distinct().join(seen.where("depth > 0").groupBy("origin").count().where(F.col("count") < limit), "origin", "left_semi")
+    return open_.isEmpty()
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int = NO_LIMIT, direction: str = "out", limit: int | None = None, src: str = "from_path", dst: str = "to_path", goal: str | None = None) -> DataFrame:
+    """(origin, node, depth, parent, place) of every node reached from ``seeds`` (origin, node), the seeds at depth 0.
+
+    A level holds no paths, only the node that found each node, and meets what is
+    known in one anti-join. With ``limit`` or ``goal`` levels are numbered by
+    (the parent's place, the edge's number), as a queue that takes edges in the
+    order of ``seq`` meets nodes, so ties fall as in one; else ``place`` is 0 and
+    the parent the least. ``limit`` bounds the nodes found for each origin, seeds
+    not counted; with ``goal`` the search ends with the level that holds it.
     """
+    in_order = limit is not None or goal is not None
     links = materialise(_links(edges, src, dst, direction), "links")
-    level = materialise(seeds.select("origin", "node", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("via"), F.array("node").alias("path")).distinct(), "bfs")
-    reached = level
+    none = F.lit(None).cast(links.schema["u"].dataType)
+    level = materialise(seeds.select("origin", "node").distinct().select("origin", "node", F.lit(0).alias("depth"), none.alias("parent"), F.lit(0).cast("long").alias("place")), "bfs")
+    levels = [level]
     for d in range(1, depth + 1):
-        step = level.join(links, level["node"] == links["u"]).select("origin", F.col("v").alias("node"), F.lit(d).alias("depth"), F.concat("via", F.array("seq")).alias("via"), F.concat("path", F.array("v")).alias("path"))
-        fresh = step.groupBy("origin", "node").agg(F.min(F.struct("via", "path")).alias("m")).join(reached.select("origin", "node"), ["origin", "node"], "left_anti")
-        level = materialise(fresh.select("origin", "node", F.lit(d).alias("depth"), "m.via", "m.path"), "bfs")
+        m = F.struct("place", "seq", F.col("u").alias("parent")) if in_order else F.struct(F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("seq"), F.col("u").alias("parent"))
+        step = level.join(links, level["node"] == links["u"]).select("origin", F.col("v").alias("node"), m.alias("m")).groupBy("origin", "node").agg(F.min("m").alias("m"))
+        known = levels[0].select("origin", "node")
+        for x in levels[1:]:
+            known = known.unionByName(x.select("origin", "node"))
+        fresh = step.join(known, ["origin", "node"], "left_anti").select("origin", "node", F.lit(d).alias("depth"), "m.parent", "m.place", "m.seq")
+        fresh = numbered(fresh.withColumnRenamed("place", "_before"), ["_before", "seq", "origin", "node"], "place") if in_order else fresh
+        level = materialise(fresh.select("origin", "node", "depth", "parent", "place"), "bfs")
         if level.isEmpty():
             break
-        reached = reached.unionByName(level)
-        if limit is not None and reached.where("depth > 0").groupBy("origin").count().where(F.col("count") < limit).isEmpty():
+        levels.append(level)
+        if len(levels) > 8:  # deep searches keep few tables: the work of a level doesn't grow with its number
+            old = levels[0]
+            for x in levels[1:]:
+                old = old.unionByName(x)
+            merged = materialise(old, "bfs")
+            discard(*levels[:-1])
+            levels = [merged.where(F.col("depth") < d), merged.where(F.col("depth") == d)]
+            level = levels[-1]
+        if goal is not None and not level.where(F.col("node") == goal).isEmpty():
+            break
+        if limit is not None and found_enough(levels, limit):
             break
+    found = levels[0]
+    for x in levels[1:]:
+        found = found.unionByName(x)
     if limit is not None:
-        w = Window.partitionBy("origin").orderBy("depth", "via")
-        found = reached.where("depth > 0").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
-        return reached.where("depth = 0").unionByName(found)
-    return reached
+        w = Window.partitionBy("origin").orderBy("depth", "place")
+        return found.where("depth = 0").unionByName(found.where("depth > 0").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n"))
+    return found
 
 
 def seeds_of(edges: DataFrame, nodes: Sequence[str]) -> DataFrame:
@@ -66,72 +108,156 @@ def dependencies(edges: DataFrame, start: str, depth: int = NO_LIMIT, limit: int
 
 
 def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
-    """(position, file) along the first-discovered shortest path; no rows if there is none."""
-    inner = edges.where("to_type = 'file'")
+    """(position, file) along the first-discovered shortest path; no rows if there is none.
+
+    The search stops at the level of the goal; the path is then followed back
+    over the parents, one lookup a step.
+    """
+    spark = edges.sparkSession
     if start == end:
-        return edges.sparkSession.createDataFrame([(0, start)], "position int, file string")
-    found = bfs(inner, seeds_of(edges, [start])).where(F.col("node") == end)
-    return found.select(F.posexplode("path").alias("position", "file"))
+        return spark.createDataFrame([(0, start)], "position int, file string")
+    found = materialise(bfs(edges.where("to_type = 'file'"), seeds_of(edges, [start]), goal=end).select("node", "depth", "parent"), "path-search")
+    path, node = [], end
+    while (row := found.where(F.col("node") == node).first()) is not None:
+        path.append((row["depth"], node))
+        if not row["depth"]:
+            break
+        node = row["parent"]
+    return spark.createDataFrame(path[::-1], "position int, file string")
+
+
+def _union(tables: Sequence[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _chains(links: DataFrame) -> DataFrame:
+    """(v, head, tail, ring) of the nodes of ``links`` (u, v; distinct, no loops) with one way in and one way out.
+
+    ``head`` and ``tail`` are the ends of the maximal chain that v lies in, found
+    by pointers that double their reach in every round; ``ring`` is the greatest
+    node of a cycle made of such nodes only, which has no ends.
+    """
+    out = links.groupBy("u").agg(F.count("*").alias("n_out"), F.min("v").alias("tail"))
+    into = links.groupBy("v").agg(F.count("*").alias("n_in"), F.min("u").alias("head"))
+    state = out.join(into, out["u"] == into["v"]).where("n_out = 1 and n_in = 1").select("v", "head", "tail", F.col("v").alias("top"), F.lit(True).alias("open"))
+    state = materialise(state, "chains")
+    n = state.count()
+    for _ in range(max(1, n).bit_length() + 1):
+        if not n:
+            break
+        fore = state.select(F.col("v").alias("tail"), F.col("tail").alias("t2"), F.col("top").alias("top2"))
+        back = state.select(F.col("v").alias("head"), F.col("head").alias("h2"))
+        both = state.join(fore, "tail", "left").join(back, "head", "left")
+        new = materialise(both.select("v", F.coalesce("h2", "head").alias("head"), F.coalesce("t2", "tail").alias("tail"), F.greatest("top", F.coalesce("top2", "top")).alias("top"), F.col("t2").isNotNull().alias("open")), "chains")
+        discard(state)
+        state, going = new, new.where("open").limit(1).count()
+        if not going:
+            break
+    # a pointer that still stands on a chain node after all rounds goes round a ring
+    ends = state.select(F.col("v").alias("tail"), F.lit(True).alias("inner"))
+    return state.join(ends, "tail", "left").select("v", "head", "tail", F.when(F.col("inner"), F.col("top")).alias("ring"))
 
 
 def strong_components(edges: DataFrame, src: str = "from_path", dst: str = "to_path", max_rounds: int = 10_000) -> DataFrame:
     """(node, component): strongly connected components of two or more nodes, named by their greatest node.
 
-    Forward colouring: nodes take the greatest label that reaches them; the nodes
-    of a colour from which its root can be reached are a component. What is left
-    goes into the next round; nodes without a way in or out are trimmed first.
+    Chains are drawn together first, in rounds that grow with the logarithm of
+    their length. Of what is left, nodes without a way in or out are trimmed, and
+    the rest is coloured: nodes take the greatest label that reaches them, two
+    hops a round; the nodes of a colour from which its root can be reached are a
+    component. What is left goes into the next round.
     """
-    left = materialise(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v").distinct(), "scc")
-    done: DataFrame | None = None
+    every = materialise(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v").distinct(), "scc")
+    chains = materialise(_chains(every), "scc-chains")
+    inner = chains.select(F.col("v").alias("x"))
+    apart = every.join(inner, F.col("u") == F.col("x"), "left_anti").join(inner, F.col("v") == F.col("x"), "left_anti")
+    drawn = chains.where("ring is null").select(F.col("head").alias("u"), F.col("tail").alias("v")).where("u != v")
+    left = materialise(apart.unionByName(drawn).distinct(), "scc")
+    done: list[DataFrame] = []
     for _ in range(max_rounds):
-        while True:  # trim
-            size = left.count()
-            if not size:
-                break
+        size = left.count()
+        while size:  # trim
             thin = left.join(left.select(F.col("v").alias("x")).distinct(), F.col("u") == F.col("x"), "left_semi").join(left.select(F.col("u").alias("y")).distinct(), F.col("v") == F.col("y"), "left_semi")
-            left = materialise(thin, "scc")
-            if left.count() == size:
+            before, left = left, materialise(thin, "scc")
+            discard(before)
+            now = left.count()
+            if now == size:
                 break
-        if not size or left.isEmpty():
+            size = now
+        if not size:
             break
-        nodes = left.select(F.col("u").alias("n")).union(left.select("v")).distinct()
-        colour = materialise(nodes.select("n", F.col("n").alias("c")), "scc-colour")
+        colour = materialise(left.select(F.col("u").alias("n")).distinct().select("n", F.col("n").alias("c"), F.lit(True).alias("moved")), "scc-colour")
         while True:
-            sent = left.join(colour, left["u"] == colour["n"]).groupBy("v").agg(F.max("c").alias("m"))
-            new = materialise(colour.join(sent, colour["n"] == sent["v"], "left").select("n", F.greatest("c", F.coalesce("m", "c")).alias("c")), "scc-colour")
-            same = new.agg(F.expr("bit_xor(xxhash64(n, c))")).first() == colour.agg(F.expr("bit_xor(xxhash64(n, c))")).first()
-            colour = new
-            if same:
+            new = colour.select("n", "c")
+            for _ in range(2):
+                sent = left.join(new, left["u"] == new["n"]).groupBy("v").agg(F.max("c").alias("m"))
+                new = new.join(sent, new["n"] == sent["v"], "left").select("n", F.greatest("c", F.coalesce("m", "c")).alias("c"))
+            new = new.join(colour.select(F.col("n").alias("_n"), F.col("c").alias("_c")), F.col("n") == F.col("_n")).select("n", "c", (F.col("c") != F.col("_c")).alias("moved"))
+            before, colour = colour, materialise(new, "scc-colour")
+            discard(before)
+            if colour.where("moved").isEmpty():
                 break
-        own = left.join(colour.select(F.col("n").alias("u"), F.col("c").alias("cu")), "u").join(colour.select(F.col("n").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").select("u", "v", F.col("cu").alias("c"))
-        own = materialise(own, "scc-own")
-        roots = colour.where("n = c").select(F.col("c").alias("origin"), F.col("n").alias("node"))
-        found = bfs(own.select(F.col("v").alias("from_path"), F.col("u").alias("to_path")), roots).select("node", F.col("origin").alias("component"))
-        found = materialise(found, "scc-found")
-        done = found if done is None else done.unionByName(found)
+        own = left.join(colour.select(F.col("n").alias("u"), F.col("c").alias("cu")), "u").join(colour.select(F.col("n").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").select(F.col("v").alias("from_path"), F.col("u").alias("to_path"))
+        found = materialise(bfs(materialise(own, "scc-own"), colour.where("n = c").select(F.col("c").alias("origin"), F.col("n").alias("node"))).select("node", F.col("origin").alias("component")), "scc-found")
+        done.append(found)
         gone = found.select("node")
-        left = materialise(left.join(gone, left["u"] == gone["node"], "left_anti").join(gone, left["v"] == gone["node"], "left_anti"), "scc")
-    if done is None:
-        done = left.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    big = done.groupBy("component").count().where("count > 1").select("component")
-    return done.join(big, "component").select("node", "component")
-
-
-def cycles(edges: DataFrame) -> DataFrame:
-    """(files, size, internal_edges, entry_edges, fan_in, priority) of every cycle of files, self-loops included."""
+        before, left = left, materialise(left.join(gone, left["u"] == gone["node"], "left_anti").join(gone, left["v"] == gone["node"], "left_anti"), "scc")
+        discard(before)
+    nodes = _union(done) if done else chains.select(F.col("v").alias("node"), F.col("v").alias("component")).limit(0)
+    nodes = materialise(nodes, "scc-nodes")
+    at = lambda end: nodes.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    # a chain belongs to its ends' component, or makes one with its only end
+    inside = chains.where("ring is null").join(at("head"), "head", "left").join(at("tail"), "tail", "left")
+    looped = inside.where("head = tail").select("v", F.coalesce("c_head", "head").alias("component"), "head")
+    inside = inside.where("head != tail and c_head = c_tail").select(F.col("v").alias("node"), F.col("c_head").alias("component"))
+    rings = chains.where("ring is not null").select(F.col("v").alias("node"), F.col("ring").alias("component"))
+    members = _union([nodes, inside, looped.select(F.col("v").alias("node"), "component"), looped.select(F.col("head").alias("node"), "component"), rings]).distinct()
+    members = materialise(members, "scc-members")
+    big = members.groupBy("component").agg(F.count("*").alias("n"), F.max("node").alias("name")).where("n > 1")
+    return members.join(big, "component").select("node", F.col("name").alias("component"))
+
+
+DOCUMENTS = r"(?i)\.(md|mdx|rst|adoc|txt|html?)$"
+
+
+def cycle_labels(edges: DataFrame) -> DataFrame:
+    """(node, component) of every file on a cycle of files, self-loops included; cycles of documents only are left out."""
     inner = materialise(edges.where("to_type = 'file'").select("from_path", "to_path"), "cycle-edges")
     labels = strong_components(inner)
     loops = inner.where("from_path = to_path").select(F.col("from_path").alias("node")).distinct().join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
     labels = materialise(labels.unionByName(loops), "cycles")
+    code = labels.where(~F.col("node").rlike(DOCUMENTS)).select("component").distinct()
+    return labels.join(code, "component", "left_semi").select("node", "component")
+
+
+def cycles(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(files, size, internal_edges, entry_edges, fan_in, priority, component) of every cycle of files; ``component`` names it by its greatest file."""
+    inner = edges.where("to_type = 'file'").select("from_path", "to_path")
+    labels = materialise(cycle_labels(edges), "cycles") if labels is None else labels
     a, b = labels.select(F.col("node").alias("from_path"), F.col("component").alias("ca")), labels.select(F.col("node").alias("to_path"), F.col("component").alias("cb"))
-    seen = inner.join(b, "to_path").join(a, "from_path", "left")
+    seen = inner.groupBy("from_path", "to_path").agg(F.count("*").alias("n")).join(b, "to_path").join(a, "from_path", "left")
+    inside = F.col("ca").eqNullSafe(F.col("cb"))
     counts = seen.groupBy(F.col("cb").alias("component")).agg(
-        F.count(F.when(F.col("ca") == F.col("cb"), 1)).alias("internal_edges"),
-        F.count(F.when(~F.col("ca").eqNullSafe(F.col("cb")), 1)).alias("entry_edges"),
-        F.countDistinct(F.when(~F.col("ca").eqNullSafe(F.col("cb")), F.col("from_path"))).alias("fan_in"),
+        F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("internal_edges"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("entry_edges"),
+        F.countDistinct(F.when(~inside, F.col("from_path"))).alias("fan_in"),
     )
     sets = labels.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("node")), ",").alias("files"))
-    return sets.join(counts, "component").select("files", "size", "internal_edges", "entry_edges", "fan_in", (3 * F.col("size") + 2 * F.col("fan_in") + F.col("internal_edges")).alias("priority"))
+    return sets.join(counts, "component").select("files", "size", "internal_edges", "entry_edges", "fan_in", (3 * F.col("size") + 2 * F.col("fan_in") + F.col("internal_edges")).alias("priority"), "component")
+
+
+def weakest_edges(edges: DataFrame, coupling: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(component, from_path, to_path, coupling, type_only): the edge to cut in each cycle, of the least symbol ``coupling`` (from_file, to_file, edges), type-only before others, then by name."""
+    labels = materialise(cycle_labels(edges), "cycles") if labels is None else labels
+    inner = edges.where("to_type = 'file' and from_path != to_path").groupBy("from_path", "to_path").agg(F.bool_and(F.coalesce("type_only", F.lit(False))).alias("type_only"))
+    a, b = labels.select(F.col("node").alias("from_path"), "component"), labels.select(F.col("node").alias("to_path"), "component")
+    rows = inner.join(a, "from_path").join(b, ["to_path", "component"]).join(coupling.select(F.col("from_file").alias("from_path"), F.col("to_file").alias("to_path"), "edges"), ["from_path", "to_path"], "left")
+    n = F.coalesce("edges", F.lit(0)).cast("long")
+    best = rows.groupBy("component").agg(F.min(F.struct(n.alias("coupling"), (~F.col("type_only")).cast("int").alias("t"), "from_path", "to_path", "type_only")).alias("b"))
+    return best.select("component", "b.from_path", "b.to_path", "b.coupling", "b.type_only")
 
 
 def hotspots(files: DataFrame, edges: DataFrame, limit: int | None = 20) -> DataFrame:
@@ -156,12 +282,12 @@ def neighbors(edges: DataFrame, start: str, depth: int = 1, direction: str = "bo
 
 def call_hierarchy(edges: DataFrame, symbols: DataFrame, target: str, depth: int = 1, callers: bool = True, limit: int = 100) -> DataFrame:
     """(id, name, file, depth, sites) of callers or callees over ``calls`` edges, by depth, file, name, id."""
-    calls = edges.where("label = 'calls'")
-    found = bfs(calls, seeds_of(edges, [target]), min(max(depth, 1), 15), "in" if callers else "out", src="from_id", dst="to_id").where("depth > 0")
+    calls = materialise(edges.where("label = 'calls'").select("from_id", "to_id", "seq"), "calls")
+    depth = min(max(depth, 1), 15)
     near, far = ("from_id", "to_id") if callers else ("to_id", "from_id")
-    reach = bfs(calls, seeds_of(edges, [target]), min(max(depth, 1), 15) - 1, "in" if callers else "out", src="from_id", dst="to_id").select(F.col("node").alias(far)) if depth > 1 else seeds_of(edges, [target]).select(F.col("node").alias(far))
-    sites = calls.join(reach, far, "left_semi").groupBy(F.col(near).alias("node")).agg(F.countDistinct("seq").alias("sites"))
-    rows = found.join(sites, "node", "left").join(symbols, F.col("node") == F.col("id"))
+    reach = materialise(bfs(calls, seeds_of(edges, [target]), depth, "in" if callers else "out", src="from_id", dst="to_id").select("node", "depth"), "hierarchy")
+    sites = calls.join(reach.where(F.col("depth") < depth).select(F.col("node").alias(far)), far, "left_semi").groupBy(F.col(near).alias("node")).agg(F.countDistinct("seq").alias("sites"))
+    rows = reach.where("depth > 0").join(sites, "node", "left").join(symbols, F.col("node") == F.col("id"))
     return rows.select("id", "name", "file", "depth", F.coalesce("sites", F.lit(0)).alias("sites")).orderBy("depth", "file", "name", "id").limit(limit)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tessera.operators import graphs as g
@@ -12,7 +14,7 @@ def edges(spark, pairs, **more):
 
 def test_cycle_of_three_with_outside_importer(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "b")])
-    assert [tuple(r) for r in g.cycles(e).collect()] == [("a,b,c", 3, 3, 1, 1, 14)]
+    assert [tuple(r) for r in g.cycles(e).collect()] == [("a,b,c", 3, 3, 1, 1, 14, "c")]
 
 
 def test_self_loop_chain_and_no_cycle(spark):
@@ -23,6 +25,40 @@ def test_self_loop_chain_and_no_cycle(spark):
     assert g.cycles(edges(spark, [])).count() == 0
 
 
+def test_long_chains(spark):
+    """A ring of 5,000 files, a dead end as long, and a chain back into a small cycle take rounds by the logarithm of their length."""
+    n = 5000
+    ring = [(f"r{k}", f"r{(k + 1) % n}") for k in range(n)]
+    end = [(f"e{k:05}", f"e{k + 1:05}") for k in range(n)]
+    handle = [("a", "b"), ("b", "a"), ("a", "h0")] + [(f"h{k}", f"h{k + 1}") for k in range(300)] + [("h300", "b")] + [("q", "q1"), ("q1", "q2"), ("q2", "q"), ("q", "a")]
+    got = {}
+    for r in g.strong_components(edges(spark, ring + end + handle)).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    want = [{a for a, _ in ring}, {"a", "b"} | {f"h{k}" for k in range(301)}, {"q", "q1", "q2"}]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and all(c == max(m) for c, m in got.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range([30, 45, 60, 120][seed])]
+    reach = {a: {b for x, b in pairs if x == a and b != a} for a in {x for p in pairs for x in p}}
+    for _ in range(40):
+        reach = {a: to | {c for b in to for c in reach[b]} for a, to in reach.items()}
+    want = {frozenset(b for b in reach if b == a or (b in reach[a] and a in reach[b])) for a in reach}
+    got = {}
+    for r in g.strong_components(edges(spark, pairs)).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert {frozenset(m) for m in got.values()} == {m for m in want if len(m) > 1} and all(c == max(m) for c, m in got.items())
+
+
+def test_weakest_edges_and_document_cycles(spark):
+    e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("x.md", "y.md"), ("y.md", "x.md")])
+    coupling = spark.createDataFrame([("a", "b", 3), ("b", "c", 1), ("c", "a", 1)], "from_file string, to_file string, edges long")
+    assert [tuple(r) for r in g.weakest_edges(e, coupling).collect()] == [("c", "b", "c", 1, False)]
+    assert [r.files for r in g.cycles(e).collect()] == ["a,b,c"]
+
+
 def test_two_components_joined_one_way(spark):
     e = edges(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e")])
     assert sorted(r.files for r in g.cycles(e).collect()) == ["a,b", "c,d"]
