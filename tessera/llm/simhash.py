@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from ..storage import materialise
+from ..storage import discard, materialise
 from .text import chunks, lower_ascii, mix64, span_hash, tokens
 
 SEED = 42
@@ -335,12 +335,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
 
 # --- verified similarity ----------------------------------------------------------------------
 
-#: Ids that a broadcast may hold (16 MB); more are joined by a shuffle.
+#: Rows that a broadcast may hold (32 MB); more are joined by a shuffle.
 MOST_IDS = 1_000_000
 #: Shingles known to be frequent (they come last in the common order), and documents that are counted for them at most.
 FREQUENT, COUNTED = 200_000, 1_000_000
-#: Rounds in which each bucket is compared with one hub before what is still apart is compared pair by pair.
-HUBS = 2
+#: Buckets whose key leaves 0 by this are compared first, so that most groups are joined before the others are.
+FIRST = 16
+#: Rows, and shingles, of a bucket that one task compares with themselves; larger buckets are dealt out as pairs of parts.
+ROWS, SHINGLES = 4096, 2_000_000
 
 
 def shingle_sets_of(texts: pa.Array, shingle: int = 5) -> Iterator[np.ndarray]:
@@ -363,110 +365,298 @@ def shingle_sets_of(texts: pa.Array, shingle: int = 5) -> Iterator[np.ndarray]:
             yield np.unique(out[a:b])
 
 
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), flat)
+
+
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [x.view(np.int64) for x in shingle_sets_of(b.column(1), shingle)]
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)], dtype=np.int32), flat)], names=["id", "s"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                sets = [x.view(np.int64) for x in shingle_sets_of(part.column(1), shingle)]
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(sets)], names=["uid", "s"])
 
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ``pairs`` (a, b: ids) whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_w")).distinct(), "similar-ids")
-    small = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, text_col).join(small, F.col(id_col) == F.col("_w"), "left_semi")
-    sets = materialise(rows.mapInArrow(_shingle_sets(shingle), f"id {kind}, s array<long>"), "similar-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    # 1e-9: 0.8 of a whole number isn't always exact
-    return both.where(common + 1e-9 >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
-
-
-def frequent(docs: DataFrame, n: int, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, n: int, shingle: int = 5, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, counts) of the most frequent shingles of a sample; any list gives right results, a good one short buckets."""
     every = max(1, min(16, n // 20_000), n // COUNTED)
-    some = docs.select(id_col, text_col).where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
-    sets = some.mapInArrow(_shingle_sets(shingle), f"id {docs.schema[id_col].dataType.simpleString()}, s array<long>")
+    some = docs.select(F.lit(0).alias("uid"), text_col).where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0)
+    sets = some.mapInArrow(_shingle_sets(shingle), "uid int, s array<long>")
     counts = sets.select(F.explode("s").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT)
     top = counts.toArrow().sort_by("h")
     return top["h"].to_numpy(), top["count"].to_numpy()
 
 
-def _prefixes(shingle: int, similarity: float, hot: np.ndarray, counts: np.ndarray):
-    """id, key (of the whole set), n, p: the first shingles in the common order (rare first), one of which any similar set shares."""
+def parity(h: np.ndarray, n: int) -> bytes:
+    """A bit for each residue class of the hashes, set if an odd number of them fall there; 64 bits or a power of two of ``n`` or more."""
+    size = 64 if n <= 64 else 1 << min(20, (n - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def _profiles(base: int, shingle: int, similarity: float, hot: np.ndarray, counts: np.ndarray, names: list[str]):
+    """For each row its fingerprint, the key of its shingle set (128 bits), the set's size, the prefix in the common order (rare first; the frequent ones apart), and the parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, sizes, cut = [], [], []
-            for x in shingle_sets_of(b.column(1), shingle):
-                h = x.view(np.int64)
-                weight = np.zeros(len(h), np.int64)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                    weight = np.where(hot[at] == h, counts[at], 0)
-                keys.append(xxhash.xxh3_128_hexdigest(x.tobytes()))
-                sizes.append(len(h))
-                cut.append(h[np.lexsort((h, weight))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1] if len(h) else h)
-            flat = np.concatenate(cut) if cut else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, cut)], dtype=np.int32), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int32()), lists], names=["id", "key", "n", "p"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                fp = fingerprints_of(b.column(3), base)
+                keys, sizes, rare, often, bits = [], [], [], [], []
+                for x in shingle_sets_of(b.column(3), shingle):
+                    h = x.view(np.int64)
+                    weight = np.zeros(len(h), np.int64)
+                    if len(hot) and len(h):
+                        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                        weight = np.where(hot[at] == h, counts[at], 0)
+                    k = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                    order = np.lexsort((h, weight))[:k]
+                    keys.append(xxhash.xxh3_128_intdigest(x.tobytes()))
+                    sizes.append(len(h))
+                    rare.append(h[order[weight[order] == 0]])
+                    often.append(h[order[weight[order] > 0]])
+                    bits.append(parity(x, len(x)))
+                halves = np.array([(k >> 64, k & (1 << 64) - 1) for k in keys], np.uint64).reshape(-1, 2).view(np.int64)
+                made = [fp.view(np.int64), np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), np.array(sizes, np.int32)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, made), lists(rare), lists(often), pa.array(bits, pa.binary())], names=names)
 
     return run
 
 
-def _similar_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): one row for each row of ``docs``; groups joined by fingerprints within ``radius``, or by verified similarity.
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches cut at the ends of groups (runs of equal first ``keys`` columns), with the groups' bounds."""
 
-    Equal shingle sets are one class. The least members of the classes meet in the
-    buckets of their prefix shingles. Each bucket is first compared with a hub,
-    ``HUBS`` times over; then all its pairs that are in different components and
-    haven't been compared are verified, so every similar pair ends in one component.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    near = materialise(near_duplicates(docs, 3, radius, id_col, text_col), "similar-near")
-    named = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
-    hot, counts = frequent(named, near.count(), shingle, id_col, text_col)
-    sets = materialise(named.mapInArrow(_prefixes(shingle, similarity, hot, counts), f"id {kind}, key string, n int, p array<long>").where("n > 0"), "similar-prefixes")
-    reps = materialise(sets.groupBy("key").agg(F.min("id").alias("rep")), "similar-reps")
-    least = near.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("src"), F.col("component_id").alias("dst"))
-    equal = sets.join(reps, "key").where("id != rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
-    links = materialise(least.unionByName(equal).distinct(), "similar-links")
-    rows = sets.join(reps, [sets.key == reps.key, sets.id == reps.rep], "left_semi").select("id", "n", "p")
-    rows = materialise(rows, "similar-rows").select("id", "n", F.posexplode("p").alias("i", "h"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
-    met = materialise(rows.join(shared, "h"), "similar-met")
-    tried = None
-    for k in range(HUBS + 1):
-        group = materialise(connected_components(links), "similar-group")
-        at = met.join(group.select(F.col("node").alias("id"), F.col("component").alias("c")), "id")
-        side = lambda t, x: t.select("h", *[F.col(y).alias(y + x) for y in ("id", "n", "i", "c")])  # noqa: E731, B023
-        apart = at.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h")
-        at = materialise((at if k < HUBS else at.where("members > 2")).join(apart, "h", "left_semi"), "similar-apart")
-        if k < HUBS:
-            first = at.groupBy("h").agg(F.min_by(F.struct("id", "n", "i", "c"), F.xxhash64("id", F.lit(k))).alias("x")).select("h", "x.*")
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    def cuts(b: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(max(0, b.num_rows - 1), bool)
+        for k in range(keys):
+            x = b.column(k).to_numpy(zero_copy_only=False)
+            new |= x[1:] != x[:-1]
+        return np.flatnonzero(new) + 1
+
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if rest and all(rest[-1].column(k)[-1] == b.column(k)[0] == b.column(k)[-1] for k in range(keys)):
+            rest.append(b)
+            continue
+        b = joined([*rest, b])
+        at = cuts(b)
+        if len(at):
+            yield b.slice(0, at[-1]), np.concatenate(([0], at))
+            rest = [b.slice(at[-1])]
         else:
-            first = at
-        both = side(first, "a").join(side(at, "b"), "h").where("ca != cb" if k < HUBS else "ca != cb and ida < idb")
-        # the positions of the first shingle that two sets share bound how many they share
-        bound = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-        both = both.where(bound + 1e-9 >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")))
-        pairs = both.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = verified(docs, pairs, similarity, shingle, id_col, text_col).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        links = materialise(group.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found), "similar-links")
-    joined = connected_components(links).select(F.col("node").alias("component_id"), "component")
-    return near.select(id_col, "component_id").join(joined, "component_id", "left").select(id_col, F.coalesce("component", "component_id").alias("component_id"))
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) as :func:`_similar_rows` finds them; rows that share an id but not a text are rows of their own."""
-    row = F.concat(F.col(id_col).cast("string"), F.lit("#"), F.hex(F.xxhash64(text_col))).alias("_row")
-    found = materialise(_similar_rows(docs.select(row, text_col), similarity, shingle, radius, "_row", text_col), "similar-rows-found")
-    found = found.select(F.regexp_replace("_row", "#[^#]*$", "").cast(docs.schema[id_col].dataType).alias(id_col), F.col("component_id").alias("_group"))
-    least = found.groupBy("_group").agg(F.min(id_col).alias("component_id"))
-    return found.join(least, "_group", "left").select(id_col, "component_id")
+            rest = [b]
+    if rest:
+        b = joined(rest)
+        yield b, np.concatenate(([0], cuts(b), [b.num_rows]))
+
+
+class Bucket:
+    """Rows of one bucket: which may be similar, by sizes and parity bits.
+
+    Two sets of similarity t differ in at most (1 - t) / (1 + t) of their summed
+    sizes, and their parity bits in no more places than that.
+    """
+
+    def __init__(self, sizes: np.ndarray, bits: list[bytes], similarity: float):
+        self.n, self.similarity = sizes, similarity
+        wide = np.array([len(x) // 8 for x in bits])
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.of: list[tuple[int, int]] = [(0, 0)] * len(bits)
+        for w in np.unique(wide).tolist():
+            same, twice = np.flatnonzero(wide == w), np.flatnonzero(wide == 2 * w)
+            read = lambda rows, k: np.frombuffer(b"".join(bits[r] for r in rows), np.uint64).reshape(len(rows), k)
+            double = read(twice, 2 * w)
+            self.tables[w] = np.concatenate((same, twice)), np.concatenate((read(same, w), double[:, :w] ^ double[:, w:]))
+            for k, r in enumerate(same.tolist()):
+                self.of[r] = w, k
+
+    def partners(self, i: int) -> np.ndarray:
+        """Rows that may be similar to row ``i``; over all rows, each pair comes once."""
+        w, k = self.of[i]
+        rows, table = self.tables[w]
+        rest, own = rows[k + 1 :], table[k + 1 :]
+        bound = (1 - self.similarity) / (1 + self.similarity) * (self.n[i] + self.n[rest]) + 1e-9
+        fit = np.flatnonzero(np.abs(self.n[i] - self.n[rest]) <= bound)
+        apart = np.bitwise_count(own[fit] ^ table[k]).sum(axis=1, dtype=np.int64)
+        return rest[fit[apart <= bound[fit]]]
+
+
+def _possible(similarity: float):
+    """(h, uid) of the rows that may be similar to a row of another component in their bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, cut in _whole_groups(batches, 3):
+            h, uid, n, c = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 3, 4, 5))
+            bits = b.column(6).to_pylist()
+            found: list[int] = []
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if hi - lo < 2 or (c[lo:hi] == c[lo]).all():
+                    continue
+                bucket, mark = Bucket(n[lo:hi].astype(np.int64), bits[lo:hi], similarity), np.zeros(hi - lo, bool)
+                for i in range(hi - lo):
+                    j = bucket.partners(i)
+                    j = j[c[lo + j] != c[lo + i]]
+                    mark[j] = True
+                    mark[i] |= len(j) > 0
+                found += (lo + np.flatnonzero(mark)).tolist()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(h[found]), pa.array(uid[found])], names=["h", "uid"])
+
+    return run
+
+
+def _similar(similarity: float):
+    """(src, dst): verified pairs that join each bucket's components as far as they are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, cut in _whole_groups(batches, 3):
+            uid, n, c = (b.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+            links: list[tuple[int, int]] = []
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                part = b.slice(lo, hi - lo)
+                sets = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in part.column(7)]
+                bucket, label = Bucket(n[lo:hi].astype(np.int64), part.column(6).to_pylist(), similarity), c[lo:hi].copy()
+                for i in range(hi - lo):
+                    for j in bucket.partners(i).tolist():
+                        if label[i] == label[j]:
+                            continue
+                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if common + 1e-9 >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                            links.append((int(uid[lo + i]), int(uid[lo + j])))
+                            label[label == label[j]] = label[i]
+            if links:
+                pair = np.array(links, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["src", "dst"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` (h, uid, ...) of the buckets in ``parts`` (h, parts), sorted by (h, a, b): each pair of a bucket's parts stands together."""
+    own = F.pmod(F.xxhash64("uid", "h"), F.col("parts")).cast("int")
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("own")))
+    dealt = rows.join(parts, "h").withColumn("own", own)
+    rest = [c for c in rows.columns if c != "h"]
+    dealt = dealt.select("h", *rest, "own", F.explode(others).alias("other")).select("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *rest)
+    return dealt.repartition("h", "a", "b").sortWithinPartitions("h", "a", "b")
+
+
+def _row_keys(id_col: str, text_col: str) -> list:
+    """128 bits that name a row by id and text."""
+    return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(7), text_col, id_col).alias("k2")]
+
+
+def _labelled(uids: DataFrame, links: DataFrame) -> DataFrame:
+    """``uids`` with c: the least uid reachable over ``links``."""
+    group = connected_components(links)
+    return uids.join(group.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("c", F.coalesce("component", "uid")).drop("component")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, base: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, k1, k2, component_id, first): one row for each row of ``docs``.
+
+    Groups are the components of fingerprints (of ``base`` words) within
+    ``radius``, and of sets of ``shingle`` words with a Jaccard similarity of
+    ``similarity`` or more. ``component_id`` is the least id of the group; k1 and
+    k2 name a row by id and text, and ``first`` holds for the rows of one such
+    name in each group: the least by (id, k1, k2), null ids last.
+
+    Equal sets are one class. Of two similar sets, the shorter one's size is
+    bounded by the longer one's, and they share a shingle of their prefixes (the
+    rarest 1 - ``similarity`` of each, and one more), so they meet in its bucket.
+    There sizes and parity bits rule out nearly all pairs, in blocks inside a
+    task; only rows that are left bring their sets, and only where they belong
+    to different components. No pair leaves a task but for the links that join.
+    """
+    kind = docs.schema[id_col].dataType
+    keyed = docs.select(*_row_keys(id_col, text_col), id_col, text_col)
+    hot, counts = frequent(docs.select(text_col), docs.count(), shingle, text_col)
+    longs, array = T.LongType(), T.ArrayType(T.LongType())
+    kinds = {"k1": longs, "k2": longs, id_col: kind, "fp": longs, "ka": longs, "kb": longs, "n": T.IntegerType(), "p": array, "q": array, "bits": T.BinaryType()}
+    schema = T.StructType([T.StructField(c, t) for c, t in kinds.items()])
+    made = keyed.mapInArrow(_profiles(base, shingle, similarity, hot, counts, schema.names), schema)
+    rows = materialise(made.withColumn("uid", F.monotonically_increasing_id()), "similar-rows")
+
+    # rows are linked with the first row of their fingerprint and of their class, and the first rows of fingerprints among each other
+    prints = materialise(rows.groupBy("fp").agg(F.min("uid").alias("rep")), "similar-prints")
+    classes = materialise(rows.where("n > 0").groupBy("ka", "kb").agg(F.min("uid").alias("rep")), "similar-classes")
+    near = fingerprint_links(prints.select("fp"), prints.count(), radius)
+    for end in ("src", "dst"):
+        near = near.join(prints.select(F.col("fp").alias(end), F.col("rep").alias(f"{end}_rep")), end).drop(end).withColumnRenamed(f"{end}_rep", end)
+    links = rows.select("uid", "fp").join(prints, "fp").select(F.col("uid").alias("src"), F.col("rep").alias("dst"))
+    links = links.unionByName(rows.where("n > 0").select("uid", "ka", "kb").join(classes, ["ka", "kb"]).select(F.col("uid").alias("src"), F.col("rep").alias("dst")))
+    links = materialise(links.where("src != dst").unionByName(near).distinct(), "similar-links")
+
+    sets = materialise(rows.where("n > 0").join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "k1", "k2", "n", "p", "q", "bits"), "similar-sets")
+    met = materialise(_alone_dropped(sets.select("uid", F.explode("p").alias("h"))).unionByName(sets.select("uid", F.explode("q").alias("h"))), "similar-met")
+    for share in (F.pmod("h", F.lit(FIRST)) == 0, F.lit(True)):
+        labels = materialise(_labelled(sets.select("uid"), links), "similar-labels")
+        told = met.where(share).join(labels, "uid")
+        sign = F.expr("bit_xor(xxhash64(uid, 1))").alias("s1"), F.expr("bit_xor(xxhash64(uid, 2))").alias("s2")
+        sizes = told.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), *sign).where("lo != hi")
+        # buckets with the same rows are compared once
+        once = sizes.groupBy("m", "s1", "s2").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("m") / ROWS).cast("int").alias("parts"))
+        once = materialise(once, "similar-buckets")
+        told = told.join(once.select("h"), "h", "left_semi").join(sets.select("uid", "n", "bits"), "uid").select("h", "uid", "n", "c", "bits")
+        possible = materialise(_dealt(told, once).mapInArrow(_possible(similarity), "h long, uid long").distinct(), "similar-possible")
+        wanted = materialise(possible.select("uid").distinct().join(sets.select("uid", "k1", "k2"), "uid"), "similar-wanted")
+        small = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
+        # the second half of the name as a plain condition: a table by one long is a fraction of one by two
+        texts = keyed.join(small.withColumnRenamed("k2", "_k2"), "k1").where(F.col("k2").bitwiseXOR(F.col("_k2")) == 0).select("uid", text_col)
+        shingles = texts.mapInArrow(_shingle_sets(shingle), "uid long, s array<long>").groupBy("uid").agg(F.first("s").alias("s"))
+        shingles = materialise(shingles, "similar-shingles")
+        here = possible.join(labels, "uid").join(sets.select("uid", "n", "bits"), "uid")
+        parts = here.groupBy("h").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / ROWS)).cast("int").alias("parts"))
+        found = _dealt(here.join(shingles, "uid").select("h", "uid", "n", "c", "bits", "s"), parts).mapInArrow(_similar(similarity), "src long, dst long")
+        both = labels.select(F.col("uid").alias("src"), F.col("c").alias("dst")).where("src != dst").unionByName(found)
+        grown = materialise(both.unionByName(links).distinct(), "similar-links")
+        discard(links, labels, once, possible, wanted, shingles)
+        links = grown
+    discard(met, sets)
+    told = materialise(_labelled(rows.select("uid", "k1", "k2", id_col), links).drop("uid"), "similar-groups")
+    discard(links, rows, prints, classes)
+    name = F.struct(F.col(id_col).isNull().alias("none"), id_col, "k1", "k2")
+    best = told.groupBy("c").agg(F.min(name).alias("least"))
+    return told.join(best, "c").select(id_col, "k1", "k2", F.col("least")[id_col].alias("component_id"), ((F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))).alias("first"))
+
+
+def _alone_dropped(rows: DataFrame) -> DataFrame:
+    """``rows`` (uid, h) without those whose ``h`` no other row has; none of them is frequent, so that keys are short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None  # the last row, and whether the one before has its key
+        shared = False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            h = b.column(1).to_numpy(zero_copy_only=False)
+            same = h[1:] == h[:-1]
+            keep = np.concatenate(([shared], same)) | np.concatenate((same, [False]))
+            yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
+            rest, shared = b.slice(b.num_rows - 1), bool(keep[-1])
+        if rest is not None and shared:
+            yield rest
+
+    return rows.select("uid", "h").repartition("h").sortWithinPartitions("h").mapInArrow(run, "uid long, h long")
+
+
+def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each of the :func:`similar_groups`: its first. Of rows with equal id and text, the one least by its other columns stays."""
+    groups = similar_groups(docs, similarity, shingle, radius, 3, id_col, text_col)
+    first = materialise(groups.where("first").groupBy("k1", "k2").agg(F.count("*").alias("_copies")), "similar-first")
+    named = docs.select("*", *[c.alias(f"_{n}") for n, c in zip(("k1", "k2"), _row_keys(id_col, text_col), strict=True)])
+    kept = named.join(first, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+    more = kept.where("_copies > 1").groupBy("_k1", "_k2").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return kept.where("_copies = 1").select(*docs.columns).unionByName(more)

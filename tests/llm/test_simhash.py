@@ -113,7 +113,8 @@ def test_similar_groups_catch_near_copies_and_spare_others(spark):
     origin = say(200)
     hot = [(5000 + k, edited(rng, origin, 2)) for k in range(150)]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows + hot + [(10, rows[2][1])]], "doc_id long, text string, component_id string")
-    found = simhash.similar_groups(docs)
+    found = simhash.similar_groups(docs).cache()
+    assert {r.doc_id for r in found.where("first").collect()} == {r.component_id for r in found.collect()}
     got = {r.doc_id: r.component_id for r in found.collect()}
     assert found.count() == docs.count() and got[1] == got[2] == 1
     true = {p for p in pairs if brute_similar(texts[p[0]], texts[p[1]]) >= 0.8}
@@ -150,6 +151,54 @@ def test_similar_groups_are_all_components_of_verified_pairs(spark):
     assert got == {i: find(i) for i in texts} and len({got[i] for i in texts if i <= 2000}) == 1
 
 
+@pytest.mark.parametrize("rows", [simhash.ROWS, 40])
+def test_a_large_family_of_unlike_relatives(spark, monkeypatch, rows):
+    """Many copies of one text around the threshold, in buckets that are dealt out in parts: every similar pair is joined, no other."""
+    monkeypatch.setattr(simhash, "ROWS", rows)
+    rng = np.random.default_rng(12)
+    origin = " ".join(f"w{k}" for k in rng.integers(0, 4000, 120))
+    texts = {k: edited(rng, origin, 1 + k % 9) for k in range(220)}
+    texts |= {1000 + k: origin + " " + " ".join(f"u{k}x{x}" for x in range(10 * k)) for k in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    cut = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    prints = {i: brute_print(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and (len(cut[i] & cut[j]) >= 0.8 * len(cut[i] | cut[j]) or (prints[i] ^ prints[j]).bit_count() <= 3):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {i: find(i) for i in texts} and len(set(got.values())) > 2
+
+
+def test_representatives(spark):
+    say = lambda k: " ".join(f"v{k}x{j}" for j in range(60))
+    rows = [(1, say(1), "b"), (1, say(1), "a"), (1, say(2), "c"), (2, say(2), "d"), (None, say(2), "e"), (None, say(3), "f"), (None, say(3), "g"), (4, None, "h"), (3, "", "i"), (5, say(1) + " tail", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first string").repartition(3)
+    assert sorted(r.first for r in simhash.representatives(docs).collect()) == ["a", "c", "f", "i"]
+    assert simhash.representatives(docs).columns == docs.columns
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(0)
+    for n in (3, 64, 65, 130, 1000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[n // 8 :], rng.integers(0, 2**63, n // 8).astype(np.uint64))))
+        c = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        sets = [a, b, c, a[: max(1, int(0.9 * len(a)))]]
+        bucket = simhash.Bucket(np.array([len(x) for x in sets]), [simhash.parity(x, len(x)) for x in sets], 0.7)
+        found = {tuple(sorted((i, j))) for i in range(4) for j in bucket.partners(i).tolist()}
+        alike = {(i, j) for i in range(4) for j in range(i + 1, 4) if len(np.intersect1d(sets[i], sets[j])) >= 0.7 * len(np.union1d(sets[i], sets[j]))}
+        assert alike <= found and (n < 100 or not any(2 in pair for pair in found))
+
+
 def test_shingle_sets_equal_sets_of_words():
     import pyarrow as pa
 
