@@ -1,22 +1,32 @@
 """Benchmark decontamination over a distributed positional inverted index, by DataFrame functions only.
 
-Test items are cut into windows of 13 words. A first pass counts how often each
-test term occurs in the training texts; a window that holds a term without any
-occurrence can't match and goes. Each other window is looked up by its rarest
-term: a second pass posts (term, position) for these anchor terms only, each
-posting with the words around it, so that the remaining offset-adjusted lists
-are intersected in place and nothing but matches is shuffled.
+Test items are cut into windows of 13 words. The index is a stored table of
+postings (row, term, positions in order); terms that no window has are never
+looked up and aren't stored. It has two tiers:
+
+* the lookup tier holds, over all training texts, the two rarest terms of every
+  window (frequencies are counted first; a window with a term that never occurs
+  can't match and goes);
+* where these two lists of a text, shifted by the terms' offsets, leave a place
+  for the window, the text enters the full tier, which holds all its test terms.
+
+A window's matches are then the intersection of its offset-adjusted lists, from
+the rarest term on: an exact phrase where positions less offsets agree; a
+proximity match at each place of the rarest term within whose reach (the window's
+length - 1 + ``slop``) every other term stands, in any order.
 
 Window tables are broadcast in blocks of at most ``BLOCK`` windows; a larger
-benchmark takes one pass over the texts for each block.
+benchmark takes one pass over the texts for each block. Postings shuffle by row
+and term, so a frequent term spreads over all tasks.
 
-Words are compared lower-cased (A-Z only). The lookup key is Spark's
-``lower()``, which merges at least as much; matches are verified exactly.
+Words are compared lower-cased (A-Z only). The join key is Spark's ``lower()``,
+which merges at least as much; joined words are compared exactly.
 
 Defined cases: null text has no words; items without words or without id are
 ignored, repeated item ids count once; documents with equal id and text are
-judged alike, one row each; ids may be null; empty tables give empty results
-or no hits.
+judged alike, one row each; ids may be null; texts of any length are whole;
+columns that bear the name of a result give way to it, others stay; empty tables
+give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -26,9 +36,15 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialise
+
 WINDOW = 13
+#: Words more than its own length that a proximity match may span on either side.
+SLOP = 5
 #: Bound on the windows of one broadcast: a few hundred bytes each.
 BLOCK = 100_000
+#: Rows that a broadcast of row names may hold (32 MB); more are joined by a shuffle.
+MOST_ROWS = 1_000_000
 #: Separators in a text that still has capitals.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,19 +54,13 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def words(text: Column) -> Column:
-    """Words in their own case; the last element may be empty."""
-    w = F.split(F.coalesce(text, F.lit("")), _GAP)
-    return F.when(F.get(w, F.lit(0)) == "", F.slice(w, 2, F.size(w))).otherwise(w)
-
-
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
 
 
 def windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(body, terms, items): distinct windows, lower-cased and joined by blanks, with the ids that have them."""
-    w = F.filter(words(lower_ascii(F.col(text_col))), lambda x: x != "")
+    """(win, n, terms, items): distinct windows of lower-cased words with the ids that have them."""
+    w = F.filter(F.split(lower_ascii(F.col(text_col)), _GAP), lambda x: x != "")
     cut = (
         items.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("item"), F.explode(F.array(w)).alias("w"))
@@ -58,96 +68,132 @@ def windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", tex
         .select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))).alias("at"))
         .select("item", F.slice("w", F.col("at"), window).alias("terms"))
     )
-    return cut.groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.array_join("terms", " ").alias("body"), "terms", "items")
+    return cut.groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.monotonically_increasing_id().alias("win"), F.size("terms").alias("n"), "terms", "items")
 
 
-def _row_keys(id_col: str, text_col: str) -> list[Column]:
+def row_keys(id_col: str, text_col: str) -> list[Column]:
     """128 bits that name a row by id and text."""
     return [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(F.lit(7), text_col, id_col).alias("_k2")]
 
 
-def postings(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
-    """The positional index: (kept columns, words, pos from 0, word, term) for every word."""
-    rows = docs.select(*keep, F.explode(F.array(words(F.col(text_col)))).alias("words"))
-    return rows.select(*keep, "words", F.posexplode("words").alias("pos", "word")).select(*keep, "words", "pos", F.lower("word").alias("term"))
-
-
-def frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, freq) of the given ``terms`` (a table of bounded size) in all texts."""
-    return postings(docs, text_col=text_col).select("term").join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("freq"))
-
-
-def anchored(wins: DataFrame, freq: DataFrame) -> DataFrame:
-    """(term, windows): for each rarest term, the windows looked up by it, with its offset in them."""
-    places = wins.select("body", "terms", "items", F.posexplode("terms").alias("off", "word")).select("body", "terms", "items", "off", F.lower("word").alias("term"))
-    counted = places.join(freq, "term", "left")
-    best = counted.groupBy("body").agg(
-        F.min_by("term", F.struct(F.coalesce("freq", F.lit(0)), "term", "off")).alias("term"),
-        F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "term", "off")).alias("low"),
-        F.first("terms").alias("terms"),
-        F.first("items").alias("items"),
-    )
-    kept = best.where("low.freq > 0").select("term", F.struct(F.col("low.off").alias("off"), F.size("terms").alias("n"), "body", F.array_distinct("terms").alias("terms"), "items").alias("w"))
-    return kept.groupBy("term").agg(F.collect_list("w").alias("windows"))
-
-
-def _found(docs: DataFrame, anchors: DataFrame, keys: list[str], window: int, slop: int | None, text_col: str) -> DataFrame:
-    """(keys, found): the matching windows at each anchor posting."""
-    reach = window - 1 + (slop or 0)
-    near = postings(docs, *keys, text_col=text_col).join(F.broadcast(anchors), "term")
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
-    context = F.slice("words", first + 1, F.col("pos") - first + 1 + reach)
-    here = near.select(*keys, "pos", "windows", F.explode(F.array(F.struct(first.alias("first"), context.alias("words")))).alias("c"))
+def _occurrences(docs: DataFrame, terms: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
+    """(kept columns, pos from 0, term): every place of the ``terms`` (a table of bounded size) in the texts."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lead = text.rlike("^" + _GAP).cast("int")  # a text that begins with separators has an empty part before them
+    rows = docs.select(*keep, lead.alias("_lead"), F.posexplode(F.split(text, _GAP)).alias("_at", "_word"))
+    known = F.broadcast(terms.select("term", F.lower("term").alias("_low")))
+    found = rows.join(known, F.lower("_word") == F.col("_low")).where(lower_ascii(F.col("_word")) == F.col("term"))
+    return found.select(*keep, (F.col("_at") - F.col("_lead")).alias("pos"), "term")
 
-    def holds(w: Column) -> Column:
-        if slop is None:
-            at = F.col("pos") - w["off"]
-            return (at >= 0) & (lower_ascii(F.array_join(F.slice("c.words", F.greatest(at - F.col("c.first"), F.lit(0)) + 1, w["n"]), " ")) == w["body"])
-        a = F.greatest(F.col("pos") - w["n"] + 1 - slop, F.lit(0))
-        span = F.slice("c.words", a - F.col("c.first") + 1, F.col("pos") - a + w["n"] + slop)
-        return F.size(F.array_except(w["terms"], F.split(lower_ascii(F.array_join(span, " ")), " "))) == 0
 
-    match = F.filter("windows", holds)
-    out = F.transform(match, lambda w: F.struct((F.col("pos") - w["off"]).alias("start"), w["n"].alias("n"), w["items"].alias("items")))
-    return here.select(*keys, out.alias("found")).where(F.size("found") > 0)
+def postings(docs: DataFrame, terms: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, term, at): the positions of each of the ``terms`` in each row, ascending; rows with equal keys count once."""
+    found = _occurrences(docs, terms, *keys, text_col=text_col)
+    return found.groupBy(*keys, "term").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
 
-def matches(docs: DataFrame, items: DataFrame, keys: list[str], window: int = WINDOW, slop: int | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(keys, found array<struct<start, n, items>>): windows at their first words.
-
-    ``slop`` None: exact phrases. Else proximity: every word of the window
-    stands within its length - 1 + ``slop`` words of the rarest one, in any order.
+def frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, freq) of the given ``terms`` (a table of bounded size) in all texts."""
+    return _occurrences(docs, terms, text_col=text_col).groupBy("term").agg(F.count("*").alias("freq"))
+
+
+def ranked(wins: DataFrame, freq: DataFrame) -> DataFrame:
+    """(win, n, items, lists, t1, o1, t2, o2): windows all of whose terms occur; ``lists``: their (freq, term, off), the rarest first; the two rarest terms with an offset of each."""
+    places = wins.select("win", F.posexplode("terms").alias("off", "term")).join(freq, "term", "left")
+    lists = places.groupBy("win").agg(F.min(F.coalesce("freq", F.lit(0))).alias("least"), F.sort_array(F.collect_list(F.struct("freq", "term", "off"))).alias("lists")).where("least > 0")
+    first = F.get("lists", F.lit(0))
+    second = F.get(F.filter("lists", lambda x: x["term"] != F.col("lists")[0]["term"]), F.lit(0))
+    live = lists.join(wins.select("win", "n", "items"), "win")
+    return live.select("win", "n", "items", "lists", first["term"].alias("t1"), first["off"].alias("o1"), second["term"].alias("t2"), second["off"].alias("o2"))
+
+
+def _reach(slop: int | None) -> Column:
+    """How far from the rarest term the other terms of a window may stand."""
+    return F.greatest(F.col("n") - 1 + (slop or 0), F.lit(1))
+
+
+def _around(at: Column, reach: Column) -> Column:
+    """All places within ``reach`` of those given."""
+    return F.flatten(F.transform(at, lambda q: F.sequence(q - reach, q + reach)))
+
+
+def _candidates(index: DataFrame, live: DataFrame, keys: list[str], slop: int | None) -> DataFrame:
+    """(keys, win): texts whose lists of a window's two rarest terms leave a place for it."""
+    first = index.join(F.broadcast(live.select("win", "n", "t1", "t2")), F.col("term") == F.col("t1")).select(*keys, "win", "n", "t2", F.col("at").alias("l1"))
+    second = index.select(*keys, F.col("term").alias("t2"), F.col("at").alias("l2"))
+    both = first.where("t2 is not null").join(second, [*keys, "t2"])
+    bins = lambda c, wide: F.transform(c, lambda p: F.floor(p / _reach(slop)) + wide)
+    meet = F.arrays_overlap(F.concat(bins("l1", -1), bins("l1", 0), bins("l1", 1)), bins("l2", 0))
+    return first.where("t2 is null").select(*keys, "win").unionByName(both.where(meet).select(*keys, "win"))
+
+
+def _intersected(cand: DataFrame, index: DataFrame, live: DataFrame, keys: list[str], slop: int | None) -> DataFrame:
+    """(keys, n, items, starts, near): the places of each candidate's window, by intersection from the rarest term on."""
+    need = live.select("win", "n", F.posexplode("lists").alias("rank", "x")).select("win", "n", "rank", F.col("x.term").alias("term"), F.col("x.off").alias("off"))
+    lists = cand.join(F.broadcast(need), "win").join(index, [*keys, "term"])
+    told = lists.groupBy(*keys, "win").agg(F.sort_array(F.collect_list(F.struct("rank", "off", "term", "at"))).alias("l"), F.first("n").alias("n"))
+    told = told.where(F.size("l") == F.col("n"))
+    shifted = lambda x: F.transform(x["at"], lambda p: p - x["off"])
+    rest = lambda c: F.slice(c, 2, F.size(c))
+    starts = F.aggregate(rest(F.col("l")), F.filter(shifted(F.get("l", F.lit(0))), lambda p: p >= 0), lambda acc, x: F.when(F.size(acc) > 0, F.array_intersect(acc, shifted(x))).otherwise(acc))
+    near = F.array().cast("array<int>")
+    if slop is not None:
+        others = F.filter("l", lambda x, k: (k > 0) & (x["term"] != F.get("l", k - 1)["term"]))  # equal terms stand side by side
+        near = F.aggregate(others, F.get("l", F.lit(0))["at"], lambda acc, x: F.when(F.size(acc) > 0, F.array_intersect(acc, _around(x["at"], _reach(slop)))).otherwise(acc))
+    out = told.select(*keys, "win", starts.alias("starts"), near.alias("near")).where((F.size("starts") > 0) | (F.size("near") > 0))
+    return out.join(F.broadcast(live.select("win", "n", "items")), "win").select(*keys, "n", "items", "starts", "near")
+
+
+def matches(docs: DataFrame, items: DataFrame, keys: list[str], window: int = WINDOW, slop: int | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int | None = None) -> DataFrame:
+    """(keys, n, items, starts, near): a row for each window found in a row of ``docs``.
+
+    ``starts``: first words of its exact phrases; ``near``, unless ``slop`` is
+    None: places of its rarest term within whose reach all its terms stand.
+    ``keys`` name a row; rows with equal keys must have equal texts.
     """
-    from ..storage import materialise
-
+    block = block or BLOCK
     wins = materialise(windows(items, window, item_col, item_text), "windows")
+    blocks = max(1, -(-wins.count() // block))
     out = None
-    for b in range(max(1, -(-wins.count() // block))):
-        part = wins if b == 0 and wins.count() <= block else wins.where(F.pmod(F.xxhash64("body"), F.lit(-(-wins.count() // block))) == b)
-        terms = part.select(F.explode("terms").alias("word")).select(F.lower("word").alias("term")).distinct()
-        anchors = materialise(anchored(part, frequencies(docs, terms, text_col)), "anchors")
-        found = _found(docs, anchors, keys, window, slop, text_col)
+    for b in range(blocks):
+        part = wins if blocks == 1 else wins.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b)
+        terms = part.select(F.explode("terms").alias("term")).distinct()
+        freq = materialise(frequencies(docs, terms, text_col), "frequencies")
+        live = materialise(ranked(part, freq), "live-windows")
+        index = materialise(postings(docs, live.select(F.explode(F.array("t1", "t2")).alias("term")).where("term is not null").distinct(), keys, text_col), "lookup-postings")
+        cand = materialise(_candidates(index, live, keys, slop).distinct(), "candidates")
+        rows = materialise(cand.select(*keys).distinct(), "candidate-rows")
+        small = F.broadcast(rows) if rows.count() <= MOST_ROWS else rows
+        names = [F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in keys]
+        here = docs.join(small.select(*[F.col(k).alias(f"_own_{k}") for k in keys]), names, "left_semi")
+        full = materialise(postings(here, live.select(F.explode("lists.term").alias("term")).distinct(), keys, text_col), "postings")
+        found = materialise(_intersected(cand, full, live, keys, slop), "matches")
+        discard(freq, live, index, cand, rows, full)
         out = found if out is None else out.unionByName(found)
+    discard(wins)
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_hit, items (sorted ids), n_items, contaminated (``share`` * n_hit >= n_words > 0 and a hit).
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int | None = None) -> DataFrame:
+    """``docs`` with n_words, n_hit, items (sorted ids), n_items, contaminated (``share`` * n_hit >= n_words > 0 and a hit), n_near and near_items (windows and ids of proximity matches, exact ones included).
 
     Columns of ``docs`` with these names give way to the new ones.
     """
-    own = ["n_words", "n_hit", "items", "n_items", "contaminated"]
-    keyed = docs.select(id_col, text_col).select("*", *_row_keys(id_col, text_col))
-    found = matches(keyed, items, ["_k1", "_k2"], window, None, text_col, item_col, item_text)
+    own = ["n_words", "n_hit", "items", "n_items", "contaminated", "n_near", "near_items"]
+    keyed = docs.select(id_col, text_col).select("*", *row_keys(id_col, text_col))
+    found = matches(keyed, items, ["_k1", "_k2"], window, slop, text_col, item_col, item_text)
     # the matches of one document; their number is bounded by its words and the windows at each
-    per_doc = found.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("found")).alias("found"))
-    spans = F.sort_array(F.array_distinct(F.transform("found", lambda x: F.struct(x["start"], (x["start"] + x["n"]).alias("end")))))
+    per_doc = found.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("n", "items", "starts", "near")).alias("found"))
+    spans = F.flatten(F.transform("found", lambda x: F.transform(x["starts"], lambda s: F.struct(s.alias("start"), (s + x["n"]).alias("end")))))
     zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"))
-    hit = F.aggregate(spans, zero, lambda acc, x: F.struct((acc["hit"] + F.greatest(x["end"] - F.greatest(x["start"], acc["end"]), F.lit(0))).alias("hit"), F.greatest(x["end"], acc["end"]).alias("end")), lambda acc: acc["hit"])
-    told = per_doc.select("_k1", "_k2", hit.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"])))).alias("items"))
+    hit = F.aggregate(F.sort_array(spans), zero, lambda acc, x: F.struct((acc["hit"] + F.greatest(x["end"] - F.greatest(x["start"], acc["end"]), F.lit(0))).alias("hit"), F.greatest(x["end"], acc["end"]).alias("end")), lambda acc: acc["hit"])
+    of = lambda name: F.filter("found", lambda x: F.size(x[name]) > 0)
+    ids = lambda name: F.sort_array(F.array_distinct(F.flatten(F.transform(of(name), lambda x: x["items"]))))
+    told = per_doc.select("_k1", "_k2", hit.alias("n_hit"), ids("starts").alias("items"), F.size(of("near")).alias("n_near"), ids("near").alias("near_items"))
     kept = [c for c in docs.columns if c not in own]
-    base = docs.select(*kept, *_row_keys(id_col, text_col), n_words(F.col(text_col)).alias("n_words"))
+    base = docs.select(*kept, *row_keys(id_col, text_col), n_words(F.col(text_col)).alias("n_words"))
     joined = base.join(told, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     kind = items.schema[item_col].dataType.simpleString()
-    out = joined.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast(f"array<{kind}>")))
+    none = F.array().cast(f"array<{kind}>")
+    out = joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_hit", "n_near")} | {c: F.coalesce(c, none) for c in ("items", "near_items")})
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

@@ -26,9 +26,9 @@ def tokenizer_path() -> str:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontamination.SLOP)
     ids = F.array_join(F.sort_array(F.col("items").cast("array<string>")), ",")
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated", "n_near", F.size("near_items").cast("long").alias("n_near_items"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,10 +154,21 @@ firsts AS (SELECT DISTINCT t[1] AS f FROM win),
 cand AS (SELECT row_id, at0, n, w[at0 : at0 + n - 1] AS t FROM pos JOIN firsts ON w[at0] = f CROSS JOIN sized),
 hits AS (SELECT DISTINCT row_id, at0, n, item_id FROM cand JOIN win USING (t) WHERE len(t) = n),
 cover AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(at0, at0 + n)) AS p FROM hits) GROUP BY 1),
-ids AS (SELECT row_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT row_id, item_id FROM hits) GROUP BY 1)
+ids AS (SELECT row_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT row_id, item_id FROM hits) GROUP BY 1),
+terms AS (SELECT DISTINCT unnest(t) AS term FROM win),
+posted AS (SELECT row_id, at0, w[at0] AS term FROM pos JOIN terms ON w[at0] = term),
+freq AS (SELECT term, count(*) AS f FROM posted GROUP BY 1),
+wide AS (SELECT t, term, f FROM (SELECT DISTINCT t, unnest(t) AS term FROM win) LEFT JOIN freq USING (term)),
+rare AS (SELECT t, arg_min(term, (f, term)) AS term, len(t) - 1 + {decontamination.SLOP} AS reach, count(*) AS m FROM wide GROUP BY t HAVING count(f) = count(*)),
+places AS (SELECT row_id, at0, t, m, reach FROM rare JOIN posted USING (term)),
+near AS (
+  SELECT p.row_id, p.t FROM places p JOIN wide USING (t) JOIN posted o ON o.row_id = p.row_id AND o.term = wide.term AND o.at0 BETWEEN p.at0 - p.reach AND p.at0 + p.reach
+  GROUP BY p.row_id, p.t, p.at0, p.m HAVING count(DISTINCT o.term) = p.m
+),
+close AS (SELECT row_id, count(DISTINCT t) AS n_near, count(DISTINCT item_id) AS n_near_items FROM near JOIN win USING (t) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN cover USING (row_id) LEFT JOIN ids USING (row_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN cover USING (row_id) LEFT JOIN ids USING (row_id) LEFT JOIN close USING (row_id)
 """
 
 
