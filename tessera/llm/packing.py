@@ -50,6 +50,11 @@ from .text import mix64, run_starts
 K1, B = 1.2, 0.75
 
 
+def size_of(told: dict) -> int:
+    """One more than the greatest id of a parsed file."""
+    return max([*told["model"]["vocab"].values(), *(t["id"] for t in told.get("added_tokens", []))]) + 1
+
+
 class ByteBpe:
     """Ids of texts under a byte-level BPE ``tokenizers`` file, given as its JSON text."""
 
@@ -57,7 +62,7 @@ class ByteBpe:
         self.spec, self._slow = spec, None
         told = json.loads(spec)
         vocab, self.added = told["model"]["vocab"], {t["content"]: t["id"] for t in told.get("added_tokens", [])}
-        self.size = max([*vocab.values(), *self.added.values()]) + 1
+        self.size = size_of(told)
         before, plain = told.get("pre_tokenizer") or {}, ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
         usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self._fast = self._merger(told["model"]) if usual and told.get("normalizer") is None and not any(told["model"].get(k) for k in plain) else None
@@ -297,7 +302,7 @@ def routed(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_
     """(id, ids in bytes) in ranges of their sketches, and the size of the vocabulary."""
     with open(tokenizer, "rb") as f:
         spec = zlib.compress(f.read())
-    vocab = max(loaded(spec).size, end_id + 1)
+    vocab = max(size_of(json.loads(zlib.decompress(spec))), end_id + 1)
     key = T.StructField("key", docs.schema[id_col].dataType)
     ids = T.StructField("ids", T.BinaryType())
     told = T.StructType([key, ids, T.StructField("df", T.ArrayType(T.LongType()))])
