@@ -6,11 +6,17 @@ back, so that a lost executor never costs more than the stage at hand.
 
 * quality rules: rejected documents go;
 * near duplicates: fingerprints within three bits, or five-word shingle sets of a
-  verified similarity of 0.8 or more; of each group the document with the least
-  id stays (rows that repeat an id count once, rows without an id stay);
-* decontamination: contaminated documents go;
+  verified similarity of 0.8 or more; of each group one document stays, that of
+  the least id (null ids last; of one id, the text of the least hash);
+* decontamination: documents with any benchmark window go, however long they are;
 * secrets: every found span is replaced by a mark, documents stay;
 * packing: the pieces of fixed windows, as op10 returns them.
+
+Defined cases: null texts are empty, fail the quality rules and go; rows are told
+apart by id and text, and of rows equal in both the one least by its other
+columns stays; texts of any length are whole; columns that bear the name of an
+operator's result keep their own values, for every stage but the last returns
+the columns of its input; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -36,15 +42,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = docs.where("doc_id is not null")
-    first = simhash.similar_groups(named).where("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    return simhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.contamination(docs, benchmark).where("not contaminated").select(*docs.columns)
+    return decontamination.contamination(docs, benchmark).where("n_hit = 0").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
