@@ -58,7 +58,8 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^ \t\n\r\f\x0b]+"))
 
 
-TEST_PATTERNS = [r"(^|/)tests?/", r"(^|/)__tests__/", r"\.(test|spec)\.[^/]+$", r"(^|/)test_[^/]+\.py$", r"_test\.[^/]+$"]
+# Where tests are, in any case of letters.
+TEST_PATTERNS = [r"(^|/)__tests__(/|$)", r"(^|/)test(s)?(/|$)", r"(^|/)spec(s)?(/|$)", r"\.(test|spec)\.[^./]+$", r"(^|/)[^/]*[-_.](test|spec)\.[^./]+$"]
 
 
 def is_test_file(path: Column, extra: Sequence[str] = ()) -> Column:
@@ -68,10 +69,16 @@ def is_test_file(path: Column, extra: Sequence[str] = ()) -> Column:
     return out
 
 
+# Surfaces by the lower-cased path.
+DOCS_SUFFIXES = [".md", ".mdx", ".rst", ".adoc", ".txt"]
+CONFIG_SUFFIXES = [".json", ".yaml", ".yml", ".toml", ".ini", ".env"]
+
+
 def surface(path: Column) -> Column:
     """docs, config or code by path."""
     low = F.lower(path)
-    return F.when(low.rlike(r"(^|/)docs?/|\.(md|mdx|rst|adoc|txt)$"), "docs").when(low.rlike(r"\.(json|ya?ml|toml|ini|cfg)$|(^|/)\.[^/]+$"), "config").otherwise("code")
+    ends = lambda names: "|".join(re.escape(n) for n in names)
+    return F.when(low.rlike(rf"^readme\.md$|^docs/|({ends(DOCS_SUFFIXES)})$"), "docs").when(low.rlike(rf"({ends(CONFIG_SUFFIXES)})$|^dockerfile$|^\.github/"), "config").otherwise("code")
 
 
 def under(path: Column, roots: Sequence[str]) -> Column:
@@ -106,18 +113,38 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+# How SQL files show their role.
+SCHEMA_NAMES = ["schema.sql", "structure.sql", "init.sql", "database.sql"]
+ROLE_FOLDERS = {
+    "dump": ["dump", "dumps", "backup", "backups"],
+    "seed": ["seed", "seeds"],
+    "fixture": ["fixture", "fixtures", "testdata"],
+    "migration": ["migration", "migrations"],
+    "routine": ["routine", "routines", "functions", "procedures"],
+    "query": ["query", "queries", "reports", "analytics"],
+}
+MIGRATION_PLACES = ["/db/migrate/", "/schema/migrations/", "/database/migrations/", "/alembic/versions/"]
+MIGRATION_NAME = r"^(?:\d{3,}|\d{14}|v\d+__)[\w.-]*\.sql$"
+DUMP_TEXT = r"(?i)\b(copy\s+\w+\s+from|load\s+data|pg_dump|mysqldump)\b"
+DDL_TEXT = r"(?i)\b(alter\s+table|create\s+index|drop\s+(?:table|column|index|view)|rename\s+to)\b"
+QUERY_TEXT = r"(?i)\b(select|with|update|delete|insert\s+into)\b"
+TABLE_TEXT = r"(?i)\bcreate\s+table\b"
+
+
 def sql_role(path: Column, text: Column) -> Column:
-    """Role of an SQL file, by path first and then by its statements."""
-    low = F.lower(path)
-    n = lambda p: F.regexp_count(text, F.lit(f"(?i){p}"))
+    """Role of an SQL file: schema_snapshot, dump, seed, fixture, migration, routine, query or unknown."""
+    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    base = F.regexp_extract(low, r"([^/]*)$", 1)
+    folder = lambda role: low.rlike("(^|/)(" + "|".join(ROLE_FOLDERS[role]) + ")(/|$)")
+    migration = folder("migration") | low.rlike("|".join(MIGRATION_PLACES)) | base.rlike(MIGRATION_NAME)
     return (
-        F.when(low.rlike(r"(^|/)migrations?/|(^|/)v?\d+[_-][^/]*\.sql$"), "migration")
-        .when(low.rlike(r"(^|/)seeds?/|seed[^/]*\.sql$"), "seed")
-        .when(low.rlike(r"dump[^/]*\.sql$"), "dump")
-        .when(low.rlike(r"schema[^/]*\.sql$"), "schema")
-        .when(n(r"\bcreate\s+(table|view|index)\b") > n(r"\bselect\b"), "schema")
-        .when(n(r"\binsert\s+into\b") > n(r"\bselect\b"), "seed")
-        .when(n(r"\bselect\b") > 0, "query")
+        F.when(base.isin(SCHEMA_NAMES) | ((F.regexp_count(text, F.lit(TABLE_TEXT)) >= 2) & ~migration), "schema_snapshot")
+        .when(folder("dump") | text.rlike(DUMP_TEXT), "dump")
+        .when(folder("seed"), "seed")
+        .when(folder("fixture"), "fixture")
+        .when(migration | text.rlike(DDL_TEXT), "migration")
+        .when(folder("routine"), "routine")
+        .when(folder("query") | text.rlike(QUERY_TEXT), "query")
         .otherwise("unknown")
     )
 

@@ -1,4 +1,4 @@
-"""Drift, change impact, API surface, links and small reports."""
+"""Changed symbols, review risk, API surface, links and small reports."""
 
 from __future__ import annotations
 
@@ -6,55 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import materialise
 from . import graphs
 
-# --- drift ------------------------------------------------------------------------------------
-
-_KEY = ["from_path", "to_path", "to_type"]
-
-
-def edge_drift(base: DataFrame, head: DataFrame) -> DataFrame:
-    """(kind, from_path, to_path, to_type): edges added, removed, or flipped between type-only and value."""
-    a = base.groupBy(*_KEY).agg(F.bool_and("type_only").alias("t_base"))
-    b = head.groupBy(*_KEY).agg(F.bool_and("type_only").alias("t_head"))
-    kind = F.when(F.col("t_base").isNull(), "edge_added").when(F.col("t_head").isNull(), "edge_removed").when(F.col("t_base") != F.col("t_head"), "type_changed")
-    return a.join(b, _KEY, "full_outer").select(kind.alias("kind"), *_KEY).where("kind is not null")
-
-
-def hotspot_drift(files: DataFrame, base: DataFrame, head: DataFrame, jump: int = 20) -> DataFrame:
-    """(file, base_score, head_score) where the score rose by ``jump`` or more; absent counts as 0."""
-    a = graphs.hotspots(files, base, None).select("file", F.col("score").alias("base_score"))
-    b = graphs.hotspots(files, head, None).select("file", F.col("score").alias("head_score"))
-    return a.join(b, "file", "full_outer").na.fill(0).where(F.col("head_score") - F.col("base_score") >= jump)
-
-
-def set_drift(base: DataFrame, head: DataFrame, added: str, removed: str) -> DataFrame:
-    """(kind, key) of keys on one side only."""
-    a, b = base.select("key").distinct(), head.select("key").distinct()
-    new = b.join(a, "key", "left_anti").select(F.lit(added).alias("kind"), "key")
-    return new.unionByName(a.join(b, "key", "left_anti").select(F.lit(removed).alias("kind"), "key"))
-
-
-SEVERITY = {"cycle_added": "high", "hotspot_jump": "high", "api_removed": "high", "edge_added": "low", "edge_removed": "low", "type_changed": "low"}
-
-
-def drift(files: DataFrame, symbols_base: DataFrame, symbols_head: DataFrame, base: DataFrame, head: DataFrame, jump: int = 20, limit: int = 100) -> DataFrame:
-    """(kind, severity, key): the gravest findings between two snapshots."""
-    base, head = materialise(base, "drift-base"), materialise(head, "drift-head")  # each is read by six findings
-    edge = edge_drift(base, head).select("kind", F.concat_ws("\u0000", *_KEY).alias("key"))
-    hot = hotspot_drift(files, base, head, jump).select(F.lit("hotspot_jump").alias("kind"), F.col("file").alias("key"))
-    loops = set_drift(graphs.cycles(base).select(F.col("files").alias("key")), graphs.cycles(head).select(F.col("files").alias("key")), "cycle_added", "cycle_removed")
-    name = lambda t: t.where("to_type = 'external'").select(F.concat_ws("\u0000", "from_path", "to_path").alias("key"))
-    missing = set_drift(name(base), name(head), "unresolved_added", "unresolved_removed")
-    public = lambda t: t.where("exported").select(F.concat(F.col("file"), F.lit("#"), F.col("name"), F.lit(":"), F.col("kind")).alias("key"))
-    api = set_drift(public(symbols_base), public(symbols_head), "api_added", "api_removed")
-    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    grade = F.lit("medium")
-    for kind, severity in SEVERITY.items():
-        grade = F.when(F.col("kind") == kind, severity).otherwise(grade)
-    rows = edge.unionByName(hot).unionByName(loops).unionByName(missing).unionByName(api)
-    return rows.select("kind", grade.alias("severity"), "key").orderBy(rank, "kind", "key").limit(limit)
+# --- changes ----------------------------------------------------------------------------------
 
 
 def hash_diff(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -67,30 +21,6 @@ def hash_diff(base: DataFrame, head: DataFrame) -> DataFrame:
 # --- impact -----------------------------------------------------------------------------------
 
 
-def severity(reason: Column, exported: Column, fan_in: Column, same_file: Column, type_only: Column, depth: Column) -> Column:
-    """s / (1 + s) of the product of weights."""
-    weight = F.when(reason == "direct", 1.0).when(reason == "namespace", 0.8).when(reason == "alias", 0.6).when(reason == "transitive", 0.4).otherwise(0.36)
-    s = weight * F.when(exported, 1.2).otherwise(1.0) * (1 + F.least(F.log10(fan_in + F.lit(1)), F.lit(1.0))) * F.when(same_file, 1.2).otherwise(1.0) * F.when(type_only, 0.7).otherwise(1.0) * F.pow(F.lit(0.8), depth)
-    return s / (1 + s)
-
-
-def propagate(edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
-    """(file, depth, confidence): importers of changed files, level by level.
-
-    Confidence decays by 0.85 an edge (0.75 if it is type-only) and 0.95 a level,
-    within 0.2 and 1; a file takes its least depth and the best confidence there.
-    """
-    inner = edges.where("to_type = 'file'").groupBy("from_path", "to_path").agg(F.bool_and("type_only").alias("type_only"))
-    level = changed.select(F.col("file"), F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"))
-    reached = level
-    for d in range(1, depth + 1):
-        up = F.col("confidence") * F.when(F.col("type_only"), 0.75).otherwise(0.85) * 0.95**d
-        step = level.join(inner, F.col("file") == F.col("to_path")).select(F.col("from_path").alias("next"), F.least(F.lit(1.0), F.greatest(F.lit(0.2), up)).alias("c"))
-        level = step.groupBy(F.col("next").alias("file")).agg(F.lit(d).alias("depth"), F.max("c").alias("confidence")).join(reached.select("file"), "file", "left_anti").select("file", "depth", "confidence")
-        reached = reached.unionByName(level)
-    return reached.where("depth > 0")
-
-
 def changed_symbols(lines: DataFrame, symbols: DataFrame, width: int = 64) -> DataFrame:
     """(file, line, id) of the innermost symbol around each changed line; symbols carry ``start`` and ``end``."""
     spread = symbols.select("file", "id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bin"))
@@ -115,10 +45,18 @@ def affected_tests(edges: DataFrame, changed: DataFrame, is_test, depth: int = 1
 # --- surfaces, links, trees -------------------------------------------------------------------
 
 
-def unused_exports(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """Exported symbols that no other symbol refers to."""
+def unused_exports(symbols: DataFrame, edges: DataFrame, entries: DataFrame | None = None, reexported: DataFrame | None = None, opaque: DataFrame | None = None) -> DataFrame:
+    """Exported symbols that no other symbol refers to.
+
+    Left out are those of entry files (``entries``: file), of files that others
+    pass on (``reexported``: file), and of files whose importers can't be known,
+    as by dynamic imports (``opaque``: file).
+    """
     used = edges.where("from_id != to_id").select(F.col("to_id").alias("id"))
-    return symbols.where("exported").join(used, "id", "left_anti").select("id", "name", "file")
+    rows = symbols.where("exported").join(used, "id", "left_anti")
+    for kept in (entries, reexported, opaque):
+        rows = rows if kept is None else rows.join(kept.select("file"), "file", "left_anti")
+    return rows.select("id", "name", "file")
 
 
 def undocumented(symbols: DataFrame) -> DataFrame:
@@ -138,12 +76,44 @@ def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     return pages.select(id_col, F.explode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
 
 
-def broken_links(found: DataFrame, known: DataFrame) -> DataFrame:
-    """``found`` with status: external, fragment, ok or missing_file; ``known`` has a column ``path``."""
-    rows = found.withColumn("path", F.regexp_replace("target", "[#?].*$", ""))
-    paths = known.select("path").distinct().withColumn("_known", F.lit(True))
-    status = F.when(F.col("target").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:|^//"), "external").when(F.col("target").startswith("#"), "fragment").when(F.col("_known"), "ok").otherwise("missing_file")
-    return rows.join(paths, "path", "left").withColumn("status", status).drop("_known", "path")
+def folded(path: Column) -> Column:
+    """``path`` without ``.`` and ``..`` segments, in any number; what leads above the top keeps its ``..``."""
+    none = F.array().cast("array<string>")
+    step = lambda acc, x: F.when((x == "") | (x == "."), acc).when((x == "..") & (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), acc), -1) != ".."), F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+
+
+def broken_links(found: DataFrame, known: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """``found`` (file, destination, ...) with resolved and status.
+
+    The states: ``missing_reference`` (a null destination), ``external``,
+    ``outside_root``, ``missing_file``, ``missing_fragment``, ``ok``. Paths are
+    relative to the file's folder, or to the root with a leading slash; ``known``:
+    (path) of all files and folders; ``anchors``: (path, anchor) of documents,
+    which are the only files whose fragments are looked at.
+    """
+    bare = F.regexp_replace("destination", "[?#].*$", "")
+    fragment = F.nullif(F.regexp_extract("destination", "#(.*)$", 1), F.lit(""))
+    base = F.regexp_replace("file", "[^/]*$", "")
+    place = F.when(bare == "", F.col("file")).when(bare.startswith("/"), bare).otherwise(F.concat(base, bare))
+    external = F.col("destination").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:|^//")
+    rows = found.select("*", fragment.alias("_fragment"), external.alias("_external"), folded(place).alias("resolved"))
+    paths = known.select(F.col("path").alias("resolved")).distinct().withColumn("_known", F.lit(True))
+    rows = rows.join(paths, "resolved", "left")
+    if anchors is None:
+        rows = rows.withColumn("_document", F.lit(None).cast("boolean")).withColumn("_anchor", F.lit(None).cast("boolean"))
+    else:
+        rows = rows.join(anchors.select(F.col("path").alias("resolved")).distinct().withColumn("_document", F.lit(True)), "resolved", "left")
+        rows = rows.join(anchors.select(F.col("path").alias("resolved"), F.col("anchor").alias("_fragment")).distinct().withColumn("_anchor", F.lit(True)), ["resolved", "_fragment"], "left")
+    status = (
+        F.when(F.col("destination").isNull(), "missing_reference")
+        .when(F.col("_external"), "external")
+        .when(F.col("resolved").rlike(r"^\.\.(/|$)"), "outside_root")
+        .when(F.col("_known").isNull(), "missing_file")
+        .when(F.col("_fragment").isNotNull() & F.col("_document") & F.col("_anchor").isNull(), "missing_fragment")
+        .otherwise("ok")
+    )
+    return rows.withColumn("status", status).drop("_fragment", "_external", "_known", "_document", "_anchor")
 
 
 def tree(paths: DataFrame, depth: int = 3) -> DataFrame:
@@ -175,12 +145,22 @@ def resolution_coverage(files: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("language").agg(count(inner & (kind == "precise"), "precise"), count(inner & (kind == "heuristic"), "heuristic"), count(inner & (kind == ""), "none"), count(~inner, "external"))
 
 
-_REF = r"""(?i)<(a|area|link|script|img|iframe|form|source|embed)\b[^>]*?\s(href|src|action)\s*=\s*"([^"]*)\""""
+# The attributes that refer to other files.
+HTML_ATTRIBUTES = {"script": ["src"], "link": ["href"], "a": ["href"], "img": ["src", "srcset"], "source": ["src", "srcset"], "video": ["src"], "audio": ["src"], "iframe": ["src"], "track": ["src"]}
+_TAG = r"""(?i)<(%s)\b((?:[^>"']|"[^"]*"|'[^']*')*)>""" % "|".join(HTML_ATTRIBUTES)
+_ATTRIBUTE = r"""(?i)(?<![\w:.-])(href|srcset|src)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def html_references(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, tag, attribute, target) of every quoted reference in a tag."""
+    """(id, tag, attribute, target) of every reference in a tag, quoted in either way or bare; a srcset has one for each candidate."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    part = lambda k: F.regexp_extract_all(html, F.lit(_REF), F.lit(k))
-    rows = pages.select(id_col, F.inline(F.arrays_zip(part(1).alias("tag"), part(2).alias("attribute"), part(3).alias("target"))))
-    return rows.select(id_col, F.lower("tag").alias("tag"), F.lower("attribute").alias("attribute"), "target")
+    part = lambda text, p, k: F.regexp_extract_all(text, F.lit(p), F.lit(k))
+    tags = pages.select(id_col, F.inline(F.arrays_zip(F.transform(part(html, _TAG, 1), F.lower).alias("tag"), part(html, _TAG, 2).alias("body"))))
+    rows = tags.select(id_col, "tag", F.inline(F.arrays_zip(F.transform(part(F.col("body"), _ATTRIBUTE, 1), F.lower).alias("attribute"), part(F.col("body"), _ATTRIBUTE, 2).alias("value"))))
+    allowed = F.lit(False)
+    for tag, names in HTML_ATTRIBUTES.items():
+        allowed = allowed | ((F.col("tag") == tag) & F.col("attribute").isin(names))
+    value = F.regexp_replace("value", r"""^["']|["']$""", "")
+    many = F.transform(F.split(value, ","), lambda x: F.regexp_extract(x, r"^\s*(\S*)", 1))
+    out = rows.where(allowed).select(id_col, "tag", "attribute", F.explode(F.when(F.col("attribute") == "srcset", many).otherwise(F.array(F.trim(value)))).alias("target"))
+    return out.where("target != ''")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import materialise
-from . import duplicates, graphs, reports
+from . import duplicates, graphs, impact, reports
 from .components import connected_components
 
 
@@ -67,7 +67,7 @@ def surface_hash(symbols: DataFrame) -> DataFrame:
 
 def surface_area(files: DataFrame, edges: DataFrame, changed: DataFrame, depth: int = 2) -> DataFrame:
     """(file, fan_in, fan_out, changed, impacted) of all files."""
-    spread = reports.propagate(edges, changed, depth).select("file", F.lit(True).alias("impacted"))
+    spread = impact.propagate(edges, changed, depth).where("not seed").select("file", F.lit(True).alias("impacted"))
     marks = changed.select("file", F.lit(True).alias("changed"))
     rows = graphs.hotspots(files, edges, None).join(marks, "file", "left").join(spread, "file", "left")
     return rows.select("file", "fan_in", "fan_out", F.coalesce("changed", F.lit(False)).alias("changed"), F.coalesce("impacted", F.lit(False)).alias("impacted"))
@@ -107,16 +107,40 @@ def orient(files: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 10)
     return a.unionByName(b).unionByName(c)
 
 
-def review(files: DataFrame, edges: DataFrame, symbols: DataFrame, changed: DataFrame, is_test, depth: int = 2) -> DataFrame:
-    """One row: counts of changed and impacted files, changed symbols and candidate tests, and the risk score."""
-    near = changed.select("file")
-    n_changed, n_symbols = near.agg(F.count("*").alias("changed_files")), symbols.join(near, "file", "left_semi").agg(F.count("*").alias("changed_symbols"), F.coalesce(F.bool_or("exported"), F.lit(False)).alias("exported"))
-    impacted = reports.propagate(edges, near, depth).agg(F.count("*").alias("impacted_files"))
-    tests = candidate_tests(edges, near, is_test).agg(F.count("*").alias("tests"))
-    row = {**n_changed.first().asDict(), **n_symbols.first().asDict(), **impacted.first().asDict(), **tests.first().asDict()}
-    one = files.sparkSession.createDataFrame([tuple(row.values())], "changed_files long, changed_symbols long, exported boolean, impacted_files long, tests long")
-    zero = F.lit(0)
-    return one.withColumn("risk", reports.review_risk(F.col("exported"), F.col("changed_symbols"), F.col("changed_files"), zero, zero))
+def review(files: DataFrame, edges: DataFrame, symbols: DataFrame, changed: DataFrame, is_test, depth: int = 2, failures: int = 0) -> DataFrame:
+    """One row: counts of changed, missing and impacted files, changed symbols and candidate tests, and the risk score.
+
+    ``changed``: (file); files that aren't in ``files`` are missing. ``failures``: changed files that couldn't be read.
+    """
+    near = materialise(changed.select("file").distinct(), "review")
+    told = {
+        "changed_files": near.agg(F.count("*").alias("n")),
+        "missing": near.join(files.select(F.col("path").alias("file")), "file", "left_anti").agg(F.count("*").alias("n")),
+        "changed_symbols": symbols.join(near, "file", "left_semi").agg(F.count("*").alias("n")),
+        "exported_symbols": symbols.join(near, "file", "left_semi").agg(F.count_if("exported").alias("n")),
+        "impacted_files": impact.propagate(edges, near, depth).where("not seed").agg(F.count("*").alias("n")),
+        "tests": candidate_tests(edges, near, is_test).agg(F.count("*").alias("n")),
+    }
+    rows = None
+    for name, n in told.items():
+        part = n.select(F.lit(name).alias("name"), "n")
+        rows = part if rows is None else rows.unionByName(part)
+    one = rows.agg(*[F.coalesce(F.max(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).alias(name) for name in told])
+    c = F.col
+    risk = reports.review_risk(c("exported_symbols") > 0, c("changed_symbols"), c("changed_files"), c("missing"), F.lit(failures))
+    level = F.when(c("risk") >= 70, "high").when(c("risk") >= 40, "medium").otherwise("low")
+    return one.withColumn("failures", F.lit(failures)).withColumn("risk", risk).withColumn("level", level)
+
+
+#: Review tasks with their priority, in order.
+TASKS = ["review-summary", "api-compat", "tests-missing", "high-change-volume", "analysis-degraded", "missing-input-files"]
+PRIORITY = ["medium", "high", "medium", "high", "high", "high"]
+
+
+def tasks(exported: Column, tests: Column, files: Column, symbols: Column, failures: Column, missing: Column) -> Column:
+    """Array of (id, priority) of the tasks that a change set asks for."""
+    wanted = [F.lit(True), exported > 0, tests == 0, (files >= 10) | (symbols >= 20), failures > 0, missing > 0]
+    return F.array_compact(F.array(*[F.when(w, F.struct(F.lit(t).alias("id"), F.lit(p).alias("priority"))) for w, t, p in zip(wanted, TASKS, PRIORITY, strict=True)]))
 
 
 def recent_first(rows: DataFrame, keys: list[str], order: list[str], keep: int = 5) -> DataFrame:

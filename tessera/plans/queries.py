@@ -119,7 +119,7 @@ scc AS (SELECT a.u AS node, max(greatest(a.u, a.v)) AS component FROM reach a JO
 counts AS (SELECT cb, count(*) FILTER (ca = cb) AS internal_edges, count(*) FILTER (ca IS DISTINCT FROM cb) AS entry_edges, count(DISTINCT from_path) FILTER (ca IS DISTINCT FROM cb) AS fan_in FROM seen GROUP BY 1)
 SELECT string_agg(node, ',' ORDER BY node) AS files, count(*) AS size, internal_edges, entry_edges, fan_in, 3 * count(*) + 2 * fan_in + internal_edges AS priority FROM scc JOIN counts ON cb = component GROUP BY component, internal_edges, entry_edges, fan_in""")
 def cycles(spark, d):
-    return graphs.cycles(ad.file_edges(spark, d))
+    return graphs.cycles(ad.file_edges(spark, d)).drop("component")
 
 
 @query("components", ad.with_ctes("file_edges", recursive=True) + f""", both_ways AS (SELECT from_path AS u, to_path AS v FROM file_edges WHERE to_type = 'file' UNION SELECT to_path, from_path FROM file_edges WHERE to_type = 'file'),
@@ -278,23 +278,11 @@ def _urls(spark, d):
     return ad.table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1).alias("path"))
 
 
-@query("path_classes", f"WITH {_URLS} SELECT page_id, CASE WHEN regexp_matches(lower(path), '(^|/)docs?/|\\.(md|mdx|rst|adoc|txt)$') THEN 'docs' WHEN regexp_matches(lower(path), '\\.(json|ya?ml|toml|ini|cfg)$|(^|/)\\.[^/]+$') THEN 'config' ELSE 'code' END AS surface, regexp_matches(path, '(?i)(^|/)tests?/|(^|/)__tests__/|\\.(test|spec)\\.[^/]+$|(^|/)test_[^/]+\\.py$|_test\\.[^/]+$|[0-9]+7(/|\\.html)?$') AS is_test FROM urls")
-def path_classes(spark, d):
-    return _urls(spark, d).select("page_id", textual.surface(F.col("path")).alias("surface"), textual.is_test_file(F.col("path"), [r"[0-9]+7(/|\.html)?$"]).alias("is_test"))
-
-
 @query("tree", f"WITH {_URLS}, p AS (SELECT string_split(path, '/') AS p FROM urls), x AS (SELECT array_to_string(p[1:n], '/') AS directory FROM (SELECT p, unnest(range(1, least(3, len(p) - 1) + 1)) AS n FROM p WHERE len(p) > 1)) SELECT directory, count(*) AS files FROM x GROUP BY 1")
 def tree(spark, d):
     return reports.tree(_urls(spark, d))
 
 
-@query("broken_links", f"""WITH {_URLS}, known AS (SELECT DISTINCT '/' || string_split(path, '/')[1] AS path FROM urls), l AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS target FROM pages)
-SELECT page_id, target, CASE WHEN regexp_matches(target, '^[a-zA-Z][a-zA-Z0-9+.-]*:|^//') THEN 'external' WHEN starts_with(target, '#') THEN 'fragment' WHEN regexp_replace(target, '[#?].*$', '') IN (SELECT path FROM known) THEN 'ok' ELSE 'missing_file' END AS status FROM l""")
-def broken_links(spark, d):
-    known = _urls(spark, d).select(F.concat(F.lit("/"), F.split("path", "/")[0]).alias("path"))
-    return reports.broken_links(reports.links(ad.table(spark, d, "pages")), known)
-
-
 # --- duplicates -------------------------------------------------------------------------------
 
 _UNITS = r""", tok AS (SELECT id, file, language, text, regexp_extract_all(text, '"[^"\n]*"|''[^''\n]*''|[\p{L}_][\p{L}\p{N}\p{M}_]*|[0-9]+|[^\s\p{L}\p{N}_]') AS t FROM chunks), sized AS (SELECT * FROM tok WHERE len(t) BETWEEN 40 AND 800),
@@ -375,12 +363,6 @@ def _sides(spark, d):
     return ad.file_edges(spark, d), ad.moved_edges(spark, d)
 
 
-@query("drift_edges", f"""{_E}{_SIDES}, a AS (SELECT from_path, to_path, to_type, bool_and(type_only) AS t FROM base GROUP BY ALL), b AS (SELECT from_path, to_path, to_type, bool_and(type_only) AS u FROM head GROUP BY ALL)
-SELECT * FROM (SELECT CASE WHEN t IS NULL THEN 'edge_added' WHEN u IS NULL THEN 'edge_removed' WHEN t <> u THEN 'type_changed' END AS kind, from_path, to_path, to_type FROM a FULL OUTER JOIN b USING (from_path, to_path, to_type)) WHERE kind IS NOT NULL""")
-def drift_edges(spark, d):
-    return reports.edge_drift(*_sides(spark, d))
-
-
 @query("graph_delta", f"{_E}{_SIDES} SELECT 'added' AS kind, * FROM (SELECT from_path, to_path FROM head EXCEPT SELECT from_path, to_path FROM base) UNION ALL SELECT 'removed', * FROM (SELECT from_path, to_path FROM base EXCEPT SELECT from_path, to_path FROM head)")
 def graph_delta(spark, d):
     a, b = (x.select("from_path", "to_path").distinct() for x in _sides(spark, d))
@@ -388,18 +370,6 @@ def graph_delta(spark, d):
     return b.join(a, key, "left_anti").select(F.lit("added").alias("kind"), *key).unionByName(a.join(b, key, "left_anti").select(F.lit("removed").alias("kind"), *key))
 
 
-@query("drift_hotspots", f"{_FE}{_SIDES}, a AS ({HOT.format(e='base')}), b AS ({HOT.format(e='head')}) SELECT file, a.score AS base_score, b.score AS head_score FROM a JOIN b USING (file) WHERE b.score - a.score >= 5")
-def drift_hotspots(spark, d):
-    return reports.hotspot_drift(ad.files(spark, d), *_sides(spark, d), jump=5)
-
-
-@query("drift")
-def drift(spark, d):
-    s = ad.symbols(spark, d)
-    later = s.withColumn("name", F.when(F.col("line_span") % 9 == 0, F.concat("name", F.lit("2"))).otherwise(F.col("name")))
-    return reports.drift(ad.files(spark, d), s, later, *_sides(spark, d))
-
-
 @query("symbol_hash_diff", f"{_S}, a AS (SELECT id, md5(name) AS old FROM symbols), b AS (SELECT CASE WHEN line_span % 9 = 0 THEN 'new-' || id ELSE id END AS id, md5(CASE WHEN line_span % 4 = 0 THEN docstring ELSE name END) AS new FROM symbols) SELECT id, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' WHEN old <> new THEN 'modified' ELSE 'unchanged' END AS status FROM a FULL OUTER JOIN b USING (id)")
 def symbol_hash_diff(spark, d):
     s = ad.symbols(spark, d)
@@ -408,27 +378,6 @@ def symbol_hash_diff(spark, d):
     return reports.hash_diff(base, head)
 
 
-@query("impact_severity", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(s / (1 + s), 9) AS severity FROM (SELECT *, (CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.8 ELSE 0.4 END) * (CASE WHEN l_linestatus = 'F' THEN 1.2 ELSE 1.0 END)
- * (1 + least(log10(l_quantity + 1), 1.0)) * (CASE WHEN l_tax > 0.04 THEN 1.2 ELSE 1.0 END) * (CASE WHEN l_discount > 0.05 THEN 0.7 ELSE 1.0 END) * pow(0.8, l_linenumber) AS s FROM lineitem)""")
-def impact_severity(spark, d):
-    li = ad.table(spark, d, "lineitem")
-    reason = F.when(F.col("l_returnflag") == "A", "direct").when(F.col("l_returnflag") == "N", "namespace").otherwise("transitive")
-    s = reports.severity(reason, F.col("l_linestatus") == "F", F.col("l_quantity"), F.col("l_tax") > 0.04, F.col("l_discount") > 0.05, F.col("l_linenumber"))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.round(s, 9).alias("severity"))
-
-
-_UP = "least(1.0, greatest(0.2, confidence * (CASE WHEN type_only THEN 0.75 ELSE 0.85 END) * pow(0.95, {d})))"
-
-
-@query("impact_transitive", f"""{_E}, link AS (SELECT from_path, to_path, bool_and(type_only) AS type_only FROM file_edges WHERE to_type = 'file' GROUP BY 1, 2), l0 AS (SELECT '{START}' AS file, 0 AS depth, 1.0::DOUBLE AS confidence),
-l1 AS (SELECT from_path AS file, 1 AS depth, max({_UP.format(d=1)}) AS confidence FROM l0 JOIN link ON to_path = file WHERE from_path NOT IN (SELECT file FROM l0) GROUP BY 1),
-l2 AS (SELECT from_path AS file, 2 AS depth, max({_UP.format(d=2)}) AS confidence FROM l1 JOIN link ON to_path = file WHERE from_path NOT IN (SELECT file FROM l0 UNION ALL SELECT file FROM l1) GROUP BY 1)
-SELECT file, depth, round(confidence, 9) AS confidence FROM l1 UNION ALL SELECT file, depth, round(confidence, 9) FROM l2""")
-def impact_transitive(spark, d):
-    changed = spark.createDataFrame([(START,)], "file string")
-    return reports.propagate(ad.file_edges(spark, d), changed, 2).withColumn("confidence", F.round("confidence", 9))
-
-
 @query("review_risk", "SELECT o_orderkey, least(100, (CASE WHEN o_orderstatus = 'F' THEN 60 ELSE 20 END) + (CASE WHEN o_custkey % 40 >= 20 THEN 20 ELSE 0 END) + (CASE WHEN o_orderkey % 20 >= 10 THEN 20 ELSE 0 END) + (CASE WHEN o_custkey % 3 > 0 THEN 30 ELSE 0 END) + (CASE WHEN o_orderkey % 7 > 5 THEN 25 ELSE 0 END)) AS risk FROM orders")
 def review_risk(spark, d):
     o = F.col
@@ -442,11 +391,6 @@ def affected_tests(spark, d):
     return reports.affected_tests(ad.file_edges(spark, d), changed, lambda p: textual.is_test_file(p, [r"s[0-9]*[05]\.ts$"]), 2)
 
 
-@query("unused_exports", f"{_SSE} SELECT id, name, file FROM symbols WHERE exported AND id NOT IN (SELECT to_id FROM symbol_edges WHERE from_id <> to_id)")
-def unused_exports(spark, d):
-    return reports.unused_exports(ad.symbols(spark, d), ad.symbol_edges(spark, d))
-
-
 @query("undocumented", f"{_S}, u AS (SELECT DISTINCT file, name FROM symbols WHERE exported AND docstring LIKE '%SMALL%') SELECT file, string_agg(name, ',' ORDER BY name) AS names FROM u GROUP BY 1")
 def undocumented(spark, d):
     s = ad.symbols(spark, d)
@@ -522,11 +466,6 @@ def sql_lineage(spark, d):
     return extract.sql_lineage(extract.sql_facts(_sql_files(spark, d)))
 
 
-@query("sql_role", "SELECT 'db/f' || n_nationkey || '.sql' AS path, CASE WHEN n_nationkey = -1 THEN 'dump' ELSE 'query' END AS role FROM nation")
-def sql_role(spark, d):
-    return _sql_files(spark, d).select("path", textual.sql_role(F.col("path"), F.regexp_replace("text", "CREATE TABLE", "SELECT")).alias("role"))
-
-
 @query("chunk_pack")
 def chunk_pack(spark, d):
     return chunking.chunk_texts(ad.chunks(spark, d).select("file", "text"), 120)
@@ -649,17 +588,12 @@ def orient(spark, d):
     return review.orient(ad.files(spark, d), ad.file_edges(spark, d))
 
 
-@query("review_report")
-def review_report(spark, d):
-    return review.review(ad.files(spark, d), ad.file_edges(spark, d), ad.symbols(spark, d), _changed(spark), lambda p: textual.is_test_file(p, [_TESTS]))
-
-
 # --- orders, filters, renames -----------------------------------------------------------------
 
 
 @query("cycles_sorted", ORACLE["cycles"] + " ORDER BY size DESC, priority DESC, fan_in DESC, files")
 def cycles_sorted(spark, d):
-    return graphs.cycles_sorted(ad.file_edges(spark, d), "size")
+    return graphs.cycles_sorted(ad.file_edges(spark, d), "size").drop("component")
 
 
 @query("implementations", _walk(("symbols", "symbol_edges"), "to_id", "from_id", "symbol_edges", _TYPES, "p5", 2) + " SELECT node AS id, name, file, depth, CASE WHEN name IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM near LEFT JOIN symbols ON id = node WHERE depth > 0")
@@ -711,15 +645,6 @@ def resolution_coverage(spark, d):
     return reports.resolution_coverage(ad.files(spark, d), ad.file_edges(spark, d))
 
 
-_TAGS = r"""(?i)<(a|area|link|script|img|iframe|form|source|embed)\b[^>]*?\s(href|src|action)\s*=\s*"([^"]*)\""""
-
-
-@query("html_references", f"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '{_TAGS}')) AS m FROM pages)
-SELECT page_id, lower(regexp_extract(m, '{_TAGS}', 1)) AS tag, lower(regexp_extract(m, '{_TAGS}', 2)) AS attribute, regexp_extract(m, '{_TAGS}', 3) AS target FROM m""")
-def html_references(spark, d):
-    return reports.html_references(ad.table(spark, d, "pages"))
-
-
 @query("export_summary", f"{_S} SELECT file, string_agg(name, ',' ORDER BY name) AS exports FROM (SELECT DISTINCT file, name FROM symbols WHERE exported AND file IN ('{START}', '{END}')) GROUP BY 1")
 def export_summary(spark, d):
     return review.export_summary(ad.symbols(spark, d), _changed(spark))
@@ -759,3 +684,6 @@ SELECT path, l AS start_line, kind, o AS object_name, CASE WHEN path = 'db/f3.sq
 def sql_context(spark, d):
     changed = spark.createDataFrame([("db/f3.sql",)], "path string")
     return review.sql_context(extract.sql_facts(_sql_files(spark, d)), changed).select("path", "start_line", "kind", "object_name", "reason")
+
+
+from . import change_queries  # noqa: E402,F401  (registers more)

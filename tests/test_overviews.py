@@ -14,4 +14,4 @@ def test_orient_and_review(spark):
     assert [r[1:] for r in got if r[0] == "cycle"] == [("src/a.ts,src/b.ts", 3 * 2 + 2 * 1 + 2)]
     symbols = spark.createDataFrame([("1", "src/a.ts", True), ("2", "src/b.ts", True)], "id string, file string, exported boolean")
     one = review.review(files, edges, symbols, spark.createDataFrame([("src/a.ts",)], "file string"), textual.is_test_file).first()
-    assert (one.changed_files, one.changed_symbols, one.exported, one.impacted_files, one.tests, one.risk) == (1, 1, True, 3, 1, 60)
+    assert (one.changed_files, one.missing, one.changed_symbols, one.exported_symbols, one.impacted_files, one.tests, one.risk, one.level) == (1, 0, 1, 1, 3, 1, 60, "medium")
