@@ -11,7 +11,19 @@ from ..storage import materialise
 from .components import connected_components
 
 TOKEN = r"\"[^\"\n]*\"|'[^'\n]*'|[\p{L}_][\p{L}\p{N}\p{M}_]*|[0-9]+|[^\s\p{L}\p{N}_]"
-KEYWORDS = ["if", "else", "for", "while", "return", "class", "function", "def", "import", "from", "in", "is", "not", "and", "or", "the", "a", "of", "to"]
+# Words that stay themselves when identifiers are made alike.
+KEYWORDS = [
+    "abstract", "alter", "and", "as", "assert", "async", "await", "begin", "break", "by", "case", "catch", "chan", "class", "comptime", "const", "continue",
+    "crate", "create", "def", "default", "defer", "deinit", "del", "delete", "do", "drop", "dyn", "elif", "else", "elseif", "end", "endforeach", "endif",
+    "ensure", "enum", "error", "except", "export", "extends", "extern", "fallthrough", "false", "final", "finally", "fn", "for", "foreach", "foreign", "from",
+    "func", "function", "global", "go", "goto", "group", "guard", "having", "if", "impl", "implements", "import", "in", "index", "inline", "inner", "insert",
+    "interface", "into", "is", "join", "lambda", "left", "let", "limit", "loop", "map", "match", "module", "mut", "namespace", "new", "nil", "none",
+    "nonlocal", "not", "null", "offset", "on", "opaque", "open", "operator", "or", "order", "outer", "override", "package", "pass", "primary", "private",
+    "protected", "protocol", "pub", "public", "raise", "range", "readonly", "record", "ref", "rescue", "return", "right", "sealed", "select", "self", "set",
+    "sizeof", "static", "struct", "super", "switch", "table", "template", "this", "throw", "throws", "trait", "true", "try", "type", "typedef", "typename",
+    "union", "unless", "unsafe", "until", "update", "use", "using", "values", "var", "view", "virtual", "void", "volatile", "when", "where", "while", "with",
+    "yield",
+]
 SHINGLE, WINDOW, MOST = 5, 4, 128
 
 
@@ -38,41 +50,42 @@ def _winnowed(h: Column) -> Column:
     return F.slice(F.array_distinct(least), 1, MOST)
 
 
+#: A token with what stands before it; digits other than 0-9 begin no token.
+LED = rf"[\s\p{{N}}&&[^0-9]]*(?:{TOKEN})"
+
+
 def bounded(chunks: DataFrame, most: int = 800) -> DataFrame:
-    """``chunks`` with every text of over ``most`` tokens cut: whole lines up to ``most`` tokens, a longer line between tokens.
+    """``chunks`` (id, file, language, ordinal, text) as units with start_line and end_line, every text of over ``most`` tokens cut.
 
-    Pieces are numbered after a ``#`` in the id; other rows stay as they are.
+    Cuts fall between tokens, ``most`` to a piece, so the pieces hold the whole
+    text; they are numbered after a ``#`` in the id. Other rows stay as they are.
     """
-    # each token with what stands before it; digits other than 0-9 begin no token
-    led = lambda x: F.regexp_extract_all(x, F.lit(rf"[\s\p{{N}}&&[^0-9]]*(?:{TOKEN})"), F.lit(0))
-    runs = lambda x: F.flatten(F.transform(F.array(led(x)), lambda t: F.transform(F.sequence(F.lit(1), F.size(t), F.lit(most)), lambda i: F.array_join(F.slice(t, i, most), ""))))
     kept = ["id", "file", "language", "ordinal"]
+    newlines = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("int")
     sized = chunks.select(*kept, "text", F.explode(F.array(F.size(tokens(F.col("text"))))).alias("n"))
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("x"), F.size(tokens(x)).alias("n")))
-    none = F.array().cast("array<string>")
-    zero = F.struct(none.alias("out"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
-    closed = lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
-
-    def step(acc: Column, line: Column) -> Column:
-        row = lambda out, held, n: F.struct(out.alias("out"), held.alias("held"), n.alias("n"))
-        long = row(F.concat(closed(acc), runs(line["x"])), F.lit(None).cast("string"), F.lit(0))
-        more = row(acc["out"], F.concat_ws("\n", acc["held"], line["x"]), acc["n"] + line["n"])
-        return F.when(line["n"] > most, long).when(acc["n"] + line["n"] <= most, more).otherwise(row(closed(acc), line["x"], line["n"]))
-
-    cut = sized.where(F.col("n") > most).select(*kept, F.explode(F.array(lines)).alias("lines"))
-    cut = cut.select(*kept, F.posexplode(F.aggregate("lines", zero, step, closed)).alias("k", "text"))
-    cut = cut.withColumn("id", F.concat("id", F.lit("#"), F.col("k").cast("string"))).drop("k")
-    return sized.where(F.col("n") <= most).drop("n").unionByName(cut)
+    whole = sized.where(F.col("n") <= most).select(*kept, "text", F.lit(1).alias("start_line"), (newlines(F.col("text")) + 1).alias("end_line"))
+    led = sized.where(F.col("n") > most).select(*kept, F.explode(F.array(F.regexp_extract_all("text", F.lit(LED), F.lit(0)))).alias("t"))
+    parts = F.transform(F.sequence(F.lit(1), F.size("t"), F.lit(most)), lambda i: F.array_join(F.slice("t", i, most), ""))
+    none = F.array().cast("array<struct<text:string,start:int,end:int>>")
+    # the lines before each piece: one pass over a text's pieces
+    step = lambda acc, x: F.struct(F.concat(acc["out"], F.array(F.struct(x.alias("text"), acc["at"].alias("start"), (acc["at"] + newlines(x)).alias("end")))).alias("out"), (acc["at"] + newlines(x)).alias("at"))
+    placed = led.select(*kept, F.posexplode(F.aggregate(parts, F.struct(none.alias("out"), F.lit(1).alias("at")), step, lambda acc: acc["out"])).alias("k", "x"))
+    cut = placed.select(F.concat("id", F.lit("#"), F.col("k").cast("string")).alias("id"), *kept[1:], "x.text", F.col("x.start").alias("start_line"), F.col("x.end").alias("end_line"))
+    return whole.unionByName(cut)
 
 
 def units(chunks: DataFrame, least: int = 40, most: int = 800, fingerprints: bool = True) -> DataFrame:
     """Chunks of ``least`` to ``most`` tokens with raw_hash, normalized_hash, token_count, token_set, signatures.
 
-    Every array is bound by a one-element explode, so none is computed twice.
-    Without ``fingerprints`` the shingles aren't hashed and signatures are empty.
+    start_line, end_line, kind, symbol_kind and complexity are taken over where
+    they are given. Every array is bound by a one-element explode, so none is
+    computed twice. Without ``fingerprints`` the shingles aren't hashed and
+    signatures are empty.
     """
+    more = {"start_line": F.lit(1), "end_line": F.lit(1), "kind": F.lit("chunk"), "symbol_kind": F.lit(None).cast("string"), "complexity": F.lit(None).cast("int")}
+    told = [(F.col(c) if c in chunks.columns else v).alias(c) for c, v in more.items()]
     once = lambda c, name: F.explode(F.array(c)).alias(name)
-    rows = chunks.select("id", "file", "language", "ordinal", "text", once(tokens(F.col("text")), "toks"))
+    rows = chunks.select("id", "file", "language", "ordinal", "text", *told, once(tokens(F.col("text")), "toks"))
     rows = rows.where(F.size("toks").between(least, most))
     rows = rows.select("*", once(_shingles(F.col("toks")), "shingles")) if fingerprints else rows.withColumn("shingles", F.array().cast("array<string>"))
     return rows.select(
@@ -80,6 +93,7 @@ def units(chunks: DataFrame, least: int = 40, most: int = 800, fingerprints: boo
         "file",
         "language",
         "ordinal",
+        *more,
         F.size("toks").alias("token_count"),
         F.sha2("text", 256).alias("raw_hash"),
         F.sha2(F.array_join(normalized_tokens(F.col("toks")), " "), 256).alias("normalized_hash"),
@@ -98,6 +112,23 @@ def oversized(rows: DataFrame, keys: list[str], most: int = 200) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("members")).where(F.col("members") > most)
 
 
+def omitted(rows: DataFrame, most: int = 200) -> DataFrame:
+    """(evidence, buckets, members): what the bound on buckets leaves out of the pairs."""
+    flat = rows.select("language", F.explode("signatures").alias("key"))
+    parts = {"raw": rows.select("language", F.col("raw_hash").alias("key")), "normalized": rows.select("language", F.col("normalized_hash").alias("key")), "fingerprint": flat}
+    out = None
+    for name, part in parts.items():
+        told = oversized(part, ["language", "key"], most).agg(F.count("*").alias("buckets"), F.coalesce(F.sum("members"), F.lit(0)).alias("members")).select(F.lit(name).alias("evidence"), "buckets", "members")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def classes(rows: DataFrame, column: str = "raw_hash") -> DataFrame:
+    """(id, representative, members): every unit with an equal one in its language, however many there are."""
+    sets = rows.groupBy("language", column).agg(F.min("id").alias("representative"), F.count("*").alias("members")).where("members > 1")
+    return rows.select("id", "language", column).join(sets, ["language", column]).select("id", "representative", "members")
+
+
 def hash_pairs(rows: DataFrame, column: str, most: int = 200) -> DataFrame:
     """(id_a, id_b) of units of one language with equal hash."""
     use = _buckets(rows.select("id", "language", column), ["language", column], most)
@@ -116,26 +147,132 @@ def fingerprint_pairs(rows: DataFrame, most: int = 200) -> DataFrame:
     return shared.join(na, "id_a").join(nb, "id_b").where(F.col("shared") >= need).select("id_a", "id_b", "shared")
 
 
-def scored_pairs(rows: DataFrame, most: int = 200) -> DataFrame:
-    """(id_a, id_b, score, confidence, clone_type) of all candidate pairs."""
-    pairs = hash_pairs(rows, "raw_hash", most).unionByName(hash_pairs(rows, "normalized_hash", most)).unionByName(fingerprint_pairs(rows, most).select("id_a", "id_b")).distinct()
-    side = lambda s: rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "file", "raw_hash", "normalized_hash", "token_count", "token_set", "signatures")])
-    both = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
-    raw, norm = F.col("raw_hash_a") == F.col("raw_hash_b"), F.col("normalized_hash_a") == F.col("normalized_hash_b")
-    both = both.select("id_a", "id_b", "file_a", "file_b", raw.alias("raw"), norm.alias("norm"), jaccard(F.col("token_set_a"), F.col("token_set_b")).alias("tj"), jaccard(F.col("signatures_a"), F.col("signatures_b")).alias("so"), ratio(F.col("token_count_a"), F.col("token_count_b")).alias("lr"))
+_SIDE = ("id", "file", "start_line", "end_line", "symbol_kind", "complexity", "token_count", "token_set", "signatures")
+
+
+def evidence(rows: DataFrame, most: int = 200) -> DataFrame:
+    """(id_a, id_b, raw, normalized, signature): every candidate pair once, with what speaks for it."""
+    part = lambda t, *flags: t.select("id_a", "id_b", *[F.lit(f in flags).alias(f) for f in ("raw", "normalized", "signature")])
+    both = part(hash_pairs(rows, "raw_hash", most), "raw").unionByName(part(hash_pairs(rows, "normalized_hash", most), "normalized")).unionByName(part(fingerprint_pairs(rows, most), "signature"))
+    return both.groupBy("id_a", "id_b").agg(*[F.bool_or(f).alias(f) for f in ("raw", "normalized", "signature")])
+
+
+def scored_pairs(rows: DataFrame, most: int = 200, cross_file_only: bool = False, limit: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(id_a, id_b, score, confidence, clone_type, length_ratio) of the candidate pairs that can be scored: no pair overlaps in one file.
+
+    ``limit`` bounds the pairs that are scored: those of raw, then normalized
+    hashes, then fingerprints, by id; :func:`beyond` counts the others.
+    """
+    pairs = evidence(rows, most) if pairs is None else pairs
+    if limit is not None:
+        rank = F.when(F.col("raw"), 0).when(F.col("normalized"), 1).otherwise(2)
+        pairs = pairs.orderBy(rank, "id_a", "id_b").limit(limit)
+    side = lambda s: rows.select(*[F.col(c).alias(f"{c}_{s}") for c in _SIDE])
+    both = materialise(pairs, "evidence").join(side("a"), "id_a").join(side("b"), "id_b")
     c = F.col
-    score = F.when(c("raw"), 68).otherwise(0) + F.when(c("norm"), 48).otherwise(0) + F.when(c("raw") | c("norm") | (c("so") >= 0.55), 14).otherwise(0) + 24 * c("tj") + 26 * c("so") + 8 * c("lr") + 5 * c("lr") + 4 + 3
-    score = score - F.when(c("lr") < 0.45, 18).otherwise(0) - F.when(c("file_a") == c("file_b"), 8).otherwise(0)
-    out = both.withColumn("score", F.least(F.lit(100), F.greatest(F.lit(0), F.floor(score + 0.5))).cast("int"))
+    same_file = c("file_a") == c("file_b")
+    overlap = same_file & (c("start_line_a") <= c("end_line_b")) & (c("start_line_b") <= c("end_line_a"))
+    both = both.where(~overlap if not cross_file_only else ~same_file)
+    lines = lambda s: c(f"end_line_{s}") - c(f"start_line_{s}") + 1
+    both = both.select(
+        "id_a", "id_b", "raw", "normalized", "signature", same_file.alias("same_file"),
+        jaccard(c("token_set_a"), c("token_set_b")).alias("tj"),
+        jaccard(c("signatures_a"), c("signatures_b")).alias("so"),
+        ratio(c("token_count_a"), c("token_count_b")).alias("lr"),
+        ratio(lines("a"), lines("b")).alias("ls"),
+        F.coalesce(c("symbol_kind_a") == c("symbol_kind_b"), F.lit(False)).alias("same_kind"),
+        F.coalesce(F.abs(c("complexity_a") - c("complexity_b")) <= 2, F.lit(False)).alias("same_complexity"),
+    )
+    points = lambda cond, n: F.when(cond, n).otherwise(0)
+    signed = c("signature") & (c("raw") | c("normalized") | (c("so") >= 0.55))
+    score = points(c("raw"), 68) + points(c("normalized"), 48) + points(signed, 14) + 24 * c("tj") + 26 * c("so") + 8 * c("lr") + 5 * c("ls")
+    score = score + points(c("same_kind"), 4) + points(c("same_complexity"), 3) - points(c("lr") < 0.45, 18) - points(c("same_file"), 8)
+    kind = F.when(c("raw"), "exact").when(c("normalized") & (c("tj") >= 0.75), "renamed").when((c("so") >= 0.55) | (c("tj") >= 0.72), "near").otherwise("weak")
+    out = both.withColumn("score", F.least(F.lit(100), F.greatest(F.lit(0), F.floor(F.round(score, 9) + 0.5))).cast("int"))
     confidence = F.when(c("score") >= 85, "high").when(c("score") >= 65, "medium").otherwise("low")
-    kind = F.when(c("raw"), "exact").when(c("norm"), "renamed").when(c("so") >= 0.3, "near").otherwise("weak")
-    return out.select("id_a", "id_b", "score", confidence.alias("confidence"), kind.alias("clone_type"))
+    return out.select("id_a", "id_b", "score", confidence.alias("confidence"), kind.alias("clone_type"), F.round("lr", 9).alias("length_ratio"))
+
 
+def beyond(rows: DataFrame, most: int = 200, limit: int = 2_000_000) -> DataFrame:
+    """(pairs, omitted): candidate pairs, and how many a ``limit`` leaves out."""
+    n = evidence(rows, most).agg(F.count("*").alias("pairs"))
+    return n.select("pairs", F.greatest(F.col("pairs") - limit, F.lit(0)).alias("omitted"))
 
-def groups(pairs: DataFrame, least: int = 65) -> DataFrame:
-    """(component, members) of the graph of pairs that score ``least`` or more."""
-    found = connected_components(pairs.where(F.col("score") >= least).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
-    return found.groupBy("component").agg(F.count("*").alias("members"))
+
+#: Lines between chunks of one file that still count as one place.
+GAP = 2
+
+
+def unit_clusters(rows: DataFrame) -> DataFrame:
+    """(id, cluster): units of one file and language that are one place: chunks at most ``GAP`` lines apart, and units that overlap by 0.8 of the shorter; named by the least id."""
+    w = Window.partitionBy("file", "language").orderBy("start_line", "end_line", "id")
+    chunks = rows.where("kind = 'chunk'")
+    reach = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = chunks.select("id", "file", "language", "start_line", "end_line", F.when(F.col("start_line") <= reach + (GAP + 1), 0).otherwise(1).alias("new"))
+    runs = marked.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    firsts = runs.groupBy("file", "language", "g").agg(F.min("id").alias("dst"))
+    links = runs.join(firsts, ["file", "language", "g"]).select(F.col("id").alias("src"), "dst")
+    place = F.concat_ws("\u0000", "file", "language").alias("file")
+    span = lambda t: t.select(place, F.col("start_line").alias("start"), F.col("end_line").alias("end"), "id")
+    met = _overlaps(span(rows.where("kind != 'chunk'")), span(rows))
+    links = links.unionByName(met).unionByName(rows.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    found = connected_components(links)
+    return found.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+
+
+def _overlaps(a: DataFrame, b: DataFrame, width: int = 64) -> DataFrame:
+    """(src, dst) of spans (file, start, end, id) that share 0.8 of the shorter's lines; they meet in the bin where their overlap begins."""
+    bins = lambda t, s: t.select("file", *[F.col(c).alias(f"{c}_{s}") for c in ("start", "end", "id")], F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bin"))
+    met = bins(a, "a").join(bins(b, "b"), ["file", "bin"]).where("id_a != id_b and start_a <= end_b and start_b <= end_a")
+    shared = F.least("end_a", "end_b") - F.greatest("start_a", "start_b") + 1
+    shorter = F.least(F.col("end_a") - F.col("start_a"), F.col("end_b") - F.col("start_b")) + 1
+    return met.where((F.floor(F.greatest("start_a", "start_b") / width) == F.col("bin")) & (shared >= 0.8 * shorter)).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+
+
+_CONFIDENCE, _CLONE = {"low": 1, "medium": 2, "high": 3}, {"weak": 1, "near": 2, "renamed": 3, "exact": 4}
+VARIANTS, FLOOR, LEADS = 5, 0.7, 5
+
+
+def _rank(column: str, table: dict[str, int]) -> Column:
+    return F.coalesce(*[F.when(F.col(column) == k, v) for k, v in table.items()])
+
+
+def _named(rank: Column, table: dict[str, int]) -> Column:
+    return F.coalesce(*[F.when(rank == v, k) for k, v in table.items()])
+
+
+def groups(pairs: DataFrame, clusters: DataFrame, least: int = 0) -> DataFrame:
+    """(left, right, score, confidence, clone_type, pairs, omitted, primary, variants): scored pairs by the clusters they join.
+
+    The best pair (score, then ids) is the group's primary; ``variants`` are the
+    ``VARIANTS`` best. A primary whose units differ much in length holds the
+    group's score at 64, its confidence at low.
+    """
+    of = lambda s: clusters.select(F.col("id").alias(f"id_{s}"), F.col("cluster").alias(f"c_{s}"))
+    rows = pairs.where(F.col("score") >= least).join(of("a"), "id_a").join(of("b"), "id_b")
+    rows = rows.select("*", F.least("c_a", "c_b").alias("left"), F.greatest("c_a", "c_b").alias("right"))
+    w = Window.partitionBy("left", "right").orderBy(F.desc("score"), "id_a", "id_b")
+    best = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= VARIANTS)
+    name = F.concat_ws("~", "id_a", "id_b")
+    shown = best.groupBy("left", "right").agg(F.min(F.struct("_n", name.alias("primary"), "length_ratio")).alias("p"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", name.alias("x")))), lambda v: v["x"]), ",").alias("variants"))
+    told = rows.groupBy("left", "right").agg(F.count("*").alias("pairs"), F.max("score").alias("score"), F.max(_rank("confidence", _CONFIDENCE)).alias("c"), F.max(_rank("clone_type", _CLONE)).alias("t"))
+    short = F.col("p.length_ratio") < FLOOR
+    return told.join(shown, ["left", "right"]).select(
+        "left", "right",
+        F.when(short, F.least("score", F.lit(64))).otherwise(F.col("score")).alias("score"),
+        F.when(short, "low").otherwise(_named(F.col("c"), _CONFIDENCE)).alias("confidence"),
+        _named(F.col("t"), _CLONE).alias("clone_type"),
+        "pairs",
+        F.greatest(F.col("pairs") - VARIANTS, F.lit(0)).alias("omitted"),
+        F.col("p.primary").alias("primary"),
+        "variants",
+    )
+
+
+def leads(found: DataFrame, boilerplate: Column | None = None, limit: int = LEADS) -> DataFrame:
+    """The groups that a review starts with: high confidence, exact or renamed, no boilerplate; best first."""
+    rows = found if boilerplate is None else found.where(~boilerplate)
+    return rows.where("confidence = 'high' and clone_type in ('exact', 'renamed')").orderBy(F.desc("score"), F.desc("pairs"), "left", "right").limit(limit)
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:

@@ -285,45 +285,6 @@ def tree(spark, d):
 
 # --- duplicates -------------------------------------------------------------------------------
 
-_UNITS = r""", tok AS (SELECT id, file, language, text, regexp_extract_all(text, '"[^"\n]*"|''[^''\n]*''|[\p{L}_][\p{L}\p{N}\p{M}_]*|[0-9]+|[^\s\p{L}\p{N}_]') AS t FROM chunks), sized AS (SELECT * FROM tok WHERE len(t) BETWEEN 40 AND 800),
-sh AS (SELECT *, list_transform(range(1, len(t) - 3), lambda i: substr(sha256(array_to_string(t[i : i + 4], chr(10))), 1, 16)) AS h FROM sized),
-win AS (SELECT *, CASE WHEN len(h) <= 4 THEN h ELSE list_transform(range(1, len(h) - 2), lambda i: list_min(h[i : i + 3])) END AS m FROM sh),
-flat AS (SELECT id, unnest(m) AS sig, unnest(range(1, len(m) + 1)) AS k FROM win),
-firsts AS (SELECT id, sig, min(k) AS k FROM flat GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY min(k)) <= 128),
-sigs AS (SELECT id, list(sig ORDER BY k) AS signatures FROM firsts GROUP BY 1),
-units AS (SELECT w.id, file, language, len(t) AS token_count, sha256(text) AS raw_hash, t, signatures FROM win w LEFT JOIN sigs USING (id))"""
-
-
-@query("winnow", f"{_C}{_UNITS} SELECT id, token_count::INT AS token_count, raw_hash, array_to_string(signatures, ',') AS signatures FROM units")
-def winnow(spark, d):
-    return duplicates.units(ad.chunks(spark, d)).select("id", "token_count", "raw_hash", F.array_join("signatures", ",").alias("signatures"))
-
-
-@query("dup_exact", f"{_C}{_UNITS}, b AS (SELECT language, raw_hash FROM units GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200) SELECT x.id AS id_a, y.id AS id_b FROM b JOIN units x USING (language, raw_hash) JOIN units y USING (language, raw_hash) WHERE x.id < y.id")
-def dup_exact(spark, d):
-    return duplicates.hash_pairs(duplicates.units(ad.chunks(spark, d), fingerprints=False).select("id", "language", "raw_hash"), "raw_hash")
-
-
-_FP = """, ex AS (SELECT id, language, unnest(signatures) AS sig FROM units), ok AS (SELECT language, sig FROM ex GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200), el AS (SELECT ex.* FROM ex JOIN ok USING (language, sig)),
-cnt AS (SELECT id, count(*) AS n FROM el GROUP BY 1), sh2 AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM el a JOIN el b ON a.language = b.language AND a.sig = b.sig AND a.id < b.id GROUP BY ALL),
-fp AS (SELECT id_a, id_b, shared FROM sh2 JOIN cnt p ON p.id = id_a JOIN cnt q ON q.id = id_b WHERE shared >= greatest(2, ceil(0.25 * least(p.n, q.n))))"""
-
-
-@query("dup_fingerprint", f"{_C}{_UNITS}{_FP} SELECT * FROM fp")
-def dup_fingerprint(spark, d):
-    return duplicates.fingerprint_pairs(duplicates.units(ad.chunks(spark, d)))
-
-
-@query("dup_score")
-def dup_score(spark, d):
-    return duplicates.scored_pairs(materialise(duplicates.units(duplicates.bounded(ad.chunks(spark, d))), "units"))
-
-
-@query("dup_groups")
-def dup_groups(spark, d):
-    return duplicates.groups(dup_score(spark, d))
-
-
 _PROBE = "this text is licensed under the mit license"
 
 
@@ -577,12 +538,6 @@ def impact_clusters(spark, d):
     return review.impact_clusters(e, e.where("resolved = 'precise'").select(F.col("from_path").alias("file")))
 
 
-@query("dup_context")
-def dup_context(spark, d):
-    units = materialise(duplicates.units(duplicates.bounded(ad.chunks(spark, d))), "units")
-    return review.targeted_pairs(units, units.where("file like 'src0/%'").select("id"))
-
-
 @query("orient")
 def orient(spark, d):
     return review.orient(ad.files(spark, d), ad.file_edges(spark, d))
@@ -606,13 +561,6 @@ def test_file_filter(spark, d):
     return _urls(spark, d).where(textual.is_test_file(F.col("path"), [r"[0-9]+7(/|\.html)?$"])).select("page_id")
 
 
-@query("dup_tokens", rf"""{_C}, t AS (SELECT id, regexp_extract_all(text, '"[^"\n]*"|''[^''\n]*''|[\p{{L}}_][\p{{L}}\p{{N}}\p{{M}}_]*|[0-9]+|[^\s\p{{L}}\p{{N}}_]') AS t FROM chunks)
-SELECT id, len(t)::INT AS n_tokens, md5(array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^["''0-9]') THEN '<literal>' WHEN lower(x) IN ({", ".join(f"'{k}'" for k in duplicates.KEYWORDS)}) THEN lower(x) WHEN regexp_matches(x, '^[\p{{L}}_]') THEN '<identifier>' ELSE x END), ' ')) AS normalized FROM t""")
-def dup_tokens(spark, d):
-    rows = ad.chunks(spark, d).select("id", F.explode(F.array(duplicates.tokens(F.col("text")))).alias("t"))
-    return rows.select("id", F.size("t").alias("n_tokens"), F.md5(F.array_join(duplicates.normalized_tokens(F.col("t")), " ")).alias("normalized"))
-
-
 @query("diff_lines", """WITH o AS (SELECT o_orderkey::VARCHAR AS id, 'src/o' || o_orderkey || '.ts' AS path, (o_custkey % 50 + 1)::INT AS a FROM orders)
 SELECT id, path, NULL AS old_path, 'modified' AS change, 1 AS hunk, s[1] AS sign, s[2]::INT AS old_line, s[3]::INT AS new_line, s[4]::INT AS changed_line
 FROM (SELECT id, path, unnest([[' ', a::VARCHAR, (a + 1)::VARCHAR, NULL], ['-', (a + 1)::VARCHAR, '0', (a + 2)::VARCHAR], ['-', (a + 2)::VARCHAR, '0', (a + 3)::VARCHAR], ['+', '0', (a + 2)::VARCHAR, (a + 2)::VARCHAR]]) AS s FROM o)""")
@@ -686,4 +634,4 @@ def sql_context(spark, d):
     return review.sql_context(extract.sql_facts(_sql_files(spark, d)), changed).select("path", "start_line", "kind", "object_name", "reason")
 
 
-from . import change_queries  # noqa: E402,F401  (registers more)
+from . import change_queries, duplicate_queries  # noqa: E402,F401  (register more)
