@@ -47,17 +47,14 @@ BLOCK = 100_000
 MOST_ROWS = 1_000_000
 #: Separators in a text that still has capitals.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The term after a text's last word, whose position is the number of its words; no word can be it.
+_END = "\x00"
 
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
-
-
 def windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(win, n, terms, items): distinct windows of lower-cased words with the ids that have them."""
     w = F.filter(F.split(lower_ascii(F.col(text_col)), _GAP), lambda x: x != "")
@@ -76,19 +73,26 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(F.lit(7), text_col, id_col).alias("_k2")]
 
 
-def _occurrences(docs: DataFrame, terms: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
-    """(kept columns, pos from 0, term): every place of the ``terms`` (a table of bounded size) in the texts."""
+def _occurrences(docs: DataFrame, terms: DataFrame, *keep: str, text_col: str = "text", ends: bool = False) -> DataFrame:
+    """(kept columns, pos from 0, term): every place of the ``terms`` (a table of bounded size) in the texts; with ``ends`` also that of each text's end."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lead = text.rlike("^" + _GAP).cast("int")  # a text that begins with separators has an empty part before them
-    rows = docs.select(*keep, lead.alias("_lead"), F.posexplode(F.split(text, _GAP)).alias("_at", "_word"))
-    known = F.broadcast(terms.select("term", F.lower("term").alias("_low")))
+    # a text that begins or ends with separators has an empty part there
+    lead, trail = (text.rlike("^" + _GAP) | (text == "")).cast("int"), text.rlike(_GAP + "$").cast("int")
+    parts = F.split(text, _GAP)
+    parts = F.concat(parts, F.array(F.lit(_END))) if ends else parts
+    # bound by a one-element explode: else the parts are split once for a filter on their number and once again
+    rows = docs.select(*keep, lead.alias("_lead"), trail.alias("_trail"), F.explode(F.array(parts)).alias("_parts"))
+    rows = rows.select(*keep, "_lead", "_trail", F.posexplode("_parts").alias("_at", "_word"))
+    known = terms.select("term")
+    known = F.broadcast((known.unionByName(docs.sparkSession.createDataFrame([(_END,)], "term string")) if ends else known).select("term", F.lower("term").alias("_low")))
     found = rows.join(known, F.lower("_word") == F.col("_low")).where(lower_ascii(F.col("_word")) == F.col("term"))
-    return found.select(*keep, (F.col("_at") - F.col("_lead")).alias("pos"), "term")
+    pos = F.col("_at") - F.col("_lead") - F.when(F.col("term") == _END, F.col("_trail")).otherwise(0)
+    return found.select(*keep, pos.alias("pos"), "term")
 
 
-def postings(docs: DataFrame, terms: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame, keys: list[str], text_col: str = "text", ends: bool = False) -> DataFrame:
     """(keys, term, at): the positions of each of the ``terms`` in each row, ascending; rows with equal keys count once."""
-    found = _occurrences(docs, terms, *keys, text_col=text_col)
+    found = _occurrences(docs, terms, *keys, text_col=text_col, ends=ends)
     return found.groupBy(*keys, "term").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
 
@@ -144,34 +148,45 @@ def _intersected(cand: DataFrame, index: DataFrame, live: DataFrame, keys: list[
     return out.join(F.broadcast(live.select("win", "n", "items")), "win").select(*keys, "n", "items", "starts", "near")
 
 
-def matches(docs: DataFrame, items: DataFrame, keys: list[str], window: int = WINDOW, slop: int | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int | None = None) -> DataFrame:
-    """(keys, n, items, starts, near): a row for each window found in a row of ``docs``.
+def matches(docs: DataFrame, items: DataFrame, keys: list[str], window: int = WINDOW, slop: int | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keys, n, items, starts, near), a row for each window found in a row of ``docs``; and (keys, n_words) of all rows.
 
     ``starts``: first words of its exact phrases; ``near``, unless ``slop`` is
     None: places of its rarest term within whose reach all its terms stand.
-    ``keys`` name a row; rows with equal keys must have equal texts.
+    ``keys`` name a row and aren't null; rows with equal keys must have equal texts.
     """
     block = block or BLOCK
     wins = materialise(windows(items, window, item_col, item_text), "windows")
     blocks = max(1, -(-wins.count() // block))
-    out = None
+    out = sizes = None
     for b in range(blocks):
         part = wins if blocks == 1 else wins.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b)
         terms = part.select(F.explode("terms").alias("term")).distinct()
         freq = materialise(frequencies(docs, terms, text_col), "frequencies")
         live = materialise(ranked(part, freq), "live-windows")
-        index = materialise(postings(docs, live.select(F.explode(F.array("t1", "t2")).alias("term")).where("term is not null").distinct(), keys, text_col), "lookup-postings")
-        cand = materialise(_candidates(index, live, keys, slop).distinct(), "candidates")
+        look = live.select(F.explode(F.array("t1", "t2")).alias("term")).where("term is not null").distinct()
+        index = materialise(postings(docs, look, keys, text_col, ends=b == 0), "lookup-postings")
+        if b == 0:
+            sizes = index.where(F.col("term") == _END).select(*keys, F.col("at")[0].cast("long").alias("n_words"))
+        cand = materialise(_candidates(index.where(F.col("term") != _END), live, keys, slop).distinct(), "candidates")
         rows = materialise(cand.select(*keys).distinct(), "candidate-rows")
         small = F.broadcast(rows) if rows.count() <= MOST_ROWS else rows
-        names = [F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in keys]
-        here = docs.join(small.select(*[F.col(k).alias(f"_own_{k}") for k in keys]), names, "left_semi")
-        full = materialise(postings(here, live.select(F.explode("lists.term").alias("term")).distinct(), keys, text_col), "postings")
+        full = materialise(postings(docs.join(small, keys, "left_semi"), live.select(F.explode("lists.term").alias("term")).distinct(), keys, text_col), "postings")
         found = materialise(_intersected(cand, full, live, keys, slop), "matches")
-        discard(freq, live, index, cand, rows, full)
+        discard(freq, live, index if b else None, cand, rows, full)
         out = found if out is None else out.unionByName(found)
     discard(wins)
-    return out
+    return out, sizes
+
+
+def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold any window; texts don't move, as long as the names of hit rows fit a broadcast."""
+    own = row_keys(id_col, text_col)
+    keyed = docs.select(id_col, text_col).select("*", *own)
+    found, _ = matches(keyed, items, ["_k1", "_k2"], window, None, text_col, item_col, item_text)
+    hit = materialise(found.where(F.size("starts") > 0).select("_k1", "_k2").distinct(), "hit-rows")
+    hit = F.broadcast(hit) if hit.count() <= MOST_ROWS else hit
+    return docs.select("*", *own).join(hit, ["_k1", "_k2"], "left_anti").select(*docs.columns)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int | None = None) -> DataFrame:
@@ -181,7 +196,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     """
     own = ["n_words", "n_hit", "items", "n_items", "contaminated", "n_near", "near_items"]
     keyed = docs.select(id_col, text_col).select("*", *row_keys(id_col, text_col))
-    found = matches(keyed, items, ["_k1", "_k2"], window, slop, text_col, item_col, item_text)
+    found, sizes = matches(keyed, items, ["_k1", "_k2"], window, slop, text_col, item_col, item_text)
     # the matches of one document; their number is bounded by its words and the windows at each
     per_doc = found.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("n", "items", "starts", "near")).alias("found"))
     spans = F.flatten(F.transform("found", lambda x: F.transform(x["starts"], lambda s: F.struct(s.alias("start"), (s + x["n"]).alias("end")))))
@@ -190,9 +205,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     of = lambda name: F.filter("found", lambda x: F.size(x[name]) > 0)
     ids = lambda name: F.sort_array(F.array_distinct(F.flatten(F.transform(of(name), lambda x: x["items"]))))
     told = per_doc.select("_k1", "_k2", hit.alias("n_hit"), ids("starts").alias("items"), F.size(of("near")).alias("n_near"), ids("near").alias("near_items"))
+    told = sizes.join(told, ["_k1", "_k2"], "left")
     kept = [c for c in docs.columns if c not in own]
-    base = docs.select(*kept, *row_keys(id_col, text_col), n_words(F.col(text_col)).alias("n_words"))
-    joined = base.join(told, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    joined = docs.select(*kept, *row_keys(id_col, text_col)).join(told, ["_k1", "_k2"]).drop("_k1", "_k2")
     kind = items.schema[item_col].dataType.simpleString()
     none = F.array().cast(f"array<{kind}>")
     out = joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_hit", "n_near")} | {c: F.coalesce(c, none) for c in ("items", "near_items")})

@@ -91,8 +91,8 @@ def test_equal_rows_and_hot_terms(spark):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha beta"), (4, "alpha a b c d e beta gamma")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
-    assert {r.doc_id for r in d.matches(docs, bench, ["doc_id"], slop=2).collect()} == {1, 2}
-    assert d.matches(docs, bench, ["doc_id"]).count() == 0
+    assert {r.doc_id for r in d.matches(docs, bench, ["doc_id"], slop=2)[0].collect()} == {1, 2}
+    assert d.matches(docs, bench, ["doc_id"])[0].count() == 0
 
 
 def test_postings(spark):
@@ -102,6 +102,21 @@ def test_postings(spark):
     assert got == {(1, "the"): [0, 2], (1, "cat"): [1], (2, "cat"): [0]}
 
 
+def test_number_of_words(spark):
+    texts = [None, "", "...", "a", " a", "a ", ".a,b.", "a" * 9 + "..b", "\x00", "é.É\x00"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_words for r in d.contamination(docs, spark.createDataFrame([], "item_id long, text string")).collect()}
+    assert got == {k: len(words(t)) for k, t in enumerate(texts)}
+
+
+def test_cleaned(spark):
+    docs, items = data()
+    df = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, _k1 string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in d.cleaned(df.drop("_k1"), bench).collect())
+    assert got == Counter((i, t) for i, t in docs if not brute(t, items)[1])
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
