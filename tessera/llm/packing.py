@@ -35,6 +35,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,13 +82,15 @@ class ByteBpe:
         # how the library's byte-level step splits a text
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self._id = np.array([model["vocab"][t] for t in order], np.uint32)
+        self._same = bool((self._id == np.arange(len(order))).all())
         return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks={bytes(byte_of[c] for c in t): k for k, t in enumerate(order)}, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if self._fast is None or any(t in text for t in self.added):
             return self.reference(text)
         try:
-            return self._id[self._fast.encode_to_numpy(text, disallowed_special=())]
+            ids = np.frombuffer(array("I", self._fast.encode_ordinary(text)), np.uint32)
+            return ids if self._same else self._id[ids]
         except ValueError:  # its pattern engine gives up on some huge runs
             return self.reference(text)
 
@@ -118,26 +121,34 @@ class Shard:
         term, self.docs = np.divmod(key[at], n)
         self.ptr = np.searchsorted(term, np.arange(vocab + 1))
         df = np.diff(self.ptr)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))  # a term of over half the documents tells nothing
         norm = K1 * (1 - B + B * sizes / sizes.mean())
         self.impact = idf[term] * tf * (K1 + 1) / (tf + norm[self.docs])
-        # each document's terms that another one has too
-        shared = np.flatnonzero(df[term] > 1)
+        # each document's terms that another one has too, and that weigh something
+        shared = np.flatnonzero((df[term] > 1) & (idf[term] > 0))
         order = shared[np.argsort(self.docs[shared], kind="stable")]
         self.query_terms, owner = term[order], self.docs[order]
         self.query_ptr = np.searchsorted(owner, np.arange(n + 1))
         self.n = n
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first."""
+    def scores(self, seed: int) -> np.ndarray:
         terms = self.query_terms[self.query_ptr[seed] : self.query_ptr[seed + 1]]
         first, sizes = self.ptr[terms], self.ptr[terms + 1] - self.ptr[terms]
         ends = np.cumsum(sizes)
         at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        score = np.bincount(self.docs[at], self.impact[at], self.n)
+        return np.bincount(self.docs[at], self.impact[at], self.n)
+
+    def best(self, seed: int, used: np.ndarray, first: int = 32) -> Iterator[int]:
+        """Unused documents that share a term with the seed, best first; only the ``first`` ones are put in order unless more are asked for."""
+        score = self.scores(seed)
         score[used] = 0
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        if len(found) > 4 * first:
+            least = np.partition(score[found], len(found) - first)[len(found) - first]
+            top = found[score[found] >= least]
+            yield from top[np.argsort(-score[top], kind="stable")].tolist()
+            found = found[score[found] < least]
+        yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def pack_shard(sizes: list[int], docs: list[np.ndarray], window: int, vocab: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -168,7 +179,7 @@ def pack_shard(sizes: list[int], docs: list[np.ndarray], window: int, vocab: int
             if not room:
                 break
             if queue is None:
-                queue = iter(index.neighbours(seed, used).tolist())
+                queue = index.best(seed, used)
             row = next((r for r in queue if not used[r]), -1)
             if row < 0:  # no neighbour is left: the next unused piece
                 while spare < n and used[spare]:

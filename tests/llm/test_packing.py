@@ -92,8 +92,9 @@ def test_empty_table(spark):
 def test_neighbours_come_by_bm25():
     a, b = np.arange(10, 20, dtype=np.uint32), np.arange(30, 40, dtype=np.uint32)
     pieces = [a, b, np.append(b[:5], 99), np.append(a[:5], 99), a[::-1].copy()]
-    found = packing.Shard(pieces, 100).neighbours(0, np.array([True, False, False, False, False]))
-    assert found.tolist() == [4, 3]
+    found = packing.Shard([*pieces, *(np.array([60 + k], np.uint32) for k in range(3))], 100).best(0, np.array([True] + [False] * 7))
+    assert list(found) == [4, 3]
+    pieces += [np.array([60 + k], np.uint32) for k in range(3)]
     rows = list(packing.pack_shard([len(p) for p in pieces], pieces, 16, 100))
     assert [r for r, _, _, q, _ in rows if q == 0] == [0, 4]
 
@@ -111,12 +112,12 @@ def test_scores_against_the_formula():
             for t in set(docs[seed].tolist()) & set(d.tolist()):
                 df = sum(t in x for x in docs)
                 tf = int((d == t).sum())
-                total += np.log1p((40 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+                total += max(0, np.log((40 - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
             if total:
                 score[k] = total
         used = np.zeros(40, bool)
         used[seed] = True
-        found = index.neighbours(seed, used).tolist()
+        found = list(index.best(seed, used, 3))
         assert set(found) == set(score)
         got = [score[k] for k in found]
         assert all(a >= b - 1e-9 for a, b in zip(got, got[1:], strict=False))
