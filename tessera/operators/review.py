@@ -194,3 +194,53 @@ def sql_context(facts: DataFrame, changed: DataFrame) -> DataFrame:
     names = facts.join(near, "path", "left_semi").select("object_name").distinct()
     inside = facts.join(near, "path", "left_semi").withColumn("reason", F.lit("changed"))
     return inside.unionByName(facts.join(near, "path", "left_anti").join(names, "object_name", "left_semi").select(*facts.columns).withColumn("reason", F.lit("mentioned")))
+
+
+def aligned(old: DataFrame, new: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, n, old, new): values of both sides paired one to one by their place in each group; what has no counterpart stays alone."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    side = lambda t, name: t.select(*keys, F.row_number().over(w).alias("n"), F.col(value).alias(name))
+    return side(old, "old").join(side(new, "new"), [*keys, "n"], "full_outer")
+
+
+def enclosing_callable(places: DataFrame, symbols: DataFrame, width: int = 64) -> DataFrame:
+    """(file, line, id) of the smallest function or method around each place."""
+    return reports.changed_symbols(places, symbols.where(F.col("kind").isin("function", "method", "constructor")), width)
+
+
+def hinted_pairs(rows: DataFrame, hints: DataFrame, most: int = 200) -> DataFrame:
+    """(id_a, id_b) of the units of each two hinted files (file_a, file_b) of one language; files of over ``most`` units are left out, as the hint says little there."""
+    sized = rows.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("file")
+    use = rows.select("id", "file", "language").join(sized, "file", "left_semi")
+    a = use.select(F.col("id").alias("id_a"), F.col("file").alias("file_a"), "language")
+    b = use.select(F.col("id").alias("id_b"), F.col("file").alias("file_b"), "language")
+    return hints.join(a, "file_a").join(b, ["file_b", "language"]).select("id_a", "id_b").distinct()
+
+
+def under_roots(files: DataFrame, edges: DataFrame, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The files below ``roots``, and the edges among them and from them to the outside."""
+    from ..functions.textual import under
+
+    kept = files.where(under(F.col("path"), roots))
+    names = kept.select("path")
+    inner = edges.where("to_type = 'file'").join(names, F.col("from_path") == F.col("path"), "left_semi").join(names, F.col("to_path") == F.col("path"), "left_semi")
+    outer = edges.where("to_type != 'file'").join(names, F.col("from_path") == F.col("path"), "left_semi")
+    return kept, inner.unionByName(outer)
+
+
+def analysis_summary(files: DataFrame) -> DataFrame:
+    """(files, degraded, skipped, native): counts of files (status, engine) by how they were read."""
+    count = lambda c, name: F.count_if(c).alias(name)
+    return files.agg(F.count("*").alias("files"), count(F.col("status") == "degraded", "degraded"), count(F.col("status") == "skipped", "skipped"), count(F.col("engine") == "native", "native"))
+
+
+def symbol_graph(symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, file, name) and edges (from_id, to_id, label) of local symbols, import aliases, and the exports that they resolve to.
+
+    ``imports``: (file, alias, target_file, target_name). An alias whose export isn't known has no edge.
+    """
+    alias = imports.select(F.concat_ws("#", "file", "alias").alias("id"), F.lit("alias").alias("kind"), "file", F.col("alias").alias("name"), "target_file", "target_name").distinct()
+    nodes = symbols.select("id", "kind", "file", "name").unionByName(alias.select("id", "kind", "file", "name").distinct())
+    exports = symbols.where("exported").select(F.col("id").alias("to_id"), F.col("file").alias("target_file"), F.col("name").alias("target_name"))
+    edges = alias.join(exports, ["target_file", "target_name"]).select(F.col("id").alias("from_id"), "to_id", F.lit("imports").alias("label")).distinct()
+    return nodes, edges

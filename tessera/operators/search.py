@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.textual import compact, field_score, normalized, query_terms
+from ..functions.textual import compact, field_score, normalized, query_terms, surface
+from ..storage import materialise
 from . import graphs
 
 
@@ -73,10 +78,11 @@ def grep(chunks: DataFrame, pattern: str, ignore_case: bool = False, limit: int
 
 
 def bounded(rows: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` rows and ``truncated``, decided by one row more."""
-    probe = rows.limit(limit + 1)
-    more = F.lit(probe.count() > limit)
-    return probe.limit(limit).withColumn("truncated", more)
+    """At most ``limit`` rows with ``truncated``, told by one row more that is read but not returned; one pass."""
+    probe = rows.limit(limit + 1).withColumn("_k", F.monotonically_increasing_id())  # at most limit + 1 rows
+    w = Window.orderBy("_k")
+    told = probe.withColumn("_n", F.row_number().over(w)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit)
+    return told.where(F.col("_n") <= limit).drop("_k", "_n")
 
 
 def workspace_symbols(symbols: DataFrame, query: str, limit: int = 50) -> DataFrame:
@@ -103,3 +109,99 @@ def trigram_lookup(postings: DataFrame, term: str) -> DataFrame:
     """Ids whose text holds every trigram of ``term`` (a superset of those that hold the term)."""
     tris = sorted({term[i : i + 3] for i in range(len(term) - 2)})
     return postings.where(F.col("tri").isin(*tris)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(tris)).select("id")
+
+
+# --- candidates, snippets, boosts --------------------------------------------------------------
+
+# Boosts of documents, and the bounds of retrieval.
+PHRASE_BOOST, PROXIMITY_BOOST = 18, 6
+PREFETCH, CANDIDATES = 8000, 2000
+
+
+def term_matches(norm: Column, terms: Sequence[str]) -> tuple[Column, Column, Column]:
+    """How many terms a normalised text holds, whether it holds them as a phrase, and else in order."""
+    n = F.lit(0)
+    for t in terms:
+        n = n + F.contains(compact(norm), F.lit(t)).cast("int")
+    every = (n == len(terms)) if len(terms) > 1 else F.lit(False)
+    phrase = every & F.contains(norm, F.lit(" ".join(terms)))
+    near = every & ~phrase & norm.rlike(".*".join(re.escape(t) for t in terms))
+    return n, phrase, near
+
+
+def chunk_candidates(chunks: DataFrame, query: str, prefetch: int = PREFETCH, limit: int = CANDIDATES) -> DataFrame:
+    """(id, file, ordinal, score, phrase, proximity, matched): candidates in their order.
+
+    Retrieval takes, up to ``prefetch`` texts, those that hold the phrase, then
+    those that hold all terms, then each term's, a share of the bound for each, by
+    path and ordinal; of these the ``limit`` best by score, phrase, proximity,
+    number of terms, path and ordinal are returned.
+    """
+    terms = query_terms(query)
+    rows = chunks.select("id", "file", "ordinal", F.explode(F.array(normalized(F.col("text")))).alias("norm"))
+    n, phrase, near = term_matches(F.col("norm"), terms)
+    score = field_score(F.col("norm"), terms)
+    each = [F.contains(compact(F.col("norm")), F.lit(t)) for t in terms]
+    rows = rows.select("id", "file", "ordinal", score.alias("score"), phrase.alias("phrase"), near.alias("proximity"), n.alias("matched"), F.array(*each).alias("each")).where("matched > 0")
+    rows = materialise(rows, "candidates")
+    order = ["file", "ordinal", "id"]
+    taken = rows.where("phrase").orderBy(*order).limit(prefetch) if len(terms) > 1 else rows.limit(0)
+    every = rows.where(F.col("matched") == len(terms)).orderBy(*order).limit(prefetch)
+    quota = -(-prefetch // max(1, len(terms)))
+    for k in range(len(terms) if len(terms) > 1 else 0):
+        taken = taken.unionByName(rows.where(F.col("each")[k]).orderBy(*order).limit(quota))
+    taken = taken.unionByName(every).drop("each").distinct()
+    return taken.orderBy(F.desc("score"), F.desc("phrase"), F.desc("proximity"), F.desc("matched"), *order).limit(limit)
+
+
+def docs_boost(path: Column, norm: Column, terms: Sequence[str], identifier: bool = False) -> Column:
+    """What a document's text score gains from a phrase or from terms in order; nothing if the query looks like an identifier."""
+    _, phrase, near = term_matches(norm, terms)
+    document = surface(path) == "docs"
+    return F.when(document & phrase & F.lit(not identifier), PHRASE_BOOST).when(document & near & F.lit(not identifier), PROXIMITY_BOOST).otherwise(0)
+
+
+def snippets(chunks: DataFrame, query: str) -> DataFrame:
+    """(id, line, snippet): the first line that scores (else the first), with one line before and after it; lines count from 1."""
+    terms = query_terms(query)
+    lines = chunks.select("id", F.split("text", r"\r?\n").alias("lines"))
+    hit = lambda x: field_score(normalized(x), terms) > 0
+    first = F.array_position(F.transform("lines", hit), F.lit(True)).cast("int")
+    at = F.greatest(first, F.lit(1))
+    shown = F.array_join(F.slice("lines", F.greatest(at - 1, F.lit(1)), at + 1 - F.greatest(at - 1, F.lit(1)) + 1), "\n")
+    rows = lines.select("id", F.explode(F.array(F.struct(at.alias("line"), shown.alias("snippet")))).alias("x"))
+    return rows.select("id", "x.line", F.regexp_replace("x.snippet", r"^\s+|\s+$", "").alias("snippet"))
+
+
+def search_sql_objects(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """(id, name, file, score) of tables, views, indexes and routines: 4 * name + file + docstring."""
+    terms = query_terms(query)
+    part = lambda c: field_score(normalized(F.coalesce(c, F.lit(""))), terms)
+    rows = symbols.where(F.col("kind").isin("table", "view", "index", "routine")).select("id", "name", "file", (4 * part("name") + part("file") + part("docstring")).alias("score"))
+    return rows.where("score > 0").orderBy(F.desc("score"), "file", "id").limit(limit)
+
+
+def explored(symbols: DataFrame, files: DataFrame, chunks: DataFrame, edges: DataFrame, query: str, is_test, limit: int = 10) -> DataFrame:
+    """(section, name, value): the best files of a query, the files they import and are imported by, and the tests among the latter."""
+    top = materialise(search_hybrid(symbols, files, chunks, query, limit), "explored").select(F.col("handle").alias("file"), "score")
+    inner = edges.where("to_type = 'file'").select("from_path", "to_path").distinct()
+    near = lambda a, b: inner.join(top.select(F.col("file").alias(a)), a, "left_semi").groupBy(F.col(b).alias("file")).agg(F.count("*").cast("long").alias("score"))
+    deps, users = near("from_path", "to_path"), materialise(near("to_path", "from_path"), "explored")
+    part = lambda t, name: t.select(F.lit(name).alias("section"), F.col("file").alias("name"), F.col("score").cast("long").alias("value"))
+    best = lambda t: t.orderBy(F.desc("score"), "file").limit(limit)
+    return part(top, "result").unionByName(part(best(deps), "dependency")).unionByName(part(best(users.where(~is_test(F.col("file")))), "importer")).unionByName(part(best(users.where(is_test(F.col("file")))), "test"))
+
+
+def bounded_lists(rows: DataFrame, bounds: dict[str, int]) -> DataFrame:
+    """``rows`` whose array columns hold at most so many items, with <name>_omitted beside them."""
+    out = rows
+    for name, most in bounds.items():
+        out = out.withColumn(f"{name}_omitted", F.greatest(F.size(name) - most, F.lit(0))).withColumn(name, F.slice(name, 1, most))
+    return out
+
+
+def first_seen(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key, by ``order``: a partial minimum, so a frequent key doesn't meet in one task."""
+    rest = [c for c in rows.columns if c not in keys]
+    lead = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(order)], *[F.col(c) for c in rest])
+    return rows.groupBy(*keys).agg(F.min(lead).alias("_m")).select(*[F.col(c) if c in keys else F.col(f"_m.{c}") for c in rows.columns])

@@ -634,4 +634,4 @@ def sql_context(spark, d):
     return review.sql_context(extract.sql_facts(_sql_files(spark, d)), changed).select("path", "start_line", "kind", "object_name", "reason")
 
 
-from . import change_queries, duplicate_queries  # noqa: E402,F401  (register more)
+from . import change_queries, duplicate_queries, more_queries  # noqa: E402,F401  (register more)

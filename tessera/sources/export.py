@@ -50,3 +50,20 @@ def json_lines(files: DataFrame, edges: DataFrame) -> DataFrame:
     """One JSON object a row for nodes and edges."""
     a = files.select(F.to_json(F.struct(F.lit("node").alias("type"), *files.columns)).alias("value"))
     return a.unionByName(edges.select(F.to_json(F.struct(F.lit("edge").alias("type"), *edges.columns)).alias("value")))
+
+
+def read_json_lines(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph that :func:`json_lines` wrote; lines that aren't objects of either kind are left out."""
+    rows = spark.read.text(path).select(F.get_json_object("value", "$.type").alias("type"), "value")
+    of = lambda kind, schema: rows.where(F.col("type") == kind).select(F.from_json("value", schema).alias("x")).select("x.*")
+    return of("node", "path string, language string"), of("edge", "from_path string, to_path string, to_type string, raw string, type_only boolean, resolved string, confidence double, seq long")
+
+
+def compact_json(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (value): a JSON object with the sorted paths once, and edges as pairs of their places; for graphs that fit a text."""
+    names = F.array_distinct(F.array_sort(F.collect_list("path")))
+    book = files.select("path").agg(names.alias("files"))
+    pairs = edges.where("to_type = 'file'").select("from_path", "to_path").distinct().agg(F.array_sort(F.collect_list(F.struct("from_path", "to_path"))).alias("e"))
+    at = lambda c: F.array_position("files", c).cast("int") - 1
+    one = book.select(F.lit(0).alias("k"), "files").join(pairs.select(F.lit(0).alias("k"), "e"), "k")
+    return one.select(F.to_json(F.struct("files", F.transform("e", lambda x: F.array(at(x["from_path"]), at(x["to_path"]))).alias("edges"))).alias("value"))

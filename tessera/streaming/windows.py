@@ -40,3 +40,27 @@ def follow(changes: DataFrame, path: str, key: str = "path", checkpoint: str | N
 
     writer = changes.writeStream.foreachBatch(fold)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).trigger(availableNow=True).start()
+
+
+def matching(chunks: DataFrame, pattern: str, text_col: str = "text", *keep: str) -> DataFrame:
+    """(kept columns, matches) of the rows that hold ``pattern``; the same plan over a table or a stream of files."""
+    return chunks.where(F.col(text_col).rlike(pattern)).select(*keep, F.regexp_count(F.col(text_col), F.lit(pattern)).cast("long").alias("matches"))
+
+
+def source(spark, path: str, schema, most_files: int = 100) -> DataFrame:
+    """A stream of the Parquet files in ``path``; ``most_files`` a batch hold the source back while batches are worked on."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str):
+    """Write what a stream has now to Parquet and end; a restart goes on from the checkpoint."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def freshness(manifest: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(session, stale, files): sessions (session, path, signature) with the number of their files that have changed or gone since."""
+    now = manifest.select("path", F.col("signature").alias("_now"))
+    rows = sessions.join(now, "path", "left")
+    return rows.groupBy("session").agg(F.count_if(~F.col("signature").eqNullSafe(F.col("_now"))).alias("stale"), F.count("*").alias("files"))
