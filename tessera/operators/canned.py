@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,33 +63,88 @@ def ask(question: str, symbols: DataFrame, symbol_edges: DataFrame, file_edges:
     return plans[q.plan]()
 
 
-_FORBIDDEN = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|set|reset|cache|uncache|refresh|load|add|use|call|execute|analyze|repair|msck)\b", re.I)
+MARK = "...[truncated]"
+_QUOTED = re.compile(r"('(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`)")
 
 
-def bounded_sql(spark: SparkSession, query: str, views: dict[str, DataFrame], max_rows: int = 100, max_bytes: int = 200_000, cell_bytes: int = 8_000) -> DataFrame:
-    """A read-only statement over named tables, clipped to rows, bytes a cell and bytes in all.
+def read_only(spark: SparkSession, query: str) -> bool:
+    """Whether a text is a single statement that only reads, by Spark's own parser."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except Exception as e:  # the parser's complaints are Java exceptions of several classes
+        raise ValueError(f"no statement: {str(e).splitlines()[0]}") from e
+    jvm = spark._jvm
+    kind = lambda name: jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{name}")
+    writes, wrapped = [kind("Command"), kind("ParsedStatement")], kind("UnresolvedWith")
+    while wrapped.isInstance(plan):
+        plan = plan.child()
+    return not any(w.isInstance(plan) for w in writes)
 
-    At most 500 rows come back, so the running sum of bytes is over a bounded table.
+
+def clipped(cell: Column, most: int) -> Column:
+    """A text of at most ``most`` bytes: whole characters, then the mark."""
+    raw, budget = cell.cast("binary"), max(0, most - len(MARK))
+    inside = lambda p: F.hex(F.substring(raw, p + 1, 1)).between("80", "BF")  # noqa: E731  (the byte after p continues a character)
+    cut = F.lit(max(0, budget - 3))
+    for k in (2, 1, 0):
+        p = max(0, budget - k)
+        cut = F.when(~inside(p), F.lit(p)).otherwise(cut)
+    return F.when(F.octet_length(cell) > most, F.concat(F.substring(raw, F.lit(1), cut).cast("string"), F.lit(MARK))).otherwise(cell)
+
+
+def bounded_sql(spark: SparkSession, query: str, views: dict[str, DataFrame], max_rows: int = 100, max_bytes: int = 200_000, cell_bytes: int = 8_000, args: dict | list | None = None) -> DataFrame:
+    """A read-only statement over named tables, clipped to rows, bytes a cell and bytes in all; ``truncated`` tells in every row whether anything was.
+
+    ``args`` are the statement's parameters. At most 500 rows come back, so the
+    running sum of bytes is over a bounded table. Names are replaced outside
+    quotes only.
     """
-    if not re.match(r"\s*(select|with|values)\b", query, re.I) or _FORBIDDEN.search(re.sub(r"'[^']*'|\"[^\"]*\"", "", query)) or ";" in query.rstrip().rstrip(";"):
+    text = query.rstrip().rstrip(";")
+    if not re.match(r"\s*(select|with|values|from|\()", text, re.I) or not read_only(spark, text):
         raise ValueError("only a single SELECT is allowed")
-    names = {name: f"_q_{id(df):x}_{name}" for name, df in views.items()}
+    parts = _QUOTED.split(text)
     for name, df in views.items():
-        df.createOrReplaceTempView(names[name])
-    text = query.rstrip().rstrip(";")
-    for name, alias in names.items():
-        text = re.sub(rf"\b{name}\b(?!\s*\.)", f"`{alias}`", text)
-    rows = spark.sql(text).limit(max(1, min(max_rows, 500)))
-    mark = "...[truncated]"
-    cells = []
+        alias = f"_q_{id(df):x}_{name}"
+        df.createOrReplaceTempView(alias)
+        parts = [re.sub(rf"(?<![\w.]){re.escape(name)}(?![\w.])", f"`{alias}`", x) if k % 2 == 0 else x for k, x in enumerate(parts)]
+    most = max(0, min(max_rows, 500))
+    rows = (spark.sql("".join(parts), args=args) if args else spark.sql("".join(parts))).limit(most + 1)
+    cells, cut = [], F.lit(False)
     for c, kind in rows.dtypes:
         col = F.col(f"`{c}`")
         if kind == "binary":
+            cut = cut | col.isNotNull()
             col = F.concat(F.lit("<"), F.octet_length(col).cast("string"), F.lit(" bytes>"))
         elif kind == "string":
-            col = F.when(F.octet_length(col) > cell_bytes, F.concat(F.substring(col, 1, cell_bytes // 4), F.lit(mark))).otherwise(col)
+            cut = cut | F.coalesce(F.octet_length(col) > cell_bytes, F.lit(False))
+            col = clipped(col, cell_bytes)
         cells.append(col.alias(c))
-    shown = rows.select(*cells).withColumn("_i", F.monotonically_increasing_id())
+    shown = rows.select(*cells, cut.alias("_cut")).withColumn("_i", F.monotonically_increasing_id())
     size = F.octet_length(F.to_json(F.struct(*[f"`{c}`" for c in rows.columns])))
     w = Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return shown.withColumn("_b", F.sum(size).over(w)).where(F.col("_b") <= max_bytes).drop("_i", "_b")
+    told = shown.withColumn("_b", F.sum(size).over(w)).withColumn("_n", F.row_number().over(Window.orderBy("_i")))
+    kept = (F.col("_n") <= most) & (F.col("_b") <= max_bytes)
+    every = Window.partitionBy()  # at most 501 rows
+    flagged = told.withColumn("truncated", F.max(F.when(kept, F.col("_cut")).otherwise(True)).over(every))
+    return flagged.where(kept).drop("_i", "_b", "_n", "_cut")
+
+
+def collected(rows: DataFrame, seconds: float) -> list:
+    """The rows, or an error once the deadline has passed: the job is cancelled."""
+    import threading
+    import uuid
+
+    sc, group = rows.sparkSession.sparkContext, f"bounded-{uuid.uuid4().hex}"
+    sc.setJobGroup(group, "bounded statement", interruptOnCancel=True)
+    late = threading.Event()
+    timer = threading.Timer(seconds, lambda: (late.set(), sc.cancelJobGroup(group)))
+    timer.start()
+    try:
+        return rows.collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no result within {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)

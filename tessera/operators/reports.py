@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.textual import folded
 from . import graphs
 
 # --- changes ----------------------------------------------------------------------------------
@@ -76,13 +77,6 @@ def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     return pages.select(id_col, F.explode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
 
 
-def folded(path: Column) -> Column:
-    """``path`` without ``.`` and ``..`` segments, in any number; what leads above the top keeps its ``..``."""
-    none = F.array().cast("array<string>")
-    step = lambda acc, x: F.when((x == "") | (x == "."), acc).when((x == "..") & (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), acc), -1) != ".."), F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x)))
-    return F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
-
-
 def broken_links(found: DataFrame, known: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """``found`` (file, destination, ...) with resolved and status.
 

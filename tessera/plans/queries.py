@@ -374,9 +374,9 @@ def snapshot_retention(spark, d):
     return reports.retained(ad.table(spark, d, "events").select("event_id", "ts"), 100, "ts", "event_id")
 
 
-@query("bounded_sql", f"{_S} SELECT id, name, kind FROM symbols WHERE kind = 'class' ORDER BY id LIMIT 100")
+@query("bounded_sql", f"{_S} SELECT id, name, kind, (SELECT count(*) > 100 FROM symbols WHERE kind = 'class') AS truncated FROM symbols WHERE kind = 'class' ORDER BY id LIMIT 100")
 def bounded_sql(spark, d):
-    return canned.bounded_sql(spark, "SELECT id, name, kind FROM symbols WHERE kind = 'class' ORDER BY id", {"symbols": ad.symbols(spark, d)})
+    return canned.bounded_sql(spark, "SELECT id, name, kind FROM symbols WHERE kind = :kind ORDER BY id", {"symbols": ad.symbols(spark, d)}, args={"kind": "class"})
 
 
 @query("files_by_language", f"{_F} SELECT language, count(*) AS files FROM files GROUP BY 1")

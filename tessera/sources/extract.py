@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.textual import folded
+
 # --- imports ----------------------------------------------------------------------------------
 
 JS_IMPORT = r"""(?m)(?:^|[;\s])(?:import|export)\s+(?:[\w*{}\s,$]+\s+from\s+)?["']([^"']+)["']|\b(?:require|import)\(\s*["']([^"']+)["']\s*\)"""
@@ -26,22 +28,52 @@ def import_specifiers(files: DataFrame, language: str = "js") -> DataFrame:
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".py"]
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, extensions: Sequence[str] = tuple(EXTENSIONS)) -> DataFrame:
+def resolve_imports(imports: DataFrame, files: DataFrame, extensions: Sequence[str] = tuple(EXTENSIONS), paths: dict[str, Sequence[str]] | None = None, packages: DataFrame | None = None, path_like: bool = False, node_modules: bool = False, hints: Sequence[str] = ()) -> DataFrame:
     """``imports`` (path, specifier, ...) with to_path and to_type: the first existing candidate, else external.
 
-    Candidates of a relative specifier: itself, itself with each extension, its
-    index with each extension. They are exploded with their place and met by one
-    equi-join, and the least place wins.
+    A place is tried as it stands, with each extension, and as a folder's index
+    with each extension. The places, in order:
+
+    * of a relative specifier, the importer's folder with it; of one from the root, the root with it;
+    * of a bare one: the targets of a matching pattern in ``paths`` (one ``*`` stands for any text; the longest text before it goes first);
+    * the folder of a workspace package (``packages``: name, folder) with what follows its name;
+    * with ``path_like``, the root with the specifier, dots standing for slashes if it has none;
+    * with ``node_modules``, these folders from the importer's upwards;
+    * each of the ``hints``, folders that a caller knows.
+
+    Candidates are exploded with their place and met by one equi-join; the least
+    place wins. Paths that lead out of the root match no file.
     """
     pairs = imports.select("path", "specifier").distinct()
-    relative = F.col("specifier").rlike(r"^\.{1,2}/")
-    parent = F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/$", "")
-    joined = F.concat_ws("/", F.when(parent != "", parent), F.col("specifier"))
-    plain = F.regexp_replace(joined, r"(^|/)\./", "$1")
-    for _ in range(4):  # a/../ folds to nothing
-        plain = F.regexp_replace(plain, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    options = F.array(plain, *[F.concat(plain, F.lit(e)) for e in extensions], *[F.concat(plain, F.lit(f"/index{e}")) for e in extensions])
-    tries = pairs.where(relative).select("path", "specifier", F.posexplode(options).alias("place", "to_path"))
+    spec, folder = F.col("specifier"), F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/$", "")
+    relative, rooted = spec.rlike(r"^\.{1,2}(/|$)"), spec.startswith("/")
+    bare = ~(relative | rooted)
+    none = F.array().cast("array<string>")
+    places = [F.when(relative, F.array(F.concat_ws("/", folder, spec))).when(rooted, F.array(spec)).otherwise(none)]
+    for pattern, targets in sorted((paths or {}).items(), key=lambda p: -len(p[0].split("*")[0])):
+        head, star, tail = pattern.partition("*")
+        if star:
+            fits = spec.startswith(head) & spec.endswith(tail) & (F.length(spec) >= len(head) + len(tail))
+            middle = F.substring(spec, F.lit(len(head) + 1), F.length(spec) - len(head) - len(tail))
+            made = [F.concat(F.lit(t.partition("*")[0]), middle, F.lit(t.partition("*")[2])) if "*" in t else F.lit(t) for t in targets]
+        else:
+            fits, made = spec == pattern, [F.lit(t) for t in targets]
+        places.append(F.when(bare & fits, F.array(*made)).otherwise(none))
+    if packages is not None:
+        own = packages.select(F.col("name").alias("_p"), F.col("folder").alias("_folder"))
+        pairs = pairs.join(own, package_name(spec) == F.col("_p"), "left")
+        places.append(F.when(bare & F.col("_folder").isNotNull(), F.array(F.concat("_folder", F.substring(spec, F.length("_p") + 1, F.length(spec))))).otherwise(none))
+    if path_like:
+        places.append(F.when(bare, F.array(F.when(spec.contains("/"), spec).otherwise(F.translate(spec, ".", "/")))).otherwise(none))
+    if node_modules:
+        ups = F.split(folder, "/")
+        above = F.transform(F.sequence(F.size(ups), F.lit(0), F.lit(-1)), lambda n: F.concat_ws("/", F.array_join(F.slice(ups, 1, n), "/"), F.lit("node_modules"), spec))
+        places.append(F.when(bare, above).otherwise(none))
+    if hints:
+        places.append(F.array(*[F.concat_ws("/", F.lit(h), spec) for h in hints]))
+    forms = lambda p: F.array(p, *[F.concat(p, F.lit(e)) for e in extensions], *[F.concat(p, F.lit(f"/index{e}")) for e in extensions])
+    options = F.flatten(F.transform(F.concat(*places), lambda p: forms(folded(p))))
+    tries = pairs.select("path", "specifier", F.posexplode(options).alias("place", "to_path"))
     known = files.select(F.col("path").alias("to_path")).distinct()
     hits = tries.join(known, "to_path").groupBy("path", "specifier").agg(F.min_by("to_path", "place").alias("to_path"))
     rows = imports.join(hits, ["path", "specifier"], "left")

@@ -19,6 +19,16 @@ def test_scan_and_refresh(spark, tmp_path):
     assert {tuple(r) for r in scan.refreshed(facts, new, plan).collect()} == {("kept.ts", 3), ("src/a.ts", 9)}
 
 
+def test_resolution_goes_through_all_places(spark):
+    known = ["src/app/view.ts", "lib/core/index.ts", "packages/ui/src/index.ts", "packages/ui/button.ts", "a/b/c.py", "src/node_modules/dep/index.js", "node_modules/dep/x.js", "vendor/odd.ts", "x.ts", "deep.ts"]
+    files = spark.createDataFrame([(f,) for f in known], "path string")
+    asks = {"@/view": "src/app/view.ts", "@core": "lib/core/index.ts", "ui/button": "packages/ui/button.ts", "ui/src": "packages/ui/src/index.ts", "a.b.c": "a/b/c.py", "dep": "src/node_modules/dep/index.js", "dep/x": "node_modules/dep/x.js", "odd": "vendor/odd.ts", "../../x": "x.ts", "/x": "x.ts", "none": None, "../../../x": None, "./a/b/c/d/e/../../../../../../../deep": "deep.ts"}
+    imports = spark.createDataFrame([("src/app/m.ts", s) for s in asks], "path string, specifier string")
+    packages = spark.createDataFrame([("ui", "packages/ui")], "name string, folder string")
+    found = extract.resolve_imports(imports, files, paths={"@/*": ["missing/*", "src/app/*"], "@core": ["lib/core"]}, packages=packages, path_like=True, node_modules=True, hints=["vendor"])
+    assert {r.specifier: r.to_path if r.to_type == "file" else None for r in found.collect()} == asks
+
+
 def test_imports_and_resolution(spark):
     text = 'import a from "./x";\nimport "side";\nexport { q } from "../up/y";\nconst z = require("fs"); import("./lazy");\n'
     files = spark.createDataFrame([("src/m.ts", text)], "path string, text string")

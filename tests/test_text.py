@@ -47,13 +47,37 @@ def test_grep_columns_and_lines(spark):
 
 
 def test_bounded_sql(spark):
-    views = {"t": spark.range(300).select("id", F.repeat(F.lit("x"), 9000).alias("wide"))}
-    rows = canned.bounded_sql(spark, "SELECT * FROM t ORDER BY id", views, max_rows=900, max_bytes=5000).collect()
-    assert rows and all(r.wide.endswith("...[truncated]") for r in rows) and len(rows) == 2
+    views = {"t": spark.range(300).select("id", F.repeat(F.lit("xé"), 4500).alias("wide"), F.lit(1).alias("set"))}
+    rows = canned.bounded_sql(spark, "SELECT id, wide FROM t ORDER BY id", views, max_rows=900, max_bytes=17_000).collect()
+    assert len(rows) == 2 and all(r.truncated and r.wide.endswith("...[truncated]") and 7996 <= len(r.wide.encode()) <= 8000 for r in rows)
+    few = canned.bounded_sql(spark, "select id, `set`, 't and set' as s from t where id < :top", views, args={"top": 3}).collect()
+    assert [(r.id, r.s, r.truncated) for r in few] == [(0, "t and set", False), (1, "t and set", False), (2, "t and set", False)]
     assert canned.bounded_sql(spark, "select id from t", views, max_rows=900).count() == 300
-    for bad in ("DROP TABLE t", "select 1; select 2", "insert into t select 1"):
+    assert {r.truncated for r in canned.bounded_sql(spark, "with u as (select id from t) select * from u", views, max_rows=5).collect()} == {True}
+    for bad in ("DROP TABLE t", "insert into t select 1", "with u as (select 1) insert into t select * from u", "set x = 1"):
         with pytest.raises(ValueError, match="SELECT"):
             canned.bounded_sql(spark, bad, views)
+    with pytest.raises(ValueError, match="no statement"):
+        canned.bounded_sql(spark, "select 1; select 2", views)
+
+
+def test_clipped_keeps_whole_characters(spark):
+    texts = ["a" * 20, "é" * 10, "日" * 7, "😀" * 5, "a" * 15 + "😀" * 2, "short", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for most in range(14, 24):
+        for t, r in zip(texts, df.select(canned.clipped(F.col("t"), most).alias("c")).collect(), strict=True):
+            if t is None or len(t.encode()) <= most:
+                assert r.c == t
+            else:
+                kept = next(t[:k] for k in range(len(t), -1, -1) if len(t[:k].encode()) <= most - len(canned.MARK))
+                assert r.c == kept + canned.MARK
+
+
+def test_deadline(spark):
+    assert canned.collected(spark.range(3), 60) and True
+    slow = spark.range(4).mapInPandas(lambda it: (__import__("time").sleep(20) or b for b in it), "id long")
+    with pytest.raises(TimeoutError):
+        canned.collected(slow, 1)
 
 
 def test_hybrid_merge(spark):
