@@ -12,7 +12,10 @@ source and id are never inputs.
 Defined cases: null text is empty, and an empty text has the statistics zero;
 rows with a null label don't train; several labels of one id count as their
 greatest; without training rows every score is 0.5, with one class its smoothed
-share; empty tables give empty results; extra columns are ignored.
+share; of several rows of one id the greatest statistics train, in whatever
+order they come; equal statistics score alike, and ties between splits go to the
+earlier statistic and bin; texts of any length count whole; empty tables give
+empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

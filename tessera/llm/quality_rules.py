@@ -14,8 +14,10 @@ neither join nor shuffle. Trusted rows are the labelled ones, at most
 ``MAX_TRUSTED`` by least hash, which bounds the broadcast of their ids.
 
 Defined cases: null text has no words; without trusted rows the base rules
-decide alone; repeated rows count and are judged each; ids may be null; empty
-tables give empty results.
+decide alone; repeated rows count and are judged each; ids may be null; texts of
+any length are whole; a score equal to the threshold is kept; columns that bear
+the name of a result give way to it, others stay; empty tables give empty
+results.
 """
 
 from __future__ import annotations

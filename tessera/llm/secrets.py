@@ -19,7 +19,11 @@ bounded in number, rounding towards fewer dismissals.
 
 Spans count code points, end exclusive. Defined cases: null text is empty; equal texts are
 judged alike; tokens that touch a base span add nothing; with no tokens nothing
-is dismissed; empty tables give empty results; other columns stay.
+is dismissed; texts of any length are whole, at a cost that grows with the square
+of the matches in one text; repeated rows are judged each and count each in the
+battery; of spans with one start the earlier kind comes first; a column named
+secrets gives way to the result, other columns stay; empty tables give empty
+results.
 """
 
 from __future__ import annotations

@@ -13,12 +13,14 @@ of its lanes exceed the radius. Tasks emit a spanning set of links only.
 
 :func:`similar_groups` joins documents beyond the radius by the exact Jaccard
 similarity of their five-word shingle sets. Candidates come from a prefix filter,
-which loses no pair at the similarity asked for; a pair is left out only where
-both sides already stand in one verified component.
+which loses no pair at the similarity asked for; pairs are compared inside tasks,
+by sizes and parity bits first, and leave them only as links that join.
 
 Defined cases: null or word-less text has fingerprint zero and links like any
-other; equal texts share a class; an empty table gives an empty result; extra
-columns are ignored; a null id keeps its row, but never is a representative.
+other; equal texts share a class; texts of any length are whole; repeated rows
+are rows of their own; a component is named by its least id, null only if it has
+no other; an empty table gives an empty result; extra columns are ignored,
+whatever their names (:func:`representatives` returns them as they are).
 """
 
 from __future__ import annotations

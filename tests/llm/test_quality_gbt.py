@@ -63,3 +63,17 @@ def test_no_labels_and_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert q.score(docs, q.fit(docs, none)).first().score == 0.5
     assert q.score(docs.where("false"), q.fit(docs.where("false"), none)).count() == 0
+
+
+def test_repeated_rows_ties_and_clashes(spark):
+    """Repeats and the order of rows change nothing; equal texts score alike."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["good", "words", "here"] if i % 2 else ["###", "||", "&&"], 20))) for i in range(120)]
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    once = spark.createDataFrame([(i, t, -1, True) for i, t in rows], "doc_id long, text string, predicted int, held_out boolean")
+    again = once.unionByName(once.where("doc_id % 3 = 0")).repartition(5, "text")
+    a = {r.doc_id: r.score for r in q.score(once, q.fit(once, marks)).collect()}
+    b = q.score(again, q.fit(again, marks)).collect()
+    assert len(b) == again.count() and all(a[r.doc_id] == r.score for r in b)
+    same = spark.createDataFrame([(1, "tie text"), (2, "tie text"), (None, "tie text")], "doc_id long, text string")
+    assert len({r.score for r in q.score(same, q.fit(once, marks)).collect()}) == 1
