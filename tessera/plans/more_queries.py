@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import textual
 from ..operators import review, search
 from ..sources import adapters as ad
+from ..sources import export, pycode
 
 from ..storage import shared_path
 from ..streaming import windows
@@ -156,3 +157,36 @@ def sensitive_files(spark, d):
     names = [".env", "config/.env.local", "keys/id_rsa", "keys/id_rsa.pub", "a/server.PEM", "readme.md", "x/.npmrc", "monkey.ts", "k.key"]
     o = ad.table(spark, d, "orders")
     return o.where(textual.is_sensitive(F.get(F.array(*map(F.lit, names)), (F.col("o_orderkey") % 9).cast("int")))).select("o_orderkey")
+
+
+def _python(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    body = F.concat(F.lit("class C"), k, F.lit(":\n    def m"), k, F.lit("(self):\n        if self:\n            return help(self)\n\ndef _f"), k, F.lit("():\n    pass\nX"), k, F.lit(" = 1\n"))
+    return ad.table(spark, d, "supplier").select(F.concat(F.lit("p/s"), k, F.lit(".py")).alias("path"), body.alias("text"))
+
+
+_PY = "s AS (SELECT s_suppkey AS k, 'p/s' || s_suppkey || '.py' AS path FROM supplier)"
+
+
+@query("py_records", f"""WITH {_PY} SELECT path, 'C' || k AS qualified, 'class' AS kind, 1 AS start, 4 AS "end", true AS exported, 2 AS complexity FROM s UNION ALL SELECT path, 'C' || k || '.m' || k, 'method', 2, 4, false, 2 FROM s
+UNION ALL SELECT path, '_f' || k, 'function', 6, 7, false, 1 FROM s UNION ALL SELECT path, 'X' || k, 'variable', 8, 8, true, 1 FROM s""")
+def py_records(spark, d):
+    return pycode.records(_python(spark, d)).select("path", "qualified", "kind", "start", "end", "exported", "complexity")
+
+
+@query("py_grep", f"WITH {_PY} SELECT path, 4 AS line, 20 AS \"column\", 'help' AS name FROM s")
+def py_grep(spark, d):
+    return pycode.tree_grep(_python(spark, d), "Call", "help")
+
+
+@query("py_chunks", f"""WITH {_PY} SELECT path, 0 AS ordinal, 1 AS start, 5 AS "end", 'class' AS kind, 'C' || k AS name, 8 AS tokens FROM s UNION ALL SELECT path, 1, 6, 9, 'function+misc', '_f' || k, 6 FROM s""")
+def py_chunks(spark, d):
+    return pycode.chunk_code(_python(spark, d), 4, 30).drop("text")
+
+
+@query("graph_json", """WITH f AS (SELECT list_sort(list(DISTINCT r_name)) AS files FROM region), e AS (SELECT list_sort(list(DISTINCT [a.r_name, b.r_name])) AS e FROM region a JOIN region b ON b.r_regionkey = (a.r_regionkey + 1) % 5)
+SELECT '{"files":["' || array_to_string(files, '","') || '"],"edges":[' || array_to_string(list_transform(e, lambda x: '[' || (list_position(files, x[1]) - 1) || ',' || (list_position(files, x[2]) - 1) || ']'), ',') || ']}' AS value FROM f, e""")
+def graph_json(spark, d):
+    r = ad.table(spark, d, "region")
+    a, b = r.select(F.col("r_name").alias("from_path"), ((F.col("r_regionkey") + 1) % 5).alias("k")), r.select(F.col("r_name").alias("to_path"), F.col("r_regionkey").alias("k"))
+    return export.compact_json(r.select(F.col("r_name").alias("path")), a.join(b, "k").withColumn("to_type", F.lit("file")))

@@ -29,14 +29,47 @@ def upsert(current: DataFrame, batch: DataFrame, key: str = "path") -> DataFrame
     return kept.unionByName(last.where("kind != 'deleted'").select(*columns))
 
 
+#: Parts of a followed table; a batch rewrites the parts it touches.
+PARTS = 64
+
+
+def _part(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def followed(spark, path: str, version: int | None = None) -> DataFrame:
+    """The table that :func:`follow` keeps under ``path``, as of a batch (the last one by default)."""
+    book = spark.read.json(f"{path}/book/v={version}") if version is not None else spark.read.json(f"{path}/book")
+    if version is None:
+        book = book.where(F.col("v") == book.agg(F.max("v")).first()[0])
+    rows = book.select("part", "version").collect()  # at most PARTS rows
+    places = [f"{path}/data/version={r.version}/part={r.part}" for r in rows if r.version is not None]
+    return spark.read.option("basePath", f"{path}/data").parquet(*places).drop("version", "part")
+
+
 def follow(changes: DataFrame, path: str, key: str = "path", checkpoint: str | None = None):
-    """Start a query that folds a change stream into versioned Parquet tables under ``path``; a repeated batch rewrites its own version."""
+    """Start a query that folds a change stream into a Parquet table under ``path``.
+
+    The table lies in ``PARTS`` parts by the key's hash. A batch reads and writes
+    only the parts that its keys fall into, under its own version, and a small
+    book tells the version of every part, so a repeated batch rewrites its own
+    version and readers never see half of one.
+    """
     spark = changes.sparkSession
 
     def fold(batch: DataFrame, n: int) -> None:
         columns = [c for c in batch.columns if c not in ("kind", "version")]
-        old = spark.read.parquet(f"{path}/v={n - 1}") if n else spark.createDataFrame([], batch.select(*columns).schema)
-        upsert(old.select(*columns), batch, key).write.mode("overwrite").parquet(f"{path}/v={n}")
+        batch = batch.persist()
+        touched = sorted(r[0] for r in batch.select(_part(key)).distinct().collect())  # at most PARTS numbers
+        old = {r.part: r.version for r in spark.read.json(f"{path}/book/v={n - 1}").collect()} if n else dict.fromkeys(range(PARTS))
+        places = [f"{path}/data/version={old[k]}/part={k}" for k in touched if old[k] is not None]
+        base = spark.read.option("basePath", f"{path}/data").schema(batch.select(*columns).schema).parquet(*places).select(*columns) if places else spark.createDataFrame([], batch.select(*columns).schema)
+        new = upsert(base, batch, key).withColumn("part", _part(key))
+        new.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/version={n}")
+        kept = {r[0] for r in spark.read.parquet(f"{path}/data/version={n}").select("part").distinct().collect()} if not new.isEmpty() else set()
+        book = [(k, (n if k in kept else None) if k in touched else old[k]) for k in range(PARTS)]
+        spark.createDataFrame(book, "part int, version int").coalesce(1).write.option("ignoreNullFields", "false").mode("overwrite").json(f"{path}/book/v={n}")
+        batch.unpersist()
 
     writer = changes.writeStream.foreachBatch(fold)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).trigger(availableNow=True).start()
