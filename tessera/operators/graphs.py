@@ -133,8 +133,8 @@ def _union(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _chains(links: DataFrame) -> DataFrame:
-    """(v, head, tail, ring) of the nodes of ``links`` (u, v; distinct, no loops) with one way in and one way out.
+def _chains(links: DataFrame) -> DataFrame | None:
+    """(v, head, tail, ring), or None if there are none, of the nodes of ``links`` (u, v; distinct, no loops) with one way in and one way out.
 
     ``head`` and ``tail`` are the ends of the maximal chain that v lies in, found
     by pointers that double their reach in every round; ``ring`` is the greatest
@@ -145,9 +145,9 @@ def _chains(links: DataFrame) -> DataFrame:
     state = out.join(into, out["u"] == into["v"]).where("n_out = 1 and n_in = 1").select("v", "head", "tail", F.col("v").alias("top"), F.lit(True).alias("open"))
     state = materialise(state, "chains")
     n = state.count()
-    for _ in range(max(1, n).bit_length() + 1):
-        if not n:
-            break
+    if not n:
+        return None
+    for _ in range(n.bit_length() + 1):
         fore = state.select(F.col("v").alias("tail"), F.col("tail").alias("t2"), F.col("top").alias("top2"))
         back = state.select(F.col("v").alias("head"), F.col("head").alias("h2"))
         both = state.join(fore, "tail", "left").join(back, "head", "left")
@@ -171,18 +171,20 @@ def strong_components(edges: DataFrame, src: str = "from_path", dst: str = "to_p
     component. What is left goes into the next round.
     """
     every = materialise(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v").distinct(), "scc")
-    chains = materialise(_chains(every), "scc-chains")
-    inner = chains.select(F.col("v").alias("x"))
-    apart = every.join(inner, F.col("u") == F.col("x"), "left_anti").join(inner, F.col("v") == F.col("x"), "left_anti")
-    drawn = chains.where("ring is null").select(F.col("head").alias("u"), F.col("tail").alias("v")).where("u != v")
-    left = materialise(apart.unionByName(drawn).distinct(), "scc")
+    chains, left = _chains(every), every
+    if chains is not None:
+        chains = materialise(chains, "scc-chains")
+        inner = chains.select(F.col("v").alias("x"))
+        apart = every.join(inner, F.col("u") == F.col("x"), "left_anti").join(inner, F.col("v") == F.col("x"), "left_anti")
+        drawn = chains.where("ring is null").select(F.col("head").alias("u"), F.col("tail").alias("v")).where("u != v")
+        left = materialise(apart.unionByName(drawn).distinct(), "scc")
     done: list[DataFrame] = []
     for _ in range(max_rounds):
         size = left.count()
         while size:  # trim
             thin = left.join(left.select(F.col("v").alias("x")).distinct(), F.col("u") == F.col("x"), "left_semi").join(left.select(F.col("u").alias("y")).distinct(), F.col("v") == F.col("y"), "left_semi")
             before, left = left, materialise(thin, "scc")
-            discard(before)
+            discard(before if before is not every else None)
             now = left.count()
             if now == size:
                 break
@@ -205,8 +207,10 @@ def strong_components(edges: DataFrame, src: str = "from_path", dst: str = "to_p
         done.append(found)
         gone = found.select("node")
         before, left = left, materialise(left.join(gone, left["u"] == gone["node"], "left_anti").join(gone, left["v"] == gone["node"], "left_anti"), "scc")
-        discard(before)
-    nodes = _union(done) if done else chains.select(F.col("v").alias("node"), F.col("v").alias("component")).limit(0)
+        discard(before if before is not every else None)
+    nodes = _union(done) if done else every.select(F.col("v").alias("node"), F.col("v").alias("component")).limit(0)
+    if chains is None:
+        return _named(nodes)
     nodes = materialise(nodes, "scc-nodes")
     at = lambda end: nodes.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
     # a chain belongs to its ends' component, or makes one with its only end
@@ -215,7 +219,11 @@ def strong_components(edges: DataFrame, src: str = "from_path", dst: str = "to_p
     inside = inside.where("head != tail and c_head = c_tail").select(F.col("v").alias("node"), F.col("c_head").alias("component"))
     rings = chains.where("ring is not null").select(F.col("v").alias("node"), F.col("ring").alias("component"))
     members = _union([nodes, inside, looped.select(F.col("v").alias("node"), "component"), looped.select(F.col("head").alias("node"), "component"), rings]).distinct()
-    members = materialise(members, "scc-members")
+    return _named(materialise(members, "scc-members"))
+
+
+def _named(members: DataFrame) -> DataFrame:
+    """``members`` (node, component) of components of two or more nodes, named by the greatest."""
     big = members.groupBy("component").agg(F.count("*").alias("n"), F.max("node").alias("name")).where("n > 1")
     return members.join(big, "component").select("node", F.col("name").alias("component"))
 

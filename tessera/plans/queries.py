@@ -538,7 +538,11 @@ def impact_clusters(spark, d):
     return review.impact_clusters(e, e.where("resolved = 'precise'").select(F.col("from_path").alias("file")))
 
 
-@query("orient")
+@query("orient", f"""{ad.with_ctes("files", "file_edges", recursive=True)}{_SCC}, h AS ({HOT.format(e='file_edges')}),
+seen AS (SELECT e.from_path, b.component AS cb, a.component AS ca FROM file_edges e JOIN scc b ON b.node = e.to_path LEFT JOIN scc a ON a.node = e.from_path WHERE to_type = 'file'),
+counts AS (SELECT cb, count(*) FILTER (ca = cb) AS i, count(DISTINCT from_path) FILTER (ca IS DISTINCT FROM cb) AS f FROM seen GROUP BY 1), sized AS (SELECT component, string_agg(node, ',' ORDER BY node) AS files, count(*) AS size FROM scc GROUP BY 1)
+SELECT 'directory' AS section, string_split(path, '/')[1] AS name, count(*)::BIGINT AS value FROM files GROUP BY 2 UNION ALL SELECT 'hotspot', file, score::BIGINT FROM (SELECT * FROM h ORDER BY score DESC, fan_in DESC, fan_out DESC, file LIMIT 10)
+UNION ALL SELECT 'cycle', files, (3 * size + 2 * f + i)::BIGINT FROM sized JOIN counts ON cb = component""")
 def orient(spark, d):
     return review.orient(ad.files(spark, d), ad.file_edges(spark, d))
 
