@@ -69,6 +69,11 @@ def discard(*tables: DataFrame | None) -> None:
             drop(t.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage: only then does Spark let go of the broadcast tables of finished steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a path made by :func:`shared_path`."""
     jvm = spark.sparkContext._jvm
