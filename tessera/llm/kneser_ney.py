@@ -38,6 +38,7 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import mmap
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -56,7 +57,7 @@ ORDER = 3
 #: The end token's hash.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Tokens that a task gathers before it combines them.
-GATHER = 2_000_000
+GATHER = 1_000_000
 #: Bits of a key within its shard.
 KEY = np.uint64(40)
 #: The count, or code, that stands for an entry of the overflow arrays.
@@ -123,16 +124,17 @@ def grams(ids: np.ndarray, per_row: np.ndarray, order: int, begin: int) -> list[
     return [before(ids, per_row, d, begin) if d else ids for d in range(order - 1, -1, -1)]
 
 
-def gram_hash(cols: list[np.ndarray]) -> np.ndarray:
-    h = np.full(len(cols[0]), len(cols), np.uint64)
+def gram_hash(cols: list[np.ndarray], before: np.ndarray | None = None) -> np.ndarray:
+    """64 bits of each row; ``before`` is the hash of the columns that stand before ``cols``."""
+    h = np.zeros(len(cols[0]), np.uint64) if before is None else before
     for c in cols:
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1))
     return h
 
 
-def key_of(cols: list[np.ndarray]) -> np.ndarray:
-    """The 40 bits that name an n-gram within a shard."""
-    return mix64(gram_hash(cols) ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> (np.uint64(64) - KEY)
+def key_of(h: np.ndarray) -> np.ndarray:
+    """The 40 bits that name an n-gram within a shard, from its hash."""
+    return (h * np.uint64(0xD6E8FEB86659FD93)) >> (np.uint64(64) - KEY)
 
 
 def grouped(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -205,7 +207,14 @@ class Model:
         if key not in self._open:
             path = f"{self.path}/{key}"
             self._open[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
-        return self._open[key]
+        return self._open[key].view(np.ndarray)
+
+    def release(self, kind: str, shard: int, *names: str) -> None:
+        """Give back the pages that were read, so that a worker holds about one shard at a time."""
+        for name in names:
+            held = getattr(self._open.get(f"{kind}-{shard}.{name}.npy"), "_mmap", None)
+            if held is not None:
+                held.madvise(mmap.MADV_DONTNEED)
 
     def word_shard(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)
@@ -231,7 +240,8 @@ class Model:
         return out
 
     def gram_shard(self, cols: list[np.ndarray]) -> np.ndarray:
-        return self.word_shard(np.where(self.hot_context(cols), gram_hash(cols), gram_hash(cols[:-1])))
+        before = gram_hash(cols[:-1])
+        return self.word_shard(np.where(self.hot_context(cols), gram_hash(cols[-1:], before), before))
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of hashes."""
@@ -244,74 +254,110 @@ class Model:
             counts[a:b][ok] = self.array("word", shard, "counts")[at[ok]]
         return ids[back], counts[back]
 
-    def found(self, kind: str, cols: list[np.ndarray], shard: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, rows, places): where the rows' n-grams stand in the arrays of ``kind``."""
-        key = key_of(cols)
+    def found(self, kind: str, h: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, rows, places): where the n-grams of the hashes ``h`` stand in the arrays of ``kind``."""
+        key = key_of(h)
         order = np.argsort(shard.astype(np.uint64) << KEY | key) if self.shards < 1 << 24 else np.lexsort((key, shard))
+        key = key[order]
+        q32, q8 = (key >> np.uint64(8)).astype(np.uint32), key.astype(np.uint8)
         for s, a, b in slices(shard[order]):
-            rows = order[a:b]
             k32, k8 = self.array(kind, s, "k32"), self.array(kind, s, "k8")
-            q32, q8 = (key[rows] >> np.uint64(8)).astype(np.uint32), (key[rows] & np.uint64(255)).astype(np.uint8)
-            at = np.searchsorted(k32, q32)
-            place, left = np.full(len(rows), -1, np.int64), np.arange(len(rows))
+            if not len(k32):  # nothing of this kind fell into the shard
+                continue
+            at = np.searchsorted(k32, q32[a:b])
+            place, left = np.full(b - a, -1, np.int64), np.arange(b - a)
             while len(left):  # equal upper parts stand side by side
                 left = left[at[left] < len(k32)]
-                left = left[k32[at[left]] == q32[left]]
-                hit = k8[at[left]] == q8[left]
+                left = left[k32[at[left]] == q32[a:b][left]]
+                hit = k8[at[left]] == q8[a:b][left]
                 place[left[hit]] = at[left[hit]]
                 left = left[~hit]
                 at[left] += 1
-            ok = place >= 0
-            yield s, rows[ok], place[ok]
-
-    def counts(self, cols: list[np.ndarray]) -> np.ndarray:
-        kind, out = f"gram{len(cols)}", np.zeros(len(cols[0]), np.int64)
-        for s, rows, at in self.found(kind, cols, self.gram_shard(cols)):
+            ok = np.flatnonzero(place >= 0)
+            yield s, order[a:b][ok], place[ok]
+            self.release(kind, s, "k32", "k8", "counts", "codes")
+
+    def counts(self, level: int, h: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Counts of n-grams by hash; 0 for those that never occurred."""
+        kind, out = f"gram{level}", np.zeros(len(h), np.int64)
+        for s, rows, at in self.found(kind, h, shard):
             c = self.array(kind, s, "counts")[at].astype(np.int64)
             big = np.flatnonzero(c == MORE)
             c[big] = self.array(kind, s, "more")[np.searchsorted(self.array(kind, s, "more_at"), at[big])]
             out[rows] = c
         return out
 
-    def contexts(self, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Totals of the contexts, 0 where one never occurred, and what they leave to the level below."""
-        level = len(cols) + 1
-        total, rest = np.zeros(len(cols[0])), np.ones(len(cols[0]))
-        hot = self.hot_context([*cols, cols[0]])
-        for kind, take in ((f"context{level}", ~hot), (f"hot{level}", hot)):
-            pick = np.flatnonzero(take)
-            some = [c[pick] for c in cols]
+    def _shares(self, level: int, table: np.ndarray) -> np.ndarray:
+        """(total, share left to the level below) of rows (total, how many count 1, 2, 3 or more)."""
+        table = table.astype(np.float64)
+        return np.stack([table[:, 0], table[:, 1:] @ np.array(self.discounts[level]) / np.maximum(table[:, 0], 1)], axis=1)
+
+    def contexts(self, level: int, h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the contexts by hash, 0 where one never occurred, and what they leave to the level below."""
+        total, rest = np.zeros(len(h)), np.ones(len(h))
+        for kind, pick in ((f"context{level}", np.flatnonzero(~hot)), (f"hot{level}", np.flatnonzero(hot))):
             if not len(pick):
                 continue
-            for s, rows, at in self.found(kind, some, self.word_shard(gram_hash(some))):
-                table = self.array(kind, s, "table").astype(np.float64)
+            some = h[pick]
+            for s, rows, at in self.found(kind, some, self.word_shard(some)):
+                told = self._shares(level, self.array(kind, s, "table"))
                 code = self.array(kind, s, "codes")[at].astype(np.int64)
                 big = np.flatnonzero(code == MORE)
                 code[big] = MORE + np.searchsorted(self.array(kind, s, "more_at"), at[big])
-                told = table[code]
-                total[pick[rows]] = told[:, 0]
-                rest[pick[rows]] = told[:, 1:] @ np.array(self.discounts[level]) / told[:, 0]
+                to = pick[rows]
+                total[to], rest[to] = told[code, 0], told[code, 1]
         return total, rest
 
     def log_probs(self, ids: np.ndarray, per_row: np.ndarray) -> np.ndarray:
         """log10 P of each token after those before it; -1 is unknown."""
         out = np.full(len(ids), self.gamma1 / (self.vocab + 1))
+        if not self.vocab:
+            return np.log10(out)
+        # what goes by single words: a token's own share, and its totals as a context of the next
+        total, rest = np.zeros(len(ids)), np.ones(len(ids))
         order = np.argsort(ids, kind="stable")
         order = order[np.searchsorted(ids[order], 0) :]
         for shard, a, b in slices(self.id_shard(ids[order])):
             rows = order[a:b]
-            c = self.array("cont", shard, "counts")[ids[rows] - self.bounds(shard)[0]].astype(np.int64)
+            at = ids[rows] - self.bounds(shard)[0]
+            c = self.array("cont", shard, "counts")[at].astype(np.int64)
             out[rows] += np.maximum(c - self.cut(c, self.discounts[1]), 0) / max(1, self.types)
+            told = self._shares(2, np.stack([self.array("word-context", shard, n)[at] for n in ("total", "n1", "n2", "n3")], axis=1))
+            total[rows], rest[rows] = told[:, 0], told[:, 1]
+            self.release("word-context", shard, "total", "n1", "n2", "n3")
+        first = np.cumsum(per_row) - per_row
+        begin = np.full(1, self.vocab)
+        shard = int(self.id_shard(begin)[0])
+        at = self.vocab - self.bounds(shard)[0]
+        told = self._shares(2, np.array([[self.array("word-context", shard, n)[at] for n in ("total", "n1", "n2", "n3")]]))[0]
+        shift = lambda x, start: np.concatenate(([start], x[:-1]))
+        total, rest = shift(total, told[0]), shift(rest, told[1])
+        total[first], rest[first] = told
+        place = np.arange(len(ids)) - np.repeat(first, per_row)
+        is_hot = self.is_hot(ids)
         for level in range(2, self.order + 1):
-            cols = grams(ids, per_row, level, self.vocab)
-            known = np.flatnonzero(np.logical_and.reduce([c >= 0 for c in cols[:-1]])) if self.vocab else np.zeros(0, np.int64)
-            cols = [c[known] for c in cols]
-            total, rest = self.contexts(cols[:-1])
-            c = np.zeros(len(known), np.int64)
-            seen = np.flatnonzero((total > 0) & (cols[-1] >= 0))
-            c[seen] = self.counts([x[seen] for x in cols])
-            first = np.maximum(c - self.cut(c, self.discounts[level]), 0) / np.maximum(total, 1)
-            out[known] = first + rest * out[known]
+            known, hot = np.ones(len(ids), bool), np.ones(len(ids), bool)
+            h = np.zeros(len(ids), np.uint64)
+            for d in range(level - 1, 0, -1):
+                c = np.full(len(ids), self.vocab)
+                c[d:] = ids[: len(ids) - d]
+                early = place < d
+                c[early] = self.vocab
+                w = np.ones(len(ids), bool)  # the begin mark is hot
+                w[d:] = is_hot[: len(ids) - d]
+                hot &= w | early
+                known &= c >= 0
+                h = gram_hash([c], h)
+            if level > 2:
+                total, rest = np.zeros(len(ids)), np.ones(len(ids))
+                pick = np.flatnonzero(known)
+                total[pick], rest[pick] = self.contexts(level, h[pick], hot[pick])
+            c = np.zeros(len(ids), np.int64)
+            seen = np.flatnonzero((total > 0) & known & (ids >= 0))
+            whole = gram_hash([ids[seen]], h[seen])
+            c[seen] = self.counts(level, whole, self.word_shard(np.where(hot[seen], whole, h[seen])))
+            share = np.maximum(c - self.cut(c, self.discounts[level]), 0) / np.maximum(total, 1)
+            out = np.where(known & (total > 0), share + rest * out, out)
         return np.log10(out)
 
     @staticmethod
@@ -391,7 +437,7 @@ def _counted(columns: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], shar
                 cols = columns(h, per_row)
                 held.append(grouped(cols, np.ones(len(cols[0]), np.int64)))
                 size += len(held[-1][1])
-                if size >= 2 * GATHER:
+                if size >= 4 * GATHER:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -401,12 +447,13 @@ def _counted(columns: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], shar
 
 
 def _by_shard(rows: DataFrame, shards: int) -> DataFrame:
-    return rows.select("kind", "shard", "data").repartition(shards, "shard").sortWithinPartitions("shard")
+    """Each shard a task of its own: dealt by number, since a hash of so few keys would unite several."""
+    return rows.select("kind", "shard", "data").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
 
 
 def save_keyed(path: str, cols: list[np.ndarray], values: np.ndarray) -> None:
     """Arrays in the order of their keys: counts, or with several columns codes into a table of the frequent rows, the others behind it."""
-    key = key_of(cols)
+    key = key_of(gram_hash(cols))
     order = np.argsort(key)
     key, values = key[order], values[order]
     keys = {"k32": (key >> np.uint64(8)).astype(np.uint32), "k8": (key & np.uint64(255)).astype(np.uint8)}
@@ -414,16 +461,19 @@ def save_keyed(path: str, cols: list[np.ndarray], values: np.ndarray) -> None:
         big = np.flatnonzero(values >= MORE)
         save(path, **keys, counts=np.minimum(values, MORE), more_at=big, more=values[big])
         return
-    told, code, often = np.unique(values, axis=0, return_inverse=True, return_counts=True)
-    rank = np.argsort(-often, kind="stable")
-    place = np.empty(len(rank), np.int64)
-    place[rank] = np.arange(len(rank))
-    code = place[code.reshape(-1)]
-    big = np.flatnonzero(code >= MORE)
-    table = np.zeros((MORE + len(big), values.shape[1]), np.int64)
-    table[: min(MORE, len(told))] = told[rank[:MORE]]
+    # rows of small numbers, as nearly all are, in one word each
+    small = (values < 1 << 16).all(axis=1)
+    word = (values[small].astype(np.uint64) << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(axis=1, dtype=np.uint64)
+    told, often = sorted_counts(word)
+    kept = np.sort(told[np.argsort(-often, kind="stable")[:MORE]])
+    code = np.full(len(values), MORE, np.int64)
+    at, ok = search(kept, word)
+    code[np.flatnonzero(small)[ok]] = at[ok]
+    big = np.flatnonzero(code == MORE)
+    table = np.zeros((MORE + len(big), 4), np.int64)
+    table[: len(kept)] = (kept[:, None] >> (np.arange(4, dtype=np.uint64) * np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)
     table[MORE:] = values[big]
-    save(path, **keys, codes=np.minimum(code, MORE), more_at=big, table=table)
+    save(path, **keys, codes=code, more_at=big, table=table)
 
 
 def _totals(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -444,12 +494,15 @@ def _levelled(model: Model, level: int):
             cols, counts = grouped([c.astype(model.id_type) for c in parts[:-1]], parts[-1])
             save_keyed(f"{model.path}/gram{level}-{shard}", cols, counts)
             context, sums = _totals(cols, counts)
-            hot = model.hot_context([*context, context[0]])
-            cold = np.flatnonzero(~hot)
-            save_keyed(f"{model.path}/context{level}-{shard}", [c[cold] for c in context], sums[cold])
-            if hot.any():
-                pick = [c[hot] for c in context]
-                yield packed(1, [*pick, *sums[hot].T], model.word_shard(gram_hash(pick)))
+            if level == 2:  # single words lie by id
+                yield packed(1, [*context, *sums.T], model.id_shard(context[0]))
+            else:
+                hot = model.hot_context([*context, context[0]])
+                cold = np.flatnonzero(~hot)
+                save_keyed(f"{model.path}/context{level}-{shard}", [c[cold] for c in context], sums[cold])
+                if hot.any():
+                    pick = [c[hot] for c in context]
+                    yield packed(1, [*pick, *sums[hot].T], model.word_shard(gram_hash(pick)))
             rest, n = grouped(cols[1:], np.ones(len(counts), np.int64))
             stats = [len(counts), *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
             yield packed(0, [*rest, n], model.gram_shard(rest) if level > 2 else model.id_shard(rest[0]), stats)
@@ -467,19 +520,26 @@ def _hot_totals(model: Model, level: int):
             for c in cols:
                 new |= c[1:] != c[:-1]
             at = np.concatenate(([0], np.flatnonzero(new) + 1))
-            save_keyed(f"{model.path}/hot{level}-{shard}", [c[at] for c in cols], np.add.reduceat(sums, at))
+            cols, sums = [c[at] for c in cols], np.add.reduceat(sums, at)
+            if level == 2:
+                low, high = model.bounds(shard)
+                dense = np.zeros((4, high - low), np.int64)
+                dense[:, cols[0].astype(np.int64) - low] = sums.T
+                save(f"{model.path}/word-context-{shard}", **dict(zip(("total", "n1", "n2", "n3"), dense, strict=True)))
+            else:
+                save_keyed(f"{model.path}/hot{level}-{shard}", cols, sums)
             yield pa.RecordBatch.from_pylist([{"n": len(at)}])
 
     return run
 
 
 def fit(train: DataFrame, text_col: str = "text", shards: int | None = None, order: int = ORDER) -> Model:
-    """Count ``train`` and store the model; ``shards`` defaults to the number of scan partitions."""
+    """Count ``train`` and store the model; ``shards`` defaults to twice the number of scan partitions."""
     if order < 2:
         raise ValueError("the order is 2 at least")
     spark = train.sparkSession
     texts = train.select(text_col)
-    shards = shards or max(8, texts.rdd.getNumPartitions())
+    shards = shards or max(8, 2 * texts.rdd.getNumPartitions())
     model = Model(local(shared_path(spark, "kneser-ney")), shards, order)
 
     rows = _by_shard(texts.mapInArrow(_counted(lambda h, _: [h], lambda c: model.word_shard(c[0])), PACKED), shards)
