@@ -101,3 +101,12 @@ def test_no_training_rows_and_empty_table(spark):
     r = kn.fit_and_score(df).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0, 0)
     assert kn.fit_and_score(df.where("false")).count() == 0
+
+
+def test_more_shards_than_hot_contexts(spark):
+    """Shards into which nothing of some kind has fallen."""
+    rows = [(k, " ".join(f"a b r{k}x{j}" for j in range(30))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, *_ = brute(rows, 3)
+    for r in kn.score(df, kn.fit(df.where(~kn.held_out()), shards=50)).collect():
+        assert r.score == pytest.approx(want[r.doc_id][5])
