@@ -211,7 +211,7 @@ def _ids_type(size: int) -> np.dtype:
 
 
 def _tokeniser(spec: bytes, end_id: int, names: list[str]):
-    """(id, ids, no df) for each row, and at a task's end one row of the documents that hold each id, the last being all."""
+    """(id, ids, nothing) for each row, and at a task's end one row of the ids that occur and of the documents that hold each; the greatest id stands for all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, key_type = loaded(spec), None
@@ -224,9 +224,10 @@ def _tokeniser(spec: bytes, end_id: int, names: list[str]):
                 for r in rows:
                     df[np.unique(r)] += 1
                 df[-1] += len(rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype(kind).tobytes() for r in rows], pa.binary()), pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype(kind).tobytes() for r in rows], pa.binary()), *[pa.nulls(len(rows), pa.list_(pa.int32()))] * 2], names=names)
         if key_type is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.binary()), pa.array([df], pa.list_(pa.int64()))], names=names)
+            seen = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.binary()), *[pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (seen, df[seen])]], names=names)
 
     return run
 
@@ -248,7 +249,8 @@ def _sketcher(times: np.ndarray, kind: np.dtype, names: list[str]):
             ids = [np.frombuffer(x.as_buffer(), kind) for x in b.column(1)]
             sizes = np.array([len(x) for x in ids], np.int64)
             flat, at = np.concatenate(ids), np.cumsum(sizes) - sizes
-            first = [pa.array(np.minimum.reduceat(t[flat], at)) for t in times]
+            # a winner's arrival time names it; times of long documents are short, so ranges go by a hash of them
+            first = [pa.array(mix64(np.minimum.reduceat(t[flat], at).view(np.uint64)).view(np.int64)) for t in times]
             salts = mix64(np.arange(salt, salt + len(ids), dtype=np.uint64)).view(np.int64)
             salt += len(ids)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *first, pa.array(salts)], names=names)
@@ -316,13 +318,13 @@ def routed(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_
     vocab = max(size_of(json.loads(zlib.decompress(spec))), end_id + 1)
     key = T.StructField("key", docs.schema[id_col].dataType)
     ids = T.StructField("ids", T.BinaryType())
-    told = T.StructType([key, ids, T.StructField("df", T.ArrayType(T.LongType()))])
+    told = T.StructType([key, ids, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("t", "n"))])
     tokens = materialise(docs.select(id_col, text_col).mapInArrow(_tokeniser(spec, end_id, told.names), told), "pack-ids")
     df = np.zeros(vocab + 1, np.int64)
-    for r in tokens.where("df is not null").select(F.posexplode("df").alias("t", "n")).where("n > 0").groupBy("t").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.where("t is not null").select(F.inline(F.arrays_zip("t", "n"))).groupBy("t").agg(F.sum("n").alias("n")).collect():
         df[r.t] = r.n
     kind = _ids_type(vocab)
-    drawn = T.StructType([key, ids, T.StructField("k1", T.DoubleType()), T.StructField("k2", T.DoubleType()), T.StructField("salt", T.LongType())])
+    drawn = T.StructType([key, ids, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("salt", T.LongType())])
     rows = tokens.where("ids is not null").select("key", "ids").mapInArrow(_sketcher(races(df), kind, drawn.names), drawn)
     placed = materialise(rows, "pack-sketches")
     discard(tokens)
