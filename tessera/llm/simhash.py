@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from ..storage import discard, materialise
+from ..storage import discard, materialise, tidy
 from .text import chunks, lower_ascii, mix64, span_hash, tokens
 
 SEED = 42
@@ -600,6 +600,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
     links = materialise(links.where("src != dst").unionByName(near).distinct(), "similar-links")
 
     sets = materialise(rows.where("n > 0").join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "k1", "k2", "n", "p", "q", "bits"), "similar-sets")
+    tidy(docs.sparkSession)
     met = materialise(_alone_dropped(sets.select("uid", F.explode("p").alias("h"))).unionByName(sets.select("uid", F.explode("q").alias("h"))), "similar-met")
     for share in (F.pmod("h", F.lit(FIRST)) == 0, F.lit(True)):
         labels = materialise(_labelled(sets.select("uid"), links), "similar-labels")
@@ -623,6 +624,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
         both = labels.select(F.col("uid").alias("src"), F.col("c").alias("dst")).where("src != dst").unionByName(found)
         grown = materialise(both.unionByName(links).distinct(), "similar-links")
         discard(links, labels, once, possible, wanted, shingles)
+        tidy(docs.sparkSession)
         links = grown
     discard(met, sets)
     told = materialise(_labelled(rows.select("uid", "k1", "k2", id_col), links).drop("uid"), "similar-groups")
