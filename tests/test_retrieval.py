@@ -76,3 +76,21 @@ def test_enclosing_callable(spark, kind):
     symbols = spark.createDataFrame([("out", "f", "function", 1, 100), ("in", "f", kind, 10, 20)], "id string, file string, kind string, start long, end long")
     places = spark.createDataFrame([("f", 15), ("f", 50), ("f", 200)], "file string, line long")
     assert {r.line: r.id for r in rv.enclosing_callable(places, symbols).collect()} == {15: "in" if kind == "function" else "out", 50: "out"}
+
+
+def test_scope_of_many_roots(spark, tmp_path):
+    """More roots than a caller types: as a table, each with the files below it."""
+    from tessera.plans import queries
+
+    n = 1500  # all named s1...
+    spark.range(n).select((F.col("id") + 10_000).alias("s_suppkey"), F.lit(1).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, "Brand#1")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    line = lambda k, supp, flag: (k, 1, supp, 1, 1.0, 1.0, 0.0, 0.0, flag, "F", None)
+    rows = [line(k, 10_000 + (k + x) % n, "A") for k in range(n) for x in (0, 1)] + [(*line(n, 20_000, "A")[:3], 2, *line(n, 20_000, "A")[4:]), line(n, 10_000, "A")]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert queries.QUERIES["scoped_graph"](spark, str(tmp_path)).count() == n
+    files = spark.createDataFrame([("src/a/x",), ("src/ab",), ("src/a",), ("/lib/y",)], "path string")
+    edges = spark.createDataFrame([], "from_path string, to_path string, to_type string")
+    for roots in (["src/a/"], ["src", "src/a"], ["/"], ["none"]):
+        table = spark.createDataFrame([(r,) for r in roots], "root string")
+        assert sorted(rv.under_roots(files, edges, table)[0].collect()) == sorted(rv.under_roots(files, edges, roots)[0].collect())
