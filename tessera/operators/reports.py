@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.textual import folded
+from ..storage import materialise, spread
 from . import graphs
 
 # --- changes ----------------------------------------------------------------------------------
@@ -24,9 +25,13 @@ def hash_diff(base: DataFrame, head: DataFrame) -> DataFrame:
 
 def changed_symbols(lines: DataFrame, symbols: DataFrame, width: int = 64) -> DataFrame:
     """(file, line, id) of the innermost symbol around each changed line; symbols carry ``start`` and ``end``."""
-    spread = symbols.select("file", "id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bin"))
-    met = lines.withColumn("bin", F.floor(F.col("line") / width)).join(spread, ["file", "bin"]).where("line between start and end")
-    return met.groupBy("file", "line").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "id")).alias("m")).select("file", "line", "m.id")
+    one = symbols.groupBy("file", "start", "end").agg(F.min("id").alias("id"))  # of equal ranges the least id wins anyway
+    ranges = one.select("file", "id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bin"))
+    at = spread(materialise(lines.select("file", "line").distinct(), "lines").withColumn("bin", F.floor(F.col("line") / width)), "file", "bin")
+    met = at.join(ranges, ["file", "bin"]).where("line between start and end")
+    # grouped by the bin too, so the join's partitions serve
+    least = met.groupBy("file", "bin", "line").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "id")).alias("m"))
+    return least.select("file", "line", "m.id")
 
 
 def review_risk(exported_changed: Column, symbols: Column, files: Column, missing: Column, failures: Column) -> Column:

@@ -94,3 +94,16 @@ def test_links_tree_ids(spark):
     assert {tuple(x) for x in r.tree(spark.createDataFrame([("a/b/c/d/e.ts",), ("a/x.ts",), ("top.ts",)], "path string"), 2).collect()} == {("a", 2), ("a/b", 1)}
     c = r.chunk_ids(spark.createDataFrame([("f", 1, "t"), ("f", 2, "t"), ("g", 1, "t")], "file string, ordinal int, text string")).collect()
     assert sorted((x.file, x.ordinal, x.chunk_id[16:]) for x in c) == [("f", 1, ""), ("f", 2, ":1"), ("g", 1, "")]
+
+
+def test_innermost_symbols_of_many_equal_ranges(spark, monkeypatch):
+    """Equal ranges and repeated lines cost nothing twice; tasks hold a bounded number of lines."""
+    from tessera import storage
+    from tessera.operators import reports
+
+    symbols = spark.createDataFrame([("f", f"s{k:03}", 1, 100) for k in range(200)] + [("f", "in", 40, 70), ("g", "x", 1, 9)], "file string, id string, start long, end long")
+    lines = spark.createDataFrame([("f", k % 120) for k in range(600)] + [("g", 5), ("h", 1)], "file string, line long")
+    want = {("f", k, "in" if 40 <= k <= 70 else "s000") for k in range(1, 101)} | {("g", 5, "x")}
+    monkeypatch.setattr(storage, "ROWS", 10)
+    got = reports.changed_symbols(lines, symbols)
+    assert got.rdd.getNumPartitions() == 13 and sorted(map(tuple, got.collect())) == sorted(want)
