@@ -94,3 +94,13 @@ def test_scope_of_many_roots(spark, tmp_path):
     for roots in (["src/a/"], ["src", "src/a"], ["/"], ["none"]):
         table = spark.createDataFrame([(r,) for r in roots], "root string")
         assert sorted(rv.under_roots(files, edges, table)[0].collect()) == sorted(rv.under_roots(files, edges, roots)[0].collect())
+
+
+def test_symbol_graph_of_popular_targets(spark, monkeypatch):
+    """Exports of a popular target are dealt to parts; repeated symbols and ids under several targets give an edge once."""
+    monkeypatch.setattr(rv, "SHARE", 3)
+    rows = [(f"e{k % 20}", "class", "f", "C", True) for k in range(25)] + [("both", "class", "f", "C", True), ("both", "class", "g", "D", True)]
+    symbols = spark.createDataFrame(rows, "id string, kind string, file string, name string, exported boolean")
+    imports = spark.createDataFrame([(f"i{k}", "X", t, n) for k in range(4) for t, n in (("f", "C"), ("g", "D"))], "file string, alias string, target_file string, target_name string")
+    got = sorted((r.from_id, r.to_id) for r in rv.symbol_graph(symbols, imports)[1].collect())
+    assert got == sorted((f"i{k}#X", e) for k in range(4) for e in [*[f"e{n}" for n in range(20)], "both"])
