@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,13 +166,17 @@ def docs_boost(path: Column, norm: Column, terms: Sequence[str], identifier: boo
 def snippets(chunks: DataFrame, query: str) -> DataFrame:
     """(id, line, snippet): the first line that scores (else the first), with one line before and after it; lines count from 1."""
     terms = query_terms(query)
-    lines = chunks.select("id", F.split("text", r"\r?\n").alias("lines"))
+    # a line scores only by a term that stands in it without blanks, so in the whole text without them: other texts' lines aren't scored
+    same = lambda t: t.replace("\u03c2", "\u03c3")  # noqa: E731  # a sigma's form depends on where a word ends
+    whole = F.replace(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\p{M}_]+", ""), F.lit("\u03c2"), F.lit("\u03c3"))
+    lines = chunks.select("id", F.split("text", r"\r?\n").alias("lines"), F.explode(F.array(whole)).alias("whole"))
+    near = reduce(or_, [F.contains(F.col("whole"), F.lit(same(t))) for t in terms], F.lit(False))
     hit = lambda x: field_score(normalized(x), terms) > 0
-    first = F.array_position(F.transform("lines", hit), F.lit(True)).cast("int")
-    at = F.greatest(first, F.lit(1))
-    shown = F.array_join(F.slice("lines", F.greatest(at - 1, F.lit(1)), at + 1 - F.greatest(at - 1, F.lit(1)) + 1), "\n")
-    rows = lines.select("id", F.explode(F.array(F.struct(at.alias("line"), shown.alias("snippet")))).alias("x"))
-    return rows.select("id", "x.line", F.regexp_replace("x.snippet", r"^\s+|\s+$", "").alias("snippet"))
+    first = F.when(near, F.array_position(F.transform("lines", hit), F.lit(True)).cast("int"))
+    rows = lines.select("id", "lines", F.explode(F.array(F.greatest(first, F.lit(1)))).alias("line"))
+    top = F.greatest(F.col("line") - 1, F.lit(1))
+    shown = F.array_join(F.slice("lines", top, F.col("line") + 1 - top + 1), "\n")
+    return rows.select("id", "line", F.regexp_replace(shown, r"^\s+|\s+$", "").alias("snippet"))
 
 
 def search_sql_objects(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:

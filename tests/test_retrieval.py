@@ -104,3 +104,13 @@ def test_symbol_graph_of_popular_targets(spark, monkeypatch):
     imports = spark.createDataFrame([(f"i{k}", "X", t, n) for k in range(4) for t, n in (("f", "C"), ("g", "D"))], "file string, alias string, target_file string, target_name string")
     got = sorted((r.from_id, r.to_id) for r in rv.symbol_graph(symbols, imports)[1].collect())
     assert got == sorted((f"i{k}#X", e) for k in range(4) for e in [*[f"e{n}" for n in range(20)], "both"])
+
+
+def test_snippets_of_terms_parted_by_signs(spark):
+    """The check of the whole text loses no line: terms split by signs, by case, with either sigma; it reads no line of other texts."""
+    rows = [("a", "x\nlic-En sed\ny"), ("b", "lic\nensed"), ("c", "q\n\u0391\u0392\u03a3Cd z"), ("d", None)]
+    chunks = spark.createDataFrame(rows, "id string, text string")
+    assert {r.id: r.line for r in s.snippets(chunks, "licensed").collect()} == {"a": 2, "b": 1, "c": 1, "d": 1}
+    assert {r.id: r.line for r in s.snippets(chunks, "ab\u03c2 \u03b1\u03b2\u03c2").collect()}["c"] == 2
+    plan = s.snippets(chunks, "licensed")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position(") == 1 and "CASE WHEN Contains(whole" in plan
