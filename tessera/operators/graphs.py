@@ -13,9 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import reach
 from ..storage import discard, materialise
 
 NO_LIMIT = 1 << 30
+#: Links that one task searches for components by itself.
+LOCAL = 1_000_000
+#: Rows of a table of nodes that is broadcast.
+NODES = 500_000
+
+
+def by_nodes(nodes: DataFrame) -> DataFrame:
+    """``nodes``, broadcast in joins if there are at most ``NODES``: then the edges that they meet don't move."""
+    return F.broadcast(nodes) if nodes.count() <= NODES else nodes
 
 
 def _links(edges: DataFrame, src: str, dst: str, direction: str) -> DataFrame:
@@ -161,16 +171,51 @@ def _chains(links: DataFrame) -> DataFrame | None:
     return state.join(ends, "tail", "left").select("v", "head", "tail", F.when(F.col("inner"), F.col("top")).alias("ring"))
 
 
-def strong_components(edges: DataFrame, src: str = "from_path", dst: str = "to_path", max_rounds: int = 10_000) -> DataFrame:
+def thinned(links: DataFrame, local: int = LOCAL) -> tuple[DataFrame, int]:
+    """A table of links by which the same nodes of ``links`` (u, v) reach each other, and its number of rows; links of a node to itself stay.
+
+    Every task thins what it reads, ``local`` links at a time, before anything
+    moves: of a graph with many more edges than nodes little more than a ring
+    for each component is left. Goes on while more than ``local`` links are left
+    and a round takes off a quarter.
+    """
+    thin = lambda t: t.mapInArrow(lambda batches: reach.thinned(batches, local), t.schema).distinct()
+    table = materialise(thin(links.where("u is not null and v is not null")), "scc")
+    n, before = table.count(), None
+    while n > local and (before is None or 4 * n < 3 * before):
+        old, before = table, n
+        table = materialise(thin(old.coalesce(-(-n // max(1, local)))), "scc")
+        discard(old)
+        n = table.count()
+    return table, n
+
+
+def strong_components(edges: DataFrame, src: str = "from_path", dst: str = "to_path", max_rounds: int = 10_000, local: int = LOCAL) -> DataFrame:
     """(node, component): strongly connected components of two or more nodes, named by their greatest node.
 
+    Links are thinned first. One task searches up to ``local`` of what is left;
+    more go through the rounds of :func:`_rounds`.
+    """
+    return _components(*thinned(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v"), local), max_rounds, local)
+
+
+def _components(links: DataFrame, n: int, max_rounds: int = 10_000, local: int = LOCAL) -> DataFrame:
+    """:func:`strong_components` of ``n`` distinct ``links`` (u, v) without loops."""
+    if n > local:
+        return _rounds(links, max_rounds)
+    schema = links.select(F.col("u").alias("node"), F.col("v").alias("component")).schema
+    return links.coalesce(1).mapInArrow(reach.labelled, schema)
+
+
+def _rounds(every: DataFrame, max_rounds: int) -> DataFrame:
+    """Components of links (u, v; distinct, no loops) of any number.
+
     Chains are drawn together first, in rounds that grow with the logarithm of
     their length. Of what is left, nodes without a way in or out are trimmed, and
     the rest is coloured: nodes take the greatest label that reaches them, two
     hops a round; the nodes of a colour from which its root can be reached are a
     component. What is left goes into the next round.
     """
-    every = materialise(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v").distinct(), "scc")
     chains, left = _chains(every), every
     if chains is not None:
         chains = materialise(chains, "scc-chains")
@@ -233,9 +278,9 @@ DOCUMENTS = r"(?i)\.(md|mdx|rst|adoc|txt|html?)$"
 
 def cycle_labels(edges: DataFrame) -> DataFrame:
     """(node, component) of every file on a cycle of files, self-loops included; cycles of documents only are left out."""
-    inner = materialise(edges.where("to_type = 'file'").select("from_path", "to_path"), "cycle-edges")
-    labels = strong_components(inner)
-    loops = inner.where("from_path = to_path").select(F.col("from_path").alias("node")).distinct().join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    links, n = thinned(edges.where("to_type = 'file'").select(F.col("from_path").alias("u"), F.col("to_path").alias("v")))
+    labels = materialise(_components(links.where("u != v"), n), "cycles")
+    loops = links.where("u = v").select(F.col("u").alias("node")).distinct().join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
     labels = materialise(labels.unionByName(loops), "cycles")
     code = labels.where(~F.col("node").rlike(DOCUMENTS)).select("component").distinct()
     return labels.join(code, "component", "left_semi").select("node", "component")
@@ -245,13 +290,15 @@ def cycles(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(files, size, internal_edges, entry_edges, fan_in, priority, component) of every cycle of files; ``component`` names it by its greatest file."""
     inner = edges.where("to_type = 'file'").select("from_path", "to_path")
     labels = materialise(cycle_labels(edges), "cycles") if labels is None else labels
-    a, b = labels.select(F.col("node").alias("from_path"), F.col("component").alias("ca")), labels.select(F.col("node").alias("to_path"), F.col("component").alias("cb"))
-    seen = inner.groupBy("from_path", "to_path").agg(F.count("*").alias("n")).join(b, "to_path").join(a, "from_path", "left")
-    inside = F.col("ca").eqNullSafe(F.col("cb"))
-    counts = seen.groupBy(F.col("cb").alias("component")).agg(
-        F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("internal_edges"),
-        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("entry_edges"),
-        F.countDistinct(F.when(~inside, F.col("from_path"))).alias("fan_in"),
+    at = by_nodes(labels)
+    a, b = at.select(F.col("node").alias("from_path"), F.col("component").alias("ca")), at.select(F.col("node").alias("to_path"), F.col("component").alias("cb"))
+    met = inner.join(b, "to_path").join(a, "from_path", "left").withColumn("inside", F.col("ca").eqNullSafe(F.col("cb")))
+    # one row for the edges within a cycle and one for each importer from outside, counted before they move
+    seen = met.groupBy(F.col("cb").alias("component"), "inside", F.when(~F.col("inside"), F.col("from_path")).alias("importer")).agg(F.count("*").alias("n"))
+    counts = seen.groupBy("component").agg(
+        F.coalesce(F.sum(F.when(F.col("inside"), F.col("n"))), F.lit(0)).alias("internal_edges"),
+        F.coalesce(F.sum(F.when(~F.col("inside"), F.col("n"))), F.lit(0)).alias("entry_edges"),
+        F.count("importer").alias("fan_in"),
     )
     sets = labels.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("node")), ",").alias("files"))
     return sets.join(counts, "component").select("files", "size", "internal_edges", "entry_edges", "fan_in", (3 * F.col("size") + 2 * F.col("fan_in") + F.col("internal_edges")).alias("priority"), "component")
@@ -260,9 +307,11 @@ def cycles(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 def weakest_edges(edges: DataFrame, coupling: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(component, from_path, to_path, coupling, type_only): the edge to cut in each cycle, of the least symbol ``coupling`` (from_file, to_file, edges), type-only before others, then by name."""
     labels = materialise(cycle_labels(edges), "cycles") if labels is None else labels
-    inner = edges.where("to_type = 'file' and from_path != to_path").groupBy("from_path", "to_path").agg(F.bool_and(F.coalesce("type_only", F.lit(False))).alias("type_only"))
-    a, b = labels.select(F.col("node").alias("from_path"), "component"), labels.select(F.col("node").alias("to_path"), "component")
-    rows = inner.join(a, "from_path").join(b, ["to_path", "component"]).join(coupling.select(F.col("from_file").alias("from_path"), F.col("to_file").alias("to_path"), "edges"), ["from_path", "to_path"], "left")
+    at = by_nodes(labels)
+    a, b = at.select(F.col("node").alias("from_path"), "component"), at.select(F.col("node").alias("to_path"), "component")
+    inside = edges.where("to_type = 'file' and from_path != to_path").join(a, "from_path").join(b, ["to_path", "component"])
+    inner = inside.groupBy("component", "from_path", "to_path").agg(F.bool_and(F.coalesce("type_only", F.lit(False))).alias("type_only"))
+    rows = inner.join(coupling.select(F.col("from_file").alias("from_path"), F.col("to_file").alias("to_path"), "edges"), ["from_path", "to_path"], "left")
     n = F.coalesce("edges", F.lit(0)).cast("long")
     best = rows.groupBy("component").agg(F.min(F.struct(n.alias("coupling"), (~F.col("type_only")).cast("int").alias("t"), "from_path", "to_path", "type_only")).alias("b"))
     return best.select("component", "b.from_path", "b.to_path", "b.coupling", "b.type_only")
@@ -271,7 +320,7 @@ def weakest_edges(edges: DataFrame, coupling: DataFrame, labels: DataFrame | Non
 def hotspots(files: DataFrame, edges: DataFrame, limit: int | None = 20) -> DataFrame:
     """(file, fan_in, fan_out, score) of files; fan_out counts every edge, fan_in edges between files in scope."""
     out = edges.groupBy(F.col("from_path").alias("file")).agg(F.count("*").alias("fan_out"))
-    scope = files.select("path")
+    scope = by_nodes(files.select("path"))
     inward = edges.where("to_type = 'file'").join(scope, F.col("from_path") == F.col("path"), "left_semi").groupBy(F.col("to_path").alias("file")).agg(F.count("*").alias("fan_in"))
     rows = files.select(F.col("path").alias("file")).join(out, "file", "left").join(inward, "file", "left").na.fill(0, ["fan_in", "fan_out"])
     scored = rows.select("file", "fan_in", "fan_out", (2 * F.col("fan_in") + F.col("fan_out")).alias("score")).orderBy(F.desc("score"), F.desc("fan_in"), F.desc("fan_out"), "file")

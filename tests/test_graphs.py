@@ -52,6 +52,29 @@ def test_components_of_random_graphs(spark, seed):
     assert {frozenset(m) for m in got.values()} == {m for m in want if len(m) > 1} and all(c == max(m) for c, m in got.items())
 
 
+@pytest.mark.parametrize(("seed", "local"), [(0, 0), (1, 0), (2, 7), (3, 40), (2, 1000)])
+def test_components_by_rounds_and_by_small_chunks(spark, seed, local):
+    """Whether one task, small chunks or rounds of joins find them, components are the same."""
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range([25, 40, 60, 120][seed])]
+    reach = {a: {b for x, b in pairs if x == a} for a in {x for p in pairs for x in p}}
+    for _ in range(30):
+        reach = {a: to | {c for b in to for c in reach[b]} for a, to in reach.items()}
+    want = {a: max(b for b in reach[a] if a in reach[b]) for a in reach if any(b != a and a in reach[b] for b in reach[a])}
+    assert {r.node: r.component for r in g.strong_components(edges(spark, pairs).repartition(3), local=local).collect()} == want
+
+
+def test_dense_graphs_are_thinned(spark):
+    """Of all links within two groups, links from one to the other and a loop, two rings, one link for each task and the loop are left."""
+    pairs = [(f"{c}{a:02}", f"{c}{b:02}") for c in "xy" for a in range(40) for b in range(40) if a != b]
+    pairs += [(f"x{a:02}", f"y{b:02}") for a in range(40) for b in range(40)] + [("z", "z")]
+    links = spark.createDataFrame(pairs, "u string, v string").coalesce(1)
+    table, n = g.thinned(links)
+    assert n == 82 and table.where("u = v").count() == 1 and table.where("u = 'x39' and v = 'y39'").count() == 1
+    many, m = g.thinned(links.repartition(4), 500)
+    assert m < 500 and {r.node: r.component for r in g.strong_components(many, "u", "v").collect()} == {f"{c}{a:02}": f"{c}39" for c in "xy" for a in range(40)}
+
+
 def test_weakest_edges_and_document_cycles(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("x.md", "y.md"), ("y.md", "x.md")])
     coupling = spark.createDataFrame([("a", "b", 3), ("b", "c", 1), ("c", "a", 1)], "from_file string, to_file string, edges long")

@@ -15,3 +15,11 @@ def test_orient_and_review(spark):
     symbols = spark.createDataFrame([("1", "src/a.ts", True), ("2", "src/b.ts", True)], "id string, file string, exported boolean")
     one = review.review(files, edges, symbols, spark.createDataFrame([("src/a.ts",)], "file string"), textual.is_test_file).first()
     assert (one.changed_files, one.missing, one.changed_symbols, one.exported_symbols, one.impacted_files, one.tests, one.risk, one.level) == (1, 0, 1, 1, 3, 1, 60, "medium")
+
+
+def test_orient_tells_all_cycles_if_asked(spark):
+    pairs = [(f"c{k:02}{x}.ts", f"c{k:02}{y}.ts") for k in range(12) for x, y in ("ab", "ba")]
+    edges = spark.createDataFrame([(a, b, "file", b, False, "precise", 1.0, k) for k, (a, b) in enumerate(pairs)], EDGE)
+    files = spark.createDataFrame([(p,) for p, _ in pairs], "path string")
+    cycles = lambda **most: review.orient(files, edges, **most).where("section = 'cycle'").count()
+    assert cycles() == 10 and cycles(most=None) == 12
