@@ -306,6 +306,7 @@ def cycles(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 def weakest_edges(edges: DataFrame, coupling: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(component, from_path, to_path, coupling, type_only): the edge to cut in each cycle, of the least symbol ``coupling`` (from_file, to_file, edges), type-only before others, then by name."""
+    edges = materialise(edges.where("to_type = 'file'").select("from_path", "to_path", "to_type", "type_only"), "weakest")
     labels = materialise(cycle_labels(edges), "cycles") if labels is None else labels
     at = by_nodes(labels)
     a, b = at.select(F.col("node").alias("from_path"), "component"), at.select(F.col("node").alias("to_path"), "component")

@@ -159,7 +159,8 @@ def impact_cycles(spark, d):
 r AS (SELECT a.component, l.from_path, l.to_path, coalesce(n, 0) AS coupling, type_only FROM links l JOIN scc a ON a.node = l.from_path JOIN scc b ON b.node = l.to_path AND b.component = a.component LEFT JOIN coupling c ON c.from_path = l.from_path AND c.to_path = l.to_path)
 SELECT component, from_path, to_path, coupling, type_only FROM r QUALIFY row_number() OVER (PARTITION BY component ORDER BY coupling, NOT type_only, from_path, to_path) = 1""")
 def weakest_edges(spark, d):
-    return graphs.weakest_edges(ad.file_edges(spark, d), reports.symbol_coupling(ad.symbols(spark, d), ad.symbol_edges(spark, d)))
+    s = ad.steps(spark, d)
+    return graphs.weakest_edges(ad.file_edges(spark, d, s), reports.symbol_coupling(ad.symbols(spark, d), ad.symbol_edges(spark, d, s)))
 
 
 @query("surface_tops", f"""{ad.with_ctes("files", "file_edges")}, h AS ({HOT.format(e='file_edges')}), t AS (SELECT 'fan_in' AS side, file, fan_in AS n FROM h UNION ALL SELECT 'fan_out', file, fan_out FROM h)

@@ -82,6 +82,19 @@ def test_weakest_edges_and_document_cycles(spark):
     assert [r.files for r in g.cycles(e).collect()] == ["a,b,c"]
 
 
+def test_weakest_edges_reads_its_edges_once(spark):
+    e, read = edges(spark, [("a", "b"), ("b", "c"), ("c", "a")]), spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    coupling = spark.createDataFrame([("a", "b", 3), ("b", "c", 1)], "from_file string, to_file string, edges long")
+    assert [tuple(r) for r in g.weakest_edges(e.mapInArrow(told, e.schema), coupling).collect()] == [("c", "c", "a", 0, False)]
+    assert read.value == 3
+
+
 def test_two_components_joined_one_way(spark):
     e = edges(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e")])
     assert sorted(r.files for r in g.cycles(e).collect()) == ["a,b", "c,d"]
