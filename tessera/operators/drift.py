@@ -1,8 +1,9 @@
 """Drift between two snapshots of an architecture: findings by kind, their order, counts and policy.
 
 A snapshot is a set of tables: files, edges, symbols and the number of duplicate
-groups. Keys don't hold positions, so moved lines are no drift. Each table of
-a snapshot is reduced to its keys first and compared by one full outer join.
+groups. Keys don't hold positions, so moved lines are no drift. Both sides of
+a table meet in one grouping by key, whose bits say on which side a key stands;
+nulls are equal.
 """
 
 from __future__ import annotations
@@ -45,24 +46,26 @@ def _row(kind: Column, key: Column, severity: Column | None = None) -> list[Colu
 
 def set_findings(base: DataFrame, head: DataFrame, added: str | None, removed: str) -> DataFrame:
     """(kind, severity, key) of keys on one side only; without ``added`` only what is gone."""
-    a, b = base.select("key", F.lit(True).alias("a")).distinct(), head.select("key", F.lit(True).alias("b")).distinct()
-    kind = F.when(F.col("a").isNull(), F.lit(added)).when(F.col("b").isNull(), F.lit(removed))
-    return a.join(b, "key", "full_outer").select(*_row(kind, F.col("key"))).where("kind is not null")
+    side = lambda t, bit: t.select("key", F.lit(bit).alias("bit"))
+    both = side(base, 1).unionByName(side(head, 2)).groupBy("key").agg(F.bit_or("bit").alias("bits"))
+    kind = F.when(F.col("bits") == 2, F.lit(added)).when(F.col("bits") == 1, F.lit(removed))
+    return both.select(*_row(kind, F.col("key"))).where("kind is not null")
 
 
 def edge_findings(base: DataFrame, head: DataFrame, mode: str = "full") -> DataFrame:
     """Edges added, removed, or turned from type-only to run time or back; ``summary`` counts the first two by file, ``off`` gives none."""
     names = ["from_path", "raw", "to_path"]
-    side = lambda t, s: t.select(*names, F.coalesce("type_only", F.lit(False)).alias("t")).distinct().groupBy(*names).agg(F.collect_set("t").alias(s))
-    both = side(base, "a").join(side(head, "b"), names, "full_outer").select(*names, *[F.coalesce(c, F.array().cast("array<boolean>")).alias(c) for c in "ab"])
-    new, gone = F.array_except("b", "a"), F.array_except("a", "b")
-    rows = both.select(*names, new.alias("new"), gone.alias("gone")).where("size(new) > 0 or size(gone) > 0")
+    # bits: 1 type-only, 2 at run time; those of the head are shifted by two
+    side = lambda t, shift: t.select(*names, F.when(F.coalesce("type_only", F.lit(False)), 1 << shift).otherwise(2 << shift).alias("bit"))
+    both = side(base, 0).unionByName(side(head, 2)).groupBy(*names).agg(F.bit_or("bit").alias("bits")).where("(bits & 3) != shiftright(bits, 2)")
+    rows = both.select(*names, F.expr("shiftright(bits, 2) & ~bits").alias("new"), F.expr("bits & 3 & ~shiftright(bits, 2)").alias("gone"))
     if mode == "off":
         rows = rows.limit(0)
     key = F.concat_ws(NUL, *names)
-    flipped = rows.where("size(new) > 0 and size(gone) > 0").select(*_row(F.lit("graph-edge-type-changed"), key, F.when(F.col("new")[0], "info").otherwise("warning")))
-    plain = rows.where("size(new) = 0 or size(gone) = 0")
-    part = lambda c, kind: plain.select("from_path", F.lit(kind).alias("kind"), F.explode(c).alias("t"), key.alias("k"))
+    flipped = rows.where("new > 0 and gone > 0").select(*_row(F.lit("graph-edge-type-changed"), key, F.when(F.col("new") == 1, "info").otherwise("warning")))
+    plain = rows.where("new = 0 or gone = 0")
+    held = lambda c: F.array_compact(F.array(F.when(F.col(c).bitwiseAND(1) > 0, True), F.when(F.col(c).bitwiseAND(2) > 0, False)))
+    part = lambda c, kind: plain.select("from_path", F.lit(kind).alias("kind"), F.explode(held(c)).alias("t"), key.alias("k"))
     flat = part("new", "graph-edge-added").unionByName(part("gone", "graph-edge-removed"))
     if mode == "summary":
         return flipped.unionByName(flat.select("kind", "from_path").distinct().select(*_row(F.col("kind"), F.concat_ws(":", "kind", "from_path"))))
@@ -95,17 +98,13 @@ def duplicate_findings(before: DataFrame, after: DataFrame) -> DataFrame:
 def findings(files: DataFrame, base: dict[str, DataFrame], head: dict[str, DataFrame], jump: int = JUMP, edges: str = "full", api: str = "all") -> DataFrame:
     """(kind, severity, key) of all findings between snapshots with ``edges``, ``symbols`` and, if known, ``duplicates``.
 
-    ``edges``: full, summary or off; ``api``: all, removals or off. Cycles are
-    compared by edges first: where both snapshots have the same set of file
-    edges, no cycle can differ and none is searched.
+    ``edges``: full, summary or off; ``api``: all, removals or off.
     """
-    a, b = materialise(base["edges"], "drift-base"), materialise(head["edges"], "drift-head")
+    held = lambda t, n: t if hasattr(t, "_tessera_path") else materialise(t.select("from_path", "raw", "to_path", "to_type", "type_only"), n)
+    a, b = held(base["edges"], "drift-base"), held(head["edges"], "drift-head")
     out = edge_findings(a, b, edges)
     out = out.unionByName(hotspot_findings(files, a, b, jump).select("kind", "severity", "key"))
-    links = lambda t: t.where("to_type = 'file'").select("from_path", "to_path").distinct()
-    moved = links(a).exceptAll(links(b)).unionByName(links(b).exceptAll(links(a)))
-    if not moved.isEmpty():
-        out = out.unionByName(set_findings(cycle_keys(a), cycle_keys(b), "new-cycle", "resolved-cycle"))
+    out = out.unionByName(set_findings(cycle_keys(a), cycle_keys(b), "new-cycle", "resolved-cycle"))
     name = lambda t: t.where("to_type = 'external'").select(F.concat_ws(NUL, "from_path", "to_path").alias("key"))
     out = out.unionByName(set_findings(name(a), name(b), "unresolved-import", "resolved-unresolved-import"))
     if api != "off":

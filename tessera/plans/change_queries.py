@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import textual
 from ..operators import drift, graphs, impact, reports, review
 from ..sources import adapters as ad
+from ..storage import materialise
 
 from .queries import _SCC, _SIDES, _TESTS, _URLS, END, HOT, START, _sides, _sql_files, _urls, query
 
@@ -248,8 +249,11 @@ found AS (SELECT * FROM edges UNION ALL SELECT kind, {_SEV}, key FROM (SELECT ki
 def _findings(spark, d):
     s = ad.symbols(spark, d)
     later = s.withColumn("name", F.when(F.col("line_span") % 9 == 0, F.concat("name", F.lit("2"))).otherwise(F.col("name")))
-    groups = lambda *k: ad.table(spark, d, "documents").groupBy(*k).count().where("count > 1").agg(F.count("*").alias("groups"))
-    base, head = _sides(spark, d)
+    # texts meet as digests, and both groupings start from the finer one
+    texts = materialise(ad.table(spark, d, "documents").groupBy("source", F.sha2("text", 256).alias("text")).agg(F.count("*").alias("n")), "drift-texts")
+    groups = lambda *k: texts.groupBy(*k).agg(F.sum("n").alias("n")).where("n > 1").agg(F.count("*").alias("groups"))
+    base = materialise(ad.file_edges(spark, d).select("from_path", "raw", "to_path", "to_type", "type_only", "confidence"), "drift-base")
+    head = ad.moved_edges(spark, d, base)
     return drift.findings(ad.files(spark, d), {"edges": base, "symbols": s, "duplicates": groups("text")}, {"edges": head, "symbols": later, "duplicates": groups("source", "text")}, jump=5)
 
 

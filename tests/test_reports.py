@@ -107,3 +107,19 @@ def test_innermost_symbols_of_many_equal_ranges(spark, monkeypatch):
     monkeypatch.setattr(storage, "ROWS", 10)
     got = reports.changed_symbols(lines, symbols)
     assert got.rdd.getNumPartitions() == 13 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_unknown_ends_that_stay_are_no_drift(spark):
+    """An edge without a raw name on both sides is the same edge; type-only turns are told by what is new."""
+    base = spark.createDataFrame([("a", "b", "file", None, False, None, None, 0), edge("a", "c"), edge("a", "d"), edge("a", "d", only=True), edge("b", "e", only=True)], EDGE)
+    head = spark.createDataFrame([("a", "b", "file", None, False, None, None, 0), edge("a", "c", only=True), edge("a", "d"), edge("b", "f"), edge("b", "f", only=True)], EDGE)
+    got = {(x.kind, x.severity, x.key.replace(dr.NUL, "|")) for x in dr.edge_findings(base, head).collect()}
+    assert got == {
+        ("graph-edge-type-changed", "info", "a|c|c"),
+        ("graph-edge-removed", "info", "a|d|d|type"),
+        ("graph-edge-removed", "info", "b|e|e|type"),
+        ("graph-edge-added", "info", "b|f|f|type"),
+        ("graph-edge-added", "info", "b|f|f|value"),
+    }
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    assert [(x.kind, x.key) for x in dr.set_findings(keys("a", None, "c"), keys("a", None), "new-cycle", "resolved-cycle").collect()] == [("resolved-cycle", "c")]
