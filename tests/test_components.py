@@ -1,3 +1,8 @@
+import random
+
+import pytest
+
+from tessera.operators import components
 from tessera.operators.components import connected_components
 
 
@@ -19,3 +24,40 @@ def test_hubs(spark):
 
 def test_empty(spark):
     assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def spread(edges):
+    """The least node of each node's component, by search."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for start in sorted(near):
+        todo = [start]
+        while todo:
+            if (x := todo.pop()) not in out:
+                out[x] = start
+                todo += near[x]
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 5, 40, 1_000_000])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_any_bound(spark, monkeypatch, most, kind):
+    """One task, many chunks a task or rounds: the components are the same, each node comes once."""
+    rng = random.Random(most)
+    rows = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)] + [(k, k) for k in (100, 100, 101, -3)] + [(200 + k, 201 + k) for k in range(20)]
+    rows = [(str(a), str(b)) if kind == "string" else (a, b) for a, b in rows]
+    monkeypatch.setattr(components, "LINKS", most)
+    found = connected_components(spark.createDataFrame([*rows, (None, rows[0][0])], f"src {kind}, dst {kind}").repartition(3)).collect()
+    assert sorted((r.node, r.component) for r in found) == sorted(spread(rows).items())
+
+
+def test_few_jobs(spark):
+    """However long its chains are, a graph that one task can hold isn't joined round by round."""
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    edges = spark.createDataFrame([(k, k + 1) for k in range(3000)], "src long, dst long")
+    before = jobs()
+    assert connected_components(edges).where("component = 0").count() == 3001
+    assert jobs() - before <= 8
